@@ -94,8 +94,8 @@ def windows_of(items: list[tuple], width: int) -> tuple[list[tuple[bytes, ...]],
     return list(found), [list(x) for x in found.values()]
 
 
-def intersect(keys: np.ndarray, span: int, lists: np.ndarray, sizes: np.ndarray, matrix: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows and starts of exact matches, and windows with near matches.
+def intersect(keys: np.ndarray, span: int, lists: np.ndarray, sizes: np.ndarray, matrix: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Windows and starts of exact matches, and of near matches.
 
     keys: term * span + position over all postings, sorted. lists, sizes: where each term's list
     begins in keys, and its length. matrix: the windows' terms, -1 past the end of a short one."""
@@ -117,7 +117,7 @@ def intersect(keys: np.ndarray, span: int, lists: np.ndarray, sizes: np.ndarray,
         win, start = win[keep], start[keep]
     for r in (1, 2):  # proximity
         if r >= width or not slop:
-            near_win = near_win[:0]
+            near_win, near_start = near_win[:0], near_start[:0]
             break
         off = order[near_win, r]
         term = matrix[near_win, off]
@@ -241,6 +241,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop:
     )
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
+    """docs without the rows that hold an exact phrase of a test item; columns stay. A row is known
+    by a hash of doc_id and text."""
+    key = F.xxhash64(docs["doc_id"], docs["text"])
+    found = decontaminate(docs.select(key.alias("doc_id"), docs["text"]), benchmark, width, slop=0)
+    dirty = found.where("contaminated").select(F.col("doc_id").alias("_dirty")).distinct()
+    return docs.join(dirty, key == F.col("_dirty"), "left_anti")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("items", "near_items")
 
