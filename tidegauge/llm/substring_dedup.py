@@ -9,8 +9,9 @@ words) in it. Neighbouring windows filed under the same hash form a snippet, and
 that share a window share its shard. Shards of one document, and shards in which all snippets are
 equal, need no search. In the others a suffix automaton is built of the snippets in doc_id order:
 each snippet is streamed through it for matching statistics, the windows matched by earlier ones
-are noted, and only the rest is added. Shards of more than `max_snippets` different snippets (a
-short common line in ever new surroundings) are settled by their whole windows' hashes instead.
+are noted, and only the rest is added. Shards of more than `max_snippets` different snippets or of too many
+words (a short common line in ever new surroundings) are cut into finer ones by longer anchors, at
+last by the whole window, where equal content decides.
 
 `remove_known` is the plain form for a reference of bounded size: its automata are broadcast.
 
@@ -35,6 +36,7 @@ from .words import MIX, WordHasher, grams, mix
 
 WINDOW, ANCHOR = 50, 8
 MAX_SNIPPETS = 256
+MAX_SHARD_BYTES = 400_000  # eight a word; bounds an automaton
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 BLANKS = bytes(0x20 if c == 0x20 or 9 <= c <= 13 else c for c in range(256))
 
@@ -224,24 +226,53 @@ def search_shards(tokens: DataFrame, window: int) -> DataFrame:
     return dealt.select("shard", "content", "doc_id", "tokens").mapInArrow(run, "shard long, content long, s int, e int")
 
 
-def settle_windows(tokens: DataFrame, window: int) -> DataFrame:
-    """The same for crowded shards: each window's hash with the least doc_id that has it."""
+def refile(rows: DataFrame, window: int, anchor: int) -> DataFrame:
+    """rows (shard, content, doc_id, tokens) cut anew by longer anchors: shard, content, doc_id, off
+    (first window), count, and sub, sub_content, sub_tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["shard", "content", "doc_id", "off", "count", "sub", "sub_content", "sub_tokens"]
         for b in batches:
-            for sh, ct, doc_id, tok in zip(*(b.column(c).to_pylist() for c in range(4))):
-                h = np.frombuffer(tok, np.uint64)
-                s = np.arange(len(h) - window + 1)
-                n = len(s)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([sh] * n, pa.int64()), pa.array([ct] * n, pa.int64()), pa.array([doc_id] * n, pa.int64()), pa.array(s, pa.int32()), pa.array(content(h, s, s + window).view(np.int64))],
-                    names=["shard", "content", "doc_id", "s", "whole"],
-                )
-
-    each = tokens.select("shard", "content", "doc_id", "tokens").mapInArrow(run, "shard long, content long, doc_id long, s int, whole long")
-    least = each.groupBy("whole").agg(F.min("doc_id").alias("least"))
-    found = each.join(least, "whole").where(F.col("least") < F.col("doc_id"))
-    return found.select("shard", "content", "s", (F.col("s") + 1).alias("e"))
+            pieces, cols, tokens = [], [[], [], [], []], []
+            for tok in b.column(3):
+                h = np.frombuffer(tok.as_py(), np.uint64)
+                sub, content_of, first, count = snippets_of(h, window, anchor)
+                pieces.append(len(sub))
+                for c, x in zip(cols, (first, count, sub, content_of)):
+                    c.append(x)
+                tokens += [h[f : f + n + window - 1].tobytes() for f, n in zip(first.tolist(), count.tolist())]
+            if tokens:
+                at = pa.array(np.repeat(np.arange(b.num_rows), pieces))
+                off, count, sub, content_of = (np.concatenate(c) for c in cols)
+                arrays = [*(b.column(c).take(at) for c in range(3)), pa.array(off.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(sub), pa.array(content_of), pa.array(tokens, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return rows.select("shard", "content", "doc_id", "tokens").mapInArrow(run, "shard long, content long, doc_id long, off int, count int, sub long, sub_content long, sub_tokens binary")
+
+
+def settle(rows: DataFrame, window: int, anchors: tuple[int, ...], max_snippets: int) -> DataFrame:
+    """rows (shard, content, doc_id, tokens), one per different snippet and with its least doc_id ->
+    (shard, content, s, e): the windows [s, e) that a row of a smaller doc_id holds. Crowded shards
+    are cut by the first of anchors; the last anchor is the window itself, where all is settled by
+    equality."""
+    size = F.sum(F.octet_length("tokens"))
+    crowds = rows.groupBy("shard").agg((F.count(F.lit(1)) > max_snippets).alias("many"), (size > MAX_SHARD_BYTES).alias("long"))
+    sized = rows.join(crowds.select("shard", (F.col("many") | F.col("long")).alias("crowded")), "shard")
+    searched = search_shards(sized.where(~F.col("crowded")), window)
+    sub = materialize(refile(sized.where("crowded"), window, anchors[0]), "refiled")
+    shared = sub.groupBy("sub").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("sub")
+    sub = sub.join(shared, "sub")
+    owners = sub.groupBy("sub", "sub_content").agg(F.min("doc_id").alias("owner"))
+    placed = sub.drop("sub_tokens").join(owners, ["sub", "sub_content"])
+    found = placed.where(F.col("doc_id") > F.col("owner")).select("shard", "content", F.col("off").alias("s"), (F.col("off") + F.col("count")).alias("e"))
+    if len(anchors) > 1:
+        firsts = sub.groupBy("sub", "sub_content").agg(F.min("doc_id").alias("doc_id"), F.first("sub_tokens").alias("tokens"))
+        several = firsts.groupBy("sub").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sub")
+        firsts = materialize(firsts.join(several, "sub").select(F.col("sub").alias("shard"), F.col("sub_content").alias("content"), "doc_id", "tokens"), "firsts")
+        inner = settle(firsts, window, anchors[1:], max_snippets).select(F.col("shard").alias("sub"), F.col("content").alias("sub_content"), "s", "e")
+        own = placed.where(F.col("doc_id") == F.col("owner")).join(inner, ["sub", "sub_content"])
+        found = found.union(own.select("shard", "content", (F.col("off") + F.col("s")).alias("s"), (F.col("off") + F.col("e")).alias("e")))
+    return materialize(searched.union(found), "settled")
 
 
 def repeated_intervals(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, max_snippets: int = MAX_SNIPPETS) -> DataFrame:
@@ -253,10 +284,7 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, anchor: int = ANCH
     crowd = per_content.groupBy("shard").agg(F.count(F.lit(1)).alias("contents"))
     firsts = materialize(per_content.join(crowd, "shard").select("shard", "content", "first.*", "contents"), "firsts")
     tokens = materialize(snippet_words(docs, firsts.where("contents > 1").select("shard", "content", "doc_id", "th", "start", "count"), window), "tokens")
-    sized = tokens.join(crowd_of(firsts), ["shard", "content"])
-    searched = search_shards(sized.where(F.col("contents") <= max_snippets), window)
-    settled = settle_windows(sized.where(F.col("contents") > max_snippets), window)
-    early = materialize(searched.union(settled), "early")
+    early = settle(tokens, window, (max(anchor, window * 2 // 3), window), max_snippets)
 
     owners = firsts.select("shard", "content", F.col("doc_id").alias("owner"))
     placed = shared.join(owners, ["shard", "content"])
@@ -266,10 +294,6 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, anchor: int = ANCH
     return later.union(own)
 
 
-def crowd_of(firsts: DataFrame) -> DataFrame:
-    return firsts.select("shard", "content", "contents")
-
-
 def _cut(text: str | None, intervals: list[dict] | None) -> tuple[int, list[bytes]]:
     w = word_list(text)
     if not intervals:

@@ -17,7 +17,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHasher:
     """64-bit hashes of words, remembered up to `limit` of them."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         self.seen: dict = {}
         self.limit = limit
 
