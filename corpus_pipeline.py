@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm import decontaminate as decontamination
 from tidegauge.llm import langid, near_dedup, packing, secrets
-from tidegauge.llm.common import materialize, read_table
+from tidegauge.llm.common import materialize, read_table, small_batches
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is one of the learned ones stay."""
+    small_batches(spark)
     return langid.keep_known(docs, langid.train(langid.train_split(docs)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays: the one with the least doc_id."""
+    small_batches(spark)
     return near_dedup.keep_one(docs)
 
 
@@ -28,12 +30,14 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked; every document stays."""
+    small_batches(spark)
     return secrets.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 

@@ -204,17 +204,18 @@ def identify(docs: DataFrame, model: dict, penalty: float = 20.0) -> DataFrame:
 def keep_known(docs: DataFrame, model: dict, penalty: float = 20.0, min_score: float = 0.3) -> DataFrame:
     """The rows of docs whose language is found with min_score at least; columns stay."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].cast("string").alias("text"))
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))  # the text travels once
+    place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
-            for text in b.column(1):
+            for text in b.column(0).flatten()[place]:
                 lang, score, _ = label(text.as_py(), shared.value, penalty)
                 keep.append(lang != "und" and score >= min_score)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_()))], names=["row"])
 
-    done = packed.mapInArrow(run, packed.select("row").schema)
+    done = packed.mapInArrow(run, packed.schema)
     return done.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
