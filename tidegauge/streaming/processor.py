@@ -15,9 +15,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..constants import CONFIDENCE_WEIGHTS, METRICS, OTHER_WEIGHT, PRIORITY_WEIGHTS, strategy_of
+from ..constants import CONFIDENCE_WEIGHTS, METRICS, OTHER_WEIGHT, PRIORITY_WEIGHTS, PRIORS, strategy_of
 from ..functions.normalize import fingerprint
 from ..operators.detect import Recursion
 
@@ -40,20 +40,14 @@ def fold(cell: dict | None, value: float, micros: int, source: str, strategy: st
     return cell if strategy == "source_priority" and weight < had else new
 
 
-class SensorProcessor(StatefulProcessor):
-    def __init__(self, strategy: str = "source_priority", remember_ms: int = 7 * 24 * 3600 * 1000):
-        self.strategy = strategy_of(strategy)
-        self.remember_ms = remember_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "fp string", "at bigint", ttlDurationMs=self.remember_ms)
-        self.memory = handle.getValueState("memory", "body string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        from ..constants import PRIORS
+def sensor_decisions(strategy: str, remember_ms: int):
+    """The function over one sensor's rows of a micro-batch and its state (a JSON body)."""
 
+    def run(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        kept = json.loads(self.memory.get()[0]) if self.memory.exists() else {"cells": {}, "latest": None, "version": 0, "before": None, "sums": None, "order": []}
+        kept = json.loads(state.get[0]) if state.exists else {"seen": {}, "cells": {}, "latest": None, "version": 0, "before": None, "sums": None}
+        now = state.getCurrentProcessingTimeMs()
+        seen = {f: at for f, at in kept["seen"].items() if now - at <= remember_ms}
         detector = Recursion()
         if kept["before"]:
             detector.before = (kept["before"][0], kept["before"][1])
@@ -61,35 +55,34 @@ class SensorProcessor(StatefulProcessor):
             detector.sums = kept["sums"]
         out = []
         for r in batch.itertuples(index=False):
-            if self.seen.containsKey((r.fingerprint,)):
+            if r.fingerprint in seen:
                 out.append((key[0], r.seq, r.event_ts, r.source, "DUPLICATE_SKIPPED", False, None, kept["version"], json.dumps({m: c["value"] for m, c in kept["cells"].items()})))
                 continue
-            self.seen.updateValue((r.fingerprint,), (int(r.seq),))
+            seen[r.fingerprint] = now
             late = kept["latest"] is not None and r.micros < kept["latest"]
-            kept["latest"] = max(r.micros, kept["latest"]) if kept["latest"] is not None else int(r.micros)
+            kept["latest"] = max(int(r.micros), kept["latest"]) if kept["latest"] is not None else int(r.micros)
             kept["version"] += 1
             for m, c in VALUE.items():
                 v = getattr(r, c)
                 if not pd.isna(v):
-                    kept["cells"][m] = fold(kept["cells"].get(m), float(v), int(r.micros), r.source, self.strategy)
+                    kept["cells"][m] = fold(kept["cells"].get(m), float(v), int(r.micros), r.source, strategy)
             values = [kept["cells"][m]["value"] if m in kept["cells"] else None for m in METRICS]
             bounded = all(v is None or PRIORS[m][2] <= v <= PRIORS[m][3] for m, v in zip(METRICS, values))
             finding, *_, drift, _ = detector.step(int(r.micros), values, bounded)
             name = "bounds" if finding is None else "drift" if finding == "retained" and drift else finding
             out.append((key[0], r.seq, r.event_ts, r.source, "OUT_OF_ORDER_RECONSTRUCTED" if late else "PROCESSED", bool(late), name, kept["version"], json.dumps({m: c["value"] for m, c in kept["cells"].items()})))
-        kept["before"] = list(detector.before) if detector.before else None
-        kept["sums"] = detector.sums
-        self.memory.update((json.dumps(kept, default=int),))
+        kept |= {"seen": seen, "before": list(detector.before) if detector.before else None, "sums": detector.sums}
+        state.update((json.dumps(kept, default=int),))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
-    def close(self) -> None:
-        pass
+    return run
 
 
 def decisions(events: DataFrame, strategy: str = "source_priority", remember_ms: int = 7 * 24 * 3600 * 1000) -> DataFrame:
-    """A streaming telemetry frame -> one decision per event. Needs the RocksDB state store provider."""
+    """A streaming telemetry frame -> one decision per event. Fingerprints are remembered for
+    `remember_ms` of processing time."""
     rows = events.select("sensor_id", F.col("seq").cast("bigint").alias("seq"), "event_ts", "source", F.unix_micros("event_ts").alias("micros"), fingerprint().alias("fingerprint"), *[F.col("readings")[m].alias(c) for m, c in VALUE.items()])
-    return rows.groupBy("sensor_id").transformWithStateInPandas(statefulProcessor=SensorProcessor(strategy, remember_ms), outputStructType=OUTPUT, outputMode="Update", timeMode="ProcessingTime")
+    return rows.groupBy("sensor_id").applyInPandasWithState(sensor_decisions(strategy_of(strategy), remember_ms), outputStructType=OUTPUT, stateStructType="body string", outputMode="update", timeoutConf=GroupStateTimeout.NoTimeout)
 
 
 def unique_within(events: DataFrame, delay: str = "1 day") -> DataFrame:
