@@ -174,9 +174,9 @@ def extract(root: Element, templates: dict[int, bool]) -> str:
         line.clear()
 
     marked = any_article(root)
-    work: list = [(root, False)]
+    work: list = [(root, False, False)]
     while work:
-        item, inside = work.pop()
+        item, inside, running = work.pop()
         if item is None:
             end_block()
         elif type(item) is str:
@@ -185,20 +185,27 @@ def extract(root: Element, templates: dict[int, bool]) -> str:
         elif item.tag == "br":
             line.append(" ")
         else:
-            if is_dropped(item, inside) or item.hash in templates and not item.core and (templates[item.hash] or not marked):
-                if item.tag in BLOCK:
+            block = item.tag in BLOCK
+            recurs = item.hash in templates and not item.core and (templates[item.hash] or not marked)
+            if is_dropped(item, inside) or recurs and (block or not running):
+                if block:
                     end_block()
                 continue
             inner = inside or item.tag in ("article", "main")
-            block = item.tag in BLOCK
             if block:
                 end_block()
-                work.append((None, False))
-            work += [(c, inner) for c in reversed(item.children)]
+                work.append((None, False, False))
+                running = has_own_text(item, templates)
+            work += [(c, inner, running) for c in reversed(item.children)]
     end_block()
     return "\n".join(blocks)
 
 
+def has_own_text(block: Element, templates: dict[int, bool]) -> bool:
+    """Whether a block has running text that is in no recurring element."""
+    return any(bool(c.strip()) if type(c) is str else c.hash and c.tag not in BLOCK and c.hash not in templates for c in block.children)
+
+
 def any_article(root: Element) -> bool:
     """Whether an article or main element is left when what is dropped is gone."""
     work = [root]
