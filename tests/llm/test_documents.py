@@ -352,3 +352,23 @@ def test_learning_step_follows_the_gradient():
     for _ in range(20):
         net.learn(ids, at)
     assert net.log_probs(ids, at).sum() > first + 100
+
+
+def test_vocabulary_grows_and_rare_tokens_share_no_frequent_number(spark):
+    words = [f"v{i}" for i in range(3000)]
+    rows = [(d, " ".join(words[d * 300 : d * 300 + 300] * (1 + d)) + ", end.") for d in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    whole = pseudo_likelihood.build_vocabulary(docs)
+    assert len(set(whole.known.values())) == 3003 and (whole.sizes == 1).all() and whole.counts.sum() == sum(300 * (1 + d) + 3 for d in range(10))
+    part = pseudo_likelihood.build_vocabulary(docs, least=1000)
+    number = {w: part.number(pseudo_likelihood.token_hash(w)) for w in [*words, ",", "end", "."]}
+    shared = Counter(number.values())
+    assert 600 <= len(part.known) <= 1000 and {shared[number[w]] for w in words[2700:]} == {1}
+    assert all(part.sizes[k] == n for k, n in shared.items()) and part.sizes.max() > 1
+    encoded = pseudo_likelihood.encode(docs, part)
+    assert [r.n for r in encoded.orderBy("doc_id").collect()] == [300 * (1 + d) + 3 for d in range(10)]
+    flat = pseudo_likelihood.pack(pseudo_likelihood.start_model(side=part.side, counts=part.counts))
+    with_sizes, without = ({r.doc_id: r.log_likelihood for r in pseudo_likelihood.score(encoded, flat, v).collect()} for v in (part, None))
+    want = sum(np.log(part.sizes[number[w]]) for w in words[:300])
+    assert abs(without[0] - with_sizes[0] - want) < 1e-6 * want and abs(without[9] - with_sizes[9]) < 1e-6
+    assert pseudo_likelihood.pseudo_likelihood(docs).count() == 10

@@ -5,12 +5,17 @@ neighbours left and right, each weighted by place, are summed, passed through a
 softmax layers give the token's class and the token within the class. A document's score is the sum
 over its tokens of log P(token | both sides).
 
-Tokens are words with their punctuation, hashed to classes x classes numbers, so the vocabulary is as large
-for any corpus. All documents are used for training: encoded once, they are dealt by hash to shards
-of about `shard_tokens` tokens; a task trains the common start on one shard at a time with numpy
-(Adagrad, one pass), and the shards' parameters are averaged by tokens in two levels. The number of
-shards, and so what is gathered, grows with the corpus; the model that reaches the driver and is
-broadcast has the same size always.
+Tokens are words and punctuation. Their vocabulary comes from the counts over all documents and grows
+with the corpus: the most frequent ones, up to twice the root of the number of tokens and never under
+4096 if there are so many, have a number of their own; the others, all less frequent, are spread by hash
+over further numbers, and the probability of such a number is divided by its different tokens, so that no
+rare token gets the probability of a frequent one. The start has the logs of the counts as biases.
+
+All documents are used for training: encoded once, they are dealt by hash to shards of about
+`shard_tokens` tokens (64 for each number of the vocabulary at least); a task trains the common start on
+one shard at a time with numpy (Adagrad, one pass), and the shards' parameters are averaged by tokens in
+two levels. The number of shards, and so what is gathered, grows with the corpus; the model that reaches
+the driver and is broadcast grows with the vocabulary, the root of the corpus.
 
 Edge cases: a null or empty text has no tokens, a sum of 0 and a null mean; repeated rows have equal
 results and count as often as they occur; very long texts are scored in slices whose windows reach
@@ -19,35 +24,112 @@ over the cuts; an empty table gives no rows (an untrained model); other columns
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, read_table
-from .words import WordHasher
 
-CLASSES, DIM, RADIUS = 32, 16, 2
-VOCAB = CLASSES * CLASSES
-PAD = VOCAB  # beside and between documents
+TOKEN = re.compile(r"\w+|[^\w\s]")
+CLASSES, DIM, RADIUS = 32, 16, 2  # classes where no vocabulary is given
+PAD = CLASSES * CLASSES  # beside and between documents: the number after the last
+LEAST_VOCAB = 4096
 BLOCK = 8192  # parameters a row when models are averaged
 SLICE = 32_768
 
 
-def start_model(seed: int = 5) -> dict[str, np.ndarray]:
+@dataclass
+class Vocabulary:
+    side: int  # numbers: side x side
+    known: dict[int, int]  # hash -> number
+    counts: np.ndarray  # tokens of each number
+    sizes: np.ndarray  # different tokens of each number
+
+    def number(self, h: int) -> int:
+        own = self.known.get(h)
+        spare = self.side * self.side - len(self.known)
+        return own if own is not None else len(self.known) + h % spare if spare else h % len(self.known)
+
+
+def token_hash(token: str) -> int:
+    """Signed, as Spark's long."""
+    h = xxhash.xxh3_64_intdigest(token)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def tokens(text: str | None) -> list[str]:
+    return TOKEN.findall(text) if text else []
+
+
+def count_tokens(docs: DataFrame) -> DataFrame:
+    """h (hash of a token), n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush():
+            batch = pa.RecordBatch.from_arrays([pa.array([token_hash(t) for t in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["h", "n"])
+            seen.clear()
+            return batch
+
+        seen: Counter = Counter()
+        for b in batches:
+            for t in b.column(0):
+                seen.update(tokens(t.as_py()))
+                if len(seen) > 200_000:
+                    yield flush()
+        if seen:
+            yield flush()
+
+    return docs.select(docs["text"].cast("string")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def build_vocabulary(docs: DataFrame, least: int = LEAST_VOCAB) -> Vocabulary:
+    """Of counts over all documents; what reaches the driver is as long as the vocabulary."""
+    counted = materialize(count_tokens(docs).withColumn("band", F.floor(F.log2("n") * 8)), "counts")
+    bands = sorted(counted.groupBy("band").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).collect(), reverse=True)
+    limit = max(least, 2 * math.isqrt(sum(b["n"] for b in bands)))
+    from_band, have = None, 0
+    for b in bands:
+        if have + b["words"] > limit:
+            break
+        from_band, have = b["band"], have + b["words"]
+    rare = have < sum(b["words"] for b in bands)
+    side = max(2, math.isqrt(max(have + (limit // 4 if rare else 0) - 1, 0)) + 1)
+    top = F.lit(False) if from_band is None else F.col("band") >= from_band
+    own = sorted(((r["n"], r["h"]) for r in counted.where(top).collect()), key=lambda x: (-x[0], x[1]))
+    counts, sizes = np.zeros(side * side), np.ones(side * side)
+    counts[:have] = [n for n, _ in own]
+    if rare:
+        spread = counted.where(~top).groupBy(F.pmod("h", F.lit(side * side - have)).alias("k")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words"))
+        for r in spread.collect():
+            counts[have + r["k"]], sizes[have + r["k"]] = r["n"], r["words"]
+    return Vocabulary(side, {h: k for k, (_, h) in enumerate(own)}, counts, sizes)
+
+
+def id_type(side: int) -> type:
+    return np.uint16 if side * side < 1 << 16 else np.uint32
+
+
+def start_model(seed: int = 5, side: int = CLASSES, counts: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    by_class = (np.ones(side * side) if counts is None else counts + 0.5).reshape(side, side)
     rng = np.random.default_rng(seed)
     small = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
     return {
-        "embed": small(VOCAB + 1, DIM),
+        "embed": small(side * side + 1, DIM),
         "place": np.ones((2 * RADIUS, DIM), np.float32),
         "hidden": (np.eye(DIM) + small(DIM, DIM)).astype(np.float32),
         "hidden_bias": np.zeros(DIM, np.float32),
-        "classes": small(DIM, CLASSES),
-        "class_bias": np.zeros(CLASSES, np.float32),
-        "words": small(CLASSES, DIM, CLASSES),
-        "word_bias": np.zeros((CLASSES, CLASSES), np.float32),
+        "classes": small(DIM, side),
+        "class_bias": np.log(by_class.sum(axis=1) / by_class.sum()).astype(np.float32),
+        "words": small(side, DIM, side),
+        "word_bias": np.log(by_class / by_class.sum(axis=1, keepdims=True)).astype(np.float32),
     }
 
 
@@ -55,9 +137,15 @@ def pack(model: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([x.ravel() for x in model.values()])
 
 
+def side_of(flat: np.ndarray) -> int:
+    """Of size = (2 * DIM + 1) * side^2 + (DIM + 1) * side + what all models have."""
+    a, b, c = 2 * DIM + 1, DIM + 1, DIM * (2 * RADIUS + DIM + 2)
+    return (math.isqrt(b * b + 4 * a * (flat.size - c)) - b) // (2 * a)
+
+
 def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for name, like in start_model().items():
+    for name, like in start_model(side=side_of(flat)).items():
         out[name] = flat[at : at + like.size].reshape(like.shape).astype(np.float32)
         at += like.size
     return out
@@ -83,6 +171,7 @@ class Network:
     def __init__(self, model: dict[str, np.ndarray], rate: float = 0.15):
         self.m = model
         self.rate = rate
+        self.side = len(model["class_bias"])
         self.sums = {k: np.full_like(v, 1e-2) for k, v in model.items()} if rate else {}
 
     def _forward(self, ids: np.ndarray, at: np.ndarray):
@@ -97,11 +186,11 @@ class Network:
         h += m["hidden_bias"]
         np.tanh(h, out=h)
         target = ids[at]
-        cls, word = target // CLASSES, target % CLASSES
+        cls, word = target // self.side, target % self.side
         pc = h @ m["classes"]
         pc += m["class_bias"]
-        order = np.argsort(cls.astype(np.uint8), kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        order = np.argsort(cls.astype(np.uint16), kind="stable")
+        bounds = np.searchsorted(cls[order], np.arange(self.side + 1))
         return near, rows, context, h, cls, word, pc, order, bounds
 
     def log_probs(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -109,7 +198,7 @@ class Network:
         m = self.m
         _, _, _, h, cls, word, pc, order, bounds = self._forward(ids, at)
         out = log_softmax_at(pc, cls)
-        for c in range(CLASSES):
+        for c in range(self.side):
             own = order[bounds[c] : bounds[c + 1]]
             if len(own):
                 out[own] += log_softmax_at(h[own] @ m["words"][c] + m["word_bias"][c], word[own])
@@ -127,7 +216,7 @@ class Network:
         pc[np.arange(n), cls] -= 1
         pc /= n
         dh = pc @ m["classes"].T
-        for c in range(CLASSES):
+        for c in range(self.side):
             own = order[bounds[c] : bounds[c + 1]]
             if len(own):
                 p = softmax(h[own] @ m["words"][c] + m["word_bias"][c])
@@ -143,55 +232,73 @@ class Network:
         self._step("hidden", context.T @ du)
         self._step("hidden_bias", du.sum(axis=0))
         grad = np.zeros_like(m["embed"])
+        kind = np.uint16 if len(grad) <= 1 << 16 else np.uint32
+        touched = np.zeros(len(grad), bool)
         for r, w, x in zip(rows, m["place"], near):
-            by = np.argsort(x.astype(np.uint16), kind="stable")
+            by = np.argsort(x.astype(kind), kind="stable")
             ranked = x[by]
             first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+            touched[ranked[first]] = True
             grad[ranked[first]] += np.add.reduceat(dcontext[by], first, axis=0) * w
         self._step("place", np.stack([(r * dcontext).sum(axis=0) for r in rows]))
-        self._step("embed", grad)
+        touched = np.flatnonzero(touched)
+        self._step("embed", grad[touched], touched)
 
 
-def encode(docs: DataFrame) -> DataFrame:
-    """doc_id, ids (binary, unsigned 16 bit), n."""
+def encode(docs: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
+    """doc_id, ids (binary, unsigned 16 bit, or 32 for a vocabulary of more numbers), n. Without a
+    vocabulary all tokens are spread by hash over CLASSES x CLASSES numbers."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary or Vocabulary(CLASSES, {}, np.ones(PAD), np.ones(PAD)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
+        known = shared.value
+        kind = id_type(known.side)
+        seen: dict[str, int] = {}
         for b in batches:
-            ids = [(hasher((t.as_py() or "").split()) % np.uint64(VOCAB)).astype(np.uint16) for t in b.column(1)]
+            ids = []
+            for t in b.column(1):
+                found = tokens(t.as_py())
+                if len(seen) > 200_000:
+                    seen.clear()
+                for w in set(found).difference(seen):
+                    seen[w] = known.number(token_hash(w))
+                ids.append(np.fromiter(map(seen.__getitem__, found), kind, len(found)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64())], names=["doc_id", "ids", "n"])
 
     return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, "doc_id long, ids binary, n long")
 
 
-def joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def joined(parts: list[np.ndarray], end: int = PAD) -> tuple[np.ndarray, np.ndarray]:
     """Documents in a row with pads between, and the places of their tokens."""
-    pad = np.full(RADIUS, PAD, dtype=np.int32)
+    pad = np.full(RADIUS, end, dtype=np.int32)
     row = [pad]
     for p in parts:
         row += [p.astype(np.int32), pad]
     ids = np.concatenate(row)
-    return ids, np.flatnonzero(ids != PAD)
+    return ids, np.flatnonzero(ids != end)
 
 
-def train(encoded: DataFrame, shard_tokens: int = 2_000_000, batch: int = 8192, seed: int = 5) -> np.ndarray:
+def train(encoded: DataFrame, shard_tokens: int = 2_000_000, batch: int = 8192, seed: int = 5, vocabulary: Vocabulary | None = None) -> np.ndarray:
     """The averaged parameters of all shards' networks."""
+    side, counts = (vocabulary.side, vocabulary.counts) if vocabulary else (CLASSES, None)
     total = encoded.agg(F.sum("n")).first()[0] or 0
     if not total:
-        return pack(start_model(seed))
-    shards = -(-total // shard_tokens)
+        return pack(start_model(seed, side, counts))
+    shards = -(-total // max(shard_tokens, 64 * side * side if vocabulary else 0))
+    slots = math.isqrt(shards) + 1
+    shared = encoded.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def finish():
-            ids, at = joined(parts)
-            at = np.random.default_rng(shard).permutation(at)
-            net = Network(start_model(seed))
+            ids, at = joined(parts, side * side)
+            at = np.random.default_rng(shard).permutation(at.astype(np.int32))
+            net = Network(start_model(seed, side, shared.value))
             for k in range(0, len(at), batch):
                 net.learn(ids, at[k : k + batch])
             flat = pack(net.m)
             n = -(-len(flat) // BLOCK)
-            values = [flat[k * BLOCK : (k + 1) * BLOCK].astype(np.float64) * len(at) for k in range(n)]
-            return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([shard % 64] * n, pa.int32()), pa.array([float(len(at))] * n), pa.array([v.tobytes() for v in values], pa.binary())], names=["block", "slot", "weight", "total"])
+            values = [flat[k * BLOCK : (k + 1) * BLOCK] for k in range(n)]
+            return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([shard % slots] * n, pa.int32()), pa.array([float(len(at))] * n), pa.array([v.tobytes() for v in values], pa.binary())], names=["block", "slot", "weight", "values"])
 
         shard, parts = None, []
         for b in batches:
@@ -200,40 +307,47 @@ def train(encoded: DataFrame, shard_tokens: int = 2_000_000, batch: int = 8192,
                     yield finish()
                     parts = []
                 shard = s
-                parts.append(np.frombuffer(ids.as_py(), np.uint16))
+                parts.append(np.frombuffer(ids.as_py(), id_type(side)))
         if parts:
             yield finish()
 
-    def add_up(keys: int):
-        def run_sum(table: pa.Table) -> pa.Table:
-            total = np.sum([np.frombuffer(x.as_py(), np.float64) for x in table.column("total")], axis=0)
-            return pa.table({"block": pa.array(table.column("block").to_pylist()[:1], pa.int32()), "weight": [float(sum(table.column("weight").to_pylist()))], "total": pa.array([total.tobytes()], pa.binary())})
+    def weigh(table: pa.Table) -> pa.Table:
+        pairs = zip(table.column("weight").to_pylist(), table.column("values"))
+        total = sum(w * np.frombuffer(x.as_py(), np.float32).astype(np.float64) for w, x in pairs)
+        return summed_row(table, total)
+
+    def add_up(table: pa.Table) -> pa.Table:
+        return summed_row(table, sum(np.frombuffer(x.as_py(), np.float64) for x in table.column("total")))
 
-        return run_sum
+    def summed_row(table: pa.Table, total: np.ndarray) -> pa.Table:
+        return pa.table({"block": pa.array(table.column("block").to_pylist()[:1], pa.int32()), "weight": [float(sum(table.column("weight").to_pylist()))], "total": pa.array([total.tobytes()], pa.binary())})
 
     dealt = encoded.where("n > 0").select(F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shards)).alias("shard"), "ids").repartition(int(shards), "shard").sortWithinPartitions("shard", "ids")
-    models = dealt.mapInArrow(run, "block int, slot int, weight double, total binary")
+    models = dealt.mapInArrow(run, "block int, slot int, weight double, values binary")
     out = "block int, weight double, total binary"
     # Two levels, so that no task holds the parameters of all shards.
-    summed = models.groupBy("block", "slot").applyInArrow(add_up(2), out).groupBy("block").applyInArrow(add_up(1), out)
+    summed = models.groupBy("block", "slot").applyInArrow(weigh, out).groupBy("block").applyInArrow(add_up, out)
     rows = sorted(summed.collect(), key=lambda r: r["block"])  # as many as the model has blocks
     return np.concatenate([np.frombuffer(r["total"], np.float64) / r["weight"] for r in rows])
 
 
-def score(encoded: DataFrame, parameters: np.ndarray) -> DataFrame:
+def score(encoded: DataFrame, parameters: np.ndarray, vocabulary: Vocabulary | None = None) -> DataFrame:
     """doc_id, n_tokens, log_likelihood (sum), mean_log_likelihood."""
-    shared = encoded.sparkSession.sparkContext.broadcast(parameters.astype(np.float32))
+    shared = encoded.sparkSession.sparkContext.broadcast((parameters.astype(np.float32), np.log(vocabulary.sizes) if vocabulary else None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network(unpack(shared.value), rate=0)
+        flat, spread = shared.value
+        net = Network(unpack(flat), rate=0)
         for b in batches:
             sums = np.zeros(b.num_rows)
             lengths = np.array(b.column(2).to_pylist(), dtype=np.int64)
             at_doc = 0
             while at_doc < b.num_rows:  # some documents at a time
                 stop = at_doc + max(1, int(np.searchsorted(np.cumsum(lengths[at_doc:]), 8 * SLICE)))
-                ids, at = joined([np.frombuffer(b.column(1)[k].as_py(), np.uint16) for k in range(at_doc, min(stop, b.num_rows))])
+                ids, at = joined([np.frombuffer(b.column(1)[k].as_py(), id_type(net.side)) for k in range(at_doc, min(stop, b.num_rows))], net.side * net.side)
                 logs = np.concatenate([net.log_probs(ids, at[k : k + SLICE]) for k in range(0, len(at), SLICE)] or [np.zeros(0)])
+                if spread is not None:
+                    logs = logs - spread[ids[at]]
                 own = np.repeat(np.arange(at_doc, min(stop, b.num_rows)), lengths[at_doc : min(stop, b.num_rows)])
                 sums += np.bincount(own, weights=logs, minlength=b.num_rows)
                 at_doc = stop
@@ -244,8 +358,9 @@ def score(encoded: DataFrame, parameters: np.ndarray) -> DataFrame:
 
 
 def pseudo_likelihood(docs: DataFrame, shard_tokens: int = 2_000_000) -> DataFrame:
-    encoded = materialize(encode(docs), "encoded")
-    return score(encoded, train(encoded, shard_tokens))
+    vocabulary = build_vocabulary(docs)
+    encoded = materialize(encode(docs, vocabulary), "encoded")
+    return score(encoded, train(encoded, shard_tokens, vocabulary=vocabulary), vocabulary)
 
 
 def op1_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
