@@ -165,6 +165,16 @@ def test_substring_dedup_planted(spark):
         assert nth(tuple(r) for r in got) == want
 
 
+def test_substring_dedup_constant_runs_in_a_crowded_shard(spark):
+    rows = []
+    for d in range(24):
+        own = [f"d{d}w{i}" for i in range(20)]
+        rows.append((d, " ".join(own[:10] + ["-"] * (56 + (d * 7) % 24) + own[10:])))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = substring_dedup.remove_repeats(df, max_snippets=4).drop("kept").collect()
+    assert nth(tuple(r) for r in got) == nth(plain.repeats(rows))
+
+
 def test_substring_dedup_edges(spark, odd_docs, no_docs):
     got = substring_dedup.remove_repeats(odd_docs).drop("kept").collect()
     assert nth(tuple(r) for r in got) == nth(plain.repeats(pairs(odd_docs)))

@@ -11,7 +11,8 @@ equal, need no search. In the others a suffix automaton is built of the snippets
 each snippet is streamed through it for matching statistics, the windows matched by earlier ones
 are noted, and only the rest is added. Shards of more than `max_snippets` different snippets or of too many
 words (a short common line in ever new surroundings) are cut into finer ones by longer anchors, at
-last by the whole window, where equal content decides.
+last by the whole window, where each piece is one window (or a run of equal ones) and the least doc_id
+that holds it decides.
 
 `remove_known` is the plain form for a reference of bounded size: its automata are broadcast.
 
@@ -253,25 +254,28 @@ def refile(rows: DataFrame, window: int, anchor: int) -> DataFrame:
 def settle(rows: DataFrame, window: int, anchors: tuple[int, ...], max_snippets: int) -> DataFrame:
     """rows (shard, content, doc_id, tokens), one per different snippet and with its least doc_id ->
     (shard, content, s, e): the windows [s, e) that a row of a smaller doc_id holds. Crowded shards
-    are cut by the first of anchors; the last anchor is the window itself, where all is settled by
-    equality."""
+    are cut by the first of anchors; the last anchor is the window itself, where a sub is one window,
+    known to all rows but those of its least doc_id."""
     size = F.sum(F.octet_length("tokens"))
     crowds = rows.groupBy("shard").agg((F.count(F.lit(1)) > max_snippets).alias("many"), (size > MAX_SHARD_BYTES).alias("long"))
     sized = rows.join(crowds.select("shard", (F.col("many") | F.col("long")).alias("crowded")), "shard")
     searched = search_shards(sized.where(~F.col("crowded")), window)
     sub = materialize(refile(sized.where("crowded"), window, anchors[0]), "refiled")
-    shared = sub.groupBy("sub").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("sub")
-    sub = sub.join(shared, "sub")
+    shared = sub.groupBy("sub").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    if len(anchors) == 1:
+        # Runs of one word differ in length, and so in content, but their windows are the same.
+        placed = sub.drop("sub_tokens").join(shared.select("sub", "low"), "sub").where(F.col("doc_id") > F.col("low"))
+        return materialize(searched.union(placed.select("shard", "content", F.col("off").alias("s"), (F.col("off") + F.col("count")).alias("e"))), "settled")
+    sub = sub.join(shared.select("sub"), "sub")
     owners = sub.groupBy("sub", "sub_content").agg(F.min("doc_id").alias("owner"))
     placed = sub.drop("sub_tokens").join(owners, ["sub", "sub_content"])
     found = placed.where(F.col("doc_id") > F.col("owner")).select("shard", "content", F.col("off").alias("s"), (F.col("off") + F.col("count")).alias("e"))
-    if len(anchors) > 1:
-        firsts = sub.groupBy("sub", "sub_content").agg(F.min("doc_id").alias("doc_id"), F.first("sub_tokens").alias("tokens"))
-        several = firsts.groupBy("sub").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sub")
-        firsts = materialize(firsts.join(several, "sub").select(F.col("sub").alias("shard"), F.col("sub_content").alias("content"), "doc_id", "tokens"), "firsts")
-        inner = settle(firsts, window, anchors[1:], max_snippets).select(F.col("shard").alias("sub"), F.col("content").alias("sub_content"), "s", "e")
-        own = placed.where(F.col("doc_id") == F.col("owner")).join(inner, ["sub", "sub_content"])
-        found = found.union(own.select("shard", "content", (F.col("off") + F.col("s")).alias("s"), (F.col("off") + F.col("e")).alias("e")))
+    firsts = sub.groupBy("sub", "sub_content").agg(F.min("doc_id").alias("doc_id"), F.first("sub_tokens").alias("tokens"))
+    several = firsts.groupBy("sub").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sub")
+    firsts = materialize(firsts.join(several, "sub").select(F.col("sub").alias("shard"), F.col("sub_content").alias("content"), "doc_id", "tokens"), "firsts")
+    inner = settle(firsts, window, anchors[1:], max_snippets).select(F.col("shard").alias("sub"), F.col("content").alias("sub_content"), "s", "e")
+    own = placed.where(F.col("doc_id") == F.col("owner")).join(inner, ["sub", "sub_content"])
+    found = found.union(own.select("shard", "content", (F.col("off") + F.col("s")).alias("s"), (F.col("off") + F.col("e")).alias("e")))
     return materialize(searched.union(found), "settled")
 
 
