@@ -326,6 +326,19 @@ def test_license_scan(spark, odd_docs, no_docs):
     assert {r.n_licenses for r in license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string"), []).collect()} == {0}
 
 
+def test_whole_license_texts_wrapped_and_on_one_line(spark):
+    import textwrap
+
+    whole = {n: max((t for k, t in license_scan.TEMPLATES if k == n), key=len) for n in ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC")}
+    rows, want = [], []
+    for name, text in whole.items():
+        for body in (text, textwrap.fill(text, 76), "word " * 1500 + "\n" + textwrap.fill(text, 60) + "\nmore " * 3, "word " * 1500 + text):
+            rows.append((len(rows), "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + body if name == "MIT" else body))
+            want.append([name])
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).orderBy("doc_id").collect()
+    assert [r.licenses for r in got] == want
+
+
 # --- pseudo-likelihood
 
 

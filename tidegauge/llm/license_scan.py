@@ -1,10 +1,14 @@
 """License scan by conditional compression.
 
-Candidate blocks are the sentences and paragraphs of a text that hold a license word. Each is
-compressed alone and with every template of a fitting length as zstandard raw dictionary; the
-templates are ranked by how much smaller the block becomes. The best few are confirmed by exact
-wording: the words that differ from the template are listed, and a match may have `max_differing`
-of the template's words missing or added at most. Among confirmed ones the fewest differences win.
+Candidate blocks are the sentences and paragraphs of a text that hold a license word, and windows: where
+a license word of a template occurs in a text, as many words as the template has, laid so that both meet.
+Sentences and paragraphs are compressed alone and with every template of a fitting length as zstandard
+raw dictionary, and the best few are confirmed by exact wording; a window is confirmed against its own
+template. The words that differ from the template are listed, and a match may have `max_differing` of the
+template's words missing or added at most. Of overlapping ones the one with most words in common stays.
+
+Templates are short notices, whole texts of the short licenses (MIT, ISC, BSD, the Apache header) and the
+titles of the long ones, whose bodies are not compared.
 
 Edge cases: a null or empty text has no blocks; equal ranks go to the template that comes first;
 repeated rows have equal results; very long texts are searched whole; an empty table gives no rows;
@@ -14,6 +18,7 @@ other columns are ignored; without templates nothing is found.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -48,6 +53,17 @@ TEMPLATES = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work (CC0 1.0)."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("proprietary", "All rights reserved."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
 ]
 TRIGGERS = ("licen", "copyright", "permission", "redistribut", "public domain", "rights reserved", "free software", "spdx")
 SENTENCE = re.compile(r"[^\n]+?(?:[.;:!?](?=\s)|\n|\Z)")
@@ -63,6 +79,12 @@ class Matcher:
             data = zstandard.ZstdCompressionDict(text.encode() * 2, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.templates.append((name, len(text), words, zstandard.ZstdCompressor(level=3, dict_data=data, write_content_size=False)))
         self.alone = zstandard.ZstdCompressor(level=3, write_content_size=False)
+        # License words of each template, with the place where they occur first.
+        self.anchors: dict[str, list[tuple[int, int, int]]] = {}
+        for k, (_, text) in enumerate(templates):
+            listed = WORD.findall(text.lower())
+            for word in {w for w in listed if any(t in w for t in TRIGGERS)} or {w for w in listed[:1]}:
+                self.anchors.setdefault(word, []).append((k, listed.index(word), len(listed)))
         self.tries, self.max_differing = tries, max_differing
 
     def best(self, block: str) -> dict | None:
@@ -71,17 +93,42 @@ class Matcher:
         ranked = [(1 - len(c.compress(raw)) / plain, -k) for k, (_, size, _, c) in enumerate(self.templates) if 0.5 * size <= len(block) <= 2 * size]
         words, found = None, None
         for reduction, k in sorted(ranked, reverse=True)[: self.tries]:
-            name, _, wanted, _ = self.templates[-k]
             words = words or Counter(WORD.findall(block.lower()))
-            missing, added = wanted - words, words - wanted
-            differing = missing.total() + added.total()
-            if differing <= self.max_differing * wanted.total() and (found is None or differing < found["differing"]):
-                found = {"license": name, "reduction": reduction, "differing": differing, "missing": sorted(missing.elements()), "added": sorted(added.elements())}
+            match = self.confirm(-k, words, reduction)
+            if match and (found is None or match["differing"] < found["differing"]):
+                found = match
         return found
 
+    def confirm(self, k: int, words: Counter, reduction: float | None = None) -> dict | None:
+        name, _, wanted, _ = self.templates[k]
+        missing, added = wanted - words, words - wanted
+        differing = missing.total() + added.total()
+        if differing <= self.max_differing * wanted.total():
+            return {"license": name, "reduction": reduction, "differing": differing, "common": wanted.total() - differing, "missing": sorted(missing.elements()), "added": sorted(added.elements())}
+        return None
+
+    def windows(self, text: str) -> Iterator[dict]:
+        """Confirmed windows of the templates' lengths around the license words of a text."""
+        at = list(WORD.finditer(text))
+        listed = [m.group().lower() for m in at]
+        tried = set()
+        for i, word in enumerate(listed):
+            for k, place, n in self.anchors.get(word, ()):
+                first = max(0, i - place)
+                if (first, k) in tried:
+                    continue
+                tried.add((first, k))
+                last = min(len(listed), first + n)
+                match = self.confirm(k, Counter(listed[first:last]))
+                if match:
+                    start, end = at[first].start(), at[last - 1].end()
+                    raw = text[start:end].encode()
+                    match["reduction"] = 1 - len(self.templates[k][3].compress(raw)) / len(self.alone.compress(raw))
+                    yield {"start": start, "end": end} | match
+
 
 def scan_text(text: str | None, matcher: Matcher) -> list[dict]:
-    """Confirmed notices of a text in order, none inside another."""
+    """Confirmed notices of a text in order, none overlapping another."""
     low = text.lower() if text else ""
     if not any(t in low for t in TRIGGERS):
         return []
@@ -89,14 +136,18 @@ def scan_text(text: str | None, matcher: Matcher) -> list[dict]:
     for pattern in (PARAGRAPH, SENTENCE):
         for m in pattern.finditer(text):
             block = m.group().strip()
-            if len(block) <= 4000 and any(t in block.lower() for t in TRIGGERS):
+            if any(t in block.lower() for t in TRIGGERS):
                 start = m.start() + len(m.group()) - len(m.group().lstrip())
-                if any(f["start"] <= start and start + len(block) <= f["end"] for f in found):
-                    continue
                 best = matcher.best(block)
                 if best:
                     found.append({"start": start, "end": start + len(block)} | best)
-    return sorted(found, key=lambda f: f["start"])
+    found += matcher.windows(text)
+    kept: list[dict] = []
+    for f in sorted(found, key=lambda f: -f["common"]):
+        at = bisect_left(kept, f["start"], key=lambda x: x["start"])
+        if (at == 0 or kept[at - 1]["end"] <= f["start"]) and (at == len(kept) or f["end"] <= kept[at]["start"]):
+            kept.insert(at, f)
+    return kept
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None) -> DataFrame:
