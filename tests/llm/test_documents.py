@@ -132,6 +132,15 @@ def test_decontaminate_near_and_short(spark):
     assert not got[3].contaminated and got[4]["items"] == ["t"] and got[5].n_words == 0
 
 
+def test_decontaminate_null_item_ids(spark):
+    docs = spark.createDataFrame([(1, "a b q0 q1"), (2, "c d a b"), (3, "x y")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(None, "a b"), ("i", "c d")], "item_id string, text string")
+    for blocks in (2_000_000, 2):
+        got = {r.doc_id: r for r in decontaminate.decontaminate(docs, bench, block_words=blocks).collect()}
+        assert [(got[k].n_hit, got[k]["items"], got[k].contaminated) for k in (1, 2, 3)] == [(2, [], True), (4, ["i"], True), (0, [], False)]
+    assert [r.doc_id for r in decontaminate.keep_clean(docs, bench).collect()] == [3]
+
+
 def test_decontaminate_edges(spark, odd_docs, no_docs, small):
     bench = read_table(spark, small, "benchmark")
     assert decontaminate.decontaminate(odd_docs, bench).count() == 11

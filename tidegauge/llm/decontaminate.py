@@ -11,7 +11,8 @@ without an exact match is a proximity match.
 The test windows are sent in blocks of bounded size, never all at once if they exceed the block.
 
 Edge cases: a null or empty text has no words and no hits; an item without words has no window and
-one of fewer than `width` words is a single window; repeated rows are indexed as rows of their own;
+one of fewer than `width` words is a single window; the words of an item with a null item_id count as hit
+and contaminate, but add no item; repeated rows are indexed as rows of their own;
 a document longer than a segment gets a segment to itself; empty tables give no rows or no hits;
 other columns are ignored.
 """
@@ -88,9 +89,11 @@ def windows_of(items: list[tuple], width: int) -> tuple[list[tuple[bytes, ...]],
     found: dict[tuple[bytes, ...], dict[str, None]] = {}
     for item_id, text in items:
         w = words(text)
-        if w and item_id is not None:
+        if w:
             for k in range(max(1, len(w) - width + 1)):
-                found.setdefault(tuple(w[k : k + width]), {})[str(item_id)] = None
+                owners = found.setdefault(tuple(w[k : k + width]), {})
+                if item_id is not None:
+                    owners[str(item_id)] = None
     return list(found), [list(x) for x in found.values()]
 
 
