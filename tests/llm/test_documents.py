@@ -223,6 +223,11 @@ def test_viterbi_equals_enumeration():
         assert tuple(langid.viterbi(s, 2.0)) == best
 
 
+def test_viterbi_two_halves_against_a_third_label():
+    s = np.array([[0, -10, -0.6]] * 3 + [[-10, 0, -0.6]] * 3)
+    assert langid.viterbi(s, 2.0).tolist() == [0, 0, 0, 1, 1, 1]
+
+
 def test_language_edges(spark, odd_docs, no_docs):
     model = langid.train(odd_docs)
     got = {r.doc_id: r for r in langid.identify(odd_docs, model).collect()}

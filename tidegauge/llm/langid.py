@@ -141,8 +141,8 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     sums = np.cumsum(scores.astype(np.float64), axis=0)
     best = int(np.argmax(sums[-1]))
     gain = np.concatenate([np.zeros((1, scores.shape[1])), sums - sums[:, [best]]])
-    # No stretch in another language gains what even one switch costs: one label for all.
-    if (gain - np.minimum.accumulate(gain, axis=0)).max() <= penalty:
+    # m switches make m + 1 stretches at most: if none gains over half the penalty, one label for all.
+    if (gain - np.minimum.accumulate(gain, axis=0)).max() <= penalty / 2:
         return np.full(len(scores), best)
     n, k = scores.shape
     back = np.empty((n, k), dtype=np.int32)
