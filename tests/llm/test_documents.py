@@ -62,6 +62,59 @@ def test_near_dedup_large_group(spark):
     assert {r.class_id for r in near_dedup.near_duplicates(df).collect()} == {0}
 
 
+def test_near_dedup_borderline_copies_equal_brute_force(spark):
+    """Copies around the threshold: many reach it with a few others of the group only."""
+    rng = np.random.default_rng(6)
+    base = [f"v{x}" for x in rng.integers(0, 5000, 160)]
+    rows = []
+    for i in range(260):
+        w = list(base)
+        for at in sorted(rng.choice(150, rng.integers(1, 7), replace=False), reverse=True):
+            if rng.random() < 0.5:
+                del w[at : at + int(rng.integers(1, 6))]
+            else:
+                w[at] = f"e{i}x{at}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = plain.near_classes(rows)
+    assert 5 < len(set(want.values())) < 150
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()}
+    assert got == {d: want[t] for d, t in rows}
+
+
+def test_near_dedup_recall_by_edit_rate(spark):
+    """Copies of texts of 300 words with so many words replaced: all within the threshold are caught."""
+    rng = np.random.default_rng(12)
+    rows, rate = [], {}
+    for k in range(200):
+        base = [f"b{k}w{x}" for x in rng.integers(0, 2000, 300)]
+        rows.append((2 * k, " ".join(base)))
+        rate[2 * k] = k % 5
+        for at in rng.choice(300, (1, 3, 6, 9, 24)[k % 5], replace=False):
+            base[at] = f"e{k}x{at}"
+        rows.append((2 * k + 1, " ".join(base)))
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    caught = Counter(rate[d] for d in rate if got[d + 1] == d)
+    assert caught[0] == caught[1] == 40 and caught[4] == 0  # 8 words in 100 leave a similarity of about 0.5
+    want = plain.near_classes(rows)
+    assert got == {d: want[t] for d, t in rows}
+
+
+def test_components_of_chains_and_stars(spark):
+    from tidegauge.llm.components import components
+
+    rng = np.random.default_rng(1)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (180, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2001 + i) for i in range(60)] + [(5, 5)]
+    parent = list(range(3000))
+    for a, b in links:
+        parent[plain.find(parent, max(a, b))] = plain.find(parent, min(a, b))
+    least = {}
+    for x in {x for a, b in links if a != b for x in (a, b)}:
+        least.setdefault(plain.find(parent, x), []).append(x)
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "u bigint, v bigint")).collect()}
+    assert got == {x: min(own) for own in least.values() for x in own}
+
+
 def test_near_dedup_edges(spark, odd_docs, no_docs):
     got = near_dedup.near_duplicates(odd_docs).collect()
     assert len(got) == 11 and {r.class_id for r in got if r.doc_id in (4, 5)} == {4} and {r.class_id for r in got if r.doc_id in (1, 2)} == {1}
