@@ -4,15 +4,21 @@ A passage is a run of at least `window` words. Every word covered by a window th
 document with a smaller doc_id is removed.
 
 The reference of a document is every document before it, so reference shards are cut by content and
-meet the documents by shuffle: each window is filed under the least hash of the word runs (of `anchor`
-words) in it. Neighbouring windows filed under the same hash form a snippet, and any two documents
-that share a window share its shard. Shards of one document, and shards in which all snippets are
-equal, need no search. In the others a suffix automaton is built of the snippets in doc_id order:
-each snippet is streamed through it for matching statistics, the windows matched by earlier ones
-are noted, and only the rest is added. Shards of more than `max_snippets` different snippets or of too many
-words (a short common line in ever new surroundings) are cut into finer ones by longer anchors, at
-last by the whole window, where each piece is one window (or a run of equal ones) and the least doc_id
-that holds it decides.
+meet the documents by shuffle: each window is filed under the first of the word runs (of `anchor`
+words) in it, in one order for all. Runs that occur very often come last in that order, else by hash: a
+window that reaches over the end of a common line is filed under its own surroundings, and only what
+lies inside the line under the line, where all documents hold the same. Neighbouring windows filed
+under the same run form a snippet, and any two documents that share a window share its shard. Shards
+of one document, and shards in which all snippets are equal, need no search. In the others a suffix
+automaton is built of the snippets in doc_id order: each snippet is streamed through it for matching
+statistics, the windows matched by earlier ones are noted, and only the rest is added. Shards of more
+than `max_snippets` different snippets or of too many words are cut into finer ones by longer anchors,
+at last by the whole window, where each piece is one window (or a run of equal ones) and the least
+doc_id that holds it decides.
+
+Often is: in one of FILES equal files of runs by hash, whose occurrences in all documents are a 2000th of
+the documents at least. So the table has the same size for any corpus; a rare run that shares its file
+with a common one comes late too, which changes who finds a repeat, not what is found.
 
 `remove_known` is the plain form for a reference of bounded size: its automata are broadcast.
 
@@ -38,6 +44,7 @@ from .words import MIX, WordHasher, grams, mix
 WINDOW, ANCHOR = 50, 8
 MAX_SNIPPETS = 256
 MAX_SHARD_BYTES = 400_000  # eight a word; bounds an automaton
+FILES, OFTEN = 1 << 22, 2000
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 BLANKS = bytes(0x20 if c == 0x20 or 9 <= c <= 13 else c for c in range(256))
 
@@ -138,12 +145,20 @@ def content(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * MIX)
 
 
-def snippets_of(hashes: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Shard, content hash, first window and number of windows of each snippet of a document."""
+def file_of(runs_: np.ndarray) -> np.ndarray:
+    return (runs_ >> np.uint64(40)) % np.uint64(FILES)
+
+
+def snippets_of(hashes: np.ndarray, window: int, anchor: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shard, content hash, first window and number of windows of each snippet of a document. common:
+    whether a file's runs come last."""
     if len(hashes) < window:
         none = np.zeros(0, dtype=np.int64)
         return none, none, none, none
-    least = sliding_min(grams(hashes, anchor), window - anchor + 1)
+    anchors = grams(hashes, anchor)
+    if common is not None:
+        anchors = anchors >> np.uint64(1) | common[file_of(anchors)].astype(np.uint64) << np.uint64(63)
+    least = sliding_min(anchors, window - anchor + 1)
     first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     count = np.diff(np.append(first, len(least)))
     return least[first].view(np.int64), content(hashes, first, first + count + window - 1).view(np.int64), first, count
@@ -155,16 +170,56 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), text.alias("text"))
 
 
+def common_files(docs: DataFrame, anchor: int) -> np.ndarray:
+    """Which files of runs are common: one flag for each. A task sends the files that are common in its
+    own share of the documents, a few of its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        have, parts, held, docs_seen = np.zeros(FILES, dtype=np.int32), [], 0, 0
+
+        def add():
+            nonlocal have, held
+            if parts:
+                have += np.bincount(np.concatenate(parts), minlength=FILES).astype(np.int32)
+                parts.clear()
+                held = 0
+
+        for b in batches:
+            docs_seen += b.num_rows
+            for text in b.column(0):
+                hashes = hasher(word_list(text.as_py()))
+                if len(hashes) >= anchor:
+                    parts.append(file_of(grams(hashes, anchor)).astype(np.int64))
+                    held += len(hashes)
+                if held > 2_000_000:
+                    add()
+        add()
+        at = np.flatnonzero(have >= max(4, docs_seen // OFTEN))
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(have[at], docs_seen).astype(np.int64))], names=["file", "n"])
+
+    sums = docs.select(docs["text"].cast("string")).mapInArrow(run, "file long, n long").groupBy("file").agg(F.sum("n").alias("n"))
+    # File -1 has the documents. What comes to the driver is OFTEN times the mean words of a document at most.
+    sums = materialize(sums, "files")
+    total = sums.where("file = -1").agg(F.sum("n")).first()[0] or 0
+    flags = np.zeros(FILES, dtype=bool)
+    flags[sums.where((F.col("file") >= 0) & (F.col("n") >= max(32, total // OFTEN))).select("file").toPandas()["file"].to_numpy(dtype=np.int64)] = True
+    return flags
+
+
 def file_snippets(docs: DataFrame, window: int, anchor: int) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(common_files(docs, anchor)))  # FILES bits
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
+        common = np.unpackbits(shared.value).astype(bool)
         names = ["doc_id", "th", "shard", "content", "start", "count"]
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
                 rows, cols = [], [[], [], [], []]
                 for text in part.column(2):
-                    found = snippets_of(hasher(word_list(text.as_py())), window, anchor)
+                    found = snippets_of(hasher(word_list(text.as_py())), window, anchor, common)
                     rows.append(len(found[0]))
                     for c, x in zip(cols, found):
                         c.append(x)
