@@ -237,6 +237,22 @@ def test_substring_dedup_constant_runs_in_a_crowded_shard(spark):
     assert nth(tuple(r) for r in got) == nth(plain.repeats(rows))
 
 
+def test_substring_dedup_common_line_in_new_surroundings(spark):
+    """A line that every document holds counts as common: windows over its ends are filed elsewhere."""
+    rng = np.random.default_rng(15)
+    line = [f"c{i}" for i in range(58)]
+    rows = []
+    for d in range(150):
+        own = [f"u{x}" for x in rng.integers(0, 900, 40)]
+        at = int(rng.integers(0, 40))
+        rows.append((int(d % 140), " ".join(own[:at] + line[: 58 - d % 5] + own[at:])))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert substring_dedup.common_files(df, 8).sum() >= 40
+    for limit in (256, 4):
+        got = substring_dedup.remove_repeats(df, max_snippets=limit).drop("kept").collect()
+        assert nth(tuple(r) for r in got) == nth(plain.repeats(rows))
+
+
 def test_substring_dedup_edges(spark, odd_docs, no_docs):
     got = substring_dedup.remove_repeats(odd_docs).drop("kept").collect()
     assert nth(tuple(r) for r in got) == nth(plain.repeats(pairs(odd_docs)))
@@ -343,21 +359,38 @@ def check_pieces(pieces, docs):
 
 
 def test_packing_round_trip(spark, small, odd_docs, no_docs):
-    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = read_table(spark, small, "documents")
-    assert check_pieces(packing.pack(docs, ranks).collect(), pairs(docs)) == 0
-    assert check_pieces(packing.pack(odd_docs, ranks).collect(), pairs(odd_docs)) == 0
-    assert packing.pack(no_docs, ranks).count() == 0
+    assert check_pieces(packing.pack(docs, *paths).collect(), pairs(docs)) == 0
+    assert check_pieces(packing.pack(odd_docs, *paths).collect(), pairs(odd_docs)) == 0
+    few = docs.limit(20)
+    assert check_pieces(packing.pack(few, paths[0]).collect(), pairs(few)) == 0
+    assert packing.pack(no_docs, *paths).count() == 0
+
+
+def test_packing_of_very_long_runs(spark):
+    rows = [(1, " " * 1_000_000), (2, "\n" * 1_200_000 + "x"), (3, "a" * 1_000_000), (4, "word \t" * 300_000), (5, "-" * 199_999), (6, " " * 199_999 + "b"), (7, "7" * 150_000)]
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    assert check_pieces(packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string"), *paths).collect(), rows) == 0
 
 
 def test_packing_ids_on_odd_texts():
-    encoder = packing.load_encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
     rng = np.random.default_rng(2)
-    alphabet = list("aB1 \n\t'.,-_<|>é漢\U0001f600  ́") + ["'s", "<|endoftext|>", "  ", "\r\n", "١", "Ⅳ"]
-    for _ in range(300):
+    alphabet = list("aB1 \n\t'.,-_<|>é漢\U0001f600 \u2003\u0301\u00a0\u3000\x85\x1c\u200b") + ["'s", "'LL", "<|endoftext|>", "  ", "\r\n", "١", "Ⅳ", "\x00", "\ufeff"]
+    for _ in range(1000):
         text = "".join(rng.choice(alphabet, rng.integers(0, 40)))
-        assert encoder.encode_to_numpy(text, allowed_special="all").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert encoder.quick.encode_to_numpy(text, allowed_special="all").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_ids_of_every_code_point():
+    """Each code point between a letter, a number, a blank and a sign: both encoders split there alike."""
+    encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    points = [p for p in range(0x110000) if not 0xD800 <= p < 0xE000 and (p < 0x32000 or p % 1009 == 0 or p >= 0xE0000 and p < 0xE0200)]
+    for k in range(0, len(points), 500):
+        texts = [f"a{c}a 1{c}1 {c} {c}{c}.{c}'s{c}\n" for c in map(chr, points[k : k + 500])]
+        want = encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        assert [encoder.quick.encode_to_numpy(t).tolist() for t in texts] == [w.ids for w in want]
 
 
 def test_placement_balances_cost():

@@ -35,5 +35,58 @@ def test_edges(spark):
 def test_salted_join_gives_the_same(spark, small):
     table = read_table(spark, small, "pages")
     a = html_text.main_text(table).orderBy("page_id").collect()
-    assert a == html_text.main_text(table, broadcast_hosts=0).orderBy("page_id").collect()
+    assert a == html_text.main_text(table, broadcast_templates=0).orderBy("page_id").collect()
     assert sum(r.n_chars > 0 for r in a) > 0.9 * len(a)
+
+
+def text_of(source, templates=None):
+    root = html_text.parse(source)
+    html_text.weigh(root, set())
+    return html_text.extract(root, templates or {})
+
+
+def test_class_names_of_articles_stay():
+    page = '<article><h1>T</h1><section class="related-work"><p>Prior art.</p></section><p class="share-price">It rose.</p><div class="search-results"><p>Found.</p></div>'
+    page += '<div class="related-posts">More</div><div class="ad">Buy</div><ol class="comment-list"><li>First!</li></ol><p class="x1 share-buttons">Tweet</p></article>'
+    assert text_of(page) == "T\nPrior art.\nIt rose.\nFound."
+
+
+def test_odd_tags_are_read_in_one_pass():
+    import time
+
+    began = time.time()
+    for bad in ("<a " + "\"'" * 200_000, "<a x=" * 100_000, "<div " + "a\"b'c" * 50_000 + "x>tail", "<b>" * 30_000 + "</i>" * 30_000, "<" * 300_000, "<!-- " * 100_000, "<span>" * 20_000 + "<p>" * 20_000, '<a href="x>y' * 50_000):
+        text_of(bad)
+    assert time.time() - began < 60
+    assert text_of('<p>one <a title="a > b" href=\'c>d\'>two</a> 3 < 4 <3 & &lt;5</p><p>six') == "one two 3 < 4 <3 & <5\nsix"
+    assert text_of('<p>a</p><p class="x>b</p><p>c</p>') == "a\nb\nc"
+    assert text_of("<p>x<!-- <p>y --> z</p><script>var a = '<p>no</p>';</script><br/><p>w</p>") == "x z\nw"
+
+
+def test_template_counts_equal_brute_force(spark):
+    rows = []
+    for h in range(3):
+        for p in range(12):
+            body = "".join(f"<p>own {h} {p} {i}</p>" for i in range(3))
+            extra = f"<p>seen {h} twelve times</p>" + (f"<p>seen {h} thrice</p>" if p < 3 else "") + (f"<div><p>seen {h} on half</p></div>" if p % 2 else "")
+            rows.append((h * 100 + p, f"http://h{h}.example/{p}", f"<body><div>{extra}</div>{body}</body>"))
+    rows += [(900 + i, "http://h0.example/copy", rows[0][2]) for i in range(30)]  # copies count once
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    parsed = {}
+    for _, url, source in rows:
+        hashes: set = set()
+        root = html_text.parse(source)
+        html_text.weigh(root, hashes)
+        parsed[url.split("/")[2], root.hash] = hashes - {root.hash}
+    want = {}
+    for host in {h for h, _ in parsed}:
+        pages = [x for (h, _), x in parsed.items() if h == host]
+        counts = {x: sum(x in p for p in pages) for x in set().union(*pages)}
+        want[host] = {(x, n >= 0.5 * len(pages)) for x, n in counts.items() if n >= 4 and n >= 0.2 * len(pages)}
+    with_host = df.select("page_id", "url", "html", html_text.host_of(df["url"]).alias("host"))
+    got = {r.host: {(t["hash"], t["strong"]) for t in r.templates} for r in html_text.site_templates(with_host, 0.2, 4).collect()}
+    assert got == want and all(got.values())
+    texts = {r.page_id: r.text for r in html_text.main_text(df).collect()}
+    salted = {r.page_id: r.text for r in html_text.main_text(df, broadcast_templates=0).collect()}
+    assert texts == salted
+    assert texts[0] == "seen 0 thrice\nown 0 0 0\nown 0 0 1\nown 0 0 2" and texts[5] == "own 0 5 0\nown 0 5 1\nown 0 5 2"

@@ -5,11 +5,16 @@ hashes are counted per host in Spark, over pages of different content (copies of
 once). A subtree that recurs on many of a host's pages is template and is deleted: on at least
 `share` of them (and `least` pages) where a page marks no article, and on at least half inside a
 marked article, whose paragraphs may well be quoted elsewhere. Elements whose tag, role or class
-names say navigation, header, footer, side matter, notice, advert, form or comments go as well.
+names say navigation, header, footer, side matter, notice, advert, form or comments go as well; a
+class name says so only if all its words do or name a mere container (related-posts, but not
+related-work).
 
 The templates of a host are few: each is on a fixed share of the host's pages, so their number is
-bounded by the size of a page. They are joined to pages by broadcast if their count, which is
-checked, is small, and else by a join on host and salt, so that a hot host spreads over tasks.
+bounded by the size of a page. They are joined to pages by broadcast if the number of all templates,
+which is checked, is small, and else by a join on host and salt, so that a hot host spreads over tasks.
+
+Pages are read in one pass: a tag ends at the first > outside quotes; where quotes are never closed,
+at the next > whatever the quotes, from there to the end of the page.
 
 Edge cases: a null or empty html has an empty text; a null or odd url has the host ''; repeated
 rows have equal results and count once as templates; very long pages are parsed whole; unclosed and
@@ -20,7 +25,8 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Generator, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -29,7 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, read_table
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(/?)>""", re.S)
+START = re.compile(r"/?([a-zA-Z][^\s/>]*+)")
+REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+>""")  # possessive: never tries another way
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 #: Element names of the HTML standard by their role.
@@ -49,6 +56,11 @@ NAMES = set(
     "topbar comment comments commentlist disqus reply replies respond discussion related recommended recommendations share sharing social popup modal overlay "
     "widget widgets toolbar pagination pager login signup signin search skip teaser teasers copyright legal disclaimer form".split()
 )
+#: Words in class names beside those, for what holds them.
+HOLDERS = set(
+    "area bar block body bottom box button buttons col column container content feed foot global group head holder icons inner item items left link links list "
+    "main module outer page panel post posts primary region right row secondary section site slot stories story strip thread top unit wrap wrapper zone".split()
+)
 #: A start tag closes an open element of the same group, up to the group's container.
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 FENCES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
@@ -61,6 +73,10 @@ class Element:
         self.tag, self.marked, self.children, self.hash, self.core = tag, marked, [], 0, False
 
 
+def says_so(words: list[str]) -> bool:
+    return any(w in NAMES for w in words) and all(w in NAMES or w in HOLDERS or w.isdigit() for w in words)
+
+
 def marked_by(attributes: str) -> bool:
     """Whether attributes say that an element is no part of an article."""
     if not attributes:
@@ -76,53 +92,94 @@ def marked_by(attributes: str) -> bool:
         elif key == "style":
             found = "display:none" in value.replace(" ", "").lower()
         else:
-            found = any(w.lower() in NAMES for w in NAME.findall(value))
+            found = any(says_so([w.lower() for w in NAME.findall(token)]) for token in value.split())
         if found:
             return True
     return False
 
 
+def tags(source: str) -> Generator[tuple[int, int, str, str], int | None, None]:
+    """(start, end, name, attributes) of tags and comments in order; the name of an end tag begins with
+    / and that of a comment is empty. A tag that is passed on may be followed by send(place): the
+    search goes on there."""
+    at, loose = 0, False
+    while (start := source.find("<", at)) >= 0:
+        if source.startswith("<!--", start):
+            end = source.find("-->", start + 4)
+            found = (start, end + 3 if end >= 0 else len(source), "", "")
+        elif source.startswith(("<!", "<?"), start):
+            end = source.find(">", start)
+            found = (start, end + 1, "", "") if end >= 0 else None
+        elif m := START.match(source, start + 1):
+            rest = None if loose else REST.match(source, m.end())
+            loose = loose or rest is None
+            end = source.find(">", m.end()) + 1 if loose else rest.end()
+            found = (start, end, m[0].lower(), source[m.end() : end - 1]) if end else None
+            if not end:  # no > any more, so no tag
+                return
+        else:
+            found = None
+        if found:
+            at = (yield found) or found[1]
+        else:
+            at = start + 1
+
+
 def parse(source: str) -> Element:
     """The tree of a page; children are elements and decoded strings."""
     root = Element("#page", False)
     stack = [root]
+    opened: Counter = Counter()
     at, n = 0, len(source)
-    while at < n:
-        m = TOKEN.search(source, at)
-        end = m.start() if m else n
-        if end > at:
-            stack[-1].children.append(entities.unescape(source[at:end]))
-        if not m:
+
+    def close(k: int) -> None:
+        for e in stack[k:]:
+            opened[e.tag] -= 1
+        del stack[k:]
+
+    found = tags(source)
+    after = None
+    while True:
+        try:
+            start, stop, name, attributes = found.send(after)
+        except StopIteration:
             break
-        at = m.end()
-        tag = m[2].lower() if m[2] else ""
-        if not tag:
+        after = None
+        if start > at:
+            stack[-1].children.append(entities.unescape(source[at:start]))
+        at = stop
+        if not name:
             continue
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+        if name[0] == "/":
+            tag = name[1:]
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in ("article", "main", "table", "body") and tag not in ("article", "main", "table", "body", "html"):
                     break
             continue
+        tag = name
         closes, fence = SIBLINGS.get(tag, ()), FENCES.get(tag, ())
         if tag in CLOSES_P:
             closes, fence = (*closes, "p"), {*fence, "td", "th", "li", "div", "article", "section", "button", "table"} - set(closes)
-        for k in range(len(stack) - 1, 0, -1):
+        for k in range(len(stack) - 1, 0, -1) if any(opened[c] for c in closes) else ():
             if stack[k].tag in closes:
-                del stack[k:]
+                close(k)
                 if stack[-1].tag not in closes:
                     break
             elif stack[k].tag in fence:
                 break
-        element = Element(tag, marked_by(m[3]))
+        element = Element(tag, marked_by(attributes))
         stack[-1].children.append(element)
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>?", re.I).search(source, at)
-            at = close.end() if close else n
-        elif tag not in VOID and not m[4]:
+            last = re.compile(rf"</{re.escape(tag)}\s*>?", re.I).search(source, at)
+            at = after = last.end() if last else n
+        elif tag not in VOID and not attributes.endswith("/"):
             stack.append(element)
+            opened[tag] += 1
+    if n > at:
+        stack[-1].children.append(entities.unescape(source[at:]))
     return root
 
 
@@ -249,12 +306,13 @@ def site_templates(pages: DataFrame, share: float, least: int) -> DataFrame:
     return found.groupBy("host").agg(F.collect_list(F.struct("hash", (F.col("n") >= 0.5 * F.col("pages")).alias("strong"))).alias("templates"))
 
 
-def main_text(pages: DataFrame, share: float = 0.2, least: int = 4, broadcast_hosts: int = 10_000, salts: int = 32) -> DataFrame:
+def main_text(pages: DataFrame, share: float = 0.2, least: int = 4, broadcast_templates: int = 1_000_000, salts: int = 32) -> DataFrame:
     """pages (page_id, url, html) -> page_id, url, text, n_chars."""
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html"))
     rows = rows.withColumn("host", host_of(F.col("url")))
     templates = materialize(site_templates(rows, share, least), "templates")
-    if templates.count() <= broadcast_hosts:
+    # A host and its templates take some bytes each: the bound is about 16 MB.
+    if (templates.agg(F.sum(F.size("templates") + 4)).first()[0] or 0) <= broadcast_templates:
         joined = rows.join(F.broadcast(templates), "host", "left")
     else:
         salted = templates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
