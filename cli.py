@@ -37,7 +37,11 @@ def main(argv: list[str] | None = None) -> int:
         event = {"sensor_id": args.sensor, "timestamp": args.timestamp or datetime.now(timezone.utc).isoformat(), "readings": {k: v for k, v in named.items() if v is not None}, "source": args.source}
         api.ingest(from_events(spark, [event]), topo=spatial.topology(spark)).select("sensor_id", "status", "anomaly_type", "severity", "anomaly_score", "explanation", "fingerprint").show(truncate=False, vertical=True)
     elif args.command == "replay":
-        events = normalize(api.load_fixture(spark, args.fixture))[0]
+        try:
+            events = normalize(api.load_fixture(spark, args.fixture))[0]
+        except FileNotFoundError:
+            print(f"no such file: {args.fixture}")
+            return 2
         summary, states = replay.replay(spark, events, args.strategy, 42 if args.shuffle else None)
         summary.show()
         states.select("sensor_id", "version", "last_event_time", "readings").orderBy("sensor_id").show(truncate=False)
@@ -46,7 +50,7 @@ def main(argv: list[str] | None = None) -> int:
         if args.persist:
             ledger.append(ledger.build(ledger.bodies(replay.process(events, args.strategy))), args.persist)
     else:
-        intact, fault = ledger.verify(spark.read.parquet(args.ledger))
+        intact, fault = ledger.verify(ledger.load(spark, args.ledger))
         print("intact" if intact else f"not intact: {fault}")
         return int(not intact)
     return 0

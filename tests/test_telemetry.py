@@ -1,9 +1,12 @@
+from datetime import timezone
+
+import numpy as np
 import pytest
-from plain import anomalies, corroborated, fold, random_events, unique
+from plain import anomalies, corroborated, fold, micros, random_events, unique
 from pyspark.sql import functions as F
 
 from tidegauge import api
-from tidegauge.constants import GENESIS, METRICS, strategy_of
+from tidegauge.constants import GENESIS, METRICS, PRIORS, precision, strategy_of
 from tidegauge.functions.normalize import clean_readings, iso, normalize, parse_timestamp
 from tidegauge.operators import dedup, detect, ledger, replay, resolve, spatial, timeline
 from tidegauge.sources.telemetry import from_events, list_fixtures, read_json, synthetic
@@ -138,14 +141,43 @@ def test_thermal_drift_and_bounds(spark):
         events = [{"sensor_id": "A", "timestamp": t, "readings": r, "source": "field"} for t, r in series]
         return [r for r in detect.classify(dedup.first_arrivals(frame(spark, events))).orderBy("seq").collect()]
 
-    hot = run([("2024-06-15T10:00:00Z", {"pH": 7.5, "temperature": 20.0}), ("2024-06-15T10:02:00Z", {"pH": 6.7, "temperature": 25.5})])
+    hot = run([("2024-06-15T10:00:00Z", {"pH": 7.4, "temperature": 19.0}), ("2024-06-15T10:03:00Z", {"pH": 6.8, "temperature": 23.5})])
     assert (hot[1].anomaly_type, hot[1].severity, list(hot[1].contributing_metrics)) == ("THERMAL_PH_COUPLING", "CRITICAL", ["temperature", "pH"])
     drift = run([(f"2024-06-15T{10 + k}:00:00Z", {"conductivity": 560.0}) for k in range(6)])
     assert drift[-1].anomaly_type == "SENSOR_DRIFT" and list(drift[-1].contributing_metrics) == ["conductivity"]
-    high = run([("2024-06-15T10:00:00Z", {"turbidity": 501.0, "pH": 15.0})])
+    high = run([("2024-06-15T10:00:00Z", {"turbidity": 612.0, "pH": 14.7})])
     assert (high[0].anomaly_type, high[0].anomaly_score, list(high[0].contributing_metrics)) == ("OUT_OF_BOUNDS", 1.0, ["turbidity"])
-    far = run([("2024-06-15T10:00:00Z", {"pH": 7.2, "turbidity": 35.0, "conductivity": 1500.0, "temperature": 21.0})])
-    assert far[0].mahalanobis_distance == pytest.approx(22.166, abs=1e-3)
+    far = {"pH": 7.0, "turbidity": 28.0, "conductivity": 1210.0, "temperature": 22.5}
+    d = np.array([far[m] - PRIORS[m][0] for m in METRICS])
+    assert run([("2024-06-15T10:00:00Z", far)])[0].mahalanobis_distance == pytest.approx(float(np.sqrt(d @ precision() @ d)), abs=1e-3)
+
+
+def test_clusters_that_share_a_sensor(spark):
+    topo = spatial.topology(spark, {"z": ["A", "B"], "a": ["B", "C"]})
+    assert {r.sensor_id: r.cluster for r in spatial.own_cluster(topo).collect()} == {"A": "z", "B": "a", "C": "a"}
+    assert {(r.sensor_id, r.neighbour) for r in spatial.neighbours(topo).collect()} == {("A", "B"), ("B", "C"), ("C", "B")}
+    odd = lambda s, t: {"sensor_id": s, "timestamp": f"2024-06-15T10:0{t}:00Z", "readings": {"pH": 15.0}}
+    rows = detect.classify(dedup.first_arrivals(frame(spark, [odd("B", 0), odd("A", 1), odd("C", 2), odd("B", 3), odd("D", 4)])))
+    got = {r.seq: r for r in spatial.corroborate(rows, topo).collect()}
+    assert {k: list(r.corroborated_by) for k, r in got.items()} == {0: [], 1: ["B"], 2: ["B"], 3: ["C"], 4: []}
+    assert got[4].diagnosis.startswith("no neighbours") and got[1].diagnosis.startswith("SYSTEMIC") and got[0].diagnosis.startswith("LOCALIZED")
+
+
+def test_weights_timeline_states_and_mismatches(spark, events):
+    rows = dedup.first_arrivals(frame(spark, events)).cache()
+    base = {"sensor_id": "A", "timestamp": "2024-06-15T10:00:00Z", "readings": {"pH": 7.1}, "source": "lab"}
+    two = dedup.first_arrivals(frame(spark, [base, base | {"source": "backup", "readings": {"pH": 7.3}}]))
+    assert resolve.current_states(two).first().readings == {"pH": 7.1}
+    assert resolve.current_states(two, weights={"lab": 0.1, "backup": 0.9}).first().readings == {"pH": 7.3}
+    for r in resolve.timeline_states(rows).where("seq % 9 = 0").collect():
+        own = [x for x in unique(events) if x[1]["sensor_id"] == r.sensor_id and micros(x[1]["timestamp"]) <= r.event_ts.replace(tzinfo=timezone.utc).timestamp() * 1e6]
+        want = {m: c["value"] for m, c in fold(own, "source_priority").items()}
+        assert {m: r[resolve.merged(m)].value for m in METRICS if r[resolve.merged(m)]} == pytest.approx(want) and r.known_events == len(own)
+    with pytest.raises(ValueError):
+        resolve.timeline_states(rows, "weighted")
+    a = spark.createDataFrame([("A", "pH", 7.0), ("A", "turbidity", 1.0), ("B", "pH", 7.0)], "sensor_id string, metric string, value double")
+    b = spark.createDataFrame([("A", "pH", 7.2), ("A", "turbidity", 1.0), ("C", "pH", 7.0)], "sensor_id string, metric string, value double")
+    assert {(r.sensor_id, r.metric, r.reason) for r in replay.mismatches(a, b).collect()} == {("A", "pH", "differs"), ("B", "pH", "missing in the other run"), ("C", "pH", "missing in the first run")}
 
 
 @pytest.mark.parametrize("scope", ["global", "sensor"])
@@ -170,7 +202,11 @@ def test_replay_and_invariance(spark):
     base = {"sensor_id": "A", "timestamp": "2024-06-15T10:00:00Z", "readings": {"pH": 7.1}, "source": "field"}
     same = [base, base | {"source": "lab", "readings": {"pH": 7.4}}, base, base | {"timestamp": "2024-06-15T09:00:00Z"}]
     summary, states = replay.replay(spark, frame(spark, same))
-    assert summary.first().asDict() == {"received": 4, "unique_events": 3, "duplicates": 1, "out_of_order": 1, "anomalies": 1, "sensors": 1}
+    # The late event meets the merged reading of the lab, a second later by the least time step.
+    odd = sum(t != "NONE" for t in anomalies(unique(same), "source_priority").values())
+    assert summary.first().asDict() == {"received": 4, "unique_events": 3, "duplicates": 1, "out_of_order": 1, "anomalies": odd, "sensors": 1}
+    result, _ = replay.replay_result(spark, frame(spark, same))
+    assert result["ledger_valid"] and result["anomalies"] == odd and result["seconds"] > 0
     assert states.first().readings == {"pH": 7.4}
     assert replay.verify_order_invariance(frame(spark, same))["is_invariant"]
     three = [base, base | {"source": "lab", "readings": {"pH": 7.4}}, base | {"source": "backup", "readings": {"pH": 6.9}}]
@@ -207,6 +243,19 @@ def test_files_api_and_synthetic(spark, tmp_path):
     assert api.audit(raw).count() == 2
     api.export_csv(raw, str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).columns == "audit_id action sensor_id event_timestamp received_timestamp pH turbidity conductivity temperature source is_anomaly anomaly_type anomaly_score conflict_strategy current_hash prev_hash".split()
+    with pytest.raises(FileNotFoundError):
+        api.load_fixture(spark, str(tmp_path / "none"))
+    (tmp_path / "bad.json").write_text('{"sensor_id": "A"}')
+    with pytest.raises(Exception, match="not a JSON array"):
+        api.load_fixture(spark, str(tmp_path / "bad")).collect()
+    topo = spatial.topology(spark, {"north": ["A"]})
+    assert api.fleet(raw, topo, "a", cluster="north").count() == 1 and api.fleet(raw, topo, "x").count() == 0 and api.fleet(raw, topo, only_anomalous=True).count() == 0
+    assert [r[resolve.merged("pH")].value for r in api.timeline_states(raw, "A").collect()] == [7.1, 7.2]
+    ledger.append(api.audit(raw), str(tmp_path / "ledger"))
+    assert ledger.verify(ledger.load(spark, str(tmp_path / "ledger"))) == (True, None)
+    ledger.reset(spark, str(tmp_path / "ledger"))
+    assert ledger.load(spark, str(tmp_path / "ledger")).count() == 0
     over, status = api.correlations(raw, spatial.topology(spark))
     assert over.first().processed == 2 and status.count() == 3
     assert read_json(spark, str(tmp_path / "a.json")).count() == 0

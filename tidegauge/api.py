@@ -50,16 +50,31 @@ def correlations(raw: DataFrame, topo: DataFrame, strategy: str = "source_priori
     return replay.fleet_overview(events, decisions), spatial.cluster_status(decisions, topo)
 
 
-def audit(raw: DataFrame, strategy: str = "source_priority", scope: str = "global") -> DataFrame:
+def fleet(raw: DataFrame, topo: DataFrame, contains: str = "", only_anomalous: bool = False, cluster: str | None = None, strategy: str = "source_priority") -> DataFrame:
+    """States of the sensors whose id contains a text (in any case), with is_anomalous (of the last
+    arrived event) and cluster; of one cluster, or of anomalous ones only, if asked."""
+    decisions = ingest(raw, strategy)
+    states = spatial.with_cluster(sensors(raw, strategy).join(spatial.last_flags(decisions), "sensor_id", "left"), topo)
+    found = states.where(F.lower("sensor_id").contains(contains.lower()))
+    found = found.where("is_anomalous") if only_anomalous else found
+    return found if cluster is None else found.where(F.col("cluster") == cluster)
+
+
+def timeline_states(raw: DataFrame, sensor_id: str, strategy: str = "source_priority") -> DataFrame:
+    """A sensor's state at every point of its timeline."""
+    return resolve.timeline_states(dedup.first_arrivals(normalize(raw.where(F.trim("sensor_id") == sensor_id))[0]), strategy).orderBy("event_ts", "seq")
+
+
+def audit(raw: DataFrame, strategy: str = "source_priority", scope: str = "sensor") -> DataFrame:
     """The ledger of all decisions."""
     return ledger.build(ledger.bodies(ingest(raw, strategy)), scope)
 
 
 def export_csv(raw: DataFrame, path: str, strategy: str = "source_priority") -> None:
-    """The flat export as one CSV file with a header."""
+    """The flat export as CSV files with headers, in the order of sensors and blocks."""
     decisions = ingest(raw, strategy)
-    rows = ledger.csv_rows(decisions, ledger.build(ledger.bodies(decisions)))
-    rows.orderBy("audit_id").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    rows = ledger.csv_rows(decisions, ledger.build(ledger.bodies(decisions)), strategy)
+    rows.orderBy("sensor_id", "audit_id").write.mode("overwrite").option("header", True).csv(path)
 
 
 def load_fixture(spark: SparkSession, path: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """Hash-chained audit ledger.
 
-A block's hash covers the hash before it and the block's body, canonical JSON. Chaining is serial by
-nature: `scope="global"` is one chain in one task; `scope="sensor"` is a chain per sensor, built in
-parallel, with the sorted heads hashed into one root. Verification is parallel in both: a block meets
-its predecessor by a join on the number.
+A block's hash covers the hash before it and the block's body, canonical JSON. `scope="sensor"`, the
+usual form, is a chain per sensor, built in parallel, with the sorted heads hashed into one root.
+Chaining is serial by nature: `scope="global"` is one chain in one task, for ledgers of the size of a
+file. Verification is parallel in both: a block meets its predecessor by a join on the number.
 """
 
 from __future__ import annotations
@@ -12,10 +12,10 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import GENESIS
+from ..constants import GENESIS, strategy_of
 from ..functions.normalize import iso
 
 BLOCK = "chain string, audit_id bigint, prev_hash string, current_hash string"
@@ -30,9 +30,9 @@ def bodies(decisions: DataFrame, received: str = "1970-01-01T00:00:00Z") -> Data
     return decisions.select("sensor_id", "seq", F.to_json(record, {"ignoreNullFields": "false"}).alias("body"))
 
 
-def build(blocks: DataFrame, scope: str = "global") -> DataFrame:
-    """blocks (sensor_id, seq, body) -> sensor_id, body, chain, audit_id, prev_hash, current_hash."""
-    keyed = blocks.select((F.lit("") if scope == "global" else F.col("sensor_id").cast("string")).alias("chain"), "seq", F.struct("sensor_id", "body").alias("row"), "body")
+def build(blocks: DataFrame, scope: str = "sensor") -> DataFrame:
+    """blocks (sensor_id, seq, body) -> sensor_id, seq, body, chain, audit_id, prev_hash, current_hash."""
+    keyed = blocks.select((F.lit("") if scope == "global" else F.col("sensor_id").cast("string")).alias("chain"), "seq", F.struct("sensor_id", "seq", "body").alias("row"), "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain, number, head = object(), 0, GENESIS
@@ -90,9 +90,23 @@ def append(ledger: DataFrame, path: str) -> None:
     ledger.write.mode("append").parquet(path)
 
 
-def csv_rows(decisions: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Flat export: block columns, the event's readings ('' where absent) and its report."""
-    number = ledger.where("chain = ''").select("audit_id", "prev_hash", "current_hash")
-    ranked = decisions.withColumn("audit_id", F.row_number().over(Window.orderBy("seq")).cast("bigint")).join(number, "audit_id")
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """A stored ledger; the order of its blocks is their audit_id in their chain."""
+    return spark.read.parquet(path).orderBy("chain", "audit_id")
+
+
+def reset(spark: SparkSession, path: str) -> None:
+    """Forget a stored ledger: an empty one takes its place."""
+    stored = spark.read.parquet(path)
+    spark.createDataFrame([], stored.schema).write.mode("overwrite").parquet(path)
+
+
+def csv_rows(decisions: DataFrame, ledger: DataFrame, strategy: str = "source_priority", received: str = "1970-01-01T00:00:00Z") -> DataFrame:
+    """Flat export of decisions (see replay.process) with their blocks; a reading is '' where absent."""
+    numbers = ledger.select("sensor_id", "seq", "audit_id", "current_hash", "prev_hash")
     reading = lambda m: F.coalesce(F.col("readings")[m].cast("string"), F.lit("")).alias(m)
-    return ranked.select("audit_id", iso(F.col("event_ts")).alias("event_timestamp"), "sensor_id", "source", *[reading(m) for m in ("pH", "turbidity", "conductivity", "temperature")], "is_anomaly", "anomaly_type", "severity", "anomaly_score", "fingerprint", "prev_hash", "current_hash")
+    return decisions.join(numbers, ["sensor_id", "seq"]).select(
+        "audit_id", "action", "sensor_id", iso(F.col("event_ts")).alias("event_timestamp"), F.lit(received).alias("received_timestamp"),
+        *[reading(m) for m in ("pH", "turbidity", "conductivity", "temperature")],
+        "source", "is_anomaly", "anomaly_type", "anomaly_score", F.lit(strategy_of(strategy)).alias("conflict_strategy"), "current_hash", "prev_hash",
+    )

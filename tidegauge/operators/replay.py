@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import strategy_of
 from ..functions.normalize import action, status
-from . import dedup, detect, resolve, spatial, timeline
+from . import dedup, detect, ledger, resolve, spatial, timeline
 
 
 def process(events: DataFrame, strategy: str = "source_priority", topo: DataFrame | None = None) -> DataFrame:
@@ -63,14 +65,35 @@ def invariance(events: DataFrame, strategy: str = "source_priority", permutation
     return other.where(F.abs(F.col("o.value") - F.col("base")) > tolerance).select("o.perm", "sensor_id", "metric", "base", F.col("o.value").alias("other"))
 
 
+def mismatches(base: DataFrame, other: DataFrame, tolerance: float = 1e-5) -> DataFrame:
+    """Cells (sensor_id, metric, value) of two runs -> sensor_id, metric, base, other, reason of every
+    reading that differs or that only one of them has."""
+    a, b = (x.select("sensor_id", "metric", F.struct("value").alias(n)) for x, n in ((base, "a"), (other, "b")))
+    reason = F.when(F.col("b").isNull(), "missing in the other run").when(F.col("a").isNull(), "missing in the first run").when(F.abs(F.col("a.value") - F.col("b.value")) > tolerance, "differs")
+    both = a.join(b, ["sensor_id", "metric"], "full").withColumn("reason", reason).where("reason is not null")
+    return both.select("sensor_id", "metric", F.col("a.value").alias("base"), F.col("b.value").alias("other"), "reason")
+
+
 def verify_order_invariance(events: DataFrame, strategy: str = "source_priority", permutations: int = 5) -> dict:
     """is_invariant, permutations and the first ten mismatches."""
     found = invariance(events, strategy, permutations).orderBy("perm", "sensor_id", "metric").limit(10).collect()
     return {"is_invariant": not found, "permutations": permutations, "mismatches": [r.asDict() for r in found]}
 
 
-def replay(spark: SparkSession, events: DataFrame, strategy: str = "source_priority", shuffle_seed: int | None = None) -> tuple[DataFrame, DataFrame]:
+def replay(spark: SparkSession, events: DataFrame, strategy: str = "source_priority", shuffle_seed: int | None = None, topo: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Summary (one row) and final states of a replay."""
     ordered = events if shuffle_seed is None else shuffled(events, shuffle_seed)
-    decisions = process(ordered, strategy)
+    decisions = process(ordered, strategy, topo)
     return counters(ordered, decisions), resolve.current_states(dedup.first_arrivals(ordered), strategy)
+
+
+def replay_result(spark: SparkSession, events: DataFrame, strategy: str = "source_priority", shuffle_seed: int | None = None) -> tuple[dict, DataFrame]:
+    """A replay that is run: its counters, whether the ledger of its decisions holds and the seconds it
+    took as a dict, and the final states."""
+    began = time.time()
+    ordered = events if shuffle_seed is None else shuffled(events, shuffle_seed)
+    decisions = process(ordered, strategy)
+    found = counters(ordered, decisions).first().asDict()
+    found["ledger_valid"] = ledger.verify(ledger.build(ledger.bodies(decisions)))[0]
+    states = resolve.current_states(dedup.first_arrivals(ordered), strategy)
+    return found | {"seconds": round(time.time() - began, 3)}, states

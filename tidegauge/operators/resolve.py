@@ -9,7 +9,7 @@ arrival order.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -24,10 +24,10 @@ def metric_rows(unique: DataFrame) -> DataFrame:
     return unique.select("sensor_id", "event_ts", "seq", "source", F.explode("readings").alias("metric", "value"))
 
 
-def _ranked(strategy: str, value: Column) -> Column:
+def _ranked(strategy: str, value: Column, weights: Mapping[str, float] | None = None) -> Column:
     if strategy == "latest":
         return F.struct("event_ts", F.lit(1.0).alias("weight"), "seq", value.alias("value"), "source")
-    return F.struct("event_ts", source_weight(F.col("source"), PRIORITY_WEIGHTS).alias("weight"), "seq", value.alias("value"), "source")
+    return F.struct("event_ts", source_weight(F.col("source"), weights or PRIORITY_WEIGHTS).alias("weight"), "seq", value.alias("value"), "source")
 
 
 def _fuse(rows: Column) -> Column:
@@ -48,15 +48,16 @@ def _fuse(rows: Column) -> Column:
     return F.aggregate(F.array_sort(rows), start, merge)
 
 
-def current_cells(unique: DataFrame, strategy: str = "source_priority", as_of=None) -> DataFrame:
+def current_cells(unique: DataFrame, strategy: str = "source_priority", as_of=None, weights: Mapping[str, float] | None = None) -> DataFrame:
     """sensor_id, metric, value, event_ts, source, confidence of each metric's current reading; with
-    as_of, by what was measured up to and including that time."""
+    as_of, by what was measured up to and including that time. weights: of sources by lower-case
+    name, in place of the strategy's own; a source without one has OTHER_WEIGHT."""
     strategy = strategy_of(strategy)
     rows = metric_rows(unique if as_of is None else unique.where(F.col("event_ts") <= F.lit(as_of)))
     if strategy != "confidence_weighted":
-        best = rows.groupBy("sensor_id", "metric").agg(F.max(_ranked(strategy, F.col("value"))).alias("b"))
+        best = rows.groupBy("sensor_id", "metric").agg(F.max(_ranked(strategy, F.col("value"), weights)).alias("b"))
         return best.select("sensor_id", "metric", "b.value", "b.event_ts", "b.source", F.col("b.weight").alias("confidence"))
-    weight = source_weight(F.col("source"), CONFIDENCE_WEIGHTS).alias("weight")
+    weight = source_weight(F.col("source"), weights or CONFIDENCE_WEIGHTS).alias("weight")
     # The latest time comes from an aggregate with partial sums; only ties at it are gathered.
     last = rows.groupBy("sensor_id", "metric").agg(F.max("event_ts").alias("event_ts"))
     ties = rows.join(last, ["sensor_id", "metric", "event_ts"])
@@ -77,9 +78,22 @@ def _with_readings(heads: DataFrame, cells: DataFrame) -> DataFrame:
     return joined.withColumn("readings", F.transform_values("metric_states", lambda _, s: s["value"]))
 
 
-def current_states(unique: DataFrame, strategy: str = "source_priority") -> DataFrame:
+def current_states(unique: DataFrame, strategy: str = "source_priority", weights: Mapping[str, float] | None = None) -> DataFrame:
     """One row per sensor: header, metric_states and readings maps."""
-    return _with_readings(headers(unique), current_cells(unique, strategy))
+    return _with_readings(headers(unique), current_cells(unique, strategy, weights=weights))
+
+
+def timeline_states(unique: DataFrame, strategy: str = "source_priority", metrics=METRICS) -> DataFrame:
+    """For each event, the state as of its event time (what was measured up to then, ties included), in
+    merged_<metric> columns: every point of the timelines in one sort. Not for confidence_weighted,
+    whose ties are folded (see state_as_of)."""
+    strategy = strategy_of(strategy)
+    if strategy == "confidence_weighted":
+        raise ValueError("timeline_states has no fold of ties; use state_as_of")
+    upto = Window.partitionBy("sensor_id").orderBy("event_ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    value = lambda m: F.col("readings")[m]
+    best = lambda m: F.max(F.when(value(m).isNotNull(), _ranked(strategy, value(m)))).over(upto)
+    return unique.select(*unique.columns, F.count(F.lit(1)).over(upto).alias("known_events"), *[best(m).alias(merged(m)) for m in metrics])
 
 
 def state_as_of(unique: DataFrame, as_of, strategy: str = "source_priority", known_seq=None) -> DataFrame:

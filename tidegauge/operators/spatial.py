@@ -2,71 +2,108 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from bisect import bisect_left, insort
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import CLUSTERS, DEFAULT_CLUSTER, EVICT_HOURS, WINDOW_MINUTES
 
 
 def topology(spark: SparkSession, clusters: Mapping[str, Sequence[str]] = CLUSTERS) -> DataFrame:
-    """cluster, sensor_id, pos."""
-    return spark.createDataFrame([(c, s, i) for c, members in clusters.items() for i, s in enumerate(members)], "cluster string, sensor_id string, pos int")
+    """cluster, sensor_id, pos, place (the cluster's place among the clusters)."""
+    rows = [(c, s, i, k) for k, (c, members) in enumerate(clusters.items()) for i, s in enumerate(members)]
+    return spark.createDataFrame(rows, "cluster string, sensor_id string, pos int, place int")
+
+
+def own_cluster(topo: DataFrame) -> DataFrame:
+    """sensor_id, cluster: of several clusters that list a sensor, the last is its own."""
+    place = "place" if "place" in topo.columns else "cluster"
+    return topo.groupBy("sensor_id").agg(F.max_by("cluster", place).alias("cluster"))
 
 
 def with_cluster(rows: DataFrame, topo: DataFrame) -> DataFrame:
     """Adds the sensor's cluster. Spark broadcasts the topology by its own size limit."""
-    named = topo.groupBy("sensor_id").agg(F.max("cluster").alias("cluster"))
-    return rows.join(named, "sensor_id", "left").withColumn("cluster", F.coalesce("cluster", F.lit(DEFAULT_CLUSTER)))
+    return rows.join(own_cluster(topo), "sensor_id", "left").withColumn("cluster", F.coalesce("cluster", F.lit(DEFAULT_CLUSTER)))
 
 
 def neighbours(topo: DataFrame) -> DataFrame:
-    """sensor_id, neighbour, pos: the other members of a sensor's cluster, in the cluster's order."""
+    """sensor_id, neighbour, pos: the other members of a sensor's own cluster, in the cluster's order."""
     other = topo.select("cluster", F.col("sensor_id").alias("neighbour"), "pos")
-    return topo.select("cluster", "sensor_id").join(other, "cluster").where(F.col("sensor_id") != F.col("neighbour"))
+    return own_cluster(topo).join(other, "cluster").where(F.col("sensor_id") != F.col("neighbour")).select("cluster", "sensor_id", "neighbour", "pos")
+
+
+class Watch:
+    """What is known of the sensors of one cluster at some point of the arrivals."""
+
+    def __init__(self):
+        self.times: dict = {}  # by sensor: event times of its anomalies, sorted, older than the limit evicted
+        self.flag: dict = {}  # by sensor: whether its last arrived event was an anomaly
+        self.pos: dict = {}
+
+    def note(self, sensor, pos: int, micros: int, odd: bool) -> None:
+        self.pos[sensor] = pos
+        self.flag[sensor] = odd
+        if odd:
+            own = self.times.setdefault(sensor, [])
+            insort(own, micros)
+            del own[: bisect_left(own, micros - EVICT_HOURS * 3_600_000_000)]
+
+    def near(self, sensor, micros: int) -> list:
+        """Other sensors with an anomaly close in event time, or whose last event was one, in order."""
+        half = WINDOW_MINUTES * 60_000_000
+        found = []
+        for other, flag in self.flag.items():
+            if other != sensor:
+                own = self.times.get(other, ())
+                if flag or own and bisect_left(own, micros - half) < bisect_left(own, micros + half + 1):
+                    found.append(other)
+        return sorted(found, key=self.pos.get)
 
 
 def corroborate(classified: DataFrame, topo: DataFrame) -> DataFrame:
     """sensor_id, seq, is_corroborated, corroborated_by (in cluster order), diagnosis for each anomaly.
 
     A neighbour corroborates if one of its anomalies that arrived earlier lies within half an hour in
-    event time and was not evicted (an arrival more than three hours ahead evicts), or if its last
-    arrived event was an anomaly, however old."""
-    pairs = neighbours(topo)
-    flags = classified.select("sensor_id", "seq", "event_ts", "is_anomaly")
-    found = flags.where("is_anomaly").drop("is_anomaly")
-    asked = found.select("sensor_id").distinct()
-    pairs = pairs.join(asked, "sensor_id", "left_semi")
-    # As-of join along arrival: the neighbour's events and the sensor's anomalies in one sorted stream.
-    theirs = flags.withColumnRenamed("sensor_id", "neighbour").join(pairs, "neighbour").select("sensor_id", "neighbour", "pos", "cluster", "seq", "event_ts", F.col("is_anomaly").alias("theirs"))
-    ours = found.join(pairs, "sensor_id").select("sensor_id", "neighbour", "pos", "cluster", "seq", "event_ts", F.lit(None).cast("boolean").alias("theirs"))
-    before = Window.partitionBy("sensor_id", "neighbour").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    stream = theirs.unionByName(ours)
-    asof = stream.withColumn("last_flag", F.last("theirs", True).over(before)).withColumn("ahead", F.max(F.when(F.col("theirs"), F.col("event_ts"))).over(before)).where("theirs is null")
-
-    # Range join by buckets of the window's width: a time and its bounds are in three neighbouring ones.
-    width = WINDOW_MINUTES * 60
-    bucket = F.floor(F.unix_timestamp("event_ts") / width)
-    probe = asof.select("sensor_id", "neighbour", "seq", "event_ts", "ahead", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
-    facts = found.select(F.col("sensor_id").alias("neighbour"), F.col("seq").alias("n_seq"), F.col("event_ts").alias("n_ts"), bucket.alias("bucket"))
-    half = F.expr(f"interval {WINDOW_MINUTES} minutes")
-    near = probe.join(facts, ["neighbour", "bucket"]).where(
-        (F.col("n_seq") < F.col("seq"))
-        & (F.col("n_ts") >= F.col("event_ts") - half)
-        & (F.col("n_ts") <= F.col("event_ts") + half)
-        & (F.col("n_ts") >= F.col("ahead") - F.expr(f"interval {EVICT_HOURS} hours"))
-    )
-    hits = near.select("sensor_id", "neighbour", "seq").distinct().withColumn("in_window", F.lit(True))
-    joined = asof.join(hits, ["sensor_id", "neighbour", "seq"], "left").where(F.coalesce("in_window", F.lit(False)) | F.coalesce("last_flag", F.lit(False)))
-    by = joined.groupBy("sensor_id", "seq").agg(F.transform(F.array_sort(F.collect_set(F.struct("pos", "neighbour"))), lambda x: x["neighbour"]).alias("corroborated_by"))
-    out = found.select("sensor_id", "seq").join(by, ["sensor_id", "seq"], "left")
-    n = F.coalesce(F.size("corroborated_by"), F.lit(0))
+    event time and was not evicted (an own anomaly more than three hours later evicts), or if its last
+    arrived event was an anomaly, however old.
+
+    One pass over each cluster's events in arrival order, a few numbers an event: sorted inside
+    partitions and streamed, with what the cluster's sensors showed lately as state. Sensors without
+    a cluster are dealt by themselves."""
+    flags = classified.select("sensor_id", "seq", F.unix_micros("event_ts").alias("micros"), "is_anomaly")
+    own = own_cluster(topo).withColumnRenamed("cluster", "own")
+    sizes = topo.groupBy("cluster").agg(F.count_distinct("sensor_id").alias("members"))
+    listed = topo.select("cluster", "sensor_id", "pos").join(own, "sensor_id").join(sizes, "cluster")
+    listed = listed.select("sensor_id", "cluster", "pos", (F.col("cluster") == F.col("own")).alias("asked"), "members")
+    rows = flags.join(listed, "sensor_id", "left").withColumn("asked", F.coalesce("asked", F.lit(True)) & F.col("is_anomaly"))
+    key = F.coalesce(F.xxhash64("cluster") + F.when(F.col("cluster").isNotNull(), 0), F.xxhash64("sensor_id"))
+    dealt = rows.select("cluster", "sensor_id", "pos", "asked", "is_anomaly", "micros", "seq", "members", key.alias("dealt")).repartition("dealt").drop("dealt").sortWithinPartitions("cluster", "seq")
+    kind = dealt.schema["sensor_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cluster, watch = None, Watch()
+        for b in batches:
+            out = []
+            for name, sensor, pos, asked, odd, micros in zip(*(b.column(k).to_pylist() for k in range(6))):
+                if name != cluster:
+                    cluster, watch = name, Watch()
+                if asked:
+                    out.append(watch.near(sensor, micros) if name is not None else [])
+                if name is not None:
+                    watch.note(sensor, pos, micros, odd)
+            keep = b.filter(b.column(3))
+            yield pa.RecordBatch.from_arrays([keep.column(1), keep.column(6), pa.array(out, pa.list_(b.column(1).type)), keep.column(0), keep.column(7)], names=["sensor_id", "seq", "corroborated_by", "cluster", "members"])
+
+    schema = f"sensor_id {kind}, seq {dealt.schema['seq'].dataType.simpleString()}, corroborated_by array<{kind}>, cluster {dealt.schema['cluster'].dataType.simpleString()}, members bigint"
+    found = dealt.mapInArrow(run, schema)
+    n = F.size("corroborated_by")
     names = F.array_join(F.transform("corroborated_by", lambda x: x.cast("string")), ", ")
-    text = F.when(n > 0, F.concat(F.lit("SYSTEMIC PLUME: corroborated by "), names)).otherwise("LOCALIZED ISOLATED: no neighbour corroborates")
-    return out.select(
-        "sensor_id", "seq", F.coalesce(n > 0, F.lit(False)).alias("is_corroborated"), F.coalesce("corroborated_by", F.array().cast(by.schema["corroborated_by"].dataType)).alias("corroborated_by"), F.coalesce(text, F.lit("LOCALIZED ISOLATED: no neighbour corroborates")).alias("diagnosis")
-    )
+    text = F.when(n > 0, F.concat(F.lit("SYSTEMIC PLUME: corroborated by "), names, F.lit(" of "), F.col("cluster").cast("string")))
+    text = text.when(F.coalesce("members", F.lit(1)) < 2, F.concat(F.lit("no neighbours known of "), F.col("sensor_id").cast("string"))).otherwise("LOCALIZED ISOLATED: no neighbour corroborates")
+    return found.select("sensor_id", "seq", (n > 0).alias("is_corroborated"), "corroborated_by", text.alias("diagnosis"))
 
 
 def last_flags(classified: DataFrame) -> DataFrame:

@@ -11,29 +11,42 @@ EVENT = "struct<sensor_id:string,timestamp:string,readings:map<string,string>,so
 RAW = "sensor_id string, timestamp string, readings map<string,string>, source string, metadata string, seq bigint"
 
 
+def _file_system(spark: SparkSession, name: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of events per file; seq is the place in the array, file the file's name."""
-    if not path.endswith(".json") and "*" not in path:
-        path += ".json"
-    texts = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.from_json("value", f"array<{EVENT}>").alias("events"))
+    """A JSON array of events per file; seq is the place in the array, file the file's name. The name is
+    tried as given and with .json; a missing file is an error at once, a file that holds no JSON array
+    when its rows are read."""
+    if "*" not in path:
+        found = [n for n in (path, f"{path}.json") if (fs := _file_system(spark, n))[0].exists(fs[1])]
+        if not found:
+            raise FileNotFoundError(path)
+        path = found[0]
+    texts = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value")
+    parsed = F.from_json("value", f"array<{EVENT}>")
+    wrong = F.raise_error(F.concat(F.lit("not a JSON array of events: "), F.col("file"))).cast(f"array<{EVENT}>")
+    texts = texts.select("file", F.when(parsed.isNull() | ~F.trim("value").startswith("["), wrong).otherwise(parsed).alias("events"))
     return texts.select("file", F.posexplode("events").alias("pos", "e")).select("e.*", F.col("pos").cast("bigint").alias("seq"), "file")
 
 
 def list_fixtures(spark: SparkSession, folder: str) -> list[str]:
     """Sorted names of the JSON files in a folder; empty if there is none."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, path = _file_system(spark, folder)
     if not fs.exists(path):
         return []
     return sorted(s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName().endswith(".json"))
 
 
 def from_events(spark: SparkSession, events: Sequence[dict]) -> DataFrame:
-    """Events held in memory, in arrival order."""
+    """Events held in memory, in arrival order; readings keep the order of their names."""
     text = lambda v: None if v is None else str(v)
-    rows = [(e.get("sensor_id"), e.get("timestamp"), {k: text(v) for k, v in e["readings"].items()} if e.get("readings") is not None else None, e.get("source"), e.get("metadata"), i) for i, e in enumerate(events)]
-    return spark.createDataFrame(rows, RAW)
+    entries = lambda r: None if r is None else [(k, text(v)) for k, v in r.items()]
+    rows = [(e.get("sensor_id"), e.get("timestamp"), entries(e.get("readings")), e.get("source"), e.get("metadata"), i) for i, e in enumerate(events)]
+    held = spark.createDataFrame(rows, RAW.replace("map<string,string>", "array<struct<key:string,value:string>>"))
+    return held.withColumn("readings", F.map_from_entries("readings"))
 
 
 def read_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,22 +75,23 @@ def synthetic(spark: SparkSession, n: int, seed: int = 7, sensors: int = 20) ->
     )
 
 
-def from_event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def from_event_table(spark: SparkSession, sf_dir: str, squeeze: int = 0, turbidity: float = 1 / 20.0) -> DataFrame:
     """The driver's `events` as telemetry: users are sensors, hours are event times, every tenth event
-    arrives 20 hours late and every twentieth twice. seq is (arrival_ts, event_id, copy)."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    arrives 20 hours late and every twentieth twice. seq is (arrival_ts, event_id, copy). With
+    squeeze, event times are the times since 1970 divided by it, which puts events close together.
+    The session's time zone has to be UTC."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     k = F.regexp_extract("props", "[0-9]+", 0).cast("int")
     odd = lambda r, c: F.when(F.col("event_id") % 5 != r, c)
     kinds = F.create_map(*[F.lit(x) for x in ("signup", "lab", "purchase", "calibration", "view", "field", "click", "mobile", "error", "backup")])
     base = e.select(
         F.col("user_id").alias("sensor_id"),
-        F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("event_ts"),
+        (F.timestamp_seconds(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (squeeze * 1_000_000))) if squeeze else F.date_trunc("hour", F.col("ts").cast("timestamp"))).alias("event_ts"),
         F.when(F.col("event_id") % 10 == 3, F.col("ts") + F.expr("interval 20 hours")).otherwise(F.col("ts")).cast("timestamp").alias("arrival"),
         "event_id",
         kinds[F.col("event_type")].alias("source"),
         odd(0, 7.3 + (k - 50).cast("double") / 50.0).alias("ph"),
-        odd(1, F.col("value") / 20.0).alias("turbidity"),
+        odd(1, F.col("value") * turbidity if squeeze else F.col("value") / 20.0).alias("turbidity"),
         odd(2, 420.0 + (k - 50).cast("double") * 2.0 + F.col("value") / 5.0).alias("conductivity"),
         odd(3, 21.0 + ((k * 37) % 100 - 50).cast("double") / 10.0).alias("temperature"),
     )
