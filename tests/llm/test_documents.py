@@ -182,7 +182,8 @@ def test_decontaminate_near_and_short(spark):
     got = {r.doc_id: r for r in decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id string, text string")).collect()}
     assert got[1].n_hit == 12 and got[1]["items"] == ["x"]
     assert not got[2].contaminated and got[2].near_items == ["x"]
-    assert not got[3].contaminated and got[4]["items"] == ["t"] and got[5].n_words == 0
+    # The words of an item without an id are hit, but add no item.
+    assert (got[3].n_hit, got[3]["items"], got[3].contaminated) == (2, [], True) and got[4]["items"] == ["t"] and got[5].n_words == 0
 
 
 def test_decontaminate_null_item_ids(spark):
@@ -292,6 +293,41 @@ def test_viterbi_equals_enumeration():
         assert tuple(langid.viterbi(s, 2.0)) == best
 
 
+def test_viterbi_of_many_documents_equals_one_at_a_time():
+    rng = np.random.default_rng(4)
+    parts = [rng.normal(size=(int(n), 4)) * 4 for n in rng.integers(1, 60, 40)]
+    together = langid.viterbi_many(parts, 6.0)
+    for s, path in zip(parts, together):
+        value, back = s[0].copy(), []
+        for row in s[1:]:
+            came = [max(range(4), key=lambda a: (value[a] - 6.0 * (a != b), a == b)) for b in range(4)]
+            back.append(came)
+            value = np.array([value[came[b]] - 6.0 * (came[b] != b) for b in range(4)]) + row
+        want = [int(value.argmax())]
+        for came in reversed(back):
+            want.append(came[want[-1]])
+        assert path.tolist() == want[::-1]
+
+
+def test_language_scores_equal_plain_counts(spark):
+    """Word scores from trigram counts made by hand."""
+    rows = [(1, "Abba abc", "x"), (2, "zebra zoo", "y"), (3, None, "x"), (4, "abc", None)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    counts = {}
+    for _, text, lang in rows:
+        for w in (text or "").lower().split() if lang else ():
+            g = f"\0{w}\0"
+            counts.setdefault(lang, Counter()).update(g[i : i + 3] for i in range(len(w)))
+    assert sorted(counts) == sorted(model["langs"])
+    total = {x: sum(c.values()) + 0.2 * langid.BUCKETS for x, c in counts.items()}
+    _, _, got = langid.word_scores("abba zoo cab", model, floor=1e9)
+    for w, row in zip("abba zoo cab".split(), got):
+        g = f"\0{w}\0"
+        logs = [sum(np.log((counts[x][g[i : i + 3]] + 0.2) / total[x]) for i in range(len(w))) for x in model["langs"]]
+        assert np.allclose(row, np.array(logs) - max(logs), atol=1e-3)
+    assert langid.label("\U00031350 \U00031351", model, 20.0)[0] in ("x", "y")  # letters of the third ideographic plane
+
+
 def test_viterbi_two_halves_against_a_third_label():
     s = np.array([[0, -10, -0.6]] * 3 + [[-10, 0, -0.6]] * 3)
     assert langid.viterbi(s, 2.0).tolist() == [0, 0, 0, 1, 1, 1]

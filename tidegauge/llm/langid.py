@@ -5,7 +5,7 @@ training row (dense counts per task, summed in Spark; at most languages x 65,536
 driver). For prediction, a word's script narrows the languages to those that were seen to use it;
 each remaining language gives the word a log-likelihood; a Viterbi pass over the words, with a
 penalty for every switch, labels spans. The pass is skipped where a bound shows that no switch can
-pay. The document's language is the one with most letters.
+pay, and made for many documents at once. The document's language is the one with most letters.
 
 Edge cases: a null text, or one without letters, is `und` with score 0; letters of a script that no
 training language uses leave all languages tied, and ties go to the language with most training
@@ -47,7 +47,7 @@ def char_tables() -> tuple[np.ndarray, np.ndarray]:
     points = np.arange(sys.maxunicode + 1, dtype=np.uint32)
     lower = points.copy()
     keep = np.zeros(len(points), dtype=bool)
-    for p in range(0x30000):
+    for p in range(len(points)):
         c = chr(p)
         if unicodedata.category(c)[0] == "L" and not 0xD800 <= p < 0xE000:
             keep[p] = True
@@ -136,38 +136,92 @@ def word_scores(text: str, model: dict, floor: float = 12.0) -> tuple[np.ndarray
     return np.concatenate(starts), np.concatenate(lengths), np.concatenate(scores)
 
 
-def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
-    """The best label of every word where each change of label costs penalty."""
-    sums = np.cumsum(scores.astype(np.float64), axis=0)
+def one_label(scores: np.ndarray, penalty: float) -> int | None:
+    """The label of all words, if it is certain that no switch pays."""
+    sums = np.cumsum(scores, axis=0, dtype=np.float64)
     best = int(np.argmax(sums[-1]))
     gain = np.concatenate([np.zeros((1, scores.shape[1])), sums - sums[:, [best]]])
     # m switches make m + 1 stretches at most: if none gains over half the penalty, one label for all.
-    if (gain - np.minimum.accumulate(gain, axis=0)).max() <= penalty / 2:
-        return np.full(len(scores), best)
-    n, k = scores.shape
-    back = np.empty((n, k), dtype=np.int32)
-    value = scores[0].astype(np.float64)
-    own = np.arange(k)
-    for i in range(1, n):
-        top = int(np.argmax(value))
-        stay = value >= value[top] - penalty
-        back[i] = np.where(stay, own, top)
-        value = np.where(stay, value, value[top] - penalty) + scores[i]
-    path = np.empty(n, dtype=np.int64)
-    path[-1] = int(np.argmax(value))
-    for i in range(n - 1, 0, -1):
-        path[i - 1] = back[i, path[i]]
-    return path
-
-
-def label(text: str | None, model: dict, penalty: float) -> tuple[str, float, list[tuple[int, int, str]]]:
-    """Language, score, and (start, end, language) of the spans, in code points."""
-    if not text or not model["langs"]:
-        return "und", 0.0, []
-    starts, lengths, scores = word_scores(text, model)
-    if not len(starts):
-        return "und", 0.0, []
-    path = viterbi(scores, penalty)
+    return best if (gain - np.minimum.accumulate(gain, axis=0)).max() <= penalty / 2 else None
+
+
+def viterbi_many(parts: list[np.ndarray], penalty: float) -> list[np.ndarray]:
+    """The best label of every word where each change of label costs penalty, for several documents
+    (arrays of words x labels, none empty): they advance together, a word of each at a time."""
+    if not parts:
+        return []
+    order = sorted(range(len(parts)), key=lambda d: -len(parts[d]))
+    lengths = np.array([len(parts[d]) for d in order])
+    active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # documents longer than i
+    begin = np.concatenate([[0], np.cumsum(active)])
+    k = parts[0].shape[1]
+    steps = np.empty((begin[-1], k))  # by place, and there by document
+    for r, d in enumerate(order):
+        steps[begin[: lengths[r]] + r] = parts[d]
+    back = np.empty((begin[-1], k), dtype=np.int32)
+    value, own = steps[: active[0]].copy(), np.arange(k, dtype=np.int32)
+    for i in range(1, int(lengths[0])):
+        v = value[: active[i]]
+        top = v.argmax(axis=1)
+        least = v[np.arange(len(v)), top][:, None] - penalty
+        stay = v >= least
+        back[begin[i] : begin[i + 1]] = np.where(stay, own, top[:, None])
+        np.maximum(v, least, out=v)
+        v += steps[begin[i] : begin[i + 1]]
+    last = value.argmax(axis=1)
+    paths = [np.empty(0)] * len(parts)
+    ranks = np.arange(len(order))
+    state = np.zeros(len(order), dtype=np.int64)
+    labels = np.empty(begin[-1], dtype=np.int64)
+    for i in range(int(lengths[0]) - 1, -1, -1):
+        n = active[i]
+        more = active[i + 1] if i + 1 < len(active) else 0
+        if more:
+            state[:more] = back[begin[i + 1] + ranks[:more], state[:more]]
+        state[more:n] = last[more:n]
+        labels[begin[i] : begin[i + 1]] = state[:n]
+    for r, d in enumerate(order):
+        paths[d] = labels[begin[: lengths[r]] + r]
+    return paths
+
+
+def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
+    """As viterbi_many, for one document."""
+    best = one_label(scores, penalty)
+    return np.full(len(scores), best) if best is not None else viterbi_many([scores], penalty)[0]
+
+
+Label = tuple[str, float, list[tuple[int, int, str]]]
+
+
+def label_many(texts: list[str | None], model: dict, penalty: float, together: int = 400_000) -> list[Label]:
+    """Language, score, and (start, end, language) of the spans in code points, of each text; so many
+    words, or one longer text, are held at a time."""
+    out: list[Label] = [("und", 0.0, [])] * len(texts)
+    held: list[tuple] = []
+
+    def finish() -> None:
+        found = [one_label(h[3], penalty) for h in held]
+        paths = iter(viterbi_many([h[3] for h, one in zip(held, found) if one is None], penalty))
+        for (at, starts, lengths, scores), one in zip(held, found):
+            out[at] = summary(next(paths) if one is None else np.full(len(scores), one), starts, lengths, scores, model)
+        held.clear()
+
+    words = 0
+    for at, text in enumerate(texts):
+        if text and model["langs"]:
+            found = word_scores(text, model)
+            if len(found[0]):
+                if held and words + len(found[0]) > together:
+                    finish()
+                    words = 0
+                held.append((at, *found))
+                words += len(found[0])
+    finish()
+    return out
+
+
+def summary(path: np.ndarray, starts: np.ndarray, lengths: np.ndarray, scores: np.ndarray, model: dict) -> Label:
     letters = np.bincount(path, weights=lengths, minlength=len(model["langs"]))
     top = int(np.argmax(letters))
     total = scores.sum(axis=0, dtype=np.float64)
@@ -179,11 +233,14 @@ def label(text: str | None, model: dict, penalty: float) -> tuple[str, float, li
     return model["langs"][top], float(letters[top] / letters.sum() * certain), spans
 
 
+def label(text: str | None, model: dict, penalty: float) -> Label:
+    return label_many([text], model, penalty)[0]
+
+
 def _labels(column: pa.Array, model: dict, penalty: float) -> list[pa.Array]:
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])
     langs, scores, spans = [], [], []
-    for text in column:
-        lang, score, found = label(text.as_py(), model, penalty)
+    for lang, score, found in label_many(column.to_pylist(), model, penalty):
         langs.append(lang)
         scores.append(score)
         spans.append([{"start": s, "end": e, "lang": x} for s, e, x in found])
@@ -209,10 +266,7 @@ def keep_known(docs: DataFrame, model: dict, penalty: float = 20.0, min_score: f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for text in b.column(0).flatten()[place]:
-                lang, score, _ = label(text.as_py(), shared.value, penalty)
-                keep.append(lang != "und" and score >= min_score)
+            keep = [lang != "und" and score >= min_score for lang, score, _ in label_many(b.column(0).flatten()[place].to_pylist(), shared.value, penalty)]
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_()))], names=["row"])
 
     done = packed.mapInArrow(run, packed.schema)
