@@ -462,6 +462,48 @@ def test_license_scan(spark, odd_docs, no_docs):
     assert {r.n_licenses for r in license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string"), []).collect()} == {0}
 
 
+def test_license_wording_is_compared_in_order(spark):
+    rows = [
+        (1, "License MIT the under Released."),
+        (2, "Released now under the MIT License."),
+        (3, "Our own terms: every gadget remains the property of Acme Ltd and must be returned."),
+        (4, "MIT license, MIT License! Released under the MIT License. " * 3),
+        (5, "nothing here " * 2000 + "Every gadget stays the property of Acme Ltd and must be returned."),
+    ]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in license_scan.scan(df).collect()}
+    assert got[1].licenses == [] and got[2].licenses == ["MIT"] and got[2].findings[0].added == ["now"] and got[2].findings[0].missing == []
+    assert got[4].n_licenses >= 3
+    own = {r.doc_id: r for r in license_scan.scan(df, [("acme", "Every gadget remains the property of Acme Ltd and must be returned."), ("none", "...")]).collect()}
+    assert [own[k].licenses for k in (1, 2, 3, 4, 5)] == [[], [], ["acme"], [], ["acme"]]
+    assert own[5].findings[0].missing == ["remains"] and own[5].findings[0].added == ["stays"]
+
+
+def test_license_scan_equals_trying_everything():
+    """Against every window of every template's length, whatever its words: the same licenses."""
+    rng = np.random.default_rng(3)
+    matcher = license_scan.Matcher(license_scan.TEMPLATES)
+    for _ in range(60):
+        name, template = license_scan.TEMPLATES[rng.integers(len(license_scan.TEMPLATES))]
+        w = template.split()
+        for _ in range(int(rng.integers(0, max(1, len(w) // 12) + 1))):
+            at = int(rng.integers(len(w)))
+            w[at : at + 1] = [] if rng.random() < 0.4 and len(w) > 4 else ["changed"]
+        text = " ".join(["plain"] * int(rng.integers(0, 30)) + w + ["talk"] * int(rng.integers(0, 30)))
+        listed = license_scan.WORD.findall(text.lower())
+        every = []
+        for k, (_, wanted, _, _) in enumerate(matcher.templates):
+            anchors = {w for w, own in matcher.anchors.items() if k in {o[0] for o in own}}
+            for first in range(len(listed)):
+                window = listed[first : first + len(wanted)]
+                if anchors & set(window) and (m := matcher.confirm(k, window, Counter(window))):
+                    every.append(m)
+        found = license_scan.scan_text(text, matcher)
+        # A sentence or paragraph may have more in common than any window.
+        assert max((f["common"] for f in found), default=0) >= max((m["common"] for m in every), default=0)
+        assert not found or every or len(listed) < len(template.split())
+
+
 def test_whole_license_texts_wrapped_and_on_one_line(spark):
     import textwrap
 

@@ -1,18 +1,21 @@
 """License scan by conditional compression.
 
-Candidate blocks are the sentences and paragraphs of a text that hold a license word, and windows: where
-a license word of a template occurs in a text, as many words as the template has, laid so that both meet.
-Sentences and paragraphs are compressed alone and with every template of a fitting length as zstandard
-raw dictionary, and the best few are confirmed by exact wording; a window is confirmed against its own
-template. The words that differ from the template are listed, and a match may have `max_differing` of the
-template's words missing or added at most. Of overlapping ones the one with most words in common stays.
+Candidate blocks are the sentences and paragraphs of a text, and windows of as many words as a template
+has: where an anchor word of the template (its words of licensing, or else its longest word) occurs in a
+text, all those in which it stands so near its place in the template as a match allows. A block is compressed alone and with every template of a fitting
+number of words as zstandard raw dictionary. In the order of their size reductions, the templates are
+confirmed by exact wording: a diff of the two word sequences lists what is missing and what was added,
+and a match may have `max_differing` of the template's words missing or added at most. The words that
+two texts have in common in any order bound the diff, so hopeless ones are not diffed. Of overlapping
+matches the one with most words in common stays.
 
 Templates are short notices, whole texts of the short licenses (MIT, ISC, BSD, the Apache header) and the
-titles of the long ones, whose bodies are not compared.
+titles of the long ones, whose bodies are not compared. A text that has no anchor word of any template
+has no candidate blocks.
 
 Edge cases: a null or empty text has no blocks; equal ranks go to the template that comes first;
 repeated rows have equal results; very long texts are searched whole; an empty table gives no rows;
-other columns are ignored; without templates nothing is found.
+other columns are ignored; without templates, or with templates without words, nothing is found.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import pyarrow as pa
 import zstandard
@@ -72,71 +76,84 @@ WORD = re.compile(r"\w+(?:[.-]\w+)*")
 
 
 class Matcher:
-    def __init__(self, templates: list[tuple[str, str]], tries: int = 4, max_differing: float = 0.25):
+    def __init__(self, templates: list[tuple[str, str]], max_differing: float = 0.25):
         self.templates = []
+        # Anchor words of each template, with the places where they occur; stems: what a text must hold.
+        self.anchors: dict[str, list[tuple[int, int, int]]] = {}
+        self.stems: set[str] = set()
         for name, text in templates:
-            words = Counter(WORD.findall(text.lower()))
+            listed = WORD.findall(text.lower())
+            if not listed:
+                continue
             data = zstandard.ZstdCompressionDict(text.encode() * 2, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.templates.append((name, len(text), words, zstandard.ZstdCompressor(level=3, dict_data=data, write_content_size=False)))
+            k = len(self.templates)
+            self.templates.append((name, listed, Counter(listed), zstandard.ZstdCompressor(level=3, dict_data=data, write_content_size=False)))
+            for word in {w for w in listed if any(t in w for t in TRIGGERS)} or {max(listed, key=len)}:
+                self.anchors.setdefault(word, []).extend((k, place, len(listed)) for place, w in enumerate(listed) if w == word)
+                self.stems.add(next((t for t in TRIGGERS if t in word), word))
         self.alone = zstandard.ZstdCompressor(level=3, write_content_size=False)
-        # License words of each template, with the place where they occur first.
-        self.anchors: dict[str, list[tuple[int, int, int]]] = {}
-        for k, (_, text) in enumerate(templates):
-            listed = WORD.findall(text.lower())
-            for word in {w for w in listed if any(t in w for t in TRIGGERS)} or {w for w in listed[:1]}:
-                self.anchors.setdefault(word, []).append((k, listed.index(word), len(listed)))
-        self.tries, self.max_differing = tries, max_differing
+        self.max_differing = max_differing
 
     def best(self, block: str) -> dict | None:
-        raw = block.encode()
+        """The template that confirms with least differing words; equal ones by their size reduction."""
+        listed = WORD.findall(block.lower())
+        fitting = [k for k, (_, wanted, _, _) in enumerate(self.templates) if abs(len(wanted) - len(listed)) <= self.max_differing * len(wanted)]
+        if not fitting:
+            return None
+        raw, words, found = block.encode(), Counter(listed), None
         plain = len(self.alone.compress(raw))
-        ranked = [(1 - len(c.compress(raw)) / plain, -k) for k, (_, size, _, c) in enumerate(self.templates) if 0.5 * size <= len(block) <= 2 * size]
-        words, found = None, None
-        for reduction, k in sorted(ranked, reverse=True)[: self.tries]:
-            words = words or Counter(WORD.findall(block.lower()))
-            match = self.confirm(-k, words, reduction)
+        for reduction, k in sorted(((1 - len(self.templates[k][3].compress(raw)) / plain, -k) for k in fitting), reverse=True):
+            match = self.confirm(-k, listed, words, reduction)
             if match and (found is None or match["differing"] < found["differing"]):
                 found = match
         return found
 
-    def confirm(self, k: int, words: Counter, reduction: float | None = None) -> dict | None:
-        name, _, wanted, _ = self.templates[k]
-        missing, added = wanted - words, words - wanted
-        differing = missing.total() + added.total()
-        if differing <= self.max_differing * wanted.total():
-            return {"license": name, "reduction": reduction, "differing": differing, "common": wanted.total() - differing, "missing": sorted(missing.elements()), "added": sorted(added.elements())}
+    def confirm(self, k: int, listed: list[str], words: Counter, reduction: float | None = None) -> dict | None:
+        name, wanted, bag, _ = self.templates[k]
+        allowed = self.max_differing * len(wanted)
+        if (bag - words).total() + (words - bag).total() > allowed:
+            return None
+        missing, added = [], []
+        for what, a, b, c, d in SequenceMatcher(None, wanted, listed, autojunk=False).get_opcodes():
+            if what != "equal":
+                missing += wanted[a:b]
+                added += listed[c:d]
+        differing = len(missing) + len(added)
+        if differing <= allowed:
+            return {"license": name, "reduction": reduction, "differing": differing, "common": len(wanted) - differing, "missing": missing, "added": added}
         return None
 
     def windows(self, text: str) -> Iterator[dict]:
-        """Confirmed windows of the templates' lengths around the license words of a text."""
+        """Confirmed windows of the templates' lengths around the anchor words of a text."""
         at = list(WORD.finditer(text))
         listed = [m.group().lower() for m in at]
         tried = set()
         for i, word in enumerate(listed):
             for k, place, n in self.anchors.get(word, ()):
-                first = max(0, i - place)
-                if (first, k) in tried:
-                    continue
-                tried.add((first, k))
-                last = min(len(listed), first + n)
-                match = self.confirm(k, Counter(listed[first:last]))
-                if match:
-                    start, end = at[first].start(), at[last - 1].end()
-                    raw = text[start:end].encode()
-                    match["reduction"] = 1 - len(self.templates[k][3].compress(raw)) / len(self.alone.compress(raw))
-                    yield {"start": start, "end": end} | match
+                slack = int(self.max_differing * n)
+                for first in range(max(0, i - place - slack), max(0, i - place + slack) + 1):
+                    if (first, k) in tried or first >= len(listed):
+                        continue
+                    tried.add((first, k))
+                    last = min(len(listed), first + n)
+                    match = self.confirm(k, listed[first:last], Counter(listed[first:last]))
+                    if match:
+                        start, end = at[first].start(), at[last - 1].end()
+                        raw = text[start:end].encode()
+                        match["reduction"] = 1 - len(self.templates[k][3].compress(raw)) / len(self.alone.compress(raw))
+                        yield {"start": start, "end": end} | match
 
 
 def scan_text(text: str | None, matcher: Matcher) -> list[dict]:
     """Confirmed notices of a text in order, none overlapping another."""
     low = text.lower() if text else ""
-    if not any(t in low for t in TRIGGERS):
+    if not any(t in low for t in matcher.stems):
         return []
     found: list[dict] = []
     for pattern in (PARAGRAPH, SENTENCE):
         for m in pattern.finditer(text):
             block = m.group().strip()
-            if any(t in block.lower() for t in TRIGGERS):
+            if any(t in block.lower() for t in matcher.stems):
                 start = m.start() + len(m.group()) - len(m.group().lstrip())
                 best = matcher.best(block)
                 if best:
