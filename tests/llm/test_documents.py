@@ -195,6 +195,28 @@ def test_decontaminate_null_item_ids(spark):
     assert [r.doc_id for r in decontaminate.keep_clean(docs, bench).collect()] == [3]
 
 
+def test_decontaminate_near_matches_do_not_depend_on_other_documents(spark):
+    item = [f"q{i}" for i in range(10)]
+    docs = [(1, " ".join(item[:4] + ["other"] + item[5:])), (2, " ".join(f"z{i}" for i in range(30))), (3, "q4 q3")]
+    bench = spark.createDataFrame([("x", " ".join(item))], "item_id string, text string")
+    for own in (docs, docs[:1]):
+        got = {r.doc_id: r for r in decontaminate.decontaminate(spark.createDataFrame(own, "doc_id bigint, text string"), bench).collect()}
+        assert got[1].near_items == ["x"] and not got[1].contaminated
+
+
+def test_decontaminate_common_words_and_candidates_in_portions(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    docs = [(d, " ".join(rng.choice(["to", "be", "or"], 400))) for d in range(6)] + [(9, None), (None, "to be or")]
+    bench = [(f"i{k}", " ".join(rng.choice(["to", "be", "or"], 5 + k))) for k in range(12)] + [("i0", "to be or to be or")]
+    monkeypatch.setattr(decontaminate, "CANDIDATES", 50)
+    frames = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id string, text string")
+    for blocks in (500_000, 20):
+        got = sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in decontaminate.decontaminate(*frames, block_words=blocks).collect()), key=str)
+        assert got == sorted(((d, *plain.contamination(t, bench)) for d, t in docs), key=str)
+        clean = {(r.doc_id, r.text) for r in decontaminate.keep_clean(*frames, block_words=blocks).collect()}
+        assert clean == {(d, t) for d, t in docs if not plain.contamination(t, bench)[1]}
+
+
 def test_decontaminate_edges(spark, odd_docs, no_docs, small):
     bench = read_table(spark, small, "benchmark")
     assert decontaminate.decontaminate(odd_docs, bench).count() == 11

@@ -1,71 +1,67 @@
 """Benchmark decontamination with a positional inverted index.
 
 `build_index` stores token postings in segments: a segment is a bounded run of documents with, for
-every term of a given vocabulary, the sorted positions where it occurs. Segments are rows, so the
-index is distributed by document, can be written as a table and searched again. `search` sends the
-test windows to the segments: within one, each window starts from the list of its rarest term, and
-keeps the offset-adjusted positions that are in the list of its next rarest term, and so on. What is
-left is an exact phrase. A window whose three rarest terms occur within `slop` words of their places
-without an exact match is a proximity match.
+every word in them, the sorted positions where it occurs. Segments are rows of a written table, so the
+index is distributed by document and is searched as often as needed. `search` sends test windows to
+the segments: within one, each window starts from the list of its rarest term, and keeps the
+offset-adjusted positions that are in the list of its next rarest term, and so on. What is left is an
+exact phrase. A window whose three terms that are rarest among the test items occur within `slop` words
+of their places without an exact match is a proximity match, whatever its other words.
 
-The test windows are sent in blocks of bounded size, never all at once if they exceed the block.
+The test items are dealt to blocks of bounded size by hash in Spark; the driver and the tasks hold one
+block at a time, as arrays of word numbers. Within a segment, windows are searched some at a time, so
+that their candidate positions are bounded too.
 
 Edge cases: a null or empty text has no words and no hits; an item without words has no window and
 one of fewer than `width` words is a single window; the words of an item with a null item_id count as hit
-and contaminate, but add no item; repeated rows are indexed as rows of their own;
-a document longer than a segment gets a segment to itself; empty tables give no rows or no hits;
-other columns are ignored.
+and contaminate, but add no item; repeated rows are indexed as rows of their own; a document longer
+than a segment gets a segment to itself; empty tables give no rows or no hits; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import materialize, read_table
 
 #: Letters in lower case; what separates words becomes a blank. Bytes from 0x80 belong to words.
 FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
 GAP = 16  # unused positions between documents; a phrase or a near match never crosses them
-INDEX = "doc_ids array<long>, n_words array<long>, starts array<long>, terms array<binary>, list_starts array<long>, positions binary"
+INDEX = "doc_ids array<long>, digests array<binary>, n_words array<long>, starts array<long>, terms array<binary>, list_starts array<long>, positions binary"
+CANDIDATES = 2_000_000  # positions that are looked at together
 
 
 def words(text: str | None) -> list[bytes]:
     return text.encode().translate(FOLD).split() if text else []
 
 
-def vocabulary(benchmark: DataFrame) -> set[bytes]:
-    """The words of a block of test items; bounded by the block."""
-    return {w for r in benchmark.select("text").toLocalIterator() for w in words(r[0])}
-
-
-def build_index(docs: DataFrame, terms: set[bytes], segment_words: int = 2_000_000) -> DataFrame:
-    """Segments of docs (doc_id, text) with the postings of terms."""
-    listed = sorted(terms)
-    shared = docs.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(listed)})
+def build_index(docs: DataFrame, segment_words: int = 200_000) -> DataFrame:
+    """Segments of docs (doc_id, text) with the postings of all their words; digests tell texts of one
+    doc_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = shared.value
-        doc_ids, counts, starts, parts = [], [], [], []
+        number: dict[bytes, int] = {}
+        doc_ids, digests, counts, starts, parts = [], [], [], [], []
         at = 0
 
         def segment() -> pa.RecordBatch:
             ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
             where = np.flatnonzero(ids >= 0)
             order = where[np.argsort(ids[where], kind="stable")].astype(np.int32)
-            have, first = np.unique(ids[order], return_index=True)
-            row = [doc_ids[:], counts[:], starts[:], [names[k] for k in have], np.append(first, len(order)).tolist(), order.tobytes()]
-            types = [pa.list_(pa.int64())] * 3 + [pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary()]
-            for x in (doc_ids, counts, starts, parts):
+            first = np.searchsorted(ids[order], np.arange(len(number) + 1))
+            row = [doc_ids[:], digests[:], counts[:], starts[:], list(number), first.tolist(), order.tobytes()]
+            types = [pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary()]
+            for x in (doc_ids, digests, counts, starts, parts, number):
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=[c.split()[0] for c in INDEX.split(", ")])
 
-        names = sorted(number, key=number.get)
         pad = np.full(GAP, -1, dtype=np.int32)
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
@@ -74,9 +70,10 @@ def build_index(docs: DataFrame, terms: set[bytes], segment_words: int = 2_000_0
                     yield segment()
                     at = 0
                 doc_ids.append(doc_id)
+                digests.append(hashlib.md5((text.as_py() or "").encode()).digest())
                 counts.append(len(found))
                 starts.append(at)
-                parts += [np.array([number.get(w, -1) for w in found], dtype=np.int32), pad]
+                parts += [np.array([number.setdefault(w, len(number)) for w in found], dtype=np.int32), pad]
                 at += len(found) + GAP
         if doc_ids:
             yield segment()
@@ -84,147 +81,194 @@ def build_index(docs: DataFrame, terms: set[bytes], segment_words: int = 2_000_0
     return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, INDEX)
 
 
-def windows_of(items: list[tuple], width: int) -> tuple[list[tuple[bytes, ...]], list[list[str]]]:
-    """Distinct windows, and the items (as strings) that each comes from."""
-    found: dict[tuple[bytes, ...], dict[str, None]] = {}
-    for item_id, text in items:
-        w = words(text)
-        if w:
-            for k in range(max(1, len(w) - width + 1)):
-                owners = found.setdefault(tuple(w[k : k + width]), {})
-                if item_id is not None:
-                    owners[str(item_id)] = None
-    return list(found), [list(x) for x in found.values()]
+@dataclass
+class Windows:
+    """The different windows of a block of test items."""
+
+    terms: list[bytes]
+    matrix: np.ndarray  # windows x width: numbers of terms, -1 past the end of a short one
+    rare: np.ndarray  # windows x 3: places of the terms that are rarest in the block
+    items: list[str]
+    owners: np.ndarray  # numbers of items, of one window after the other
+    first: np.ndarray  # where each window's owners begin
 
 
-def intersect(keys: np.ndarray, span: int, lists: np.ndarray, sizes: np.ndarray, matrix: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
-    """Windows and starts of exact matches, and of near matches.
+def windows_of(items: list[tuple], width: int) -> Windows:
+    number: dict[bytes, int] = {}
+    names: dict[str, int] = {}
+    rows, of = [], []
+    for item_id, text in items:
+        ids = np.array([number.setdefault(w, len(number)) for w in words(text)], dtype=np.int32)
+        if len(ids):
+            padded = np.pad(ids, (0, max(0, width - len(ids))), constant_values=-1)
+            rows.append(np.lib.stride_tricks.sliding_window_view(padded, width))
+            of.append(np.full(len(rows[-1]), -1 if item_id is None else names.setdefault(str(item_id), len(names))))
+    if not rows:
+        return Windows([], np.zeros((0, width), np.int32), np.zeros((0, 3), np.int64), [], np.zeros(0, np.int64), np.zeros(1, np.int64))
+    matrix, window = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+    pairs = np.unique(np.stack([window.ravel(), np.concatenate(of)], axis=1), axis=0)
+    pairs = pairs[pairs[:, 1] >= 0]
+    terms = list(number)
+    times = np.bincount(np.concatenate([r[:, 0] for r in rows] + [r[-1, 1:][r[-1, 1:] >= 0] for r in rows]), minlength=len(terms))
+    rank = np.empty(len(terms) + 1, dtype=np.int64)  # in one order for all segments: rare in the block, then by the word
+    rank[sorted(range(len(terms)), key=lambda t: (times[t], terms[t]))] = np.arange(len(terms))
+    rank[-1] = len(terms)
+    rare = np.argsort(rank[matrix], axis=1, kind="stable")[:, :3]
+    return Windows(terms, matrix, rare, list(names), pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(matrix) + 1)))
+
+
+def portions(n: np.ndarray) -> Iterator[slice]:
+    """Runs of windows with so many candidates, or one window with more."""
+    sums = np.cumsum(n)
+    at = 0
+    while at < len(n):
+        stop = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + CANDIDATES, "right")))
+        yield slice(at, stop)
+        at = stop
+
+
+def intersect(keys: np.ndarray, span: int, lists: np.ndarray, sizes: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows and starts of exact matches.
 
     keys: term * span + position over all postings, sorted. lists, sizes: where each term's list
     begins in keys, and its length. matrix: the windows' terms, -1 past the end of a short one."""
-    width = matrix.shape[1]
     size = np.where(matrix >= 0, sizes[matrix], np.iinfo(np.int64).max)
     order = np.argsort(size, axis=1, kind="stable")  # rarest term first
     rare = np.take_along_axis(matrix, order[:, :1], axis=1)[:, 0]
-    n = sizes[rare]
-    win = np.repeat(np.arange(len(matrix)), n)
-    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    start = keys[lists[rare][win] + nth] - rare[win] * span - order[win, 0]
-    near_win, near_start = win, start
-    for r in range(1, width):
-        off = order[win, r]
-        term = matrix[win, off]
-        want = term * span + start + off
-        at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-        keep = (term < 0) | (keys[at] == want)
-        win, start = win[keep], start[keep]
-    for r in (1, 2):  # proximity
-        if r >= width or not slop:
-            near_win, near_start = near_win[:0], near_start[:0]
-            break
-        off = order[near_win, r]
-        term = matrix[near_win, off]
-        want = term * span + near_start + off
-        keep = (term >= 0) & (np.searchsorted(keys, want + slop, "right") > np.searchsorted(keys, np.maximum(want - slop, term * span)))
-        near_win, near_start = near_win[keep], near_start[keep]
-    return win, start, (near_win, near_start)
+    wins, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for part in portions(sizes[rare]):
+        n = sizes[rare[part]]
+        win = np.repeat(np.arange(part.start, part.stop), n)
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        start = keys[lists[rare][win] + nth] - rare[win] * span - order[win, 0]
+        for r in range(1, matrix.shape[1]):
+            off = order[win, r]
+            term = matrix[win, off]
+            want = term * span + start + off
+            at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+            keep = (term < 0) | (keys[at] == want)
+            win, start = win[keep], start[keep]
+        wins.append(win)
+        starts.append(start)
+    return np.concatenate(wins), np.concatenate(starts)
+
+
+def near(keys: np.ndarray, span: int, lists: np.ndarray, sizes: np.ndarray, terms: np.ndarray, places: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows and starts where all three terms of a window occur within slop of their places."""
+    wins, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for part in portions(sizes[terms[:, 0]]):
+        n = sizes[terms[part, 0]]
+        win = np.repeat(np.arange(part.start, part.stop), n)
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        start = keys[lists[terms[:, 0]][win] + nth] - terms[win, 0] * span - places[win, 0]
+        for r in (1, 2):
+            term = terms[win, r]
+            want = term * span + start + places[win, r]
+            keep = np.searchsorted(keys, want + slop, "right") > np.searchsorted(keys, np.maximum(want - slop, term * span))
+            win, start = win[keep], start[keep]
+        inside = start >= 0
+        wins.append(win[inside])
+        starts.append(start[inside])
+    return np.concatenate(wins), np.concatenate(starts)
 
 
 def search(index: DataFrame, items: list[tuple], width: int = 10, slop: int = 3) -> DataFrame:
-    """Per indexed document: its words, the hit positions as intervals, the items with a phrase in
-    it and those with near matches only. items: (item_id, text) of one block."""
+    """Per indexed document: doc_id, digest, its words, the hit positions as intervals, the items with a
+    phrase in it and those with near matches only. items: (item_id, text) of one block."""
     spark = index.sparkSession
-    shared = spark.sparkContext.broadcast(windows_of(items, width))
-    schema = "doc_id long, n_words long, hits array<struct<start:long,end:long>>, items array<string>, near_items array<string>"
+    shared = spark.sparkContext.broadcast(windows_of(items, width))  # bounded by the block
+    schema = "doc_id long, digest binary, n_words long, hits array<struct<start:long,end:long>>, items array<string>, near_items array<string>"
     interval = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
-    def segment(doc_ids, counts, starts, terms, list_starts, positions) -> pa.RecordBatch:
-        windows, owners = shared.value
+    def segment(doc_ids, digests, counts, starts, terms, list_starts, positions) -> pa.RecordBatch:
+        known = shared.value
         counts, starts = np.array(counts, np.int64), np.array(starts, np.int64)
         hits = [[] for _ in doc_ids]
         items_of = [set() for _ in doc_ids]
         near_of = [set() for _ in doc_ids]
         number = {w: k for k, w in enumerate(terms)}
-        usable = [k for k, w in enumerate(windows) if all(x in number for x in w)]
-        if usable:
-            matrix = np.full((len(usable), width), -1, dtype=np.int64)
-            for row, k in enumerate(usable):
-                matrix[row, : len(windows[k])] = [number[x] for x in windows[k]]
-            length = (matrix >= 0).sum(axis=1)
-            pos = np.frombuffer(positions, dtype=np.int32).astype(np.int64)
-            lists = np.array(list_starts, np.int64)
-            sizes = np.diff(lists)
-            span = int(starts[-1] + counts[-1]) + 2 * GAP
-            keys = np.repeat(np.arange(len(terms)), sizes) * span + pos
-            win, start, (near_win, near_start) = intersect(keys, span, lists, sizes, matrix, slop)
+        own = np.array([number.get(w, -2) for w in known.terms] + [-1], dtype=np.int64)  # -2: not in the segment
+        matrix = own[known.matrix]
+        lists = np.array(list_starts, np.int64)
+        sizes = np.diff(lists)
+        pos = np.frombuffer(positions, dtype=np.int32).astype(np.int64)
+        span = int(starts[-1] + counts[-1]) + 2 * GAP
+        keys = np.repeat(np.arange(len(terms)), sizes) * span + pos
+        document = lambda start: np.searchsorted(starts, start, "right") - 1
+        owners = lambda w: known.owners[known.first[w] : known.first[w + 1]].tolist()
+        usable = np.flatnonzero((matrix != -2).all(axis=1))
+        if len(usable):
+            win, start = intersect(keys, span, lists, sizes, matrix[usable])
             order = np.argsort(start, kind="stable")
-            win, start = win[order], start[order]
-            doc = np.searchsorted(starts, start, "right") - 1
-            for w, s, d in zip(win.tolist(), start.tolist(), doc.tolist()):
+            win, start = usable[win[order]], start[order]
+            length = (matrix >= 0).sum(axis=1)
+            for w, s, d in zip(win.tolist(), start.tolist(), document(start).tolist()):
                 a, e = s - int(starts[d]), s - int(starts[d]) + int(length[w])
                 if hits[d] and a <= hits[d][-1]["end"]:
                     hits[d][-1]["end"] = max(e, hits[d][-1]["end"])
                 else:
                     hits[d].append({"start": a, "end": e})
-                items_of[d].update(owners[usable[w]])
-            inside = near_start >= 0
-            near_win, near_start = near_win[inside], near_start[inside]
-            for w, d in set(zip(near_win.tolist(), (np.searchsorted(starts, near_start, "right") - 1).tolist())):
-                near_of[d].update(owners[usable[w]])
+                items_of[d].update(owners(w))
+        if slop and len(matrix) and known.rare.shape[1] == 3:
+            terms3 = np.take_along_axis(matrix, known.rare, axis=1)
+            usable = np.flatnonzero((terms3 >= 0).all(axis=1))
+            win, start = near(keys, span, lists, sizes, terms3[usable], known.rare[usable], slop)
+            for w, d in set(zip(usable[win].tolist(), document(start).tolist())):
+                near_of[d].update(owners(w))
+        names = lambda x: sorted(known.items[k] for k in x)
         columns = [
             pa.array(doc_ids, pa.int64()),
+            pa.array(digests, pa.binary()),
             pa.array(counts, pa.int64()),
             pa.array(hits, pa.list_(interval)),
-            pa.array([sorted(x) for x in items_of], pa.list_(pa.string())),
-            pa.array([sorted(y - x) for x, y in zip(items_of, near_of)], pa.list_(pa.string())),
+            pa.array([names(x) for x in items_of], pa.list_(pa.string())),
+            pa.array([names(y - x) for x, y in zip(items_of, near_of)], pa.list_(pa.string())),
         ]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "hits", "items", "near_items"])
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "n_words", "hits", "items", "near_items"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                yield segment(*(b.column(c)[k].as_py() for c in range(6)))
+                yield segment(*(b.column(c)[k].as_py() for c in range(7)))
 
     return index.mapInArrow(run, schema)
 
 
-def blocks(benchmark: DataFrame, block_words: int) -> list[list[tuple]]:
-    """The test items in blocks of at most so many words (or a single longer item)."""
-    out, size = [[]], 0
-    for r in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator():
-        n = len(words(r[1]))
-        if out[-1] and size + n > block_words:
-            out.append([])
-            size = 0
-        out[-1].append((r[0], r[1]))
-        size += n
-    return out
+def blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple]]:
+    """The test items in blocks of about so many words (or a single longer item), dealt by hash in Spark
+    and fetched one at a time."""
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    total = rows.agg(F.sum(F.size(F.split("text", "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")))).first()[0] or 0
+    n = max(1, -(-total // block_words))
+    for k in range(n):
+        yield [tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]
+
+
+def found_in(index: DataFrame, benchmark: DataFrame, width: int, slop: int, block_words: int) -> DataFrame:
+    """The results of search over all blocks, one row per indexed document. Equal documents have equal
+    results, so of several blocks' rows one per document and copy is put together by doc_id and digest."""
+    found, several = None, False
+    for part in blocks(benchmark, block_words):
+        one = search(index, part, width, slop)
+        several = found is not None
+        found = one if found is None else found.unionByName(materialize(one, "found"))
+    if not several:
+        return found.drop("digest")
+    times = index.select(F.explode(F.arrays_zip("doc_ids", "digests")).alias("d")).groupBy(F.col("d.doc_ids").alias("doc_id"), F.col("d.digests").alias("digest")).agg(F.count(F.lit(1)).alias("times"))
+    joined = found.groupBy("doc_id", "digest").agg(
+        F.max("n_words").alias("n_words"),
+        F.array_sort(F.flatten(F.collect_set("hits"))).alias("hits"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("near_items")))).alias("near_items"),
+    )
+    both = joined.alias("j").join(times.alias("t"), F.col("j.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("j.digest") == F.col("t.digest")))
+    return both.select("j.doc_id", "n_words", "hits", "items", F.array_except("near_items", "items").alias("near_items"), F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_")).drop("_")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: int = 3, block_words: int = 2_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: int = 3, block_words: int = 500_000) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items,
-    near_items. More than one block of test items: the documents are searched once per block, and
-    a document's rows meet by a row number of its own."""
-    parts = blocks(benchmark, block_words)
-    if len(parts) == 1:
-        merged = search(build_index(docs, {w for _, t in parts[0] for w in words(t)}), parts[0], width, slop)
-    else:
-        # Every block sees the same rows of a document: equal rows have equal results, so one of each will do.
-        key = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-        rows = key.groupBy("doc_id", F.sha2("text", 256).alias("digest")).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("times"))
-        numbered = rows.select(F.struct("doc_id", "digest").alias("key"), F.xxhash64("doc_id", "digest").alias("doc_id"), "text", "times")
-        found = None
-        for part in parts:
-            one = search(build_index(numbered, {w for _, t in part for w in words(t)}), part, width, slop)
-            found = one if found is None else found.unionByName(one)
-        joined = found.groupBy("doc_id").agg(
-            F.max("n_words").alias("n_words"),
-            F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("near_items")))).alias("near_items"),
-        )
-        joined = joined.join(numbered.select("doc_id", "key", "times"), "doc_id")
-        merged = joined.select(F.col("key.doc_id").alias("doc_id"), "n_words", "hits", "items", F.array_except("near_items", "items").alias("near_items"), F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_")).drop("_")
+    near_items. The index is written once and searched once per block of test items."""
+    merged = found_in(materialize(build_index(docs), "index"), benchmark, width, slop, block_words)
     # Intervals are sorted by start: each adds what lies past the furthest end so far.
     covered = F.aggregate(
         "hits",
@@ -244,13 +288,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop:
     )
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """docs without the rows that hold an exact phrase of a test item; columns stay. A row is known
-    by a hash of doc_id and text."""
-    key = F.xxhash64(docs["doc_id"], docs["text"])
-    found = decontaminate(docs.select(key.alias("doc_id"), docs["text"]), benchmark, width, slop=0)
-    dirty = found.where("contaminated").select(F.col("doc_id").alias("_dirty")).distinct()
-    return docs.join(dirty, key == F.col("_dirty"), "left_anti")
+def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_words: int = 500_000) -> DataFrame:
+    """docs without the rows that hold an exact phrase of a test item; columns stay. A row is known by
+    doc_id and the digest of its text."""
+    index = materialize(build_index(docs), "index")
+    dirty = None
+    for part in blocks(benchmark, block_words):
+        one = materialize(search(index, part, width, slop=0).where(F.size("hits") > 0).select("doc_id", "digest"), "dirty")
+        dirty = one if dirty is None else dirty.union(one)
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("id"), F.unhex(F.md5(F.coalesce(docs["text"].cast("string"), F.lit("")))).alias("digest"))
+    dirty = dirty.distinct().select(F.col("doc_id").alias("dirty_id"), F.col("digest").alias("dirty_digest"))
+    clean = packed.join(dirty, (F.col("digest") == F.col("dirty_digest")) & F.col("id").eqNullSafe(F.col("dirty_id")), "left_anti")
+    return clean.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
