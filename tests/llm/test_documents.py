@@ -559,7 +559,8 @@ def test_scores_equal_brute_force_and_training_helps(spark, small, odd_docs, no_
         for i, t in enumerate(ids):
             around = [padded[i + R + d] for d in range(-R, R + 1) if d]
             h = np.tanh(sum(m["embed"][x] * w for x, w in zip(around, m["place"])) @ m["hidden"] + m["hidden_bias"])
-            total += np.log(soft(h @ m["classes"] + m["class_bias"])[t // C]) + np.log(soft(h @ m["words"][t // C] + m["word_bias"][t // C])[t % C])
+            for k, (g, x) in enumerate(((0, t // C**2), (t // C**2, t // C % C), (t // C, t % C))):
+                total += np.log(soft(h @ m[f"level{k}"][g] + m[f"level{k}_bias"][g])[x])
         assert abs(total - after[row.doc_id].log_likelihood) < 1e-3 * max(1, abs(total))
     got = pseudo_likelihood.pseudo_likelihood(odd_docs).collect()
     assert len(got) == 11 and all(r.log_likelihood == 0 and r.mean_log_likelihood is None for r in got if r.n_tokens == 0)

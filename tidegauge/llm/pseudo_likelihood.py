@@ -1,9 +1,9 @@
 """Document scores by masked pseudo-likelihood.
 
 A window network predicts every token from the tokens on both sides: embeddings of `radius`
-neighbours left and right, each weighted by place, are summed, passed through a tanh layer, and two
-softmax layers give the token's class and the token within the class. A document's score is the sum
-over its tokens of log P(token | both sides).
+neighbours left and right, each weighted by place, are summed, passed through a tanh layer, and three
+softmax layers give the token's class, its part of the class and the token within the part. A document's
+score is the sum over its tokens of log P(token | both sides).
 
 Tokens are words and punctuation. Their vocabulary comes from the counts over all documents and grows
 with the corpus: the most frequent ones, up to twice the root of the number of tokens and never under
@@ -39,23 +39,26 @@ from pyspark.sql import functions as F
 from .common import materialize, read_table
 
 TOKEN = re.compile(r"\w+|[^\w\s]")
-CLASSES, DIM, RADIUS = 32, 16, 2  # classes where no vocabulary is given
-PAD = CLASSES * CLASSES  # beside and between documents: the number after the last
+CLASSES, DIM, RADIUS = 10, 16, 2  # classes where no vocabulary is given
+PAD = CLASSES**3  # beside and between documents: the number after the last
 LEAST_VOCAB = 4096
 BLOCK = 8192  # parameters a row when models are averaged
 SLICE = 32_768
+HELD = 500_000  # different tokens that a task remembers
+ROWS = 512  # of a product: small enough that BLAS stays on one thread, as more only wait for each other
+LOOP = 12  # tokens of a batch in one part from which it is worked on by itself
 
 
 @dataclass
 class Vocabulary:
-    side: int  # numbers: side x side
+    side: int  # numbers: side x side x side
     known: dict[int, int]  # hash -> number
     counts: np.ndarray  # tokens of each number
     sizes: np.ndarray  # different tokens of each number
 
     def number(self, h: int) -> int:
         own = self.known.get(h)
-        spare = self.side * self.side - len(self.known)
+        spare = self.side**3 - len(self.known)
         return own if own is not None else len(self.known) + h % spare if spare else h % len(self.known)
 
 
@@ -82,7 +85,7 @@ def count_tokens(docs: DataFrame) -> DataFrame:
         for b in batches:
             for t in b.column(0):
                 seen.update(tokens(t.as_py()))
-                if len(seen) > 200_000:
+                if len(seen) > HELD:
                     yield flush()
         if seen:
             yield flush()
@@ -101,53 +104,59 @@ def build_vocabulary(docs: DataFrame, least: int = LEAST_VOCAB) -> Vocabulary:
             break
         from_band, have = b["band"], have + b["words"]
     rare = have < sum(b["words"] for b in bands)
-    side = max(2, math.isqrt(max(have + (limit // 4 if rare else 0) - 1, 0)) + 1)
+    side = 2
+    while side**3 < have + (limit // 4 if rare else 0):
+        side += 1
     top = F.lit(False) if from_band is None else F.col("band") >= from_band
     own = sorted(((r["n"], r["h"]) for r in counted.where(top).collect()), key=lambda x: (-x[0], x[1]))
-    counts, sizes = np.zeros(side * side), np.ones(side * side)
+    counts, sizes = np.zeros(side**3), np.ones(side**3)
     counts[:have] = [n for n, _ in own]
     if rare:
-        spread = counted.where(~top).groupBy(F.pmod("h", F.lit(side * side - have)).alias("k")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words"))
+        spread = counted.where(~top).groupBy(F.pmod("h", F.lit(side**3 - have)).alias("k")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words"))
         for r in spread.collect():
             counts[have + r["k"]], sizes[have + r["k"]] = r["n"], r["words"]
     return Vocabulary(side, {h: k for k, (_, h) in enumerate(own)}, counts, sizes)
 
 
 def id_type(side: int) -> type:
-    return np.uint16 if side * side < 1 << 16 else np.uint32
+    return np.uint16 if side**3 < 1 << 16 else np.uint32
 
 
 def start_model(seed: int = 5, side: int = CLASSES, counts: np.ndarray | None = None) -> dict[str, np.ndarray]:
-    by_class = (np.ones(side * side) if counts is None else counts + 0.5).reshape(side, side)
+    n = (np.ones(side**3) if counts is None else counts + 0.5).reshape(side, side, side)
     rng = np.random.default_rng(seed)
     small = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
-    return {
-        "embed": small(side * side + 1, DIM),
+    model = {
+        "embed": small(side**3 + 1, DIM),
         "place": np.ones((2 * RADIUS, DIM), np.float32),
         "hidden": (np.eye(DIM) + small(DIM, DIM)).astype(np.float32),
         "hidden_bias": np.zeros(DIM, np.float32),
-        "classes": small(DIM, side),
-        "class_bias": np.log(by_class.sum(axis=1) / by_class.sum()).astype(np.float32),
-        "words": small(side, DIM, side),
-        "word_bias": np.log(by_class / by_class.sum(axis=1, keepdims=True)).astype(np.float32),
     }
+    for k, level in enumerate((n.sum(axis=(1, 2))[None], n.sum(axis=2), n.reshape(side * side, side))):
+        model[f"level{k}"] = small(len(level), DIM, side)
+        model[f"level{k}_bias"] = np.log(level / level.sum(axis=1, keepdims=True)).astype(np.float32)
+    return model
 
 
 def pack(model: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([x.ravel() for x in model.values()])
 
 
-def side_of(flat: np.ndarray) -> int:
-    """Of size = (2 * DIM + 1) * side^2 + (DIM + 1) * side + what all models have."""
-    a, b, c = 2 * DIM + 1, DIM + 1, DIM * (2 * RADIUS + DIM + 2)
-    return (math.isqrt(b * b + 4 * a * (flat.size - c)) - b) // (2 * a)
+def shapes(side: int) -> dict[str, tuple[int, ...]]:
+    out = {"embed": (side**3 + 1, DIM), "place": (2 * RADIUS, DIM), "hidden": (DIM, DIM), "hidden_bias": (DIM,)}
+    for k in range(3):
+        out |= {f"level{k}": (side**k, DIM, side), f"level{k}_bias": (side**k, side)}
+    return out
 
 
 def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
+    side = 2
+    while sum(math.prod(x) for x in shapes(side).values()) < flat.size:
+        side += 1
     out, at = {}, 0
-    for name, like in start_model(side=side_of(flat)).items():
-        out[name] = flat[at : at + like.size].reshape(like.shape).astype(np.float32)
-        at += like.size
+    for name, shape in shapes(side).items():
+        out[name] = flat[at : at + math.prod(shape)].reshape(shape).astype(np.float32)
+        at += math.prod(shape)
     return out
 
 
@@ -155,7 +164,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
     """In place."""
     x -= x.max(axis=1, keepdims=True)
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+    x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
     return x
 
 
@@ -164,90 +173,122 @@ def log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     x -= x.max(axis=1, keepdims=True)
     own = x[np.arange(len(x)), at]
     np.exp(x, out=x)
-    return own - np.log(x.sum(axis=1))
+    return own - np.log(x @ np.ones(x.shape[1], x.dtype))
+
+
+def times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w, some rows at a time."""
+    n = len(x) // ROWS * ROWS
+    if not n:
+        return x @ w
+    out = np.empty((len(x), w.shape[1]), np.float32)
+    out[:n] = np.matmul(x[:n].reshape(-1, ROWS, x.shape[1]), w).reshape(n, -1)
+    out[n:] = x[n:] @ w
+    return out
+
+
+def cross(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x.T @ y, some rows at a time."""
+    n = len(x) // ROWS * ROWS
+    out = x[n:].T @ y[n:]
+    if n:
+        out += np.matmul(x[:n].reshape(-1, ROWS, x.shape[1]).transpose(0, 2, 1), y[:n].reshape(-1, ROWS, y.shape[1])).sum(axis=0)
+    return out
+
+
+def parts_of(group: np.ndarray) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
+    """Large groups with their rows, and the rows of all others sorted by group."""
+    order = np.argsort(group.astype(np.uint16) if group.max(initial=0) < 1 << 16 else group, kind="stable")
+    ranked = group[order]
+    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(ranked)))
+    large = [(int(ranked[f]), order[f : f + n]) for f, n in zip(first[size >= LOOP].tolist(), size[size >= LOOP].tolist())]
+    return large, order[np.repeat(size < LOOP, size)]
 
 
 class Network:
     def __init__(self, model: dict[str, np.ndarray], rate: float = 0.15):
         self.m = model
         self.rate = rate
-        self.side = len(model["class_bias"])
+        self.side = model["level0"].shape[2]
         self.sums = {k: np.full_like(v, 1e-2) for k, v in model.items()} if rate else {}
 
     def _forward(self, ids: np.ndarray, at: np.ndarray):
         m = self.m
-        around = [d for d in range(-RADIUS, RADIUS + 1) if d]
-        near = np.stack([ids[at + d] for d in around])
+        near = np.stack([ids[at + d] for d in range(-RADIUS, RADIUS + 1) if d])
         rows = [m["embed"][x] for x in near]
         context = rows[0] * m["place"][0]
         for r, w in zip(rows[1:], m["place"][1:]):
             context += r * w
-        h = context @ m["hidden"]
+        h = times(context, m["hidden"])
         h += m["hidden_bias"]
         np.tanh(h, out=h)
-        target = ids[at]
-        cls, word = target // self.side, target % self.side
-        pc = h @ m["classes"]
-        pc += m["class_bias"]
-        order = np.argsort(cls.astype(np.uint16), kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(self.side + 1))
-        return near, rows, context, h, cls, word, pc, order, bounds
+        target, s = ids[at], self.side
+        levels = [(np.zeros_like(target), target // (s * s)), (target // (s * s), target // s % s), (target // s, target % s)]
+        return near, rows, context, h, levels
 
     def log_probs(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log P of ids[at] from their neighbours; ids has RADIUS pads at either end."""
-        m = self.m
-        _, _, _, h, cls, word, pc, order, bounds = self._forward(ids, at)
-        out = log_softmax_at(pc, cls)
-        for c in range(self.side):
-            own = order[bounds[c] : bounds[c + 1]]
-            if len(own):
-                out[own] += log_softmax_at(h[own] @ m["words"][c] + m["word_bias"][c], word[own])
+        *_, h, levels = self._forward(ids, at)
+        out = np.zeros(len(at), np.float32)
+        for k, (group, label) in enumerate(levels):
+            weights, bias = self.m[f"level{k}"], self.m[f"level{k}_bias"]
+            large, rest = parts_of(group)
+            for g, own in large:
+                out[own] += log_softmax_at(times(h[own], weights[g]) + bias[g], label[own])
+            for j in range(0, len(rest), 4096):
+                own = rest[j : j + 4096]
+                out[own] += log_softmax_at(np.matmul(h[own][:, None, :], weights[group[own]])[:, 0] + bias[group[own]], label[own])
         return out
 
     def _step(self, name: str, grad: np.ndarray, where=slice(None)) -> None:
         sums, value = self.sums[name], self.m[name]
-        sums[where] += grad * grad
-        value[where] -= self.rate * grad / np.sqrt(sums[where])
+        now = sums[where] + grad * grad
+        sums[where] = now
+        value[where] -= self.rate * grad / np.sqrt(now)
 
     def learn(self, ids: np.ndarray, at: np.ndarray) -> None:
         m, n = self.m, len(at)
-        near, rows, context, h, cls, word, pc, order, bounds = self._forward(ids, at)
-        pc = softmax(pc)
-        pc[np.arange(n), cls] -= 1
-        pc /= n
-        dh = pc @ m["classes"].T
-        for c in range(self.side):
-            own = order[bounds[c] : bounds[c + 1]]
-            if len(own):
-                p = softmax(h[own] @ m["words"][c] + m["word_bias"][c])
-                p[np.arange(len(own)), word[own]] -= 1
+        near, rows, context, h, levels = self._forward(ids, at)
+        dh = np.zeros_like(h)
+        for k, (group, label) in enumerate(levels):
+            name = f"level{k}"
+            weights, bias = m[name], m[f"{name}_bias"]
+            large, rest = parts_of(group)
+            for g, own in large:
+                x = h[own]
+                p = softmax(times(x, weights[g]) + bias[g])
+                p[np.arange(len(own)), label[own]] -= 1
+                p /= n
+                dh[own] += times(p, weights[g].T)
+                self._step(name, cross(x, p), g)
+                self._step(f"{name}_bias", p.sum(axis=0), g)
+            if len(rest):
+                x, of = h[rest], group[rest]
+                w = weights[of]
+                p = softmax(np.matmul(x[:, None, :], w)[:, 0] + bias[of])
+                p[np.arange(len(rest)), label[rest]] -= 1
                 p /= n
-                dh[own] += p @ m["words"][c].T
-                self._step("words", h[own].T @ p, c)
-                self._step("word_bias", p.sum(axis=0), c)
-        self._step("classes", h.T @ pc)
-        self._step("class_bias", pc.sum(axis=0))
+                dh[rest] += np.matmul(w, p[:, :, None])[:, :, 0]
+                first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+                self._step(name, np.add.reduceat(x[:, :, None] * p[:, None, :], first, axis=0), of[first])
+                self._step(f"{name}_bias", np.add.reduceat(p, first, axis=0), of[first])
         du = dh * (1 - h * h)
-        dcontext = du @ m["hidden"].T
-        self._step("hidden", context.T @ du)
+        dcontext = times(du, m["hidden"].T)
+        self._step("hidden", cross(context, du))
         self._step("hidden_bias", du.sum(axis=0))
-        grad = np.zeros_like(m["embed"])
-        kind = np.uint16 if len(grad) <= 1 << 16 else np.uint32
-        touched = np.zeros(len(grad), bool)
-        for r, w, x in zip(rows, m["place"], near):
-            by = np.argsort(x.astype(kind), kind="stable")
-            ranked = x[by]
-            first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-            touched[ranked[first]] = True
-            grad[ranked[first]] += np.add.reduceat(dcontext[by], first, axis=0) * w
+        flat = near.ravel()
+        by = np.argsort(flat.astype(id_type(self.side)), kind="stable")
+        ranked = flat[by]
+        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        grads = np.concatenate([dcontext * w for w in m["place"]])
         self._step("place", np.stack([(r * dcontext).sum(axis=0) for r in rows]))
-        touched = np.flatnonzero(touched)
-        self._step("embed", grad[touched], touched)
+        self._step("embed", np.add.reduceat(grads[by], first, axis=0), ranked[first])
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
     """doc_id, ids (binary, unsigned 16 bit, or 32 for a vocabulary of more numbers), n. Without a
-    vocabulary all tokens are spread by hash over CLASSES x CLASSES numbers."""
+    vocabulary all tokens are spread by hash over PAD numbers."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary or Vocabulary(CLASSES, {}, np.ones(PAD), np.ones(PAD)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +299,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
             ids = []
             for t in b.column(1):
                 found = tokens(t.as_py())
-                if len(seen) > 200_000:
+                if len(seen) > HELD:
                     seen.clear()
                 for w in set(found).difference(seen):
                     seen[w] = known.number(token_hash(w))
@@ -278,19 +319,19 @@ def joined(parts: list[np.ndarray], end: int = PAD) -> tuple[np.ndarray, np.ndar
     return ids, np.flatnonzero(ids != end)
 
 
-def train(encoded: DataFrame, shard_tokens: int = 2_000_000, batch: int = 8192, seed: int = 5, vocabulary: Vocabulary | None = None) -> np.ndarray:
+def train(encoded: DataFrame, shard_tokens: int = 2_000_000, batch: int = 16_384, seed: int = 5, vocabulary: Vocabulary | None = None) -> np.ndarray:
     """The averaged parameters of all shards' networks."""
     side, counts = (vocabulary.side, vocabulary.counts) if vocabulary else (CLASSES, None)
     total = encoded.agg(F.sum("n")).first()[0] or 0
     if not total:
         return pack(start_model(seed, side, counts))
-    shards = -(-total // max(shard_tokens, 64 * side * side if vocabulary else 0))
+    shards = -(-total // max(shard_tokens, 64 * side**3 if vocabulary else 0))
     slots = math.isqrt(shards) + 1
     shared = encoded.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def finish():
-            ids, at = joined(parts, side * side)
+            ids, at = joined(parts, side**3)
             at = np.random.default_rng(shard).permutation(at.astype(np.int32))
             net = Network(start_model(seed, side, shared.value))
             for k in range(0, len(at), batch):
@@ -322,7 +363,8 @@ def train(encoded: DataFrame, shard_tokens: int = 2_000_000, batch: int = 8192,
     def summed_row(table: pa.Table, total: np.ndarray) -> pa.Table:
         return pa.table({"block": pa.array(table.column("block").to_pylist()[:1], pa.int32()), "weight": [float(sum(table.column("weight").to_pylist()))], "total": pa.array([total.tobytes()], pa.binary())})
 
-    dealt = encoded.where("n > 0").select(F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shards)).alias("shard"), "ids").repartition(int(shards), "shard").sortWithinPartitions("shard", "ids")
+    # Ranges of shard numbers: by hash, several shards would meet in one task and none in others.
+    dealt = encoded.where("n > 0").select(F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shards)).alias("shard"), "ids").repartitionByRange(int(shards), "shard").sortWithinPartitions("shard", "ids")
     models = dealt.mapInArrow(run, "block int, slot int, weight double, values binary")
     out = "block int, weight double, total binary"
     # Two levels, so that no task holds the parameters of all shards.
@@ -344,7 +386,7 @@ def score(encoded: DataFrame, parameters: np.ndarray, vocabulary: Vocabulary | N
             at_doc = 0
             while at_doc < b.num_rows:  # some documents at a time
                 stop = at_doc + max(1, int(np.searchsorted(np.cumsum(lengths[at_doc:]), 8 * SLICE)))
-                ids, at = joined([np.frombuffer(b.column(1)[k].as_py(), id_type(net.side)) for k in range(at_doc, min(stop, b.num_rows))], net.side * net.side)
+                ids, at = joined([np.frombuffer(b.column(1)[k].as_py(), id_type(net.side)) for k in range(at_doc, min(stop, b.num_rows))], net.side**3)
                 logs = np.concatenate([net.log_probs(ids, at[k : k + SLICE]) for k in range(0, len(at), SLICE)] or [np.zeros(0)])
                 if spread is not None:
                     logs = logs - spread[ids[at]]
