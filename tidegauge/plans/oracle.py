@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..constants import METRICS, PRIORS, precision
-from .queries import AS_OF
+from .queries import AS_OF, SQUEEZE
 
 COLUMNS = {"pH": "ph", "turbidity": "turbidity", "conductivity": "conductivity", "temperature": "temperature"}
 SEQ = "arrival_ts, event_id, copy"
@@ -17,6 +17,9 @@ base as (select sensor_id, event_ts, event_id, copy, source, case when copy = 1
  case when event_id % 5 <> 2 then 420e0 + (k - 50)::double * 2e0 + v / 5e0 end conductivity, case when event_id % 5 <> 3 then 21e0 + ((k * 37) % 100 - 50)::double / 10e0 end temperature
  from tele, (values (0), (1)) c(copy) where copy = 0 or event_id % 20 = 7)"""
 
+#: The same with event times close together and spikes of turbidity.
+DENSE = BASE.replace("date_trunc('hour', ts)::timestamp event_ts", f"make_timestamp(epoch_us(ts::timestamp) // {SQUEEZE * 1_000_000} * 1000000) event_ts").replace("then v / 20e0 end turbidity", "then case when v > 200 then v * 2.5e0 else v / 20e0 end end turbidity")
+
 MICRO = {c: f"'{m}=' || round({c} * 1e6)::bigint::varchar" for m, c in COLUMNS.items()}
 FINGERPRINT = f"""sha256(concat_ws('|', sensor_id::varchar, strftime(event_ts, '%Y-%m-%dT%H:%M:%S') || 'Z', concat_ws(',', {MICRO["conductivity"]}, {MICRO["ph"]}, {MICRO["temperature"]}, {MICRO["turbidity"]}), source))"""
 UNIQUE = f"""{BASE},
@@ -140,10 +143,10 @@ ORACLE = {
     "mahalanobis_score": f"with {UNIQUE} select sensor_id, event_id, copy, round({square()}, 4) mahalanobis_sq, ({square()}) > 13.28e0 is_outlier from u",
     "zscore_contributors": f"with {UNIQUE} select sensor_id, event_id, copy, {CONTRIBUTING('')} contributing from u",
     "display_bands": f"with {ROWS} select metric, count(*) filter (case metric when 'pH' then value > 8.5e0 or value < 6.5e0 when 'turbidity' then value > 5e0 when 'conductivity' then value > 800e0 else value > 26e0 end) n_outside, count(*) n from m group by metric",
-    "rate_of_change_pairs": f"with {UNIQUE} select sensor_id, event_id, copy, round((ph - lag(ph) over w) / greatest(1e0, (epoch_us(event_ts) - epoch_us(lag(event_ts) over w)) / 1e6) * 60e0, 10) rate_per_min from u where ph is not null window w as (partition by sensor_id order by sq)",
-    "cusum_running": f"""with {UNIQUE}, c as (select *, sum((conductivity - 420e0) / 65e0 - 0.5e0) over w cp, sum(-(conductivity - 420e0) / 65e0 - 0.5e0) over w cn from u where conductivity is not null
- window w as (partition by sensor_id order by sq rows between unbounded preceding and current row))
- select sensor_id, event_id, copy, round(cp - least(0e0, min(cp) over w), 5) s_pos, round(cn - least(0e0, min(cn) over w), 5) s_neg from c window w as (partition by sensor_id order by sq rows between unbounded preceding and current row)""",
+    "rate_of_change_pairs": f"with {ROWS} select sensor_id, event_id, copy, metric, round((value - lag(value) over w) / greatest(1e0, (epoch_us(event_ts) - epoch_us(lag(event_ts) over w)) / 1e6) * 60e0, 8) rate_per_min from m window w as (partition by sensor_id, metric order by sq)",
+    "cusum_running": f"""with {ROWS}, z as (select *, case metric {" ".join(f"when '{m}' then (value - {PRIORS[m][0]!r}e0) / {PRIORS[m][1]!r}e0" for m in METRICS)} end z from m),
+ c as (select *, sum(z - 0.5e0) over w cp, sum(-z - 0.5e0) over w cn from z window w as (partition by sensor_id, metric order by sq rows between unbounded preceding and current row))
+ select sensor_id, event_id, copy, metric, round(cp - least(0e0, min(cp) over w), 5) s_pos, round(cn - least(0e0, min(cn) over w), 5) s_neg from c window w as (partition by sensor_id, metric order by sq rows between unbounded preceding and current row)""",
     "anomaly_classify": f"with recursive {CLASSIFIED} select sensor_id, event_id, copy, anomaly_type, severity, is_anomaly, round(score, 3) anomaly_score, contributing from cls",
     "spatial_corroboration": f"with recursive {CORROBORATED} select sensor_id, event_id, copy, names is not null is_corroborated, coalesce(names, '') corroborated_by from cls left join by_nb using (sensor_id, sq) where is_anomaly",
     "cluster_status": f"""with recursive {CLASSIFIED}, f as (select sensor_id, arg_max(is_anomaly, sq) a from cls group by 1)
@@ -159,6 +162,20 @@ ORACLE = {
  checked as (select *, coalesce(lag(current_hash) over (partition by sensor_id order by audit_id), repeat('0', 64)) expected from edited)
  select sensor_id, audit_id, case when prev_hash <> expected then 'Broken link' else 'Hash mismatch' end reason from checked where prev_hash <> expected or current_hash <> sha256(prev_hash || '|' || body)""",
     "audit_page": f"with recursive {CHAIN} select sensor_id, audit_id, current_hash from chain where sensor_id = 7 order by audit_id limit 10 offset 5",
-    "csv_projection": f"with {UNIQUE} select sensor_id, event_id, copy, strftime(event_ts, '%Y-%m-%dT%H:%M:%S') || 'Z' event_timestamp, source, {', '.join(f'''coalesce(round({c} * 1000)::bigint::varchar, '') {c}''' for c in COLUMNS.values())} from u",
+    "ledger_heads": f"with recursive {CHAIN} select sensor_id, count(*) as blocks, arg_max(current_hash, audit_id) head from chain group by 1",
+    "csv_projection": f"with {UNIQUE} select sensor_id, event_id, copy, strftime(event_ts, '%Y-%m-%dT%H:%M:%S') || 'Z' event_timestamp, source, {', '.join(f"""coalesce(round({c} * 1000)::bigint::varchar, '') {c}""" for c in COLUMNS.values())} from u",
+    "csv_export": f"""with recursive {CLASSIFIED}, {CHAIN.removeprefix(UNIQUE).lstrip().removeprefix(",")}, l as (select sq, {LATE} is_late from u)
+ select audit_id, case when is_late then 'OUT_OF_ORDER_INGEST' else 'TELEMETRY_INGEST' end as action, cls.sensor_id, strftime(event_ts, '%Y-%m-%dT%H:%M:%S') || 'Z' event_timestamp, '1970-01-01T00:00:00Z' received_timestamp, {PICK}, source,
+ is_anomaly, anomaly_type, round(score, 3) anomaly_score, 'source_priority' conflict_strategy, current_hash, prev_hash from cls join l using (sq) join chain on chain.sensor_id = cls.sensor_id and chain.audit_id = cls.rn""",
+    "anomaly_dense": f"with recursive {CLASSIFIED.replace(BASE, DENSE)} select sensor_id, event_id, copy, anomaly_type, severity, is_anomaly, round(score, 3) anomaly_score, contributing from cls",
+    "timeline_states": f"""with {UNIQUE} select sensor_id, event_id, copy, count(*) over w known_events, {", ".join(f"round((max({{'t': event_ts, 'w': {WEIGHT}, 's': sq, 'v': {c}}}) filter ({c} is not null) over w)['v'], 6) {c}" for c in COLUMNS.values())}
+ from u window w as (partition by sensor_id order by event_ts range between unbounded preceding and current row)""",
+    "state_mismatches": f"""with {ROWS}, a as (select sensor_id, metric, arg_max(value, {{'t': event_ts, 's': sq}}) v from m where event_ts <= timestamp '{AS_OF}' group by all), b as (select sensor_id, metric, arg_max(value, {{'t': event_ts, 's': sq}}) v from m group by all)
+ select sensor_id, metric, round(a.v, 6) base, round(b.v, 6) as other, case when b.v is null then 'missing in the other run' when a.v is null then 'missing in the first run' else 'differs' end reason
+ from a full join b using (sensor_id, metric) where a.v is null or b.v is null or abs(a.v - b.v) > 1e-5""",
+    "cluster_lookup": "select distinct user_id sensor_id, case when user_id % 7 = 0 then 1000 + user_id // 70 else user_id // 5 end as cluster from events",
+    "text_normalized": f"""with {BASE} select sensor_id::varchar sensor_id, event_id, event_ts, case when event_id % 3 > 0 then source else 'field' end source, round((event_id % 140) / 10e0, 6) ph, event_id::double turbidity, 2::bigint n_readings
+ from base where copy = 0 and event_id % 4 <> 3 and event_id % 9 <> 0""",
+    "text_rejected": "select case when event_id % 4 = 3 then 'bad timestamp' else 'non-numeric reading' end reject_reason, count(*) n from events where event_id % 4 = 3 or event_id % 9 = 0 group by 1",
     "document_exact_dedup": "select sha256(text) digest, min(doc_id) doc_id, count(*) n_copies from documents group by 1",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from ..operators import dedup, detect, ledger, replay, resolve, spatial, timelin
 from ..sources.telemetry import from_event_table
 
 AS_OF = "2024-01-15 12:00:00"
+SQUEEZE = 200
 NAMES = {"pH": "ph", "turbidity": "turbidity", "conductivity": "conductivity", "temperature": "temperature"}
 
 
@@ -28,15 +30,16 @@ def ids() -> list[Column]:
     return [F.col("sensor_id"), F.col("seq.event_id").alias("event_id"), F.col("seq.copy").alias("copy")]
 
 
-def events(spark: SparkSession, d: str) -> DataFrame:
-    return from_event_table(spark, d)
+def events(spark: SparkSession, d: str, squeeze: int = 0) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")  # as the SQL beside these queries reads times
+    return from_event_table(spark, d, squeeze)
 
 
-def unique(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.first_arrivals(events(spark, d))
+def unique(spark: SparkSession, d: str, squeeze: int = 0) -> DataFrame:
+    return dedup.first_arrivals(events(spark, d, squeeze))
 
 
-def topo(rows: DataFrame) -> DataFrame:
+def topo_of(rows: DataFrame) -> DataFrame:
     """Five users in a row are a cluster."""
     s = F.col("sensor_id")
     return rows.select("sensor_id").distinct().select(F.floor(s / 5).alias("cluster"), "sensor_id", (s % 5).cast("int").alias("pos"))
@@ -150,34 +153,42 @@ def display_bands(spark, d):
 
 
 def rate_of_change_pairs(spark, d):
-    """Change of pH a minute between events next to each other in arrival order."""
-    w = Window.partitionBy("sensor_id").orderBy("seq")
-    ph = F.col("readings")["pH"]
-    rows = unique(spark, d).where(ph.isNotNull())
+    """Change of each metric a minute between events that have it, next to each other in arrival order."""
+    w = Window.partitionBy("sensor_id", "metric").orderBy("seq")
+    rows = resolve.metric_rows(unique(spark, d))
     seconds = F.greatest(F.lit(1.0), (F.unix_micros("event_ts") - F.unix_micros(F.lag("event_ts").over(w))) / 1e6)
-    rate = (ph - F.lag(ph).over(w)) / seconds * 60.0
-    return rows.select(*ids(), F.round(rate, 10).alias("rate_per_min"))
+    rate = (F.col("value") - F.lag("value").over(w)) / seconds * 60.0
+    return rows.select(*ids(), "metric", F.round(rate, 8).alias("rate_per_min"))
 
 
 def cusum_running(spark, d):
-    rows = detect.cusum(unique(spark, d), "conductivity")
-    return rows.select(*ids(), F.round("s_pos", 5).alias("s_pos"), F.round("s_neg", 5).alias("s_neg"))
+    rows = unique(spark, d)
+    parts = [detect.cusum(rows, m).select(*ids(), F.lit(m).alias("metric"), F.round("s_pos", 5).alias("s_pos"), F.round("s_neg", 5).alias("s_neg")) for m in METRICS]
+    return reduce(DataFrame.union, parts)
 
 
-def anomaly_classify(spark, d):
-    rows = detect.classify(unique(spark, d))
+def _classified(rows: DataFrame) -> DataFrame:
     return rows.select(*ids(), "anomaly_type", "severity", "is_anomaly", F.round("anomaly_score", 3).alias("anomaly_score"), F.array_join("contributing_metrics", ",").alias("contributing"))
 
 
+def anomaly_dense(spark, d):
+    """Classification where events are minutes apart: bounds and thermal findings occur too."""
+    return _classified(detect.classify(unique(spark, d, SQUEEZE)))
+
+
+def anomaly_classify(spark, d):
+    return _classified(detect.classify(unique(spark, d)))
+
+
 def spatial_corroboration(spark, d):
     rows = unique(spark, d)
-    found = spatial.corroborate(detect.classify(rows), topo(rows))
+    found = spatial.corroborate(detect.classify(rows), topo_of(rows))
     return found.select(*ids(), "is_corroborated", F.array_join(F.transform("corroborated_by", lambda x: x.cast("string")), ",").alias("corroborated_by"))
 
 
 def cluster_status(spark, d):
     rows = unique(spark, d)
-    return spatial.cluster_status(detect.classify(rows), topo(rows))
+    return spatial.cluster_status(detect.classify(rows), topo_of(rows))
 
 
 def fleet_overview(spark, d):
@@ -221,11 +232,65 @@ def audit_page(spark, d):
     return ledger.page(ledger.build(_blocks(spark, d), "sensor"), sensor_id=7, limit=10, offset=5).select("sensor_id", "audit_id", "current_hash")
 
 
+def ledger_heads(spark, d):
+    return ledger.heads(ledger.build(_blocks(spark, d), "sensor")).select(F.col("chain").cast("long").alias("sensor_id"), "blocks", "head")
+
+
+def csv_export(spark, d):
+    """The flat export; readings, text there, are compared as numbers."""
+    rows = ledger.csv_rows(replay.process(events(spark, d)), ledger.build(_blocks(spark, d), "sensor"))
+    number = {m: r6(F.col(m).try_cast("double")).alias(c) for m, c in NAMES.items()}
+    return rows.select(*[number.get(c, F.round(c, 3).alias(c) if c == "anomaly_score" else F.col(c)) for c in rows.columns])
+
+
 def csv_projection(spark, d):
     reading = lambda m: F.coalesce(F.round(F.col("readings")[m] * 1000).cast("long").cast("string"), F.lit("")).alias(NAMES[m])
     return unique(spark, d).select(*ids(), normalize.iso(F.col("event_ts")).alias("event_timestamp"), "source", *[reading(m) for m in METRICS])
 
 
+def timeline_states(spark, d):
+    rows = resolve.timeline_states(unique(spark, d))
+    return rows.select(*ids(), "known_events", *[r6(F.col(f"{resolve.merged(m)}.value")).alias(c) for m, c in NAMES.items()])
+
+
+def state_mismatches(spark, d):
+    """The states at a time against the final ones: readings that changed or came later."""
+    rows = unique(spark, d)
+    then = resolve.current_cells(rows, "latest", F.lit(AS_OF).cast("timestamp"))
+    found = replay.mismatches(then, resolve.current_cells(rows, "latest"))
+    return found.select("sensor_id", "metric", r6("base").alias("base"), r6("other").alias("other"), "reason")
+
+
+def cluster_lookup(spark, d):
+    """Every seventh sensor is listed twice: the last cluster is its own."""
+    rows = events(spark, d).select("sensor_id").distinct()
+    topo = topo_of(rows).withColumn("place", F.col("cluster"))
+    s = F.col("sensor_id")
+    again = rows.where(s % 7 == 0).select((1000 + F.floor(s / 70)).alias("cluster"), "sensor_id", F.lit(0).alias("pos"), (1000 + F.floor(s / 70)).alias("place"))
+    return spatial.own_cluster(topo.union(again)).select("sensor_id", "cluster")
+
+
+def _raw(spark, d) -> DataFrame:
+    """Events as text: three spellings of their times and one that is none, blanks, nulls and a word
+    among the readings."""
+    e = events(spark, d).where("seq.copy = 0").select("sensor_id", "event_ts", F.col("seq.event_id").alias("id"), "source")
+    form = lambda ts, f: F.date_format(ts, f)
+    day = "yyyy-MM-dd'T'HH:mm:ss"
+    text = F.when(F.col("id") % 4 == 0, form(F.col("event_ts"), day + "'Z'")).when(F.col("id") % 4 == 1, form(F.col("event_ts"), "yyyyMMdd'T'HHmmss'Z'"))
+    text = text.when(F.col("id") % 4 == 2, F.concat(form(F.col("event_ts") + F.expr("interval 330 minutes"), day), F.lit("+05:30"))).otherwise("not a time")
+    readings = F.create_map(F.lit(" pH "), (F.col("id") % 140 / 10).cast("string"), F.lit("turbidity"), F.when(F.col("id") % 9 == 0, "abc").otherwise(F.col("id").cast("string")), F.lit("x"), F.lit(None).cast("string"))
+    return e.select(F.concat(F.lit(" "), F.col("sensor_id").cast("string"), F.lit(" ")).alias("sensor_id"), text.alias("timestamp"), readings.alias("readings"), F.when(F.col("id") % 3 > 0, F.col("source")).alias("source"), F.lit(None).cast("string").alias("metadata"), F.col("id").alias("seq"))
+
+
+def text_normalized(spark, d):
+    good = normalize.normalize(_raw(spark, d))[0]
+    return good.select("sensor_id", F.col("seq").alias("event_id"), ntz("event_ts").alias("event_ts"), "source", r6(F.col("readings")["pH"]).alias("ph"), r6(F.col("readings")["turbidity"]).alias("turbidity"), F.size("readings").cast("long").alias("n_readings"))
+
+
+def text_rejected(spark, d):
+    return normalize.normalize(_raw(spark, d))[1].groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 def document_exact_dedup(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     return docs.groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies"))
@@ -235,7 +300,8 @@ QUERIES = (
     telemetry_normalized, event_fingerprint, dedup_first_arrival, dedup_incremental, duplicate_status, out_of_order_flags, timeline_positions,
     state_source_priority, state_latest, state_confidence_weighted, state_as_of, state_headers, state_running, fleet_states, decision_trace, source_weights,
     out_of_bounds, mahalanobis_score, zscore_contributors, display_bands, rate_of_change_pairs, cusum_running, anomaly_classify,
-    spatial_corroboration, cluster_status, fleet_overview, replay_summary, order_invariance, ledger_chain, ledger_faults, audit_page, csv_projection, document_exact_dedup,
+    spatial_corroboration, cluster_status, fleet_overview, replay_summary, order_invariance, ledger_chain, ledger_faults, ledger_heads, audit_page, csv_projection, csv_export,
+    anomaly_dense, timeline_states, state_mismatches, cluster_lookup, text_normalized, text_rejected, document_exact_dedup,
 )
 
 

@@ -75,10 +75,11 @@ def synthetic(spark: SparkSession, n: int, seed: int = 7, sensors: int = 20) ->
     )
 
 
-def from_event_table(spark: SparkSession, sf_dir: str, squeeze: int = 0, turbidity: float = 1 / 20.0) -> DataFrame:
+def from_event_table(spark: SparkSession, sf_dir: str, squeeze: int = 0) -> DataFrame:
     """The driver's `events` as telemetry: users are sensors, hours are event times, every tenth event
     arrives 20 hours late and every twentieth twice. seq is (arrival_ts, event_id, copy). With
-    squeeze, event times are the times since 1970 divided by it, which puts events close together.
+    squeeze, event times are the times since 1970 divided by it, which puts events close together, and
+    the largest values are spikes of turbidity.
     The session's time zone has to be UTC."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     k = F.regexp_extract("props", "[0-9]+", 0).cast("int")
@@ -91,7 +92,7 @@ def from_event_table(spark: SparkSession, sf_dir: str, squeeze: int = 0, turbidi
         "event_id",
         kinds[F.col("event_type")].alias("source"),
         odd(0, 7.3 + (k - 50).cast("double") / 50.0).alias("ph"),
-        odd(1, F.col("value") * turbidity if squeeze else F.col("value") / 20.0).alias("turbidity"),
+        odd(1, F.when(F.lit(bool(squeeze)) & (F.col("value") > 200), F.col("value") * 2.5).otherwise(F.col("value") / 20.0)).alias("turbidity"),
         odd(2, 420.0 + (k - 50).cast("double") * 2.0 + F.col("value") / 5.0).alias("conductivity"),
         odd(3, 21.0 + ((k * 37) % 100 - 50).cast("double") / 10.0).alias("temperature"),
     )
