@@ -23,9 +23,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where none is set (tests), one below the warehouse."""
-    conf = spark.sparkContext.getConf()
-    return conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
+    """The folder in spark.checkpoint.dir. Without one, a local master (tests) uses a folder below the
+    warehouse; a cluster has to name a folder that all its machines see."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

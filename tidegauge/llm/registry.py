@@ -32,9 +32,7 @@ OPERATORS = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline
-
-    return {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
