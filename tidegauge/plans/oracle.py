@@ -167,7 +167,7 @@ ORACLE = {
     "csv_export": f"""with recursive {CLASSIFIED}, {CHAIN.removeprefix(UNIQUE).lstrip().removeprefix(",")}, l as (select sq, {LATE} is_late from u)
  select audit_id, case when is_late then 'OUT_OF_ORDER_INGEST' else 'TELEMETRY_INGEST' end as action, cls.sensor_id, strftime(event_ts, '%Y-%m-%dT%H:%M:%S') || 'Z' event_timestamp, '1970-01-01T00:00:00Z' received_timestamp, {PICK}, source,
  is_anomaly, anomaly_type, round(score, 3) anomaly_score, 'source_priority' conflict_strategy, current_hash, prev_hash from cls join l using (sq) join chain on chain.sensor_id = cls.sensor_id and chain.audit_id = cls.rn""",
-    "anomaly_dense": f"with recursive {CLASSIFIED.replace(BASE, DENSE)} select sensor_id, event_id, copy, anomaly_type, severity, is_anomaly, round(score, 3) anomaly_score, contributing from cls",
+    "anomaly_dense": f"with recursive {CLASSIFIED.replace(BASE, DENSE)} select sensor_id, event_id, copy, anomaly_type, severity, is_anomaly, round(score, 6) anomaly_score, contributing from cls",
     "timeline_states": f"""with {UNIQUE} select sensor_id, event_id, copy, count(*) over w known_events, {", ".join(f"round((max({{'t': event_ts, 'w': {WEIGHT}, 's': sq, 'v': {c}}}) filter ({c} is not null) over w)['v'], 6) {c}" for c in COLUMNS.values())}
  from u window w as (partition by sensor_id order by event_ts range between unbounded preceding and current row)""",
     "state_mismatches": f"""with {ROWS}, a as (select sensor_id, metric, arg_max(value, {{'t': event_ts, 's': sq}}) v from m where event_ts <= timestamp '{AS_OF}' group by all), b as (select sensor_id, metric, arg_max(value, {{'t': event_ts, 's': sq}}) v from m group by all)

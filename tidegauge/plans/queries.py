@@ -167,13 +167,13 @@ def cusum_running(spark, d):
     return reduce(DataFrame.union, parts)
 
 
-def _classified(rows: DataFrame) -> DataFrame:
-    return rows.select(*ids(), "anomaly_type", "severity", "is_anomaly", F.round("anomaly_score", 3).alias("anomaly_score"), F.array_join("contributing_metrics", ",").alias("contributing"))
+def _classified(rows: DataFrame, digits: int = 3) -> DataFrame:
+    return rows.select(*ids(), "anomaly_type", "severity", "is_anomaly", F.round("anomaly_score", digits).alias("anomaly_score"), F.array_join("contributing_metrics", ",").alias("contributing"))
 
 
 def anomaly_dense(spark, d):
     """Classification where events are minutes apart: bounds and thermal findings occur too."""
-    return _classified(detect.classify(unique(spark, d, SQUEEZE)))
+    return _classified(detect.classify(unique(spark, d, SQUEEZE)), 6)  # rates of round numbers end in a half at three
 
 
 def anomaly_classify(spark, d):
