@@ -1,4 +1,5 @@
 import json
+import os
 
 from plain import anomalies, fold, random_events, unique
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ def write(folder, name, events, start):
     folder.mkdir(exist_ok=True)
     text = "\n".join(json.dumps(e | {"readings": {k: str(v) for k, v in e["readings"].items()}, "seq": start + i}) for i, e in enumerate(events))
     (folder / name).write_text(text)
+    os.utime(folder / name, (1_700_000_000 + start, 1_700_000_000 + start))  # a stream takes files up by their time
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -22,7 +24,6 @@ def test_stream_equals_batch(spark, tmp_path):
     query = write_decisions(decisions(normalize(raw)[0]), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
     query.awaitTermination()
     rows = {r.seq: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    # Files may be taken up in any order; here they are written, and read, in the order of their names.
     u = unique(events)
     assert {s for s, r in rows.items() if r.status != "DUPLICATE_SKIPPED"} == {i for i, _ in u}
     types = anomalies(u, "source_priority")
