@@ -1,12 +1,15 @@
 import json
 import os
 
-from plain import anomalies, fold, random_events, unique
+import pandas as pd
+import pytest
+from plain import random_events, unique
 from pyspark.sql import functions as F
 
 from tidegauge.functions.normalize import normalize
+from tidegauge.operators import ledger, replay, spatial
 from tidegauge.sources.telemetry import RAW
-from tidegauge.streaming.processor import decisions, unique_within, write_decisions
+from tidegauge.streaming.processor import PROVIDER, blocks, decisions, mark_duplicates, unique_within, write_decisions
 
 
 def write(folder, name, events, start):
@@ -16,23 +19,64 @@ def write(folder, name, events, start):
     os.utime(folder / name, (1_700_000_000 + start, 1_700_000_000 + start))  # a stream takes files up by their time
 
 
-def test_stream_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("strategy", ["source_priority", "confidence_weighted"])
+def test_stream_equals_batch(spark, tmp_path, strategy):
+    """Decisions, corroboration and ledger of a stream in three batches are those of one batch."""
     events = random_events(90, 21)
+    events[40]["readings"] = {"turbidity": 900.0, "pH": 99.0}  # two violations, not in the metrics' usual order
+    events[41]["readings"] = {"conductivity": float("nan")}
     for part in range(3):
         write(tmp_path / "in", f"{part}.json", events[part * 30 : (part + 1) * 30], part * 30)
+    topo = spatial.topology(spark, {"a": ["S0", "S1"], "b": ["S1", "S7"]})
     raw = spark.readStream.schema(RAW).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-    query = write_decisions(decisions(normalize(raw)[0]), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
-    query.awaitTermination()
-    rows = {r.seq: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    u = unique(events)
-    assert {s for s, r in rows.items() if r.status != "DUPLICATE_SKIPPED"} == {i for i, _ in u}
-    types = anomalies(u, "source_priority")
-    names = {"bounds": "OUT_OF_BOUNDS", "ph_rate": "TEMPORAL_RATE_OF_CHANGE", "turbidity_rate": "TEMPORAL_RATE_OF_CHANGE", "thermal": "THERMAL_PH_COUPLING"}
-    for i, _ in u:
-        assert names.get(rows[i].finding, "retained") == (types[i] if types[i] in names.values() else "retained")
-    for s in {e["sensor_id"] for _, e in u}:
-        own = [x for x in u if x[1]["sensor_id"] == s]
-        assert json.loads(rows[own[-1][0]].merged) == {m: c["value"] for m, c in fold(own, "source_priority").items()}
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    try:
+        query = write_decisions(decisions(normalize(raw)[0], strategy, topo), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+        query.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    stored = spark.read.parquet(str(tmp_path / "out"))
+    rows = {r.seq: r for r in stored.collect()}
+    frame = normalize(spark.read.schema(RAW).json(str(tmp_path / "in")))[0]
+    batch = replay.process(frame, strategy, topo)
+    want = {r.seq: r.asDict(True) for r in batch.collect()}
+    assert sorted(rows) == list(range(90)) and {s for s, r in rows.items() if r.status != "DUPLICATE_SKIPPED"} == set(want) == {i for i, _ in unique(events)}
+    assert {r.is_corroborated for r in rows.values()} == {True, False, None}
+    for seq, row in want.items():
+        got = rows[seq].asDict(True)
+        assert {c: repr(got[c]) for c in row} == {c: repr(v) for c, v in row.items()}
+    assert all(r.audit_id is None and r.anomaly_type is None and r.diagnosis is None for r in rows.values() if r.is_duplicate)
+    chained = blocks(stored)
+    assert ledger.verify(chained) == (True, None)
+    heads = lambda x: sorted(map(tuple, ledger.heads(x).collect()))
+    assert heads(chained) == heads(ledger.build(ledger.bodies(batch)))
+
+
+def test_copies_are_known_by_sensor_and_hour():
+    class Held:
+        value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    row = pd.DataFrame([("A", 1, 5, "lab", "{}", "{}", "f", 0)], columns=["sensor_id", "seq", "micros", "source", "readings", "metadata", "fingerprint", "hour"])
+    state = Held()
+    mark = lambda rows: next(mark_duplicates(("A", 0), iter([rows]), state)).is_duplicate.tolist()
+    assert mark(pd.concat([row, row])) == [False, True] and mark(row) == [True] and state.value == ("f",)
+    state.value = None  # forgotten
+    assert mark(row) == [False]
+
+
+def test_stream_wants_its_state_store(spark, tmp_path):
+    raw = spark.readStream.schema(RAW).json(str(tmp_path))
+    with pytest.raises(ValueError, match="RocksDB"):
+        decisions(normalize(raw)[0])
 
 
 def test_bounded_dedup(spark, tmp_path):

@@ -92,10 +92,11 @@ def classify(unique: DataFrame, strategy: str = "source_priority") -> DataFrame:
     # The running windows have dealt the rows by sensor already; the sort is theirs too.
     dealt = packed.sortWithinPartitions("sensor_id", "seq")
     passed = dealt.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, {PASS}").select("row.*", *[c.split()[0] for c in PASS.split(", ")])
-    return _report(passed).drop("_violation", "finding", "rate", "delta", "seconds", "temp_delta", "ph_delta", "drift", "drift_metric")
+    return report(passed)
 
 
-def _report(passed: DataFrame) -> DataFrame:
+def report(passed: DataFrame) -> DataFrame:
+    """Labels, scores and texts in place of _violation and the columns of PASS."""
     value = {m: F.col(f"{merged(m)}.value") for m in METRICS}
     square = scores.mahalanobis_sq(value)
     # NaN counts as no distance: greatest() would keep it.
@@ -156,7 +157,7 @@ def _report(passed: DataFrame) -> DataFrame:
         .withColumn("contributing_metrics", metrics)
         .withColumn("explanation", text)
         .withColumn("details", detail)
-        .drop("_square", "_d")
+        .drop("_square", "_d", "_violation", *[c.split()[0] for c in PASS.split(", ")])
     )
 
 

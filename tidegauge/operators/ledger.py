@@ -12,7 +12,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import GENESIS, strategy_of
@@ -21,13 +21,18 @@ from ..functions.normalize import iso
 BLOCK = "chain string, audit_id bigint, prev_hash string, current_hash string"
 
 
-def bodies(decisions: DataFrame, received: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """sensor_id, seq, body: what a block records of a decision. received is a parameter, so that the
-    bytes are the same for the same input."""
+def body(decisions: DataFrame, received: str = "1970-01-01T00:00:00Z") -> Column:
+    """What a block records of a decision. received is a parameter, so that the bytes are the same for
+    the same input."""
     skip = {"sensor_id", "seq"}
     rest = F.struct(*[F.map_entries(c).alias(c) if t.startswith("map") else F.col(c) for c, t in decisions.dtypes if c not in skip])
     record = F.struct("sensor_id", iso(F.col("event_ts")).alias("event_timestamp"), F.lit(received).alias("received_timestamp"), rest.alias("record"))
-    return decisions.select("sensor_id", "seq", F.to_json(record, {"ignoreNullFields": "false"}).alias("body"))
+    return F.to_json(record, {"ignoreNullFields": "false"})
+
+
+def bodies(decisions: DataFrame, received: str = "1970-01-01T00:00:00Z") -> DataFrame:
+    """sensor_id, seq, body."""
+    return decisions.select("sensor_id", "seq", body(decisions, received).alias("body"))
 
 
 def build(blocks: DataFrame, scope: str = "sensor") -> DataFrame:

@@ -63,6 +63,15 @@ class Watch:
         return sorted(found, key=self.pos.get)
 
 
+def listed(topo: DataFrame) -> DataFrame:
+    """sensor_id, cluster, pos, own, members: every place of a sensor, whether it is in its own cluster,
+    and the cluster's number of sensors."""
+    own = own_cluster(topo).withColumnRenamed("cluster", "_own")
+    sizes = topo.groupBy("cluster").agg(F.count_distinct("sensor_id").alias("members"))
+    places = topo.select("cluster", "sensor_id", "pos").join(own, "sensor_id").join(sizes, "cluster")
+    return places.select("sensor_id", "cluster", "pos", (F.col("cluster") == F.col("_own")).alias("own"), "members")
+
+
 def corroborate(classified: DataFrame, topo: DataFrame) -> DataFrame:
     """sensor_id, seq, is_corroborated, corroborated_by (in cluster order), diagnosis for each anomaly.
 
@@ -74,11 +83,7 @@ def corroborate(classified: DataFrame, topo: DataFrame) -> DataFrame:
     partitions and streamed, with what the cluster's sensors showed lately as state. Sensors without
     a cluster are dealt by themselves."""
     flags = classified.select("sensor_id", "seq", F.unix_micros("event_ts").alias("micros"), "is_anomaly")
-    own = own_cluster(topo).withColumnRenamed("cluster", "own")
-    sizes = topo.groupBy("cluster").agg(F.count_distinct("sensor_id").alias("members"))
-    listed = topo.select("cluster", "sensor_id", "pos").join(own, "sensor_id").join(sizes, "cluster")
-    listed = listed.select("sensor_id", "cluster", "pos", (F.col("cluster") == F.col("own")).alias("asked"), "members")
-    rows = flags.join(listed, "sensor_id", "left").withColumn("asked", F.coalesce("asked", F.lit(True)) & F.col("is_anomaly"))
+    rows = flags.join(listed(topo), "sensor_id", "left").withColumn("asked", F.coalesce("own", F.lit(True)) & F.col("is_anomaly"))
     key = F.coalesce(F.xxhash64("cluster") + F.when(F.col("cluster").isNotNull(), 0), F.xxhash64("sensor_id"))
     dealt = rows.select("cluster", "sensor_id", "pos", "asked", "is_anomaly", "micros", "seq", "members", key.alias("dealt")).repartition("dealt").drop("dealt").sortWithinPartitions("cluster", "seq")
     kind = dealt.schema["sensor_id"].dataType.simpleString()
@@ -98,12 +103,17 @@ def corroborate(classified: DataFrame, topo: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([keep.column(1), keep.column(6), pa.array(out, pa.list_(b.column(1).type)), keep.column(0), keep.column(7)], names=["sensor_id", "seq", "corroborated_by", "cluster", "members"])
 
     schema = f"sensor_id {kind}, seq {dealt.schema['seq'].dataType.simpleString()}, corroborated_by array<{kind}>, cluster {dealt.schema['cluster'].dataType.simpleString()}, members bigint"
-    found = dealt.mapInArrow(run, schema)
+    return diagnosed(dealt.mapInArrow(run, schema)).select("sensor_id", "seq", "is_corroborated", "corroborated_by", "diagnosis")
+
+
+def diagnosed(found: DataFrame) -> DataFrame:
+    """Adds is_corroborated, diagnosis and, again behind it, corroborated_by; all null where that is."""
     n = F.size("corroborated_by")
     names = F.array_join(F.transform("corroborated_by", lambda x: x.cast("string")), ", ")
     text = F.when(n > 0, F.concat(F.lit("SYSTEMIC PLUME: corroborated by "), names, F.lit(" of "), F.col("cluster").cast("string")))
     text = text.when(F.coalesce("members", F.lit(1)) < 2, F.concat(F.lit("no neighbours known of "), F.col("sensor_id").cast("string"))).otherwise("LOCALIZED ISOLATED: no neighbour corroborates")
-    return found.select("sensor_id", "seq", (n > 0).alias("is_corroborated"), "corroborated_by", text.alias("diagnosis"))
+    asked = F.col("corroborated_by").isNotNull()
+    return found.select(*[c for c in found.columns if c != "corroborated_by"], F.when(asked, n > 0).alias("is_corroborated"), "corroborated_by", F.when(asked, text).alias("diagnosis"))
 
 
 def last_flags(classified: DataFrame) -> DataFrame:

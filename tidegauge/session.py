@@ -7,6 +7,7 @@ from pyspark.sql import SparkSession
 
 def session(app: str = "tidegauge", **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    builder = builder.config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -1,88 +1,233 @@
-"""Telemetry as a stream: keyed state per sensor for duplicates, merged state and detection.
-
-The state of a sensor is small whatever its history: fingerprints (which expire after
-`remember`), one cell per metric, the lateness mark and the detector's memory. Late events need no
-stored timeline: an event older than a metric's cell cannot change it, and one at the same time comes
-last in arrival order. What spans sensors (corroboration, ledger) is done per micro-batch by
-`write_decisions` against the decisions stored so far.
+"""Telemetry as a stream, with the results of the batch form: `replay.process` and its ledger.
+
+Four keyed states, one after another, each small whatever the history:
+
+- by sensor and hour of event time: fingerprints. Copies have equal times, so they share a state, and a
+  batch touches only the hours it has events of.
+- by sensor: one cell per metric, the lateness mark and the detector's memory. Late events need no
+  stored timeline: an event older than a metric's cell cannot change it, and one at the same time comes
+  last in arrival order.
+- by cluster: what its sensors showed lately (see `spatial.Watch`).
+- by sensor: number and hash of its chain's last block.
+
+Scores, labels and texts are the column expressions of the batch form. Arrival order (seq) has to grow
+from batch to batch; inside a batch rows are sorted by it. Spark allows states one after another for
+transformWithState only, which wants the RocksDB state store:
+spark.sql.streaming.stateStore.providerClass (see PROVIDER).
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from ..constants import CONFIDENCE_WEIGHTS, GENESIS, METRICS, OTHER_WEIGHT, PRIORITY_WEIGHTS, PRIORS, strategy_of
+from ..functions.normalize import action, fingerprint, status
+from ..operators import ledger, spatial
+from ..operators.detect import PASS, Recursion, report
+from ..operators.resolve import merged
+
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+HOUR = 3_600_000_000
+EVENT = "sensor_id string, seq bigint, micros bigint, source string, readings string, metadata string, fingerprint string, is_duplicate boolean"
+DECIDED = f"{EVENT}, is_late boolean, version bigint, cells string, violation string, {PASS}"
+WATCHED = f"{DECIDED}, corroborated_by string, cluster string, members bigint"
+CHAINED = f"{WATCHED}, body string, audit_id bigint, prev_hash string, current_hash string"
+CELL = "struct<value:double,micros:bigint,source:string,confidence:double>"
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _sorted(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(list(rows)).sort_values("seq", kind="stable")
+
+
+def _frame(out: list, schema: str) -> pd.DataFrame:
+    return pd.DataFrame(out, columns=_names(schema), dtype=object)
+
+
+class Keyed(StatefulProcessor):
+    """A function (key, rows, state) -> frames with one value state a key, of which ttl_ms, if given, is
+    the life after its last update."""
+
+    def __init__(self, run: Callable, schema: str, ttl_ms: int | None = None):
+        self.run, self.schema, self.ttl_ms = run, schema, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("kept", self.schema, self.ttl_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        yield from self.run(key, rows, self.state)
+
+    def close(self) -> None:
+        pass
 
-from ..constants import CONFIDENCE_WEIGHTS, METRICS, OTHER_WEIGHT, PRIORITY_WEIGHTS, PRIORS, strategy_of
-from ..functions.normalize import fingerprint
-from ..operators.detect import Recursion
 
-OUTPUT = "sensor_id string, seq bigint, event_ts timestamp, source string, status string, is_late boolean, finding string, version bigint, merged string"
-VALUE = {m: f"v{i}" for i, m in enumerate(METRICS)}
+def mark_duplicates(key: tuple, rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """The events of one sensor and hour, copies marked; the state is their fingerprints."""
+    seen = dict.fromkeys(state.get()[0].split(",")) if state.exists() else {}
+    out = []
+    for r in _sorted(rows).itertuples(index=False):
+        out.append((*(getattr(r, c) for c in _names(EVENT)[:-1]), r.fingerprint in seen))
+        seen[r.fingerprint] = None
+    state.update((",".join(seen),))
+    yield _frame(out, EVENT)
 
 
 def fold(cell: dict | None, value: float, micros: int, source: str, strategy: str) -> dict:
     """A metric's cell after a reading that arrives now."""
     weights = CONFIDENCE_WEIGHTS if strategy == "confidence_weighted" else PRIORITY_WEIGHTS
-    weight = weights.get(source.lower(), OTHER_WEIGHT)
-    new = {"value": value, "micros": micros, "source": source}
+    weight = 1.0 if strategy == "latest" else weights.get(source.lower(), OTHER_WEIGHT)
+    new = {"value": value, "micros": micros, "source": source, "confidence": weight}
     if cell is None or micros > cell["micros"]:
         return new
     if micros < cell["micros"]:
         return cell
     had = weights.get(cell["source"].lower(), OTHER_WEIGHT)
     if strategy == "confidence_weighted":
-        return {"value": round((value * weight + cell["value"] * had) / (weight + had), 4), "micros": micros, "source": f"weighted_fusion({cell['source']}+{source})"}
+        fused = round((value * weight + cell["value"] * had) / (weight + had), 4)
+        return {"value": fused, "micros": micros, "source": f"weighted_fusion({cell['source']}+{source})", "confidence": min(1.0, (weight + had) / 1.5)}
     return cell if strategy == "source_priority" and weight < had else new
 
 
-def sensor_decisions(strategy: str, remember_ms: int):
-    """The function over one sensor's rows of a micro-batch and its state (a JSON body)."""
+def decide(strategy: str):
+    """The function over one sensor's events; its state is a JSON body."""
 
-    def run(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        kept = json.loads(state.get[0]) if state.exists else {"seen": {}, "cells": {}, "latest": None, "version": 0, "before": None, "sums": None}
-        now = state.getCurrentProcessingTimeMs()
-        seen = {f: at for f, at in kept["seen"].items() if now - at <= remember_ms}
-        detector = Recursion()
-        if kept["before"]:
-            detector.before = (kept["before"][0], kept["before"][1])
-        if kept["sums"]:
-            detector.sums = kept["sums"]
+    def run(key: tuple, rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        kept = json.loads(state.get()[0]) if state.exists() else {"cells": {}, "first": {}, "latest": None, "version": 0, "before": None, "sums": None}
+        detector, cells, first = Recursion(), kept["cells"], kept["first"]
+        detector.before = tuple(kept["before"]) if kept["before"] else None
+        detector.sums = kept["sums"] or detector.sums
         out = []
-        for r in batch.itertuples(index=False):
-            if r.fingerprint in seen:
-                out.append((key[0], r.seq, r.event_ts, r.source, "DUPLICATE_SKIPPED", False, None, kept["version"], json.dumps({m: c["value"] for m, c in kept["cells"].items()})))
+        for r in _sorted(rows).itertuples(index=False):
+            event = tuple(getattr(r, c) for c in _names(EVENT))
+            if r.is_duplicate:
+                out.append((*event, False, kept["version"], json.dumps(cells), *(None,) * (1 + len(_names(PASS)))))
                 continue
-            seen[r.fingerprint] = now
-            late = kept["latest"] is not None and r.micros < kept["latest"]
-            kept["latest"] = max(int(r.micros), kept["latest"]) if kept["latest"] is not None else int(r.micros)
+            micros, seq = int(r.micros), int(r.seq)
+            late = kept["latest"] is not None and micros < kept["latest"]
+            kept["latest"] = micros if kept["latest"] is None else max(micros, kept["latest"])
             kept["version"] += 1
-            for m, c in VALUE.items():
-                v = getattr(r, c)
-                if not pd.isna(v):
-                    kept["cells"][m] = fold(kept["cells"].get(m), float(v), int(r.micros), r.source, strategy)
-            values = [kept["cells"][m]["value"] if m in kept["cells"] else None for m in METRICS]
-            bounded = all(v is None or PRIORS[m][2] <= v <= PRIORS[m][3] for m, v in zip(METRICS, values))
-            finding, *_, drift, _ = detector.step(int(r.micros), values, bounded)
-            name = "bounds" if finding is None else "drift" if finding == "retained" and drift else finding
-            out.append((key[0], r.seq, r.event_ts, r.source, "OUT_OF_ORDER_RECONSTRUCTED" if late else "PROCESSED", bool(late), name, kept["version"], json.dumps({m: c["value"] for m, c in kept["cells"].items()})))
-        kept |= {"seen": seen, "before": list(detector.before) if detector.before else None, "sums": detector.sums}
-        state.update((json.dumps(kept, default=int),))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
+            for place, (m, v) in enumerate(json.loads(r.readings).items()):
+                if m in PRIORS:
+                    cells[m] = fold(cells.get(m), float(v), micros, r.source, strategy)
+                    first[m] = min(first.get(m, [micros, seq, place]), [micros, seq, place])
+            values = [cells[m]["value"] if m in cells else None for m in METRICS]
+            # The first violating metric, as a sensor's metrics came to be known; NaN violates nothing.
+            broken = [(first[m], m) for m, v in zip(METRICS, values) if v is not None and (v < PRIORS[m][2] or v > PRIORS[m][3])]
+            out.append((*event, late, kept["version"], json.dumps(cells), min(broken)[1] if broken else None, *detector.step(micros, values, not broken)))
+        kept |= {"before": detector.before, "sums": detector.sums}
+        state.update((json.dumps(kept),))
+        yield _frame(out, DECIDED)
 
     return run
 
 
-def decisions(events: DataFrame, strategy: str = "source_priority", remember_ms: int = 7 * 24 * 3600 * 1000) -> DataFrame:
-    """A streaming telemetry frame -> one decision per event. Fingerprints are remembered for
-    `remember_ms` of processing time."""
-    rows = events.select("sensor_id", F.col("seq").cast("bigint").alias("seq"), "event_ts", "source", F.unix_micros("event_ts").alias("micros"), fingerprint().alias("fingerprint"), *[F.col("readings")[m].alias(c) for m, c in VALUE.items()])
-    return rows.groupBy("sensor_id").applyInPandasWithState(sensor_decisions(strategy_of(strategy), remember_ms), outputStructType=OUTPUT, stateStructType="body string", outputMode="update", timeoutConf=GroupStateTimeout.NoTimeout)
+def watch(key: tuple, rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """Corroboration over the decisions of one cluster; its state is a JSON body. A sensor's decision
+    leaves by its own cluster only."""
+    near, out = spatial.Watch(), []
+    if state.exists():
+        near.times, near.flag, near.pos = json.loads(state.get()[0])
+    for r in _sorted(rows).itertuples(index=False):
+        inside, odd = not pd.isna(r.cluster), bool(r.is_anomaly)
+        by = None
+        if r.own and odd:
+            by = json.dumps(near.near(r.sensor_id, int(r.micros)) if inside else [])
+        if inside and not r.is_duplicate:
+            near.note(r.sensor_id, int(r.pos), int(r.micros), odd)
+        if r.own:
+            out.append((*(getattr(r, c) for c in _names(DECIDED)), by, r.cluster, r.members))
+    if not pd.isna(key[0]):
+        state.update((json.dumps([near.times, near.flag, near.pos]),))
+    yield _frame(out, WATCHED)
+
+
+def chain(key: tuple, rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """The blocks of one sensor's decisions; its state is the last block's number and hash."""
+    number, head = state.get() if state.exists() else (0, GENESIS)
+    out = []
+    for r in _sorted(rows).itertuples(index=False):
+        block = (None, None, None)
+        if not r.is_duplicate:
+            number, prev = number + 1, head
+            head = hashlib.sha256(f"{prev}|{r.body}".encode()).hexdigest()
+            block = (number, prev, head)
+        out.append((*(getattr(r, c) for c in _names(WATCHED)), r.body, *block))
+    state.update((number, head))
+    yield _frame(out, CHAINED)
+
+
+def _typed(flat: DataFrame) -> DataFrame:
+    """Rows of DECIDED -> the columns of classified events, in the order of the batch form. A copy has the
+    state it met and no report."""
+    cells = F.from_json("cells", f"map<string,{CELL}>")
+    cell = lambda m: F.struct(cells[m]["value"].alias("value"), F.timestamp_micros(cells[m]["micros"]).alias("event_ts"), cells[m]["source"].alias("source"), cells[m]["confidence"].alias("confidence"))
+    rest = [c for c in flat.columns if c not in _names(DECIDED) or c in ("is_duplicate", "version")]
+    typed = flat.select(
+        "sensor_id", F.timestamp_micros("micros").alias("event_ts"), "seq", "source", F.from_json("readings", "map<string,double>").alias("readings"), "metadata", "fingerprint", "is_late",
+        *[F.when(cells[m].isNotNull(), cell(m)).alias(merged(m)) for m in METRICS],
+        F.col("violation").alias("_violation"), *_names(PASS), *rest,
+    )
+    done = report(typed)
+    head = [c for c in typed.columns if c in done.columns and c not in rest]
+    labels = [c for c in done.columns if c not in typed.columns]
+    return done.select(*head, *[F.when(~F.col("is_duplicate"), F.col(c)).alias(c) for c in labels], *rest)
+
+
+def _decided(flat: DataFrame) -> DataFrame:
+    """Rows of WATCHED -> decisions, with is_duplicate and version behind them."""
+    typed = _typed(flat.withColumnRenamed("corroborated_by", "by")).withColumn("corroborated_by", F.from_json("by", "array<string>"))
+    found = spatial.diagnosed(typed).withColumn("action", action(F.col("is_late"))).withColumn("status", status(F.col("is_duplicate"), F.col("is_late")))
+    rest = [c for c in flat.columns if c not in _names(WATCHED) or c in ("is_duplicate", "version")]
+    found = found.drop("by", "cluster", "members")
+    return found.select(*[c for c in found.columns if c not in rest], *rest)
+
+
+def decisions(events: DataFrame, strategy: str = "source_priority", topo: DataFrame | None = None, remember_ms: int | None = None) -> DataFrame:
+    """A streaming telemetry frame (seq: bigint) -> one row per event: the columns of `replay.process`
+    with corroboration, is_duplicate, version, and its block (body, audit_id, prev_hash, current_hash;
+    a copy has no block). topo: see `spatial.topology`; the usual one if not given.
+
+    remember_ms: fingerprints of an hour of event time are forgotten that long after its last event, by
+    processing time. A query with it may not end by itself under availableNow, as Spark waits for time to
+    pass; without it, fingerprints stay."""
+    if events.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass") != PROVIDER:
+        raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {PROVIDER}")
+    topo = spatial.topology(events.sparkSession) if topo is None else topo
+
+    def step(rows: DataFrame, keys: list[str], run: Callable, out: str, state: str, ttl_ms: int | None = None) -> DataFrame:
+        return rows.groupBy(*keys).transformWithStateInPandas(Keyed(run, state, ttl_ms), out, "append", "none" if ttl_ms is None else "processingtime")
+
+    rows = events.select(
+        "sensor_id", F.col("seq").cast("bigint").alias("seq"), F.unix_micros("event_ts").alias("micros"), "source", F.to_json("readings").alias("readings"), "metadata", fingerprint().alias("fingerprint"),
+        F.floor(F.unix_micros("event_ts") / HOUR).cast("bigint").alias("hour"),
+    )
+    marked = step(rows, ["sensor_id", "hour"], mark_duplicates, EVENT, "prints string", remember_ms)
+    decided = step(marked, ["sensor_id"], decide(strategy_of(strategy)), DECIDED, "body string")
+    odd = _typed(decided.withColumn("flat", F.struct(*_names(DECIDED)))).select("flat.*", F.coalesce("is_anomaly", F.lit(False)).alias("is_anomaly"))
+    placed = odd.join(F.broadcast(spatial.listed(topo)), "sensor_id", "left").withColumn("own", F.coalesce("own", F.lit(True)))
+    # Sensors without a cluster are dealt by themselves.
+    placed = placed.withColumn("lone", F.when(F.col("cluster").isNull(), F.col("sensor_id")))
+    watched = step(placed, ["cluster", "lone"], watch, WATCHED, "body string")
+    full = _decided(watched.withColumn("flat", F.struct(*_names(WATCHED))))
+    blocks = full.drop("flat", "is_duplicate", "version")
+    bodied = full.select("flat.*", ledger.body(blocks).alias("body"))
+    return _decided(step(bodied, ["sensor_id"], chain, CHAINED, "number bigint, head string"))
+
+
+def blocks(stored: DataFrame) -> DataFrame:
+    """The ledger in stored decisions, as `ledger.build` gives it."""
+    kept = stored.where("audit_id is not null")
+    return kept.select("sensor_id", "seq", "body", F.col("sensor_id").alias("chain"), "audit_id", "prev_hash", "current_hash")
 
 
 def unique_within(events: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -97,5 +242,5 @@ def write_decisions(stream: DataFrame, path: str, checkpoint: str, available_now
     def store(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    writer = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(store)
+    writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(store)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
