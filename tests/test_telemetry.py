@@ -204,7 +204,7 @@ def test_replay_and_invariance(spark):
     summary, states = replay.replay(spark, frame(spark, same))
     # The late event meets the merged reading of the lab, a second later by the least time step.
     odd = sum(t != "NONE" for t in anomalies(unique(same), "source_priority").values())
-    assert summary.first().asDict() == {"received": 4, "unique_events": 3, "duplicates": 1, "out_of_order": 1, "anomalies": odd, "sensors": 1}
+    assert summary.first().asDict() == {"received": 4, "unique_events": 3, "duplicates": 1, "out_of_order": 1, "anomalies": odd, "sensors": 1, "anomalous_sensors": 1}
     result, _ = replay.replay_result(spark, frame(spark, same))
     assert result["ledger_valid"] and result["anomalies"] == odd and result["seconds"] > 0
     assert states.first().readings == {"pH": 7.4}

@@ -51,13 +51,8 @@ def correlations(raw: DataFrame, topo: DataFrame, strategy: str = "source_priori
 
 
 def fleet(raw: DataFrame, topo: DataFrame, contains: str = "", only_anomalous: bool = False, cluster: str | None = None, strategy: str = "source_priority") -> DataFrame:
-    """States of the sensors whose id contains a text (in any case), with is_anomalous (of the last
-    arrived event) and cluster; of one cluster, or of anomalous ones only, if asked."""
-    decisions = ingest(raw, strategy)
-    states = spatial.with_cluster(sensors(raw, strategy).join(spatial.last_flags(decisions), "sensor_id", "left"), topo)
-    found = states.where(F.lower("sensor_id").contains(contains.lower()))
-    found = found.where("is_anomalous") if only_anomalous else found
-    return found if cluster is None else found.where(F.col("cluster") == cluster)
+    """States by sensor, filtered: see replay.fleet."""
+    return replay.fleet(sensors(raw, strategy), ingest(raw, strategy), topo, contains, only_anomalous, cluster)
 
 
 def timeline_states(raw: DataFrame, sensor_id: str, strategy: str = "source_priority") -> DataFrame:

@@ -23,24 +23,39 @@ def process(events: DataFrame, strategy: str = "source_priority", topo: DataFram
 
 
 def counters(events: DataFrame, decisions: DataFrame) -> DataFrame:
-    """One row: received, unique, duplicates, out_of_order, anomalies, sensors."""
+    """One row: received, unique, duplicates, out_of_order, anomalies, sensors, anomalous_sensors (by
+    the last arrived event). Decisions are read once: what they give by sensor is summed up."""
     received = events.agg(F.count(F.lit(1)).alias("received"))
-    rest = decisions.agg(
-        F.count(F.lit(1)).alias("unique_events"),
-        F.coalesce(F.sum(F.col("is_late").cast("long")), F.lit(0)).alias("out_of_order"),
-        F.coalesce(F.sum(F.col("is_anomaly").cast("long")), F.lit(0)).alias("anomalies"),
-        F.approx_count_distinct("sensor_id", 0.01).alias("sensors_approx"),
-        F.count_distinct("sensor_id").alias("sensors"),
+    by_sensor = decisions.groupBy("sensor_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.col("is_late").cast("long")).alias("late"),
+        F.sum(F.col("is_anomaly").cast("long")).alias("odd"),
+        F.max_by("is_anomaly", "seq").cast("long").alias("flag"),
     )
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    rest = by_sensor.agg(total("n", "unique_events"), total("late", "out_of_order"), total("odd", "anomalies"), F.count(F.lit(1)).alias("sensors"), total("flag", "anomalous_sensors"))
     both = received.join(F.broadcast(rest))  # a row each
-    return both.select("received", "unique_events", (F.col("received") - F.col("unique_events")).alias("duplicates"), "out_of_order", "anomalies", "sensors")
+    return both.select("received", "unique_events", (F.col("received") - F.col("unique_events")).alias("duplicates"), "out_of_order", "anomalies", "sensors", "anomalous_sensors")
 
 
 def fleet_overview(events: DataFrame, decisions: DataFrame) -> DataFrame:
     """One row: total_sensors, anomalous_sensors, processed (received, as shown to operators),
     duplicates, out_of_order."""
-    flags = spatial.last_flags(decisions).agg(F.coalesce(F.sum(F.col("is_anomalous").cast("long")), F.lit(0)).alias("anomalous_sensors"))
-    return counters(events, decisions).join(F.broadcast(flags)).select(F.col("sensors").alias("total_sensors"), "anomalous_sensors", F.col("received").alias("processed"), "duplicates", "out_of_order")
+    return counters(events, decisions).select(F.col("sensors").alias("total_sensors"), "anomalous_sensors", F.col("received").alias("processed"), "duplicates", "out_of_order")
+
+
+def fleet(states: DataFrame, decisions: DataFrame, topo: DataFrame, contains: str = "", only_anomalous: bool = False, cluster=None) -> DataFrame:
+    """States of the sensors whose id contains a text (in any case), with is_anomalous (of the last
+    arrived event) and cluster; of one cluster, or of anomalous ones only, if asked."""
+    rows = states.where(F.lower(F.col("sensor_id").cast("string")).contains(contains.lower()))
+    found = spatial.with_cluster(rows.join(spatial.last_flags(decisions), "sensor_id", "left"), topo)
+    found = found.where("is_anomalous") if only_anomalous else found
+    return found if cluster is None else found.where(F.col("cluster") == cluster)
+
+
+def top_anomalies(decisions: DataFrame, k: int = 10) -> DataFrame:
+    """The k anomalies of highest score, later ones first among equals."""
+    return decisions.where("is_anomaly").orderBy(F.desc("anomaly_score"), F.desc("seq")).limit(k)
 
 
 def shuffled(events: DataFrame, seed: int) -> DataFrame:

@@ -177,5 +177,30 @@ ORACLE = {
     "text_normalized": f"""with {BASE} select sensor_id::varchar sensor_id, event_id, event_ts, case when event_id % 3 > 0 then source else 'field' end source, round((event_id % 140) / 10e0, 6) ph, event_id::double turbidity, 2::bigint n_readings
  from base where copy = 0 and event_id % 4 <> 3 and event_id % 9 <> 0""",
     "text_rejected": "select case when event_id % 4 = 3 then 'bad timestamp' else 'non-numeric reading' end reject_reason, count(*) n from events where event_id % 4 = 3 or event_id % 9 = 0 group by 1",
+    "fleet_filtered": f"""with recursive {CLASSIFIED}, f as (select *, rn = max(rn) over (partition by sensor_id) is_last from cls)
+ select sensor_id, sensor_id // 5 as cluster, rn as version, {", ".join(f"round(m_{c}, 6) {c}" for c in COLUMNS.values())} from f where is_last and is_anomaly and sensor_id::varchar like '%1%'""",
+    "top_anomalies": f"with recursive {CLASSIFIED.replace(BASE, DENSE)} select sensor_id, event_id, copy, anomaly_type, severity, is_anomaly, round(score, 6) anomaly_score, contributing from cls where is_anomaly order by round(score, 6) desc, sq desc limit 25",
+    "anomaly_explanations": f"""with recursive {CLASSIFIED.replace(BASE, DENSE)} select sensor_id, event_id, copy,
+ case anomaly_type when 'OUT_OF_BOUNDS' then violation || ' is outside its physical limits' when 'TEMPORAL_RATE_OF_CHANGE' then contributing || ' changes by # per minute' when 'THERMAL_PH_COUPLING' then 'temperature # with pH # within # s'
+ when 'MULTIVARIATE_OUTLIER' then 'Mahalanobis distance #' when 'SENSOR_DRIFT' then 'cumulative drift of ' || drift_metric else 'within statistical and temporal bounds' end explanation,
+ case when anomaly_type in ('MULTIVARIATE_OUTLIER', 'NONE') then round(square, 2) end mahalanobis_sq from cls""",
+    "anomaly_diagnoses": f"""with recursive {CORROBORATED}, size as (select sensor_id // 5 as cluster, count(distinct sensor_id) members from u group by 1)
+ select sensor_id, event_id, copy, case when names is not null then 'SYSTEMIC PLUME: corroborated by ' || replace(names, ',', ', ') || ' of ' || cluster::bigint::varchar
+ when members < 2 then 'no neighbours known of ' || sensor_id::varchar else 'LOCALIZED ISOLATED: no neighbour corroborates' end diagnosis
+ from cls left join by_nb using (sensor_id, sq) join size on cls.sensor_id // 5 = size.cluster where is_anomaly""",
+    # format rounds the exact value of the double, as the fold does.
+    "state_running_fused": f"""with recursive {ROWS}, arrived as materialized (select *, {CONFIDENCE} w, row_number() over (partition by sensor_id, metric order by sq) rn from m),
+ fold as (select sensor_id, metric, rn, event_id, copy, event_ts, value, source, w, w confidence from arrived where rn = 1
+ union all select a.sensor_id, a.metric, a.rn, a.event_id, a.copy, greatest(a.event_ts, f.event_ts),
+ case when a.event_ts > f.event_ts then a.value when a.event_ts < f.event_ts then f.value else format('{{:.4f}}', (a.value * a.w + f.value * f.w) / (a.w + f.w))::double end,
+ case when a.event_ts > f.event_ts then a.source when a.event_ts < f.event_ts then f.source else 'weighted_fusion(' || f.source || '+' || a.source || ')' end,
+ case when a.event_ts > f.event_ts then a.w when a.event_ts < f.event_ts then f.w else 0.5e0 end,
+ case when a.event_ts > f.event_ts then a.w when a.event_ts < f.event_ts then f.confidence else least(1e0, (a.w + f.w) / 1.5e0) end
+ from fold f join arrived a on a.sensor_id = f.sensor_id and a.metric = f.metric and a.rn = f.rn + 1)
+ select sensor_id, event_id, copy, metric, round(value, 6) as value, source, round(confidence, 6) confidence from fold""",
+    "state_as_of_known": f"""with {UNIQUE}, k as (select * from u where arrival_ts <= timestamp '{AS_OF}' + interval 12 hour), p as (select * from k where event_ts <= timestamp '{AS_OF}')
+ select sensor_id, case when n is null then 1 else n end as version, coalesce(n, 0) total_events, last_event_time, coalesce(n_readings, 0) n_readings from (select distinct sensor_id from k)
+ left join (select sensor_id, count(*) n, max(event_ts) last_event_time, {" + ".join(f"(count({c}) > 0)::bigint" for c in COLUMNS.values())} n_readings from p group by 1) using (sensor_id)""",
+    "ledger_global": f"with {UNIQUE}, b as (select list(sensor_id::varchar || '|' || event_id::varchar || '|' || fingerprint order by sq) bodies from u) select len(bodies) as blocks, list_reduce(bodies, lambda h, x: sha256(h || '|' || x), repeat('0', 64)) head from b",
     "document_exact_dedup": "select sha256(text) digest, min(doc_id) doc_id, count(*) n_copies from documents group by 1",
 }

@@ -200,7 +200,46 @@ def fleet_overview(spark, d):
 def replay_summary(spark, d):
     rows = events(spark, d)
     decisions = detect.classify(timeline.flag_late(dedup.first_arrivals(rows)))
-    return replay.counters(rows, decisions)
+    return replay.counters(rows, decisions).drop("anomalous_sensors")
+
+
+def fleet_filtered(spark, d):
+    """Anomalous sensors with a 1 in their number, with their clusters and readings."""
+    rows = unique(spark, d)
+    found = replay.fleet(resolve.current_states(rows), detect.classify(rows), topo_of(rows), "1", True)
+    return found.select("sensor_id", "cluster", "version", *readings())
+
+
+def top_anomalies(spark, d):
+    """The 25 anomalies of highest score among events that are close together."""
+    return _classified(replay.top_anomalies(detect.classify(unique(spark, d, SQUEEZE)).withColumn("anomaly_score", F.round("anomaly_score", 6)), 25), 6)
+
+
+def anomaly_explanations(spark, d):
+    """Explanations, their numbers left out, and the distance in the JSON details."""
+    rows = detect.classify(unique(spark, d, SQUEEZE))
+    text = F.regexp_replace("explanation", "[+-]?[0-9]+([.][0-9]+)?", "#")
+    return rows.select(*ids(), text.alias("explanation"), F.get_json_object("details", "$.mahalanobis_sq").cast("double").alias("mahalanobis_sq"))
+
+
+def anomaly_diagnoses(spark, d):
+    rows = unique(spark, d)
+    return spatial.corroborate(detect.classify(rows), topo_of(rows)).select(*ids(), "diagnosis")
+
+
+def state_running_fused(spark, d):
+    """The cell of each reading's metric right after its arrival, by weighted fusion."""
+    rows = resolve.running_states(unique(spark, d), "confidence_weighted")
+    cells = F.array(*[F.when(F.col("readings")[m].isNotNull(), F.struct(F.lit(m).alias("metric"), F.col(resolve.merged(m)).alias("c"))) for m in METRICS])
+    found = rows.select(*ids(), F.explode(F.array_compact(cells)).alias("x"))
+    return found.select("sensor_id", "event_id", "copy", "x.metric", r6("x.c.value").alias("value"), "x.c.source", r6("x.c.confidence").alias("confidence"))
+
+
+def state_as_of_known(spark, d):
+    """Headers of the states at a time, of what had arrived twelve hours later."""
+    rows = unique(spark, d).withColumn("seq", F.col("seq.arrival_ts"))
+    found = resolve.state_as_of(rows, F.lit(AS_OF).cast("timestamp"), known_seq=F.lit(AS_OF).cast("timestamp") + F.expr("interval 12 hours"))
+    return found.select("sensor_id", "version", "total_events", ntz("last_event_time").alias("last_event_time"), F.size("readings").cast("long").alias("n_readings"))
 
 
 def order_invariance(spark, d):
@@ -236,6 +275,11 @@ def ledger_heads(spark, d):
     return ledger.heads(ledger.build(_blocks(spark, d), "sensor")).select(F.col("chain").cast("long").alias("sensor_id"), "blocks", "head")
 
 
+def ledger_global(spark, d):
+    """One chain over all blocks in order of arrival: its length and head."""
+    return ledger.heads(ledger.build(_blocks(spark, d), "global")).select("blocks", "head")
+
+
 def csv_export(spark, d):
     """The flat export; readings, text there, are compared as numbers."""
     rows = ledger.csv_rows(replay.process(events(spark, d)), ledger.build(_blocks(spark, d), "sensor"))
@@ -302,6 +346,7 @@ QUERIES = (
     out_of_bounds, mahalanobis_score, zscore_contributors, display_bands, rate_of_change_pairs, cusum_running, anomaly_classify,
     spatial_corroboration, cluster_status, fleet_overview, replay_summary, order_invariance, ledger_chain, ledger_faults, ledger_heads, audit_page, csv_projection, csv_export,
     anomaly_dense, timeline_states, state_mismatches, cluster_lookup, text_normalized, text_rejected, document_exact_dedup,
+    fleet_filtered, top_anomalies, anomaly_explanations, anomaly_diagnoses, state_running_fused, state_as_of_known, ledger_global,
 )
 
 
