@@ -386,6 +386,24 @@ def test_quality_hosts(spark):
     assert out[400].host_docs == 1
 
 
+def test_quality_hosts_by_rule(spark):
+    """Each rule has its own rates: a host goes for symbols, doubled lines or long words alone, and a
+    few such documents on a clean host stay."""
+    words = [f"{a}{b}" for a in ("north", "river", "stone", "cloud", "plain", "grass", "early", "light") for b in ("ward", "side", "field", "fall", "land", "less", "ness", "line")]
+    clean = " ".join(words)
+    odd = {"symbols": " ".join(w + "##" for w in words), "lines": clean + "\nthe end of it\nthe end of it\nthe end of it", "length": " ".join(w * 3 for w in words)}
+    rows = [(k, clean, "clean") for k in range(100)]
+    for n, (host, text) in enumerate(odd.items(), 1):
+        rows += [(1000 * n + k, text, host) for k in range(40)] + [(1000 * n + 500, text, "clean")]
+    out = {r.doc_id: r for r in host_rules.judge(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    for n, host in enumerate(odd, 1):
+        failed = {r: out[1000 * n][f"failed_{r}"] for r in host_rules.RULES}
+        assert failed == {r: 40 * (r == host) for r in host_rules.RULES}
+        assert out[1000 * n].host_rejected and not out[1000 * n].kept and not out[1000 * n].base_failed
+        assert out[1000 * n + 500].kept and out[1000 * n + 500][f"failed_{host}"] == 1
+    assert all(out[k].kept for k in range(100))
+
+
 # --- packing
 
 
