@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm import decontaminate as decontamination
 from tidegauge.llm import langid, near_dedup, packing, secrets
-from tidegauge.llm.common import materialize, read_table, small_batches
+from tidegauge.llm.common import discard, distilled, read_table, small_batches
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """The last stage's table; what the others wrote is deleted as soon as the next one is whole."""
+    docs, before = read_table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        docs = distilled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
+        discard(spark, before)
+        before = [folder_of(docs)]
     return docs

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders written since the innermost `distilled` began.
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
 
 #: Rows in a batch that goes to Python: texts are long, and a batch is held twice on each side.
 BATCH_ROWS = "1000"
@@ -40,4 +45,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (written := _WRITTEN.get()) is not None:
+        written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of the shared folder through its own file system."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def distilled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """materialize(make(), name); the tables written on the way are deleted once the result is, as it
+    reads none of them. After a failure they stay."""
+    outer, written = _WRITTEN.get(), []
+    token = _WRITTEN.set(written)
+    try:
+        out = materialize(make(), name)
+    finally:
+        _WRITTEN.reset(token)
+    discard(spark, written[:-1])
+    if outer is not None:
+        outer.append(written[-1])
+    return out

@@ -28,7 +28,7 @@ RULES = {
     "base": "base_failed",
     "symbols": "10 * n_symbols > word_chars",
     "lines": "10 * n_dup_lines > 3 * n_lines",
-    "length": "word_chars < 3 * n_words or word_chars > 15 * n_words",
+    "length": "word_chars < 2 * n_words or word_chars > 15 * n_words",
 }
 
 
@@ -114,7 +114,7 @@ b as (select w.doc_id, w.host, w.rid, len(ws)::bigint n_words, length(regexp_rep
  from w left join c on c.rid = w.rid),
 f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed from b),
 k as (select host, count(*) host_docs, count_if(base_failed)::bigint failed_base, count_if(10 * n_symbols > word_chars)::bigint failed_symbols,
- count_if(10 * n_dup_lines > 3 * n_lines)::bigint failed_lines, count_if(word_chars < 3 * n_words or word_chars > 15 * n_words)::bigint failed_length from f group by host),
+ count_if(10 * n_dup_lines > 3 * n_lines)::bigint failed_lines, count_if(word_chars < 2 * n_words or word_chars > 15 * n_words)::bigint failed_length from f group by host),
 r as (select host, host_docs, rule, failed from k unpivot (failed for rule in (failed_base, failed_symbols, failed_lines, failed_length))),
 p as (select rule, avg(failed / host_docs) m, coalesce(var_pop(failed / host_docs), 0) v from r group by rule),
 q as (select rule, m, case when v > 0 then least(1000, greatest(2, m * (1 - m) / v - 1)) else 1000 end w from p),
