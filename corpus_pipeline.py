@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm import decontaminate as decontamination
 from tidegauge.llm import langid, near_dedup, packing, secrets
-from tidegauge.llm.common import discard, distilled, read_table, small_batches
+from tidegauge.llm.common import distilled, read_table, small_batches
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's table; what the others wrote is deleted as soon as the next one is whole."""
-    docs, before = read_table(spark, sf_dir, "documents"), []
-    for name, stage in STAGES:
-        docs = distilled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
-        discard(spark, before)
-        before = [folder_of(docs)]
-    return docs
+    """The last stage's table; a stage's input, and what it wrote on the way, go once its output is whole."""
+
+    def after(n: int) -> DataFrame:
+        if n == 0:
+            return read_table(spark, sf_dir, "documents")
+        name, stage = STAGES[n - 1]
+        return distilled(spark, lambda: stage(spark, after(n - 1), sf_dir), name)
+
+    return after(len(STAGES))

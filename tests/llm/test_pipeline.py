@@ -1,5 +1,7 @@
 """The registered queries, and the pipeline stage by stage against plain versions."""
 
+from pathlib import Path
+
 import duckdb
 import plain_llm as plain
 import pytest
@@ -8,7 +10,7 @@ from test_documents import check_pieces
 import __spark_entry__ as entry
 import corpus_pipeline
 from tidegauge.llm import langid, registry, secrets
-from tidegauge.llm.common import materialize, read_table
+from tidegauge.llm.common import distilled, materialize, read_table, shared_dir
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
@@ -57,3 +59,34 @@ def test_pipeline_on_an_empty_table(spark, no_docs, small):
     for name, stage in corpus_pipeline.STAGES:
         docs = materialize(stage(spark, docs, small), name)
     assert docs.count() == 0
+
+
+def test_tables_written_on_the_way_are_deleted(spark):
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+
+    def inner():
+        kept = materialize(materialize(spark.range(5), "way_a"), "way_b")
+        return kept.where("id > 2")
+
+    def outer():
+        return distilled(spark, inner, "way_c").union(materialize(spark.range(2), "way_d"))
+
+    out = distilled(spark, outer, "way_e")
+    assert sorted(r.id for r in out.collect()) == [0, 1, 3, 4]
+    assert [p.name[:5] for p in folder.glob("way_*")] == ["way_e"]
+
+    def fails():
+        materialize(spark.range(1), "way_f")
+        raise ValueError
+
+    with pytest.raises(ValueError):
+        distilled(spark, fails, "way_g")
+    assert sorted(p.name[:5] for p in folder.glob("way_*")) == ["way_e", "way_f"]
+
+
+def test_pipeline_leaves_one_table(spark, small):
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    out = corpus_pipeline.run(spark, small)
+    assert [p.name[:7] for p in set(folder.iterdir()) - before] == ["packing"]
+    assert out.count() > 0
