@@ -14,6 +14,7 @@ from .license_scan import op10_license_scan
 from .near_dedup import op3_near_dedup
 from .packing import op9_packing
 from .pseudo_likelihood import op1_pseudo_likelihood
+from .ranked_search import OP12_SQL, op12_ranked_search
 from .secrets import op4_secret_scan
 from .substring_dedup import OP6_SQL, op6_substring_dedup
 
@@ -28,6 +29,7 @@ OPERATORS = (
     op8_quality_rules,
     op9_packing,
     op10_license_scan,
+    op12_ranked_search,
 )
 
 
@@ -36,4 +38,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op8_quality_rules": OP8_SQL}
+    return {"op5_decontaminate": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op8_quality_rules": OP8_SQL, "op12_ranked_search": OP12_SQL}
