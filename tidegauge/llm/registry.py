@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .collocations import OP13_SQL, op13_collocations
 from .decontaminate import OP5_SQL, op5_decontaminate
 from .host_rules import OP8_SQL, op8_quality_rules
 from .html_text import op2_html_text
@@ -30,6 +31,7 @@ OPERATORS = (
     op9_packing,
     op10_license_scan,
     op12_ranked_search,
+    op13_collocations,
 )
 
 
@@ -38,4 +40,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op8_quality_rules": OP8_SQL, "op12_ranked_search": OP12_SQL}
+    return {"op5_decontaminate": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op8_quality_rules": OP8_SQL, "op12_ranked_search": OP12_SQL, "op13_collocations": OP13_SQL}
