@@ -18,6 +18,7 @@ from .pseudo_likelihood import op1_pseudo_likelihood
 from .ranked_search import OP12_SQL, op12_ranked_search
 from .secrets import op4_secret_scan
 from .substring_dedup import OP6_SQL, op6_substring_dedup
+from .url_templates import op11_url_filter
 
 OPERATORS = (
     op1_pseudo_likelihood,
@@ -30,6 +31,7 @@ OPERATORS = (
     op8_quality_rules,
     op9_packing,
     op10_license_scan,
+    op11_url_filter,
     op12_ranked_search,
     op13_collocations,
 )
