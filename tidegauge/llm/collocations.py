@@ -59,7 +59,7 @@ class Numbers(dict):
         return n
 
 
-def build_lists(docs: DataFrame, shard_words: int = 2_000_000) -> DataFrame:
+def build_lists(docs: DataFrame, shard_words: int = 1_000_000) -> DataFrame:
     """A row per shard: its words and their position lists, one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,9 +117,7 @@ def lengths(phrases: np.ndarray, words: np.ndarray, n: int) -> tuple[np.ndarray,
 
 def postings_of(row: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A shard's postings of frequent words by position: where, number in the shard; and the words' ids."""
-    ids, of = np.asarray(row.column(0)[k].values), np.asarray(row.column(1)[k].values)
-    where = np.frombuffer(row.column(2)[k].as_buffer(), np.int32).astype(np.int64)
-    return where, of.astype(np.int64), ids
+    return np.cumsum(expand(row.column(2)[k].as_buffer())), expand(row.column(1)[k].as_buffer()), np.asarray(row.column(0)[k].values)
 
 
 def local_words(lists: DataFrame) -> DataFrame:
@@ -129,7 +127,7 @@ def local_words(lists: DataFrame) -> DataFrame:
 
 
 def frequent_postings(lists: DataFrame, words: DataFrame) -> DataFrame:
-    """ids array<long>, of array<int>, where binary: per shard the postings of its frequent words by position."""
+    """ids array<long>, of binary, steps binary: per shard the postings of its frequent words by position, squeezed."""
     known = local_words(lists).select("shard", "local", "lang", "word").join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("local", "id")).alias("known"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,9 +143,9 @@ def frequent_postings(lists: DataFrame, words: DataFrame) -> DataFrame:
                 of = np.repeat(own, counts)
                 where, of = where[of >= 0], of[of >= 0]
                 order = np.argsort(where)
-                yield pa.RecordBatch.from_arrays([pa.array([np.asarray(pairs.field("id"))], pa.list_(pa.int64())), pa.array([of[order].astype(np.int32)], pa.list_(pa.int32())), pa.array([where[order].astype(np.int32).tobytes()], pa.binary())], names=["ids", "of", "where"])
+                yield pa.RecordBatch.from_arrays([pa.array([np.asarray(pairs.field("id"))], pa.list_(pa.int64())), pa.array([squeeze(of[order])[0]], pa.binary()), pa.array([squeeze(np.diff(where[order], prepend=0))[0]], pa.binary())], names=["ids", "of", "steps"])
 
-    return lists.select("shard", "counts", "positions").join(known, "shard").select("counts", "positions", "known").mapInArrow(run, "ids array<long>, of array<int>, where binary")
+    return lists.select("shard", "counts", "positions").join(known, "shard").select("counts", "positions", "known").mapInArrow(run, "ids array<long>, of binary, steps binary")
 
 
 def slot(first: Column | np.ndarray, second: Column | np.ndarray) -> Column | np.ndarray:
@@ -166,7 +164,7 @@ def pairs_of(frequent: DataFrame) -> DataFrame:
                 w1, w2, n, _ = lengths(first, second, len(ids))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[w1]), pa.array(ids[w2]), pa.array(n)], names=["w1", "w2", "n"])
 
-    return frequent.select("ids", "of", "where").mapInArrow(run, "w1 long, w2 long, n long")
+    return frequent.select("ids", "of", "steps").mapInArrow(run, "w1 long, w2 long, n long")
 
 
 def triples_of(frequent: DataFrame, field: np.ndarray) -> DataFrame:
@@ -190,7 +188,7 @@ def triples_of(frequent: DataFrame, field: np.ndarray) -> DataFrame:
                     p, w3, n, _ = lengths(phrase, third, len(ids))
                     yield pa.RecordBatch.from_arrays([pa.array(ids[p1[p]]), pa.array(ids[p2[p]]), pa.array(ids[w3]), pa.array(n)], names=["w1", "w2", "w3", "n"])
 
-    return frequent.select("ids", "of", "where").mapInArrow(run, "w1 long, w2 long, w3 long, n long")
+    return frequent.select("ids", "of", "steps").mapInArrow(run, "w1 long, w2 long, w3 long, n long")
 
 
 def bit_field(pairs: DataFrame) -> np.ndarray:
@@ -216,7 +214,7 @@ def named(phrases: DataFrame, words: DataFrame, size: int) -> DataFrame:
     return phrases
 
 
-def collocations(docs: DataFrame, least: int = 10, top: int = 2000, shard_words: int = 2_000_000) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 10, top: int = 2000, shard_words: int = 1_000_000) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the `top` phrases of each language."""
     lists = materialize(build_lists(docs, shard_words), "lists")
     often = f"n >= {least}"
