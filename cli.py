@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import argparse
+import uuid
 from datetime import datetime, timezone
 
 from tidegauge import api
 from tidegauge.functions.normalize import normalize
-from tidegauge.operators import ledger, replay, spatial
+from tidegauge.operators import ledger, ledger_store, replay, spatial
 from tidegauge.session import session
 from tidegauge.sources.telemetry import from_events
 
@@ -26,7 +27,8 @@ def main(argv: list[str] | None = None) -> int:
     many.add_argument("--strategy", default="source_priority")
     many.add_argument("--shuffle", action="store_true")
     many.add_argument("--verify", action="store_true")
-    many.add_argument("--persist", help="folder to append the ledger to")
+    many.add_argument("--persist", help="folder of a ledger that goes on with this replay")
+    many.add_argument("--batch", help="id of the replay; one that the ledger has is not added again")
     check = commands.add_parser("audit-verify")
     check.add_argument("--ledger", required=True)
     args = parser.parse_args(argv)
@@ -48,9 +50,10 @@ def main(argv: list[str] | None = None) -> int:
         if args.verify:
             print(replay.verify_order_invariance(events, args.strategy))
         if args.persist:
-            ledger.append(ledger.build(ledger.bodies(replay.process(events, args.strategy))), args.persist)
+            added = ledger_store.append(ledger.bodies(replay.process(events, args.strategy)), args.persist, args.batch or uuid.uuid4().hex)
+            print("ledger continued" if added else "the ledger has this batch")
     else:
-        intact, fault = ledger.verify(ledger.load(spark, args.ledger))
+        intact, fault = ledger_store.verify(spark, args.ledger)
         print("intact" if intact else f"not intact: {fault}")
         return int(not intact)
     return 0

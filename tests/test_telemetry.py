@@ -252,10 +252,6 @@ def test_files_api_and_synthetic(spark, tmp_path):
     topo = spatial.topology(spark, {"north": ["A"]})
     assert api.fleet(raw, topo, "a", cluster="north").count() == 1 and api.fleet(raw, topo, "x").count() == 0 and api.fleet(raw, topo, only_anomalous=True).count() == 0
     assert [r[resolve.merged("pH")].value for r in api.timeline_states(raw, "A").collect()] == [7.1, 7.2]
-    ledger.append(api.audit(raw), str(tmp_path / "ledger"))
-    assert ledger.verify(ledger.load(spark, str(tmp_path / "ledger"))) == (True, None)
-    ledger.reset(spark, str(tmp_path / "ledger"))
-    assert ledger.load(spark, str(tmp_path / "ledger")).count() == 0
     over, status = api.correlations(raw, spatial.topology(spark))
     assert over.first().processed == 2 and status.count() == 3
     assert read_json(spark, str(tmp_path / "a.json")).count() == 0

@@ -3,7 +3,7 @@
 A block's hash covers the hash before it and the block's body, canonical JSON. `scope="sensor"`, the
 usual form, is a chain per sensor, built in parallel, with the sorted heads hashed into one root.
 Chaining is serial by nature: `scope="global"` is one chain in one task, for ledgers of the size of a
-file. Verification is parallel in both: a block meets its predecessor by a join on the number.
+file. Verification is parallel by chain. Stored ledgers are in `ledger_store`.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import GENESIS, strategy_of
@@ -35,33 +36,47 @@ def bodies(decisions: DataFrame, received: str = "1970-01-01T00:00:00Z") -> Data
     return decisions.select("sensor_id", "seq", body(decisions, received).alias("body"))
 
 
-def build(blocks: DataFrame, scope: str = "sensor") -> DataFrame:
-    """blocks (sensor_id, seq, body) -> sensor_id, seq, body, chain, audit_id, prev_hash, current_hash."""
-    keyed = blocks.select((F.lit("") if scope == "global" else F.col("sensor_id").cast("string")).alias("chain"), "seq", F.struct("sensor_id", "seq", "body").alias("row"), "body")
+def build(blocks: DataFrame, scope: str = "sensor", after: DataFrame | None = None) -> DataFrame:
+    """blocks (sensor_id, seq, body) -> sensor_id, seq, body, chain, audit_id, prev_hash, current_hash.
+
+    after: heads (chain, blocks, head) of a ledger that these blocks continue: each chain's numbers and links
+    go on from its head. A head is sorted before its chain's blocks, so that both come to one task in one
+    shuffle and nothing is held but the last hash."""
+    row = F.struct("sensor_id", "seq", "body")
+    keyed = blocks.select((F.lit("") if scope == "global" else F.col("sensor_id").cast("string")).alias("chain"), F.lit(0).cast("long").alias("had"), "seq", row.alias("row"), "body")
+    if after is not None:
+        nothing = {c: F.lit(None).cast(keyed.schema[c].dataType).alias(c) for c in ("seq", "row")}
+        keyed = keyed.unionByName(after.select("chain", F.col("blocks").alias("had"), nothing["seq"], nothing["row"], F.col("head").alias("body")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain, number, head = object(), 0, GENESIS
         for b in batches:
             out = []
-            for name, body in zip(b.column(0).to_pylist(), b.column(3).to_pylist()):
+            for name, had, body in zip(*(b.column(k).to_pylist() for k in (0, 1, 4))):
                 if name != chain:
                     chain, number, head = name, 0, GENESIS
+                if had:
+                    number, head = had, body
+                    continue
                 number, prev = number + 1, head
                 head = hashlib.sha256(f"{prev}|{body}".encode()).hexdigest()
                 out.append((name, number, prev, head))
             cols = list(zip(*out)) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([b.column(2), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.string())))], names=["row", "chain", "audit_id", "prev_hash", "current_hash"])
+            rows = b.filter(pc.equal(b.column(1), 0)).column(3)
+            yield pa.RecordBatch.from_arrays([rows, *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.string())))], names=["row", "chain", "audit_id", "prev_hash", "current_hash"])
 
     dealt = keyed.repartition(1) if scope == "global" else keyed.repartition("chain")
-    done = dealt.sortWithinPartitions("chain", "seq").mapInArrow(run, f"row {keyed.schema['row'].dataType.simpleString()}, {BLOCK}")
+    done = dealt.sortWithinPartitions("chain", F.desc("had"), "seq").mapInArrow(run, f"row {keyed.schema['row'].dataType.simpleString()}, {BLOCK}")
     return done.select("row.*", "chain", "audit_id", "prev_hash", "current_hash")
 
 
 def faults(ledger: DataFrame) -> DataFrame:
-    """chain, audit_id, reason of every block that does not hold: a broken link is named first."""
-    before = ledger.select("chain", (F.col("audit_id") + 1).alias("audit_id"), F.col("current_hash").alias("expected"))
-    joined = ledger.join(before, ["chain", "audit_id"], "left")
-    link = F.col("prev_hash") != F.coalesce("expected", F.when(F.col("audit_id") == 1, F.lit(GENESIS)).otherwise("missing"))
+    """chain, audit_id, reason of every block that does not hold: a broken link is named first. A block meets
+    the one before it in its chain, so one shuffle by chain serves all; one chain over everything is one task
+    here as it is in building."""
+    before = F.lag("current_hash").over(Window.partitionBy("chain").orderBy("audit_id"))
+    joined = ledger.withColumn("expected", F.coalesce(before, F.when(F.col("audit_id") == 1, F.lit(GENESIS)).otherwise("missing")))
+    link = F.col("prev_hash") != F.col("expected")
     body = F.col("current_hash") != F.sha2(F.concat("prev_hash", F.lit("|"), "body"), 256)
     return joined.select("chain", "audit_id", F.when(link, "Broken link").when(body, "Hash mismatch").alias("reason")).where("reason is not null")
 
@@ -72,9 +87,13 @@ def verify(ledger: DataFrame) -> tuple[bool, dict | None]:
     return (True, None) if first is None else (False, first.asDict())
 
 
-def heads(ledger: DataFrame) -> DataFrame:
-    """chain, blocks, head hash."""
-    return ledger.groupBy("chain").agg(F.count(F.lit(1)).alias("blocks"), F.max_by("current_hash", "audit_id").alias("head"))
+def heads(ledger: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """chain, blocks, head hash; before: heads of the ledger that this one continues."""
+    own = ledger.groupBy("chain").agg(F.max("audit_id").alias("blocks"), F.max_by("current_hash", "audit_id").alias("head"))
+    if before is None:
+        return own
+    both = own.unionByName(before.select("chain", "blocks", "head"))
+    return both.groupBy("chain").agg(F.max("blocks").alias("blocks"), F.max_by("head", "blocks").alias("head"))
 
 
 def root(ledger: DataFrame) -> DataFrame:
@@ -90,22 +109,6 @@ def page(ledger: DataFrame, sensor_id=None, limit: int = 100, offset: int = 0, n
     return rows.orderBy(order, "chain").offset(offset).limit(min(max(limit, 1), 1000))
 
 
-def append(ledger: DataFrame, path: str) -> None:
-    """Add blocks to a stored ledger; errors are raised."""
-    ledger.write.mode("append").parquet(path)
-
-
-def load(spark: SparkSession, path: str) -> DataFrame:
-    """A stored ledger; the order of its blocks is their audit_id in their chain."""
-    return spark.read.parquet(path).orderBy("chain", "audit_id")
-
-
-def reset(spark: SparkSession, path: str) -> None:
-    """Forget a stored ledger: an empty one takes its place."""
-    stored = spark.read.parquet(path)
-    spark.createDataFrame([], stored.schema).write.mode("overwrite").parquet(path)
-
-
 def csv_rows(decisions: DataFrame, ledger: DataFrame, strategy: str = "source_priority", received: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Flat export of decisions (see replay.process) with their blocks; a reading is '' where absent."""
     numbers = ledger.select("sensor_id", "seq", "audit_id", "current_hash", "prev_hash")

@@ -158,6 +158,8 @@ ORACLE = {
     "order_invariance": f"""with {UNIQUE}, {PERM.format(rows=" union all ".join(f"select perm, sensor_id, event_ts, h, sq, source, '{m}' metric, {c} as value from perms where {c} is not null" for m, c in COLUMNS.items()))}
  select o.perm::int perm, o.sensor_id, o.metric, round(b.value, 6) base, round(o.value, 6) other from best b join best o using (sensor_id, metric) where b.perm = 0 and o.perm > 0 and abs(b.value - o.value) > 1e-5""",
     "ledger_chain": f"with recursive {CHAIN} select sensor_id, audit_id, prev_hash, current_hash from chain",
+    "ledger_continued": f"""with recursive {CHAIN.replace("order by sq) audit_id, sensor_id::varchar", "order by event_id % 2, sq) audit_id, event_id, sensor_id::varchar").replace("select sensor_id, audit_id, body, repeat", "select sensor_id, event_id, audit_id, body, repeat").replace("select b.sensor_id, b.audit_id", "select b.sensor_id, b.event_id, b.audit_id")}
+ select sensor_id, event_id, audit_id, prev_hash, current_hash, true as holds from chain""",
     "ledger_faults": f"""with recursive {CHAIN}, edited as (select sensor_id, audit_id, case when audit_id % 7 = 0 then body || 'x' else body end body, case when audit_id % 11 = 0 then repeat('0', 64) else prev_hash end prev_hash, current_hash from chain),
  checked as (select *, coalesce(lag(current_hash) over (partition by sensor_id order by audit_id), repeat('0', 64)) expected from edited)
  select sensor_id, audit_id, case when prev_hash <> expected then 'Broken link' else 'Hash mismatch' end reason from checked where prev_hash <> expected or current_hash <> sha256(prev_hash || '|' || body)""",

@@ -259,6 +259,16 @@ def ledger_chain(spark, d):
     return rows.select("sensor_id", "audit_id", "prev_hash", "current_hash")
 
 
+def ledger_continued(spark, d):
+    """Events with even ids and, as a second batch that goes on from the heads of the first, all others."""
+    rows = _blocks(spark, d)
+    first = ledger.build(rows.where("seq.event_id % 2 = 0"))
+    second = ledger.build(rows.where("seq.event_id % 2 = 1"), after=ledger.heads(first))
+    whole = first.union(second)
+    marked = ledger.faults(whole).select("chain", "audit_id", "reason")
+    return whole.join(marked, ["chain", "audit_id"], "left").select("sensor_id", F.col("seq.event_id").alias("event_id"), "audit_id", "prev_hash", "current_hash", F.col("reason").isNull().alias("holds"))
+
+
 def ledger_faults(spark, d):
     """A ledger in which every seventh block's body and every eleventh block's link were altered."""
     rows = ledger.build(_blocks(spark, d), "sensor")
@@ -344,7 +354,7 @@ QUERIES = (
     telemetry_normalized, event_fingerprint, dedup_first_arrival, dedup_incremental, duplicate_status, out_of_order_flags, timeline_positions,
     state_source_priority, state_latest, state_confidence_weighted, state_as_of, state_headers, state_running, fleet_states, decision_trace, source_weights,
     out_of_bounds, mahalanobis_score, zscore_contributors, display_bands, rate_of_change_pairs, cusum_running, anomaly_classify,
-    spatial_corroboration, cluster_status, fleet_overview, replay_summary, order_invariance, ledger_chain, ledger_faults, ledger_heads, audit_page, csv_projection, csv_export,
+    spatial_corroboration, cluster_status, fleet_overview, replay_summary, order_invariance, ledger_chain, ledger_continued, ledger_faults, ledger_heads, audit_page, csv_projection, csv_export,
     anomaly_dense, timeline_states, state_mismatches, cluster_lookup, text_normalized, text_rejected, document_exact_dedup,
     fleet_filtered, top_anomalies, anomaly_explanations, anomaly_diagnoses, state_running_fused, state_as_of_known, ledger_global,
 )
