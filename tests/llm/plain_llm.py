@@ -2,7 +2,6 @@
 
 import hashlib
 import re
-from bisect import bisect_left
 from collections import Counter
 
 
@@ -13,36 +12,36 @@ def find(parent, x):
     return x
 
 
-def labelled(text, k=5):
-    w = (text or "").split()
-    grams = [tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))] if w else []
-    seen = Counter()
-    out = []
-    for g in grams:
-        out.append((g, seen[g]))
-        seen[g] += 1
-    return out
+def bare_words(text):
+    return [re.sub(r"^\W+|\W+$", "", w).lower() or w for w in (text or "").split()]
+
+
+def aligned(a, b):
+    """Words in the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
 
 
 def similarity(a, b):
-    at = {g: j for j, g in enumerate(b)}
-    tails = []
-    for j in (at[g] for g in a if g in at):
-        k = bisect_left(tails, j)
-        tails[k : k + 1] = [j]
-    return len(tails) / (len(a) + len(b) - len(tails)) if a or b else 1.0
+    return aligned(a, b) / max(len(a), len(b)) if a or b else 1.0
 
 
 def near_classes(rows, threshold=0.8):
-    """rows of (doc_id, text) -> {text: least doc_id of its class}."""
+    """rows of (doc_id, text) -> {text: least doc_id of its class}; all pairs are aligned that have enough words in common."""
     texts = sorted({t or "" for _, t in rows})
-    grams = [labelled(t) for t in texts]
-    sets = [set(g) for g in grams]
+    words = [bare_words(t) for t in texts]
+    bags = [Counter(w) for w in words]
     parent = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
-            if sets[i] and sets[j] and len(sets[i] & sets[j]) >= threshold / (1 + threshold) * (len(sets[i]) + len(sets[j])) - 1e-9 and similarity(grams[i], grams[j]) >= threshold - 1e-9:
-                parent[find(parent, i)] = find(parent, j)
+            need = threshold * max(len(words[i]), len(words[j])) - 1e-9
+            if words[i] and words[j] and min(len(words[i]), len(words[j])) >= need and find(parent, i) != find(parent, j):
+                if sum((bags[i] & bags[j]).values()) >= need and similarity(words[i], words[j]) >= threshold - 1e-9:
+                    parent[find(parent, i)] = find(parent, j)
     least = {}
     for d, t in rows:
         c = find(parent, texts.index(t or ""))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 import numpy as np
 import xxhash
 
@@ -9,17 +12,26 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xBF58476D1CE4E5B9)
 
 
+EDGES = re.compile(r"^\W+|\W+$")
+
+
+def bare(word: str) -> str:
+    """A word in lower case without the punctuation around it, or as it is if there is nothing else."""
+    return EDGES.sub("", word).lower() or word
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * MIX2
     return x ^ (x >> np.uint64(29))
 
 
 class WordHasher:
-    """64-bit hashes of words, remembered up to `limit` of them."""
+    """64-bit hashes of words, remembered up to `limit` of them. fold: what a word is before it is hashed."""
 
-    def __init__(self, limit: int = 200_000):
+    def __init__(self, limit: int = 200_000, fold: Callable[[str], str] | None = None):
         self.seen: dict = {}
         self.limit = limit
+        self.fold = fold or (lambda w: w)
 
     def __call__(self, words: list) -> np.ndarray:
         seen = self.seen
@@ -29,7 +41,7 @@ class WordHasher:
         for w in words:
             h = seen.get(w)
             if h is None:
-                h = seen[w] = xxhash.xxh3_64_intdigest(w)
+                h = seen[w] = xxhash.xxh3_64_intdigest(self.fold(w))
             out.append(h)
         return np.array(out, dtype=np.uint64)
 
