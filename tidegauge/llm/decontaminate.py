@@ -8,8 +8,8 @@ offset-adjusted positions that are in the list of its next rarest term, and so o
 exact phrase. A window whose three terms that are rarest among the test items occur within `slop` words
 of their places without an exact match is a proximity match, whatever its other words.
 
-The test items are dealt to blocks of bounded size by hash in Spark; the driver and the tasks hold one
-block at a time, as arrays of word numbers. Within a segment, windows are searched some at a time, so
+The different test items are dealt to blocks of bounded size in Spark; the driver and the tasks hold one
+block at a time, as arrays of word numbers, and a block's results are the documents with a match. Within a segment, windows are searched some at a time, so
 that their candidate positions are bounded too.
 
 Edge cases: a null or empty text has no words and no hits; an item without words has no window and
@@ -26,10 +26,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, read_table
+from .postings import ItemBlocks
 
 #: Letters in lower case; what separates words becomes a blank. Bytes from 0x80 belong to words.
 FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
@@ -87,13 +89,14 @@ class Windows:
 
     terms: list[bytes]
     matrix: np.ndarray  # windows x width: numbers of terms, -1 past the end of a short one
-    rare: np.ndarray  # windows x 3: places of the terms that are rarest in the block
+    rare: np.ndarray  # windows x 3: places of the terms that are rarest in the items
     items: list[str]
     owners: np.ndarray  # numbers of items, of one window after the other
     first: np.ndarray  # where each window's owners begin
 
 
-def windows_of(items: list[tuple], width: int) -> Windows:
+def windows_of(items: list[tuple], width: int, all_items: ItemBlocks | None = None) -> Windows:
+    """all_items: where rarity is counted if these are not all."""
     number: dict[bytes, int] = {}
     names: dict[str, int] = {}
     rows, of = [], []
@@ -109,8 +112,12 @@ def windows_of(items: list[tuple], width: int) -> Windows:
     pairs = np.unique(np.stack([window.ravel(), np.concatenate(of)], axis=1), axis=0)
     pairs = pairs[pairs[:, 1] >= 0]
     terms = list(number)
-    times = np.bincount(np.concatenate([r[:, 0] for r in rows] + [r[-1, 1:][r[-1, 1:] >= 0] for r in rows]), minlength=len(terms))
-    rank = np.empty(len(terms) + 1, dtype=np.int64)  # in one order for all segments: rare in the block, then by the word
+    if all_items is None:
+        times = np.bincount(np.concatenate([r[:, 0] for r in rows] + [r[-1, 1:][r[-1, 1:] >= 0] for r in rows]), minlength=len(terms))
+    else:
+        often = all_items.times(terms)
+        times = [often[t] for t in terms]
+    rank = np.empty(len(terms) + 1, dtype=np.int64)  # in one order for all segments and blocks: rare in the items, then by the word
     rank[sorted(range(len(terms)), key=lambda t: (times[t], terms[t]))] = np.arange(len(terms))
     rank[-1] = len(terms)
     rare = np.argsort(rank[matrix], axis=1, kind="stable")[:, :3]
@@ -154,7 +161,7 @@ def intersect(keys: np.ndarray, span: int, lists: np.ndarray, sizes: np.ndarray,
 
 
 def near(keys: np.ndarray, span: int, lists: np.ndarray, sizes: np.ndarray, terms: np.ndarray, places: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and starts where all three terms of a window occur within slop of their places."""
+    """Windows and positions of their first term where all three terms occur within slop of their places."""
     wins, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for part in portions(sizes[terms[:, 0]]):
         n = sizes[terms[part, 0]]
@@ -166,18 +173,15 @@ def near(keys: np.ndarray, span: int, lists: np.ndarray, sizes: np.ndarray, term
             want = term * span + start + places[win, r]
             keep = np.searchsorted(keys, want + slop, "right") > np.searchsorted(keys, np.maximum(want - slop, term * span))
             win, start = win[keep], start[keep]
-        inside = start >= 0
-        wins.append(win[inside])
-        starts.append(start[inside])
+        wins.append(win)
+        starts.append(start + places[win, 0])
     return np.concatenate(wins), np.concatenate(starts)
 
 
-def search(index: DataFrame, items: list[tuple], width: int = 10, slop: int = 3) -> DataFrame:
-    """Per indexed document: doc_id, digest, its words, the hit positions as intervals, the items with a
-    phrase in it and those with near matches only. items: (item_id, text) of one block."""
-    spark = index.sparkSession
-    shared = spark.sparkContext.broadcast(windows_of(items, width))  # bounded by the block
-    schema = "doc_id long, digest binary, n_words long, hits array<struct<start:long,end:long>>, items array<string>, near_items array<string>"
+def search(index: DataFrame, shared: Broadcast[Windows], slop: int = 3) -> DataFrame:
+    """Per indexed document with a match: doc_id, digest, the hit positions as intervals, the items with a
+    phrase in it and those with near matches only. shared: the windows of one block of items."""
+    schema = "doc_id long, digest binary, hits array<struct<start:long,end:long>>, items array<string>, near_items array<string>"
     interval = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
     def segment(doc_ids, digests, counts, starts, terms, list_starts, positions) -> pa.RecordBatch:
@@ -212,19 +216,19 @@ def search(index: DataFrame, items: list[tuple], width: int = 10, slop: int = 3)
         if slop and len(matrix) and known.rare.shape[1] == 3:
             terms3 = np.take_along_axis(matrix, known.rare, axis=1)
             usable = np.flatnonzero((terms3 >= 0).all(axis=1))
-            win, start = near(keys, span, lists, sizes, terms3[usable], known.rare[usable], slop)
-            for w, d in set(zip(usable[win].tolist(), document(start).tolist())):
+            win, at = near(keys, span, lists, sizes, terms3[usable], known.rare[usable], slop)
+            for w, d in set(zip(usable[win].tolist(), document(at).tolist())):
                 near_of[d].update(owners(w))
         names = lambda x: sorted(known.items[k] for k in x)
+        met = [d for d in range(len(doc_ids)) if hits[d] or near_of[d]]
         columns = [
-            pa.array(doc_ids, pa.int64()),
-            pa.array(digests, pa.binary()),
-            pa.array(counts, pa.int64()),
-            pa.array(hits, pa.list_(interval)),
-            pa.array([names(x) for x in items_of], pa.list_(pa.string())),
-            pa.array([names(y - x) for x, y in zip(items_of, near_of)], pa.list_(pa.string())),
+            pa.array([doc_ids[d] for d in met], pa.int64()),
+            pa.array([digests[d] for d in met], pa.binary()),
+            pa.array([hits[d] for d in met], pa.list_(interval)),
+            pa.array([names(items_of[d]) for d in met], pa.list_(pa.string())),
+            pa.array([names(near_of[d] - items_of[d]) for d in met], pa.list_(pa.string())),
         ]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "n_words", "hits", "items", "near_items"])
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "hits", "items", "near_items"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -234,41 +238,39 @@ def search(index: DataFrame, items: list[tuple], width: int = 10, slop: int = 3)
     return index.mapInArrow(run, schema)
 
 
-def blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple]]:
-    """The test items in blocks of about so many words (or a single longer item), dealt by hash in Spark
-    and fetched one at a time."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    total = rows.agg(F.sum(F.size(F.split("text", "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")))).first()[0] or 0
-    n = max(1, -(-total // block_words))
-    for k in range(n):
-        yield [tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]
-
-
-def found_in(index: DataFrame, benchmark: DataFrame, width: int, slop: int, block_words: int) -> DataFrame:
-    """The results of search over all blocks, one row per indexed document. Equal documents have equal
-    results, so of several blocks' rows one per document and copy is put together by doc_id and digest."""
-    found, several = None, False
-    for part in blocks(benchmark, block_words):
-        one = search(index, part, width, slop)
-        several = found is not None
-        found = one if found is None else found.unionByName(materialize(one, "found"))
-    if not several:
-        return found.drop("digest")
-    times = index.select(F.explode(F.arrays_zip("doc_ids", "digests")).alias("d")).groupBy(F.col("d.doc_ids").alias("doc_id"), F.col("d.digests").alias("digest")).agg(F.count(F.lit(1)).alias("times"))
-    joined = found.groupBy("doc_id", "digest").agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.flatten(F.collect_set("hits"))).alias("hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("near_items")))).alias("near_items"),
-    )
-    both = joined.alias("j").join(times.alias("t"), F.col("j.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("j.digest") == F.col("t.digest")))
-    return both.select("j.doc_id", "n_words", "hits", "items", F.array_except("near_items", "items").alias("near_items"), F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_")).drop("_")
+def matches(index: DataFrame, benchmark: DataFrame, width: int, slop: int, block_words: int) -> DataFrame | None:
+    """The results of search over all blocks of items, with repeated rows; None without items. Each block's
+    windows are broadcast while its results are written."""
+    spark = index.sparkSession
+    items = ItemBlocks(benchmark, block_words)
+    found = None
+    for part in items:
+        shared = spark.sparkContext.broadcast(windows_of(part, width, items if items.several and slop else None))
+        one = materialize(search(index, shared, slop), "matches")
+        shared.destroy()
+        found = one if found is None else found.union(one)
+    return found
+
+
+def same(a: str, b: str) -> Column:
+    """Whether two sides are of one doc_id and text."""
+    return (F.col(f"{a}.digest") == F.col(f"{b}.digest")) & F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: int = 3, block_words: int = 500_000) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items,
     near_items. The index is written once and searched once per block of test items."""
-    merged = found_in(materialize(build_index(docs), "index"), benchmark, width, slop, block_words)
+    index = materialize(build_index(docs), "index")
+    each = index.select(F.explode(F.arrays_zip("doc_ids", "digests", "n_words")).alias("d")).select(F.col("d.doc_ids").alias("doc_id"), F.col("d.digests").alias("digest"), F.col("d.n_words").alias("n_words"))
+    found = matches(index, benchmark, width, slop, block_words)
+    if found is None:
+        found = docs.sparkSession.createDataFrame([], "doc_id long, digest binary, hits array<struct<start:long,end:long>>, items array<string>, near_items array<string>")
+    # Equal documents have equal results; of several blocks' rows one per document is put together.
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
+    joined = found.groupBy("doc_id", "digest").agg(union("hits").alias("hits"), union("items").alias("items"), union("near_items").alias("near_items"))
+    both = each.alias("d").join(joined.alias("f"), same("d", "f"), "left")
+    none = lambda c: F.coalesce(c, F.array().cast(joined.schema[c].dataType))
+    merged = both.select("d.doc_id", "n_words", none("hits").alias("hits"), none("items").alias("items"), F.array_except(none("near_items"), none("items")).alias("near_items"))
     # Intervals are sorted by start: each adds what lies past the furthest end so far.
     covered = F.aggregate(
         "hits",
@@ -291,19 +293,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop:
 def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_words: int = 500_000) -> DataFrame:
     """docs without the rows that hold an exact phrase of a test item; columns stay. A row is known by
     doc_id and the digest of its text."""
-    index = materialize(build_index(docs), "index")
-    dirty = None
-    for part in blocks(benchmark, block_words):
-        one = materialize(search(index, part, width, slop=0).where(F.size("hits") > 0).select("doc_id", "digest"), "dirty")
-        dirty = one if dirty is None else dirty.union(one)
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("id"), F.unhex(F.md5(F.coalesce(docs["text"].cast("string"), F.lit("")))).alias("digest"))
-    dirty = dirty.distinct().select(F.col("doc_id").alias("dirty_id"), F.col("digest").alias("dirty_digest"))
-    clean = packed.join(dirty, (F.col("digest") == F.col("dirty_digest")) & F.col("id").eqNullSafe(F.col("dirty_id")), "left_anti")
+    found = matches(materialize(build_index(docs), "index"), benchmark, width, 0, block_words)
+    if found is None:
+        return docs
+    dirty = found.where(F.size("hits") > 0).select("doc_id", "digest").distinct()
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(docs["text"].cast("string"), F.lit("")))).alias("digest"))
+    clean = packed.alias("d").join(dirty.alias("f"), same("d", "f"), "left_anti")
     return clean.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("items", "near_items")
+    return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("items").withColumn("near_items", F.array_join("near_items", ","))
 
 
 OP5_SQL = """
@@ -314,7 +314,16 @@ sizes as (select distinct least(n, 10) s from bw),
 dw as (select rid, i, s, array_to_string(w[i:i + s - 1], ' ') g from (select rid, w, s, unnest(range(1, len(w) - s + 2)) i from d, sizes where len(w) >= s)),
 hit as (select rid, i, s, item_id from dw join bw on dw.g = bw.g and dw.s = least(bw.n, 10)),
 n as (select rid, count(distinct i + k) n_hit from hit, range(10) t(k) where k < s group by rid),
+bi as (select item_id, w from b where len(w) > 2),
+times as (select t, count(*) c from (select unnest(w) t from b) group by t),
+slots as (select item_id, i, unnest(range(least(10, len(w)))) k, w[i + k] t from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) i from bi)),
+rare as (select item_id, i, list({'k': k, 't': t} order by c, t, k) r from slots join times using (t) group by item_id, i),
+dp as materialized (select rid, unnest(range(1, len(w) + 1)) p, unnest(w) t from d),
+first as materialized (select rid, item_id, t2, t3, p - k1 + k2 p2, p - k1 + k3 p3 from (select item_id, r[1].t t, r[1].k k1, r[2].t t2, r[2].k k2, r[3].t t3, r[3].k k3 from rare) join dp using (t)),
+second as materialized (select distinct f.rid, item_id, t3, p3 from (select *, unnest(range(-3, 4)) o from first) f join dp on dp.rid = f.rid and dp.t = t2 and dp.p = p2 + o),
+close as (select distinct rid, item_id from (select *, unnest(range(-3, 4)) o from second) f join (select rid r, p, t from dp) g on g.r = f.rid and g.t = t3 and g.p = p3 + o),
+near as (select rid, string_agg(item_id::varchar, ',' order by item_id::varchar) near_items from close anti join hit on hit.rid = close.rid and hit.item_id = close.item_id group by rid),
 it as (select rid, count(distinct item_id) n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) items from hit group by rid)
-select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
-from d left join n using (rid) left join it using (rid)
+select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated, coalesce(near_items, '') near_items
+from d left join n using (rid) left join it using (rid) left join near using (rid)
 """

@@ -43,18 +43,42 @@ def expand(packed: bytes | memoryview) -> np.ndarray:
     return out
 
 
-def item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str | None, str | None]]]:
+class ItemBlocks:
     """The different test items (item_id as string, text) in blocks that the driver fetches one at a time.
 
     Equal rows are one item. Items are dealt to buckets by hash and each bucket is cut where its words, added
     up, pass a multiple of block_words, so that a block has less than twice as many, or is one longer item."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
-    sized = rows.withColumn("words", F.coalesce(F.size(F.split("text", "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")).cast("long"), F.lit(0)))
-    total = sized.agg(F.sum("words")).first()[0]
-    if total is None:
-        return
-    dealt = sized.withColumn("hash", F.xxhash64("item_id", "text")).withColumn("bucket", F.pmod("hash", F.lit(max(1, -(-total // block_words)))))
-    before = F.sum("words").over(Window.partitionBy("bucket").orderBy("hash", "item_id", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("words")
-    cut = materialize(dealt.withColumn("part", F.floor(before / block_words)), "items")
-    for b in cut.select("bucket", "part").distinct().orderBy("bucket", "part").toLocalIterator():
-        yield [tuple(r) for r in cut.where((F.col("bucket") == b["bucket"]) & (F.col("part") == b["part"])).select("item_id", "text").collect()]
+
+    def __init__(self, benchmark: DataFrame, block_words: int):
+        rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
+        self.rows = materialize(rows.withColumn("words", self._words()), "items")
+        self.block_words, self.total = block_words, self.rows.agg(F.sum(F.size("words"))).first()[0]
+        self.several = (self.total or 0) > block_words
+        self.counts: DataFrame | None = None
+
+    @staticmethod
+    def _words():
+        low = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+        return F.filter(F.split(low, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), lambda w: w != "")
+
+    def __iter__(self) -> Iterator[list[tuple[str | None, str | None]]]:
+        if self.total is None:
+            return
+        n = max(1, -(-self.total // self.block_words))
+        dealt = self.rows.withColumn("hash", F.xxhash64("item_id", "text")).withColumn("bucket", F.pmod("hash", F.lit(n)))
+        upto = Window.partitionBy("bucket").orderBy("hash", "item_id", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        before = F.sum(F.size("words")).over(upto) - F.size("words")
+        cut = materialize(dealt.select("item_id", "text", "bucket", F.floor(before / self.block_words).alias("part")), "dealt")
+        for b in cut.select("bucket", "part").distinct().orderBy("bucket", "part").toLocalIterator():
+            yield [tuple(r) for r in cut.where((F.col("bucket") == b["bucket"]) & (F.col("part") == b["part"])).select("item_id", "text").collect()]
+
+    def times(self, terms: list[bytes]) -> dict[bytes, int]:
+        """How often each term of a block occurs in all items."""
+        if self.counts is None:
+            self.counts = materialize(self.rows.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")), "terms")
+        own = self.rows.sparkSession.createDataFrame([(t.decode(),) for t in terms], "term string")
+        return {r["term"].encode(): r["n"] for r in own.join(self.counts, "term").collect()}
+
+
+def item_blocks(benchmark: DataFrame, block_words: int) -> ItemBlocks:
+    return ItemBlocks(benchmark, block_words)
