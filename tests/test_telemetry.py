@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidegauge import api
 from tidegauge.constants import GENESIS, METRICS, PRIORS, precision, strategy_of
 from tidegauge.functions.normalize import clean_readings, iso, normalize, parse_timestamp
-from tidegauge.operators import dedup, detect, ledger, replay, resolve, spatial, timeline
+from tidegauge.operators import dedup, detect, ledger, replay, resolve, spatial, strategies, timeline
 from tidegauge.sources.telemetry import from_events, list_fixtures, read_json, synthetic
 
 STRATEGIES = ["source_priority", "confidence_weighted", "latest"]
@@ -174,7 +174,7 @@ def test_weights_timeline_states_and_mismatches(spark, events):
         want = {m: c["value"] for m, c in fold(own, "source_priority").items()}
         assert {m: r[resolve.merged(m)].value for m in METRICS if r[resolve.merged(m)]} == pytest.approx(want) and r.known_events == len(own)
     with pytest.raises(ValueError):
-        resolve.timeline_states(rows, "weighted")
+        resolve.timeline_states(rows, strategies.averaged())
     a = spark.createDataFrame([("A", "pH", 7.0), ("A", "turbidity", 1.0), ("B", "pH", 7.0)], "sensor_id string, metric string, value double")
     b = spark.createDataFrame([("A", "pH", 7.2), ("A", "turbidity", 1.0), ("C", "pH", 7.0)], "sensor_id string, metric string, value double")
     assert {(r.sensor_id, r.metric, r.reason) for r in replay.mismatches(a, b).collect()} == {("A", "pH", "differs"), ("B", "pH", "missing in the other run"), ("C", "pH", "missing in the first run")}

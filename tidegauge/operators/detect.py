@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..constants import CUSUM_LIMIT, CUSUM_SCALE, CUSUM_SLACK, METRICS, OUTLIER_SQ, PH_RATE, PRIORS, THERMAL, TURBIDITY_RATE
 from ..functions import scores
 from .resolve import merged, running_states
+from .strategies import Strategy
 
 PASS = "finding string, rate double, delta double, seconds double, temp_delta double, ph_delta double, drift double, drift_metric string"
 
@@ -67,7 +68,7 @@ def _first_seen(states: DataFrame) -> DataFrame:
     return states
 
 
-def classify(unique: DataFrame, strategy: str = "source_priority") -> DataFrame:
+def classify(unique: DataFrame, strategy: str | Strategy = "source_priority") -> DataFrame:
     """unique events with merged states, anomaly_type, severity, is_anomaly, anomaly_score,
     mahalanobis_distance, drift_score, contributing_metrics, explanation and details (JSON)."""
     states = _first_seen(running_states(unique, strategy))
@@ -161,12 +162,13 @@ def report(passed: DataFrame) -> DataFrame:
     )
 
 
-def cusum(unique: DataFrame, metric: str) -> DataFrame:
-    """Both CUSUM arms of a metric over all events that have it: with C the running sum of z - slack,
-    an arm is C less the least of 0 and all C so far. sensor_id, seq, s_pos, s_neg."""
-    running = Window.partitionBy("sensor_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = unique.select("sensor_id", "seq", F.col("readings")[metric].alias("v")).where("v is not null")
-    z = scores.z_score(metric, F.col("v"))
+def cusum(rows: DataFrame) -> DataFrame:
+    """Both CUSUM arms of each metric over all events that have it, from rows of resolve.metric_rows: with C the
+    running sum of z - slack, an arm is C less the least of 0 and all C so far. sensor_id, seq, metric, s_pos,
+    s_neg, of the known metrics, in one sort."""
+    running = Window.partitionBy("sensor_id", "metric").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    z = F.coalesce(*[F.when(F.col("metric") == m, scores.z_score(m, F.col("value"))) for m in METRICS])
+    rows = rows.where(F.col("metric").isin(*METRICS) & F.col("value").isNotNull())
     rows = rows.withColumn("cp", F.sum(z - CUSUM_SLACK).over(running)).withColumn("cn", F.sum(-z - CUSUM_SLACK).over(running))
     arm = lambda c: F.col(c) - F.least(F.lit(0.0), F.min(c).over(running))
-    return rows.select("sensor_id", "seq", arm("cp").alias("s_pos"), arm("cn").alias("s_neg"))
+    return rows.select("sensor_id", "seq", "metric", arm("cp").alias("s_pos"), arm("cn").alias("s_neg"))

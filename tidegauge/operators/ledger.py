@@ -16,8 +16,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import GENESIS, strategy_of
+from ..constants import GENESIS
 from ..functions.normalize import iso
+from .strategies import Strategy, of
 
 BLOCK = "chain string, audit_id bigint, prev_hash string, current_hash string"
 
@@ -37,12 +38,12 @@ def bodies(decisions: DataFrame, received: str = "1970-01-01T00:00:00Z") -> Data
 
 
 def build(blocks: DataFrame, scope: str = "sensor", after: DataFrame | None = None) -> DataFrame:
-    """blocks (sensor_id, seq, body) -> sensor_id, seq, body, chain, audit_id, prev_hash, current_hash.
+    """blocks (sensor_id, seq, body, ...) -> the same with chain, audit_id, prev_hash, current_hash.
 
     after: heads (chain, blocks, head) of a ledger that these blocks continue: each chain's numbers and links
     go on from its head. A head is sorted before its chain's blocks, so that both come to one task in one
     shuffle and nothing is held but the last hash."""
-    row = F.struct("sensor_id", "seq", "body")
+    row = F.struct(*blocks.columns)
     keyed = blocks.select((F.lit("") if scope == "global" else F.col("sensor_id").cast("string")).alias("chain"), F.lit(0).cast("long").alias("had"), "seq", row.alias("row"), "body")
     if after is not None:
         nothing = {c: F.lit(None).cast(keyed.schema[c].dataType).alias(c) for c in ("seq", "row")}
@@ -70,15 +71,19 @@ def build(blocks: DataFrame, scope: str = "sensor", after: DataFrame | None = No
     return done.select("row.*", "chain", "audit_id", "prev_hash", "current_hash")
 
 
-def faults(ledger: DataFrame) -> DataFrame:
-    """chain, audit_id, reason of every block that does not hold: a broken link is named first. A block meets
-    the one before it in its chain, so one shuffle by chain serves all; one chain over everything is one task
-    here as it is in building."""
+def checked(ledger: DataFrame) -> DataFrame:
+    """The ledger with reason, null where a block holds: a broken link is named first. A block meets the one
+    before it in its chain, so one shuffle by chain serves all; one chain over everything is one task here as
+    it is in building."""
     before = F.lag("current_hash").over(Window.partitionBy("chain").orderBy("audit_id"))
-    joined = ledger.withColumn("expected", F.coalesce(before, F.when(F.col("audit_id") == 1, F.lit(GENESIS)).otherwise("missing")))
-    link = F.col("prev_hash") != F.col("expected")
+    link = F.col("prev_hash") != F.coalesce(before, F.when(F.col("audit_id") == 1, F.lit(GENESIS)).otherwise("missing"))
     body = F.col("current_hash") != F.sha2(F.concat("prev_hash", F.lit("|"), "body"), 256)
-    return joined.select("chain", "audit_id", F.when(link, "Broken link").when(body, "Hash mismatch").alias("reason")).where("reason is not null")
+    return ledger.withColumn("_link", link).withColumn("reason", F.when(F.col("_link"), "Broken link").when(body, "Hash mismatch")).drop("_link")
+
+
+def faults(ledger: DataFrame) -> DataFrame:
+    """chain, audit_id, reason of every block that does not hold."""
+    return checked(ledger).where("reason is not null").select("chain", "audit_id", "reason")
 
 
 def verify(ledger: DataFrame) -> tuple[bool, dict | None]:
@@ -109,12 +114,12 @@ def page(ledger: DataFrame, sensor_id=None, limit: int = 100, offset: int = 0, n
     return rows.orderBy(order, "chain").offset(offset).limit(min(max(limit, 1), 1000))
 
 
-def csv_rows(decisions: DataFrame, ledger: DataFrame, strategy: str = "source_priority", received: str = "1970-01-01T00:00:00Z") -> DataFrame:
+def csv_rows(decisions: DataFrame, ledger: DataFrame, strategy: str | Strategy = "source_priority", received: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Flat export of decisions (see replay.process) with their blocks; a reading is '' where absent."""
     numbers = ledger.select("sensor_id", "seq", "audit_id", "current_hash", "prev_hash")
     reading = lambda m: F.coalesce(F.col("readings")[m].cast("string"), F.lit("")).alias(m)
     return decisions.join(numbers, ["sensor_id", "seq"]).select(
         "audit_id", "action", "sensor_id", iso(F.col("event_ts")).alias("event_timestamp"), F.lit(received).alias("received_timestamp"),
         *[reading(m) for m in ("pH", "turbidity", "conductivity", "temperature")],
-        "source", "is_anomaly", "anomaly_type", "anomaly_score", F.lit(strategy_of(strategy)).alias("conflict_strategy"), "current_hash", "prev_hash",
+        "source", "is_anomaly", "anomaly_type", "anomaly_score", F.lit(of(strategy).name).alias("conflict_strategy"), "current_hash", "prev_hash",
     )

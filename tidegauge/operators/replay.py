@@ -4,21 +4,21 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..constants import strategy_of
 from ..functions.normalize import action, status
 from . import dedup, detect, ledger, resolve, spatial, timeline
+from .strategies import Strategy
 
 
-def process(events: DataFrame, strategy: str = "source_priority", topo: DataFrame | None = None) -> DataFrame:
-    """One row per unique event with fingerprint, lateness, merged state, report and corroboration."""
+def process(events: DataFrame, strategy: str | Strategy = "source_priority", topo: DataFrame | None = None) -> DataFrame:
+    """One row per unique event with fingerprint, lateness, merged state, report and, with a topology,
+    corroboration. Each step carries the columns of the one before, so all are planned once."""
     late = timeline.flag_late(dedup.first_arrivals(events))
     reports = detect.classify(late, strategy)
     if topo is not None:
-        found = spatial.corroborate(reports, topo)
-        reports = reports.join(found, ["sensor_id", "seq"], "left")
+        reports = spatial.annotate(reports, topo)
     return reports.withColumn("action", action(F.col("is_late"))).withColumn("status", status(F.lit(False), F.col("is_late")))
 
 
@@ -63,46 +63,83 @@ def shuffled(events: DataFrame, seed: int) -> DataFrame:
     return events.withColumn("seq", F.struct(F.xxhash64("seq", F.lit(seed)).alias("h"), F.col("seq").alias("was")))
 
 
-def invariance(events: DataFrame, strategy: str = "source_priority", permutations: int = 5, order=None, tolerance: float = 1e-5) -> DataFrame:
-    """perm, sensor_id, metric, base, other of every final reading that differs from that of the
-    original order (perm 0). All orders are one job: the permutation is a column, and the states of a
+def compare_runs(cells: DataFrame, runs: DataFrame, tolerance: float = 1e-5) -> DataFrame:
+    """Cells (perm, sensor_id, metric, value) of several runs against those of run 0 -> perm, sensor_id, metric,
+    base, other, reason: what differs, and what only one of the two runs has. runs (perm): the runs besides 0,
+    also those without any cell. The expected cells are a grid of runs x cells of run 0, joined in full."""
+    grid = cells.where("perm = 0").drop("perm").join(F.broadcast(runs.select("perm")))
+    found = mismatches(grid, cells.where("perm > 0"), tolerance, ("perm", "sensor_id", "metric"), all_rows=True)
+    other = Window.partitionBy("perm", "sensor_id")
+    whole = F.when(F.col("reason").startswith("missing in the other"), F.max((~F.col("reason").startswith("missing in the other")).cast("int")).over(other) == 0)
+    whole = F.coalesce(whole, F.when(F.col("reason").startswith("missing in the first"), F.max((~F.col("reason").startswith("missing in the first")).cast("int")).over(other) == 0), F.lit(False))
+    marked = found.withColumn("reason", F.when(whole, F.concat(F.lit("sensor "), "reason")).otherwise(F.col("reason")))
+    return marked.where("reason <> 'agrees'")
+
+
+def invariance(events: DataFrame, strategy: str | Strategy = "source_priority", permutations: int = 5, order=None, tolerance: float = 1e-5) -> DataFrame:
+    """perm, sensor_id, metric, base, other, reason of every final reading that is not that of the original
+    order (perm 0), see compare_runs. All orders are one job: the permutation is a column, and the states of a
     (perm, sensor) are one aggregate. order(seq, perm) gives the new arrival order."""
     order = order or (lambda seq, perm: F.xxhash64(seq, perm + 1000))
-    strategy = strategy_of(strategy)
     unique = dedup.first_arrivals(events)
     perms = unique.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
     seq = F.struct(F.when(F.col("perm") > 0, order(F.col("seq"), F.col("perm"))).alias("h"), F.col("seq").alias("was"))
     moved = perms.withColumn("seq", seq).withColumn("sensor_id", F.struct("perm", "sensor_id"))
     cells = resolve.current_cells(moved, strategy).select("sensor_id.perm", "sensor_id.sensor_id", "metric", "value")
-    # Each reading's values under all orders meet in one row.
-    wide = cells.groupBy("sensor_id", "metric").agg(F.max(F.when(F.col("perm") == 0, F.col("value"))).alias("base"), F.collect_list(F.when(F.col("perm") > 0, F.struct("perm", "value"))).alias("others"))
-    other = wide.select("sensor_id", "metric", "base", F.explode("others").alias("o"))
-    return other.where(F.abs(F.col("o.value") - F.col("base")) > tolerance).select("o.perm", "sensor_id", "metric", "base", F.col("o.value").alias("other"))
+    return compare_runs(cells, events.sparkSession.range(1, permutations + 1).select(F.col("id").cast("int").alias("perm")), tolerance)
 
 
-def mismatches(base: DataFrame, other: DataFrame, tolerance: float = 1e-5) -> DataFrame:
-    """Cells (sensor_id, metric, value) of two runs -> sensor_id, metric, base, other, reason of every
-    reading that differs or that only one of them has."""
-    a, b = (x.select("sensor_id", "metric", F.struct("value").alias(n)) for x, n in ((base, "a"), (other, "b")))
+def mismatches(base: DataFrame, other: DataFrame, tolerance: float = 1e-5, keys: tuple[str, ...] = ("sensor_id", "metric"), all_rows: bool = False) -> DataFrame:
+    """Cells (keys, value) of two runs -> keys, base, other, reason of every reading that differs or that only
+    one of them has; with all_rows, of those that agree too."""
+    a, b = (x.select(*keys, F.struct("value").alias(n)) for x, n in ((base, "a"), (other, "b")))
     reason = F.when(F.col("b").isNull(), "missing in the other run").when(F.col("a").isNull(), "missing in the first run").when(F.abs(F.col("a.value") - F.col("b.value")) > tolerance, "differs")
-    both = a.join(b, ["sensor_id", "metric"], "full").withColumn("reason", reason).where("reason is not null")
-    return both.select("sensor_id", "metric", F.col("a.value").alias("base"), F.col("b.value").alias("other"), "reason")
+    both = a.join(b, list(keys), "full").withColumn("reason", F.coalesce(reason, F.lit("agrees")))
+    rows = both.select(*keys, F.col("a.value").alias("base"), F.col("b.value").alias("other"), "reason")
+    return rows if all_rows else rows.where("reason <> 'agrees'")
 
 
-def verify_order_invariance(events: DataFrame, strategy: str = "source_priority", permutations: int = 5) -> dict:
+def verify_order_invariance(events: DataFrame, strategy: str | Strategy = "source_priority", permutations: int = 5) -> dict:
     """is_invariant, permutations and the first ten mismatches."""
     found = invariance(events, strategy, permutations).orderBy("perm", "sensor_id", "metric").limit(10).collect()
     return {"is_invariant": not found, "permutations": permutations, "mismatches": [r.asDict() for r in found]}
 
 
-def replay(spark: SparkSession, events: DataFrame, strategy: str = "source_priority", shuffle_seed: int | None = None, topo: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def battery(events: DataFrame, strategy: str | Strategy = "source_priority", received: str = "1970-01-01T00:00:00Z") -> DataFrame:
+    """Replays of many files at once: events with `file` -> one row a file with received, unique_events,
+    duplicates, out_of_order, anomalies, sensors, ledger_valid, milliseconds (until the row was there, since
+    the plan was made) and states (sensor -> JSON of its state).
+
+    A sensor is known by its file and id, so duplicates, states, detection and chains of all files go through
+    the same shuffles as those of one, and what a file adds to a partial sum is all that is gathered."""
+    began = time.time()
+    scoped = events.withColumn("sensor_id", F.struct("file", "sensor_id"))
+    decided = process(scoped, strategy)
+    blocks = decided.select("sensor_id", "seq", ledger.body(decided, received).alias("body"), "is_late", "is_anomaly")
+    held = ledger.checked(ledger.build(blocks))
+    of_file = F.col("sensor_id.file").alias("file")
+    counts = held.groupBy(of_file).agg(F.count(F.lit(1)).alias("unique_events"), F.count_if("is_late").alias("out_of_order"), F.count_if("is_anomaly").alias("anomalies"), F.count_if(F.col("reason").isNotNull()).alias("faults"))
+    states = resolve.current_states(dedup.first_arrivals(scoped), strategy)
+    text = F.to_json(F.struct("version", "last_event_time", "last_source", "readings"))
+    by_file = states.groupBy(of_file).agg(F.count(F.lit(1)).alias("sensors"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("sensor_id.sensor_id").alias("sensor_id"), text.alias("state"))))).alias("states"))
+    arrived = events.groupBy("file").agg(F.count(F.lit(1)).alias("received"))
+    since = F.udf(lambda _: (time.time() - began) * 1000, "double").asNondeterministic()
+    joined = arrived.join(counts, "file", "left").join(by_file, "file", "left")
+    none = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    return joined.select(
+        "file", "received", none("unique_events").alias("unique_events"), (F.col("received") - none("unique_events")).alias("duplicates"), none("out_of_order").alias("out_of_order"),
+        none("anomalies").alias("anomalies"), none("sensors").alias("sensors"), (none("faults") == 0).alias("ledger_valid"), since("received").alias("milliseconds"), "states",
+    )
+
+
+def replay(spark: SparkSession, events: DataFrame, strategy: str | Strategy = "source_priority", shuffle_seed: int | None = None, topo: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Summary (one row) and final states of a replay."""
     ordered = events if shuffle_seed is None else shuffled(events, shuffle_seed)
     decisions = process(ordered, strategy, topo)
     return counters(ordered, decisions), resolve.current_states(dedup.first_arrivals(ordered), strategy)
 
 
-def replay_result(spark: SparkSession, events: DataFrame, strategy: str = "source_priority", shuffle_seed: int | None = None) -> tuple[dict, DataFrame]:
+def replay_result(spark: SparkSession, events: DataFrame, strategy: str | Strategy = "source_priority", shuffle_seed: int | None = None) -> tuple[dict, DataFrame]:
     """A replay that is run: its counters, whether the ledger of its decisions holds and the seconds it
     took as a dict, and the final states."""
     began = time.time()

@@ -72,38 +72,45 @@ def listed(topo: DataFrame) -> DataFrame:
     return places.select("sensor_id", "cluster", "pos", (F.col("cluster") == F.col("_own")).alias("own"), "members")
 
 
-def corroborate(classified: DataFrame, topo: DataFrame) -> DataFrame:
-    """sensor_id, seq, is_corroborated, corroborated_by (in cluster order), diagnosis for each anomaly.
+def annotate(classified: DataFrame, topo: DataFrame) -> DataFrame:
+    """classified with is_corroborated, corroborated_by (in cluster order) and diagnosis, null for what is no
+    anomaly.
 
     A neighbour corroborates if one of its anomalies that arrived earlier lies within half an hour in
     event time and was not evicted (an own anomaly more than three hours later evicts), or if its last
     arrived event was an anomaly, however old.
 
-    One pass over each cluster's events in arrival order, a few numbers an event: sorted inside
-    partitions and streamed, with what the cluster's sensors showed lately as state. Sensors without
+    One pass over each cluster's events in arrival order: sorted inside partitions and streamed, with what
+    the cluster's sensors showed lately as state; a row leaves by its sensor's own cluster. Sensors without
     a cluster are dealt by themselves."""
-    flags = classified.select("sensor_id", "seq", F.unix_micros("event_ts").alias("micros"), "is_anomaly")
-    rows = flags.join(listed(topo), "sensor_id", "left").withColumn("asked", F.coalesce("own", F.lit(True)) & F.col("is_anomaly"))
+    packed = classified.select(F.struct(*classified.columns).alias("row"), "sensor_id", "seq", F.unix_micros("event_ts").alias("micros"), "is_anomaly")
+    rows = packed.join(listed(topo), "sensor_id", "left").withColumn("own", F.coalesce("own", F.lit(True)))
     key = F.coalesce(F.xxhash64("cluster") + F.when(F.col("cluster").isNotNull(), 0), F.xxhash64("sensor_id"))
-    dealt = rows.select("cluster", "sensor_id", "pos", "asked", "is_anomaly", "micros", "seq", "members", key.alias("dealt")).repartition("dealt").drop("dealt").sortWithinPartitions("cluster", "seq")
+    dealt = rows.select("row", "cluster", "sensor_id", "pos", "own", "is_anomaly", "micros", "seq", "members", key.alias("dealt")).repartition("dealt").drop("dealt").sortWithinPartitions("cluster", "seq")
     kind = dealt.schema["sensor_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cluster, watch = None, Watch()
         for b in batches:
             out = []
-            for name, sensor, pos, asked, odd, micros in zip(*(b.column(k).to_pylist() for k in range(6))):
+            for name, sensor, pos, own, odd, micros in zip(*(b.column(k).to_pylist() for k in range(1, 7))):
                 if name != cluster:
                     cluster, watch = name, Watch()
-                if asked:
-                    out.append(watch.near(sensor, micros) if name is not None else [])
+                if own:
+                    out.append(None if not odd else watch.near(sensor, micros) if name is not None else [])
                 if name is not None:
                     watch.note(sensor, pos, micros, odd)
-            keep = b.filter(b.column(3))
-            yield pa.RecordBatch.from_arrays([keep.column(1), keep.column(6), pa.array(out, pa.list_(b.column(1).type)), keep.column(0), keep.column(7)], names=["sensor_id", "seq", "corroborated_by", "cluster", "members"])
+            keep = b.filter(b.column(4))
+            yield pa.RecordBatch.from_arrays([keep.column(0), pa.array(out, pa.list_(b.column(2).type)), keep.column(1), keep.column(8)], names=["row", "corroborated_by", "cluster", "members"])
+
+    schema = f"row {dealt.schema['row'].dataType.simpleString()}, corroborated_by array<{kind}>, cluster {dealt.schema['cluster'].dataType.simpleString()}, members bigint"
+    found = diagnosed(dealt.mapInArrow(run, schema).select("*", F.col("row.sensor_id").alias("sensor_id")))
+    return found.select("row.*", "is_corroborated", "corroborated_by", "diagnosis")
 
-    schema = f"sensor_id {kind}, seq {dealt.schema['seq'].dataType.simpleString()}, corroborated_by array<{kind}>, cluster {dealt.schema['cluster'].dataType.simpleString()}, members bigint"
-    return diagnosed(dealt.mapInArrow(run, schema)).select("sensor_id", "seq", "is_corroborated", "corroborated_by", "diagnosis")
+
+def corroborate(classified: DataFrame, topo: DataFrame) -> DataFrame:
+    """sensor_id, seq, is_corroborated, corroborated_by, diagnosis for each anomaly (see annotate)."""
+    return annotate(classified.select("sensor_id", "seq", "event_ts", "is_anomaly"), topo).where("is_anomaly").drop("event_ts", "is_anomaly")
 
 
 def diagnosed(found: DataFrame) -> DataFrame:

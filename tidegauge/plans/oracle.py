@@ -204,5 +204,32 @@ ORACLE = {
  select sensor_id, case when n is null then 1 else n end as version, coalesce(n, 0) total_events, last_event_time, coalesce(n_readings, 0) n_readings from (select distinct sensor_id from k)
  left join (select sensor_id, count(*) n, max(event_ts) last_event_time, {" + ".join(f"(count({c}) > 0)::bigint" for c in COLUMNS.values())} n_readings from p group by 1) using (sensor_id)""",
     "ledger_global": f"with {UNIQUE}, b as (select list(sensor_id::varchar || '|' || event_id::varchar || '|' || fingerprint order by sq) bodies from u) select len(bodies) as blocks, list_reduce(bodies, lambda h, x: sha256(h || '|' || x), repeat('0', 64)) head from b",
+    "runs_compared": f"""with {ROWS}, runs as (select m.*, p::int perm from m, range(5) t(p)),
+ c as (select perm, sensor_id, metric, arg_max(value, {{'t': event_ts, 's': sq}}) v from runs
+ where not (perm = 1 and event_id % 9 = 0 or perm = 2 and sensor_id % 7 = 0 or perm = 3 and sensor_id % 5 = 0 and metric = 'conductivity' or perm = 4) group by all),
+ g as (select p::int perm, sensor_id, metric, v from c, range(1, 5) t(p) where perm = 0),
+ b as (select coalesce(g.perm, o.perm) perm, coalesce(g.sensor_id, o.sensor_id) sensor_id, coalesce(g.metric, o.metric) metric, g.v base, o.v as other from g full join (select * from c where perm > 0) o on o.perm = g.perm and o.sensor_id = g.sensor_id and o.metric = g.metric),
+ f as (select *, count(other) over (partition by perm, sensor_id) n from b)
+ select perm, sensor_id, metric, round(base, 6) base, round(other, 6) as other, case when other is null and n = 0 then 'sensor missing in the other run' when other is null then 'missing in the other run' else 'differs' end reason
+ from f where other is null or abs(base - other) > 1e-5""",
+    "replay_battery": f"""with recursive {CLASSIFIED.replace("user_id sensor_id", "user_id * 10 + event_id % 5 sensor_id")}, l as (select sensor_id, {LATE} is_late from u),
+ r as (select 'file' || sensor_id % 10 file, count(*) received from base group by 1), n as (select 'file' || sensor_id % 10 file, count(*) unique_events, count_if(is_late)::bigint out_of_order, count(distinct sensor_id) sensors from l group by 1),
+ a as (select 'file' || sensor_id % 10 file, count_if(is_anomaly)::bigint anomalies from cls group by 1)
+ select file, received, unique_events, received - unique_events duplicates, out_of_order, anomalies, sensors, true ledger_valid, sensors n_states from r join n using (file) join a using (file)""",
+    "timeline_states_fused": f"""with recursive {ROWS}, ties as materialized (select *, {CONFIDENCE} w, row_number() over (partition by sensor_id, metric, event_ts order by sq) rn, count(*) over (partition by sensor_id, metric, event_ts) n from m),
+ fold as (select sensor_id, metric, event_ts, rn, n, value, source, w, w confidence from ties where rn = 1
+ union all select a.sensor_id, a.metric, a.event_ts, a.rn, a.n, round((a.value * a.w + f.value * f.w) / (a.w + f.w), 4), 'weighted_fusion(' || f.source || '+' || a.source || ')', 0.5e0, least(1e0, (a.w + f.w) / 1.5e0)
+ from fold f join ties a on a.sensor_id = f.sensor_id and a.metric = f.metric and a.event_ts = f.event_ts and a.rn = f.rn + 1),
+ done as (select * from fold where rn = n),
+ k as (select *, count(*) over (partition by sensor_id order by event_ts range between unbounded preceding and current row) known_events from u)
+ select k.sensor_id, k.event_id, k.copy, known_events, d.metric, case when d.rn > 1 then round(d.value, 3) else round(d.value, 6) end as value, d.event_ts, d.source, round(d.confidence, 6) confidence
+ from k cross join (select unnest(['pH', 'turbidity', 'conductivity', 'temperature']) metric) x asof join done d on d.sensor_id = k.sensor_id and d.metric = x.metric and k.event_ts >= d.event_ts""",
+    "state_own_strategy": f"""with {ROWS}, ties as (select *, {CONFIDENCE} w from m qualify event_ts = max(event_ts) over (partition by sensor_id, metric))
+ select sensor_id, metric, round(sum(value * w) / sum(w), 6) as value, event_ts, string_agg(distinct source, '+' order by source) source, round(sum(w) / (sum(w) + 1), 6) confidence from ties group by sensor_id, metric, event_ts""",
+    "state_own_weights": f"with {RUNNING.replace(WEIGHT, "case source when 'mobile' then 0.9e0 when 'backup' then 0.7e0 when 'lab' then 0.6e0 else 0.5e0 end")} select sensor_id, event_id, copy, {', '.join(f'round(m_{c}, 6) {c}' for c in COLUMNS.values())} from run",
+    "neighbour_list": "with s as (select distinct user_id s from events) select a.s // 5 as cluster, a.s sensor_id, b.s neighbour, (b.s % 5)::int pos from s a join s b on a.s // 5 = b.s // 5 and a.s <> b.s",
+    "decisions_annotated": f"""with recursive {CORROBORATED}, l as (select sq, {LATE} is_late from u)
+ select sensor_id, event_id, copy, anomaly_type, case when is_anomaly then names is not null end is_corroborated, case when is_anomaly then coalesce(names, '') end corroborated_by,
+ case when is_late then 'OUT_OF_ORDER_INGEST' else 'TELEMETRY_INGEST' end as action, case when is_late then 'OUT_OF_ORDER_RECONSTRUCTED' else 'PROCESSED' end status from cls join l using (sq) left join by_nb using (sensor_id, sq)""",
     "document_exact_dedup": "select sha256(text) digest, min(doc_id) doc_id, count(*) n_copies from documents group by 1",
 }

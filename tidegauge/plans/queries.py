@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..constants import GENESIS, METRICS, PRIORITY_WEIGHTS
 from ..functions import normalize, scores
-from ..operators import dedup, detect, ledger, replay, resolve, spatial, timeline
+from ..operators import dedup, detect, ledger, replay, resolve, spatial, strategies, timeline
 from ..sources.telemetry import from_event_table
 
 AS_OF = "2024-01-15 12:00:00"
@@ -162,9 +162,8 @@ def rate_of_change_pairs(spark, d):
 
 
 def cusum_running(spark, d):
-    rows = unique(spark, d)
-    parts = [detect.cusum(rows, m).select(*ids(), F.lit(m).alias("metric"), F.round("s_pos", 5).alias("s_pos"), F.round("s_neg", 5).alias("s_neg")) for m in METRICS]
-    return reduce(DataFrame.union, parts)
+    found = detect.cusum(resolve.metric_rows(unique(spark, d)))
+    return found.select(*ids(), "metric", F.round("s_pos", 5).alias("s_pos"), F.round("s_neg", 5).alias("s_neg"))
 
 
 def _classified(rows: DataFrame, digits: int = 3) -> DataFrame:
@@ -249,6 +248,58 @@ def order_invariance(spark, d):
     return found.select("perm", "sensor_id", "metric", r6("base").alias("base"), r6("other").alias("other"))
 
 
+def runs_compared(spark, d):
+    """Runs that lost events against the whole: the first those with ids divisible by 9, the second every seventh
+    sensor, the third all conductivities of every fifth; the fourth lost everything."""
+    rows = unique(spark, d)
+    s, m, e = F.col("sensor_id"), F.col("metric"), F.col("seq.event_id")
+    lost = {1: e % 9 == 0, 2: s % 7 == 0, 3: (s % 5 == 0) & (m == "conductivity"), 4: F.lit(True)}
+    readings = resolve.metric_rows(rows).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    kept = readings.where(~reduce(lambda a, b: a | b, [(F.col("perm") == p) & c for p, c in lost.items()]))
+    cells = kept.groupBy("perm", "sensor_id", "metric").agg(F.max_by("value", F.struct("event_ts", "seq")).alias("value"))
+    found = replay.compare_runs(cells, spark.range(1, 5).select(F.col("id").cast("int").alias("perm")))
+    return found.select("perm", "sensor_id", "metric", r6("base").alias("base"), r6("other").alias("other"), "reason")
+
+
+def replay_battery(spark, d):
+    """Five files, dealt by event id: a sensor is in several of them."""
+    rows = events(spark, d).withColumn("file", F.concat(F.lit("file"), (F.col("seq.event_id") % 5).cast("string")))
+    found = replay.battery(rows)
+    return found.select("file", "received", "unique_events", "duplicates", "out_of_order", "anomalies", "sensors", "ledger_valid", F.size("states").cast("long").alias("n_states"))
+
+
+def timeline_states_fused(spark, d):
+    """The state at every point of the timelines, by weighted fusion (three places of fused values are compared,
+    as in state_confidence_weighted)."""
+    rows = resolve.timeline_states(unique(spark, d), "confidence_weighted")
+    cells = F.array(*[F.when(F.col(resolve.merged(m)).isNotNull(), F.struct(F.lit(m).alias("metric"), F.col(resolve.merged(m)).alias("c"))) for m in METRICS])
+    found = rows.select(*ids(), "known_events", F.explode(F.array_compact(cells)).alias("x"))
+    return found.select("sensor_id", "event_id", "copy", "known_events", "x.metric", F.when(F.col("x.c.source").startswith("weighted_fusion("), F.round("x.c.value", 3)).otherwise(r6("x.c.value")).alias("value"), ntz("x.c.event_ts").alias("event_ts"), "x.c.source", r6("x.c.confidence").alias("confidence"))
+
+
+def state_own_strategy(spark, d):
+    """A strategy of one's own: the weighted mean of all readings at a metric's latest time."""
+    return _cells(resolve.current_cells(unique(spark, d), strategies.averaged()))
+
+
+def state_own_weights(spark, d):
+    """Source priority under other weights, after each arrival."""
+    rows = resolve.running_states(unique(spark, d), strategies.of("source_priority", {"mobile": 0.9, "backup": 0.7, "lab": 0.6}))
+    return rows.select(*ids(), *[r6(F.col(f"{resolve.merged(m)}.value")).alias(c) for m, c in NAMES.items()])
+
+
+def neighbour_list(spark, d):
+    return spatial.neighbours(topo_of(events(spark, d))).select("cluster", "sensor_id", "neighbour", "pos")
+
+
+def decisions_annotated(spark, d):
+    """Decisions with corroboration of events that are close together, as a replay with a topology gives them."""
+    rows = events(spark, d)
+    found = replay.process(rows, topo=topo_of(rows))
+    names = F.array_join(F.transform("corroborated_by", lambda x: x.cast("string")), ",")
+    return found.select(*ids(), "anomaly_type", "is_corroborated", names.alias("corroborated_by"), "action", "status")
+
+
 def _blocks(spark, d) -> DataFrame:
     body = F.concat_ws("|", F.col("sensor_id").cast("string"), F.col("seq.event_id").cast("string"), F.col("fingerprint"))
     return unique(spark, d).select("sensor_id", "seq", body.alias("body"))
@@ -357,6 +408,7 @@ QUERIES = (
     spatial_corroboration, cluster_status, fleet_overview, replay_summary, order_invariance, ledger_chain, ledger_continued, ledger_faults, ledger_heads, audit_page, csv_projection, csv_export,
     anomaly_dense, timeline_states, state_mismatches, cluster_lookup, text_normalized, text_rejected, document_exact_dedup,
     fleet_filtered, top_anomalies, anomaly_explanations, anomaly_diagnoses, state_running_fused, state_as_of_known, ledger_global,
+    runs_compared, replay_battery, timeline_states_fused, state_own_strategy, state_own_weights, neighbour_list, decisions_annotated,
 )
 
 
