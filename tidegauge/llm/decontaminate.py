@@ -242,6 +242,8 @@ def matches(index: DataFrame, benchmark: DataFrame, width: int, slop: int, block
     """The results of search over all blocks of items, with repeated rows; None without items. Each block's
     windows are broadcast while its results are written."""
     spark = index.sparkSession
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":  # a few segments at a time
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     items = ItemBlocks(benchmark, block_words)
     found = None
     for part in items:
