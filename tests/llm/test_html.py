@@ -51,6 +51,32 @@ def test_class_names_of_articles_stay():
     assert text_of(page) == "T\nPrior art.\nIt rose.\nFound."
 
 
+def test_attributes_are_names_and_values():
+    kept = ['<a href="/hidden-valley">', '<p title="a hidden gem">', '<p data-role="menu">', '<p data-id="sidebar">', '<a href="/search?class=menu">', '<p data-style="display:none">', "<p title='class=\"ad\"'>", '<p data-hidden>', '<p class=x title="id=footer">', '<p hiddenish>', '<p class="">', "<p style='color:red'>", '<p aria-hidden="false">', '<p role="paragraph">']
+    for tag in kept:
+        assert text_of(f"<body>{tag}words</{tag[1]}></body>") == "words", tag
+    gone = ['<p hidden>', '<p HIDDEN="">', "<p aria-hidden='true'>", '<p role=navigation>', '<p style="Display : None">', '<p a="1"class="ad">', '<p title="x"id=sidebar>', '<p class = "x menu">', '<p data-x=1 hidden data-y>']
+    for tag in gone:
+        assert text_of(f"<body><p>rest{tag}words</body>") == "rest", tag
+
+
+def test_names_inside_an_article():
+    for tag in ('<p class="teaser">', '<section class="discussion">', '<section id="legal">', '<section id="related">', '<section id="form">', '<p class="share">', '<div class="no-adverse">', '<p id="ad-hoc">', '<p class="commentary">'):
+        assert text_of(f"<article><p>One.</p>{tag}two</article>") == "One.\ntwo", tag
+    for tag in ('<div class="user-comment">', '<div id="comment-1234abc">', '<div class="inline-ad">', '<ol class="comments">', '<div class="cookie-notice">', '<div class="newsletter">', '<div class="related-posts">', '<div class="advert">', '<section class="notice">', '<form>', '<div class="breadcrumbs">', '<aside>'):
+        assert text_of(f"<article><p>One.</p>{tag}two</{tag[1:].split(' ')[0].rstrip('>')}></article>") == "One.", tag
+    assert text_of('<article class="post teaser"><p>Kept.</p></article>') == "Kept." == text_of('<article class="post has-comments"><p>Kept.</p></article>')
+    assert text_of('<article><p>Kept.</p></article><article class="comment"><p>First!</p></article>') == "Kept."
+    assert text_of('<body><p>Kept.</p><div id="related"><p>More</p></div></body>') == "Kept."
+
+
+def test_a_raw_element_ends_at_its_whole_name():
+    for end in ("</script>", "</SCRIPT >", "</script\n>", "</script/>", "</script x='y'>"):
+        assert text_of(f"<p>a</p><script>var x = '</scripture> <p>no</p>'; '</scripts>' {end}<p>b</p>") == "a\nb", end
+    assert text_of("<p>a</p><script>var x = 1; </script") == "a" == text_of("<p>a</p><style>p{} </sty")
+    assert text_of("<p>a</p><textarea>x</textareas>y</textarea>b") == "a\nb"
+
+
 def test_odd_tags_are_read_in_one_pass():
     import time
 

@@ -7,7 +7,8 @@ once). A subtree that recurs on many of a host's pages is template and is delete
 marked article, whose paragraphs may well be quoted elsewhere. Elements whose tag, role or class
 names say navigation, header, footer, side matter, notice, advert, form or comments go as well; a
 class name says so only if all its words do or name a mere container (related-posts, but not
-related-work).
+related-work), or if it begins or ends with comments or ends with advert (user-comment, inline-ad). Inside a
+marked article a single word that may be its subject (related, legal, teaser) says nothing.
 
 The templates of a host are few: each is on a fixed share of the host's pages, so their number is
 bounded by the size of a page. They are joined to pages by broadcast if the number of all templates,
@@ -37,7 +38,7 @@ from .common import materialize, read_table
 
 START = re.compile(r"/?([a-zA-Z][^\s/>]*+)")
 REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+>""")  # possessive: never tries another way
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+""")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 #: Element names of the HTML standard by their role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -61,6 +62,13 @@ HOLDERS = set(
     "area bar block body bottom box button buttons col column container content feed foot global group head holder icons inner item items left link links list "
     "main module outer page panel post posts primary region right row secondary section site slot stories story strip thread top unit wrap wrapper zone".split()
 )
+#: Of those words, the ones that may as well be what an article is about, or a part of it.
+AMBIGUOUS = set("teaser teasers discussion legal related form search skip disclaimer copyright share sharing social promo promotion promoted recommended recommendations reply replies respond header banner banners overlay subscription".split())
+COMMENTS = set("comment comments commentlist disqus".split())
+ADS = set("ad ads advert adverts advertisement".split())
+#: How surely attributes say that an element is no part of an article: outside one only; by the first or last
+#: word of a name; by all of it.
+HINT, AFFIX, SURE = 1, 2, 3
 #: A start tag closes an open element of the same group, up to the group's container.
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 FENCES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
@@ -69,7 +77,7 @@ FENCES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 class Element:
     __slots__ = ("tag", "marked", "children", "hash", "core")
 
-    def __init__(self, tag: str, marked: bool):
+    def __init__(self, tag: str, marked: int):
         self.tag, self.marked, self.children, self.hash, self.core = tag, marked, [], 0, False
 
 
@@ -77,25 +85,30 @@ def says_so(words: list[str]) -> bool:
     return any(w in NAMES for w in words) and all(w in NAMES or w in HOLDERS or w.isdigit() for w in words)
 
 
-def marked_by(attributes: str) -> bool:
-    """Whether attributes say that an element is no part of an article."""
-    if not attributes:
-        return False
+def named(token: str) -> int:
+    """How surely a class or id name says that an element is no part of an article."""
+    words = [w.lower() for w in NAME.findall(token)]
+    if says_so(words):
+        return HINT if len(words) == 1 and words[0] in AMBIGUOUS else SURE
+    return AFFIX if words and (words[0] in COMMENTS or words[-1] in COMMENTS or words[-1] in ADS) else 0
+
+
+def marked_by(attributes: str) -> int:
+    """How surely attributes say that an element is no part of an article, 0 if they don't. They are read as
+    pairs of names and values, so that nothing is found inside a value or another name."""
+    most = 0
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key == "role":
-            found = value.strip().lower() in ROLES
-        elif key == "hidden":
-            found = True
-        elif key == "aria-hidden":
-            found = value.lower() == "true"
-        elif key == "style":
-            found = "display:none" in value.replace(" ", "").lower()
-        else:
-            found = any(says_so([w.lower() for w in NAME.findall(token)]) for token in value.split())
-        if found:
-            return True
-    return False
+        if key in ("class", "id"):
+            most = max([most, *map(named, value.split())])
+        elif (
+            key == "hidden"
+            or key == "role" and value.strip().lower() in ROLES
+            or key == "aria-hidden" and value.lower() == "true"
+            or key == "style" and "display:none" in value.replace(" ", "").lower()
+        ):
+            most = SURE
+    return most
 
 
 def tags(source: str) -> Generator[tuple[int, int, str, str], int | None, None]:
@@ -127,7 +140,7 @@ def tags(source: str) -> Generator[tuple[int, int, str, str], int | None, None]:
 
 def parse(source: str) -> Element:
     """The tree of a page; children are elements and decoded strings."""
-    root = Element("#page", False)
+    root = Element("#page", 0)
     stack = [root]
     opened: Counter = Counter()
     at, n = 0, len(source)
@@ -173,7 +186,8 @@ def parse(source: str) -> Element:
         element = Element(tag, marked_by(attributes))
         stack[-1].children.append(element)
         if tag in RAW:
-            last = re.compile(rf"</{re.escape(tag)}\s*>?", re.I).search(source, at)
+            # Only the whole name ends it: </scripture> is text of a script.
+            last = re.compile(rf"</{re.escape(tag)}(?:[\s/][^>]*+)?+(?:>|\Z)", re.I).search(source, at)
             at = after = last.end() if last else n
         elif tag not in VOID and not attributes.endswith("/"):
             stack.append(element)
@@ -214,8 +228,10 @@ def is_dropped(e: Element, inside: bool) -> bool:
         return not (e.core and e.tag in ("form", "fieldset"))
     if e.tag == "header":
         return not inside and not e.core
+    if e.tag == "article":
+        return e.marked == SURE
     # A name may stand on what wraps the article; that stays.
-    return e.marked and not e.core and e.tag not in ("html", "body") or e.marked and e.tag == "article"
+    return (e.marked > HINT or e.marked == HINT and not inside) and not e.core and e.tag not in ("html", "body")
 
 
 def extract(root: Element, templates: dict[int, bool]) -> str:
