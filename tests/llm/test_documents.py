@@ -657,6 +657,26 @@ def test_scores_equal_brute_force_and_training_helps(spark, small, odd_docs, no_
     assert pseudo_likelihood.pseudo_likelihood(no_docs).count() == 0
 
 
+def test_more_shards_give_a_better_model(spark):
+    """Held-out log-likelihood a token rises with the number of shards of one size."""
+    docs = read_table(spark, "/root/testdata/sf0.01", "documents")
+    encoded = pseudo_likelihood.encode(docs).cache()
+    held = encoded.where("doc_id % 5 = 0")
+    part = "pmod(xxhash64(doc_id, 3), 8)"
+
+    def mean(shards):
+        rows = encoded.where(f"doc_id % 5 <> 0 and {part} < {shards}")
+        tokens = rows.selectExpr("sum(n)").first()[0]
+        model = pseudo_likelihood.train(rows, shard_tokens=-(-tokens // shards), batch=2048)
+        return pseudo_likelihood.score(held, model).selectExpr("sum(log_likelihood) / sum(n_tokens)").first()[0]
+
+    start = pseudo_likelihood.pack(pseudo_likelihood.start_model())
+    untrained = pseudo_likelihood.score(held, start).selectExpr("sum(log_likelihood) / sum(n_tokens)").first()[0]
+    found = [untrained, mean(1), mean(2), mean(4), mean(8)]
+    print(found)
+    assert found == sorted(found) and found[4] > found[1] + 0.05
+
+
 def test_learning_step_follows_the_gradient():
     rng = np.random.default_rng(9)
     ids = np.concatenate([[pseudo_likelihood.PAD] * 2, rng.integers(0, 40, 300), [pseudo_likelihood.PAD] * 2]).astype(np.int32)

@@ -6,16 +6,19 @@ softmax layers give the token's class, its part of the class and the token withi
 score is the sum over its tokens of log P(token | both sides).
 
 Tokens are words and punctuation. Their vocabulary comes from the counts over all documents and grows
-with the corpus: the most frequent ones, up to twice the root of the number of tokens and never under
-4096 if there are so many, have a number of their own; the others, all less frequent, are spread by hash
+with the corpus: the most frequent ones, up to twice the root of the number of tokens, never under
+4096 if there are so many and never over MOST_VOCAB, have a number of their own; the others, all less frequent, are spread by hash
 over further numbers, and the probability of such a number is divided by its different tokens, so that no
 rare token gets the probability of a frequent one. The start has the logs of the counts as biases.
 
 All documents are used for training: encoded once, they are dealt by hash to shards of about
-`shard_tokens` tokens (64 for each number of the vocabulary at least); a task trains the common start on
-one shard at a time with numpy (Adagrad, one pass), and the shards' parameters are averaged by tokens in
-two levels. The number of shards, and so what is gathered, grows with the corpus; the model that reaches
-the driver and is broadcast grows with the vocabulary, the root of the corpus.
+`shard_tokens` tokens (64 for each number of the vocabulary at least), and the shards to about as many
+rounds as there are shards in a round. In a round each shard is trained on by itself with numpy (Adagrad, one
+pass), from the model of the round before. The shards' changes are then added up and divided, parameter by
+parameter, by a power of the number of shards that moved it, as its squared gradients tell: what one shard
+knows alone is kept whole, what all of them say is averaged in part. So more shards give a better model (see
+the tests). The number of shards, and so what is gathered, grows with the corpus; the model that reaches the
+driver and is broadcast has a fixed bound, MOST_VOCAB numbers (about 40 MB, and as much for the gradients).
 
 Edge cases: a null or empty text has no tokens, a sum of 0 and a null mean; repeated rows have equal
 results and count as often as they occur; very long texts are scored in slices whose windows reach
@@ -41,7 +44,10 @@ from .common import materialize, read_table
 TOKEN = re.compile(r"\w+|[^\w\s]")
 CLASSES, DIM, RADIUS = 10, 16, 2  # classes where no vocabulary is given
 PAD = CLASSES**3  # beside and between documents: the number after the last
-LEAST_VOCAB = 4096
+LEAST_VOCAB, MOST_VOCAB = 4096, 1 << 18
+MOST_ROUNDS = 16
+SHARED_POWER = 0.7  # of the shards that moved a parameter, by which the sum of its changes is divided
+FIRST_SUM = 1e-2  # of squared gradients
 BLOCK = 8192  # parameters a row when models are averaged
 SLICE = 32_768
 HELD = 500_000  # different tokens that a task remembers
@@ -97,7 +103,7 @@ def build_vocabulary(docs: DataFrame, least: int = LEAST_VOCAB) -> Vocabulary:
     """Of counts over all documents; what reaches the driver is as long as the vocabulary."""
     counted = materialize(count_tokens(docs).withColumn("band", F.floor(F.log2("n") * 8)), "counts")
     bands = sorted(counted.groupBy("band").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).collect(), reverse=True)
-    limit = max(least, 2 * math.isqrt(sum(b["n"] for b in bands)))
+    limit = min(MOST_VOCAB, max(least, 2 * math.isqrt(sum(b["n"] for b in bands))))
     from_band, have = None, 0
     for b in bands:
         if have + b["words"] > limit:
@@ -207,11 +213,11 @@ def parts_of(group: np.ndarray) -> tuple[list[tuple[int, np.ndarray]], np.ndarra
 
 
 class Network:
-    def __init__(self, model: dict[str, np.ndarray], rate: float = 0.15):
+    def __init__(self, model: dict[str, np.ndarray], rate: float = 0.15, sums: dict[str, np.ndarray] | None = None):
         self.m = model
         self.rate = rate
         self.side = model["level0"].shape[2]
-        self.sums = {k: np.full_like(v, 1e-2) for k, v in model.items()} if rate else {}
+        self.sums = sums or ({k: np.full_like(v, FIRST_SUM) for k, v in model.items()} if rate else {})
 
     def _forward(self, ids: np.ndarray, at: np.ndarray):
         m = self.m
@@ -319,58 +325,90 @@ def joined(parts: list[np.ndarray], end: int = PAD) -> tuple[np.ndarray, np.ndar
     return ids, np.flatnonzero(ids != end)
 
 
-def train(encoded: DataFrame, shard_tokens: int = 2_000_000, batch: int = 16_384, seed: int = 5, vocabulary: Vocabulary | None = None) -> np.ndarray:
-    """The averaged parameters of all shards' networks."""
-    side, counts = (vocabulary.side, vocabulary.counts) if vocabulary else (CLASSES, None)
-    total = encoded.agg(F.sum("n")).first()[0] or 0
-    if not total:
-        return pack(start_model(seed, side, counts))
-    shards = -(-total // max(shard_tokens, 64 * side**3 if vocabulary else 0))
-    slots = math.isqrt(shards) + 1
-    shared = encoded.sparkSession.sparkContext.broadcast(counts)
+def packed_shards(encoded: DataFrame, shards: int, rounds: int, end: int) -> DataFrame:
+    """shard, round, ids: a row per shard, its documents with pads between. Written once, a file a shard, of which
+    a round reads its own."""
+    kind = np.uint16 if end < 1 << 16 else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def finish():
-            ids, at = joined(parts, side**3)
-            at = np.random.default_rng(shard).permutation(at.astype(np.int32))
-            net = Network(start_model(seed, side, shared.value))
-            for k in range(0, len(at), batch):
-                net.learn(ids, at[k : k + batch])
-            flat = pack(net.m)
-            n = -(-len(flat) // BLOCK)
-            values = [flat[k * BLOCK : (k + 1) * BLOCK] for k in range(n)]
-            return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([shard % slots] * n, pa.int32()), pa.array([float(len(at))] * n), pa.array([v.tobytes() for v in values], pa.binary())], names=["block", "slot", "weight", "values"])
+        def pack() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([shard % rounds], pa.int32()), pa.array([joined(parts, end)[0].astype(kind).tobytes()], pa.binary())], names=["shard", "round", "ids"])
 
         shard, parts = None, []
         for b in batches:
             for s, ids in zip(b.column(0).to_pylist(), b.column(1)):
                 if s != shard and parts:
-                    yield finish()
+                    yield pack()
                     parts = []
                 shard = s
-                parts.append(np.frombuffer(ids.as_py(), id_type(side)))
+                parts.append(np.frombuffer(ids.as_py(), kind))
         if parts:
-            yield finish()
+            yield pack()
 
-    def weigh(table: pa.Table) -> pa.Table:
-        pairs = zip(table.column("weight").to_pylist(), table.column("values"))
-        total = sum(w * np.frombuffer(x.as_py(), np.float32).astype(np.float64) for w, x in pairs)
-        return summed_row(table, total)
+    # Ranges of shard numbers: by hash, several shards would meet in one task and none in others.
+    dealt = encoded.where("n > 0").select(F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shards)).alias("shard"), "ids").repartitionByRange(int(shards), "shard").sortWithinPartitions("shard", "ids")
+    return materialize(dealt.mapInArrow(run, "shard long, round int, ids binary"), "shards")
+
+
+def one_round(shards: DataFrame, n_shards: int, model: np.ndarray, sums: np.ndarray, side: int, batch: int) -> tuple[np.ndarray, np.ndarray]:
+    """The model and its sums of squared gradients after the shards were trained on side by side."""
+    shared = shards.sparkSession.sparkContext.broadcast((model, sums))
+    kind = np.uint16 if side**3 < 1 << 16 else np.uint32
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, sums = shared.value
+        for b in batches:
+            for shard, row in zip(b.column(0).to_pylist(), b.column(1)):
+                ids = np.frombuffer(row.as_py(), kind).astype(np.int32)
+                at = np.random.default_rng(shard).permutation(np.flatnonzero(ids != side**3).astype(np.int32))
+                net = Network(unpack(model.copy()), sums=unpack(sums.copy()))
+                for k in range(0, len(at), batch):
+                    net.learn(ids, at[k : k + batch])
+                moved, mass = pack(net.m) - model, np.maximum(pack(net.sums) - sums, 0) + np.float32(1e-12)
+                blocks = range(-(-len(model) // BLOCK))
+                cut = lambda x: pa.array([x[k * BLOCK : (k + 1) * BLOCK].tobytes() for k in blocks], pa.binary())  # noqa: E731,B023
+                n = len(blocks)
+                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([shard % slots] * n, pa.int32()), cut(moved), cut(mass)], names=["block", "slot", "moved", "mass"])
+
+    def sums_of(table: pa.Table) -> pa.Table:
+        """Sums over the shards of a block: changes, masses, squared masses."""
+        moved, mass = (np.stack([np.frombuffer(x.as_py(), np.float32) for x in table.column(c)]).astype(np.float64) for c in ("moved", "mass"))
+        return row_of(table, len(moved), np.stack([moved.sum(axis=0), mass.sum(axis=0), (mass * mass).sum(axis=0)]))
 
     def add_up(table: pa.Table) -> pa.Table:
-        return summed_row(table, sum(np.frombuffer(x.as_py(), np.float64) for x in table.column("total")))
+        return row_of(table, sum(table.column("n").to_pylist()), sum(np.frombuffer(x.as_py(), np.float64) for x in table.column("sums")))
 
-    def summed_row(table: pa.Table, total: np.ndarray) -> pa.Table:
-        return pa.table({"block": pa.array(table.column("block").to_pylist()[:1], pa.int32()), "weight": [float(sum(table.column("weight").to_pylist()))], "total": pa.array([total.tobytes()], pa.binary())})
+    def row_of(table: pa.Table, n: int, sums: np.ndarray) -> pa.Table:
+        return pa.table({"block": pa.array(table.column("block").to_pylist()[:1], pa.int32()), "n": [n], "sums": pa.array([sums.tobytes()], pa.binary())})
 
-    # Ranges of shard numbers: by hash, several shards would meet in one task and none in others.
-    dealt = encoded.where("n > 0").select(F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shards)).alias("shard"), "ids").repartitionByRange(int(shards), "shard").sortWithinPartitions("shard", "ids")
-    models = dealt.mapInArrow(run, "block int, slot int, weight double, values binary")
-    out = "block int, weight double, total binary"
+    slots = math.isqrt(n_shards) + 1
+    out = "block int, n long, sums binary"
     # Two levels, so that no task holds the parameters of all shards.
-    summed = models.groupBy("block", "slot").applyInArrow(weigh, out).groupBy("block").applyInArrow(add_up, out)
-    rows = sorted(summed.collect(), key=lambda r: r["block"])  # as many as the model has blocks
-    return np.concatenate([np.frombuffer(r["total"], np.float64) / r["weight"] for r in rows])
+    changes = shards.mapInArrow(run, "block int, slot int, moved binary, mass binary")
+    rows = sorted(changes.groupBy("block", "slot").applyInArrow(sums_of, out).groupBy("block").applyInArrow(add_up, out).collect(), key=lambda r: r["block"])  # as many as the model has blocks
+    shared.destroy()
+    parts = [np.frombuffer(r["sums"], np.float64).reshape(3, -1) for r in rows]
+    moved, mass, squared = np.concatenate(parts, axis=1)
+    movers = np.maximum(1.0, mass * mass / squared)
+    return (model + moved / movers**SHARED_POWER).astype(np.float32), (sums + mass / rows[0]["n"]).astype(np.float32)
+
+
+def train(encoded: DataFrame, shard_tokens: int = 2_000_000, batch: int = 16_384, seed: int = 5, vocabulary: Vocabulary | None = None) -> np.ndarray:
+    """The parameters after all rounds."""
+    side, counts = (vocabulary.side, vocabulary.counts) if vocabulary else (CLASSES, None)
+    total = encoded.agg(F.sum("n")).first()[0] or 0
+    model = pack(start_model(seed, side, counts))
+    if not total:
+        return model
+    shards = -(-total // max(shard_tokens, 64 * side**3 if vocabulary else 0))
+    rounds = min(MOST_ROUNDS, math.isqrt(shards - 1) + 1)
+    dealt = packed_shards(encoded, shards, rounds, side**3)
+    sums = np.full_like(model, FIRST_SUM)
+    for r in range(rounds):
+        own = dealt.where(F.col("round") == r).select("shard", "ids")
+        if n := own.count():
+            model, sums = one_round(own, n, model, sums, side, batch)
+    return model
 
 
 def score(encoded: DataFrame, parameters: np.ndarray, vocabulary: Vocabulary | None = None) -> DataFrame:
