@@ -12,29 +12,32 @@ from tidegauge.llm.common import distilled, read_table, small_batches
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is one of the learned ones stay."""
+    """Documents whose language is one of the learned ones stay; a null text, and one without letters, has none
+    and goes."""
     small_batches(spark)
     return langid.keep_known(docs, langid.train(langid.train_split(docs)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays: the one with the least doc_id."""
+    """One document of each near-duplicate class stays: the one with the least doc_id (a null one last); of rows
+    with that id and text the least by all their columns."""
     small_batches(spark)
     return near_dedup.keep_one(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of a benchmark item go."""
+    """Documents with a passage of a benchmark item go; texts without words stay."""
     return decontamination.keep_clean(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked; every document stays."""
+    """Secrets are masked; every document stays, null texts too."""
     small_batches(spark)
     return secrets.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences; an empty or null text is one end token."""
     import public_tokenizers
 
     small_batches(spark)
