@@ -118,6 +118,37 @@ def test_near_dedup_recall_at_the_threshold(spark):
     assert caught[75] == 0 and caught[24] >= 0.95 and caught[36] >= 0.8
 
 
+def test_prefixes_of_similar_texts_meet_early_enough(spark):
+    """Texts of a split bucket with the asked share of common shingles have a token row in common, at places from
+    where enough can still follow; tokens of a single text have no row."""
+    rng = np.random.default_rng(17)
+    base = rng.integers(0, 1 << 62, 120)
+    rows, own = [], {}
+    for i in range(60):
+        w = base.copy() if i % 3 else rng.integers(0, 1 << 62, 120)
+        w[rng.choice(120, int(rng.integers(0, 4)), replace=False)] = rng.integers(0, 1 << 62)
+        w = w[: int(rng.integers(100, 121))]
+        node = bytes([i])
+        g = near_dedup.labelled(w.astype(np.uint64), 5)
+        own[node] = g
+        rows.append((node, len(g), node, i % 2 == 0, w.tolist()))
+    rest = spark.createDataFrame(rows, "node binary, n int, class binary, outside boolean, words array<long>").repartition(3)
+    shared = 0.8
+    filed = near_dedup.prefixes(rest, 5, shared).collect()
+    place = {(bytes(r.node), r.token): r.place for r in filed}
+    texts = Counter(t for g in own.values() for t in g.view(np.int64).tolist())
+    assert filed and all(r.texts >= 2 and r.texts >= texts[r.token] for r in filed)
+    met = 0
+    for a in own:
+        for b in own:
+            common = len(set(own[a].tolist()) & set(own[b].tolist()))
+            if a < b and common >= shared / (1 + shared) * (len(own[a]) + len(own[b])):
+                reach = [min(len(own[a]) - place[a, t], len(own[b]) - place[b, t]) for (x, t) in place if x == a and (b, t) in place]
+                assert max(reach) >= shared / (1 + shared) * (len(own[a]) + len(own[b])) - 1e-9
+                met += 1
+    assert met > 50
+
+
 def test_near_dedup_knows_words_without_case_and_punctuation(spark):
     base = " ".join(f"w{i}" for i in range(60))
     rows = [(1, base), (2, base.replace("w7 w8", "w7. W8").replace("w20", "«W20»")), (3, base + " " + base), (4, "?! ?!"), (5, "?!"), (6, "?! ?!")]

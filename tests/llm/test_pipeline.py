@@ -54,6 +54,26 @@ def test_stages_equal_plain_versions(spark, small):
     assert len(text) > 0.5 * len(rows)
 
 
+def test_stages_on_odd_documents(spark, odd_docs, small):
+    """Nulls in every column, repeated rows, long texts and clashing columns go through all stages."""
+    docs, columns = odd_docs, odd_docs.columns
+    before = None
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialize(stage(spark, docs, small), name)
+        if name == "packing":
+            break
+        assert docs.columns == columns
+        rows = docs.select("doc_id", "text").collect()
+        if name == "language_id":
+            assert all(r.text is not None and any(c.isalpha() for c in r.text) for r in rows)
+        if name == "near_dedup":
+            assert len({r.text for r in rows}) == len(rows) and all(r.text in {x.text for x in before} for r in rows)
+        if before is not None and name in ("decontaminate", "secret_scan"):
+            assert len(rows) == len(before)
+        before = rows
+    assert check_pieces(docs.collect(), [(r.doc_id, r.text) for r in before]) == 0
+
+
 def test_pipeline_on_an_empty_table(spark, no_docs, small):
     docs = no_docs
     for name, stage in corpus_pipeline.STAGES:
