@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table
+from .common import materialize, read_table, slim_batches
 from .postings import expand, squeeze
 
 BREAK = b"\xff"  # in no UTF-8 text
@@ -216,6 +216,7 @@ def named(phrases: DataFrame, words: DataFrame, size: int) -> DataFrame:
 
 def collocations(docs: DataFrame, least: int = 10, top: int = 2000, shard_words: int = 1_000_000) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the `top` phrases of each language."""
+    slim_batches(docs.sparkSession)
     lists = materialize(build_lists(docs, shard_words), "lists")
     often = f"n >= {least}"
     words = materialize(local_words(lists).groupBy("lang", "word").agg(F.sum("n").alias("n")).where(often).withColumn("id", F.monotonically_increasing_id()), "frequent_words")

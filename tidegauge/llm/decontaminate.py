@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table
+from .common import materialize, read_table, slim_batches
 from .postings import ItemBlocks
 
 #: Letters in lower case; what separates words becomes a blank. Bytes from 0x80 belong to words.
@@ -242,8 +242,7 @@ def matches(index: DataFrame, benchmark: DataFrame, width: int, slop: int, block
     """The results of search over all blocks of items, with repeated rows; None without items. Each block's
     windows are broadcast while its results are written."""
     spark = index.sparkSession
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":  # a few segments at a time
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    slim_batches(spark)  # a few segments at a time
     items = ItemBlocks(benchmark, block_words)
     found = None
     for part in items:

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table
+from .common import materialize, read_table, slim_batches
 from .decontaminate import words
 from .postings import expand, item_blocks, squeeze
 
@@ -207,6 +207,7 @@ def search(index: DataFrame, items: list[tuple[str | None, str | None]], n_docs:
 def ranked(docs: DataFrame, benchmark: DataFrame, top: int = 20, block_words: int = 200_000, shard_words: int = 1_000_000) -> DataFrame:
     """item_id, rank, doc_id, score of the `top` best documents of each item."""
     spark = docs.sparkSession
+    slim_batches(spark)
     kind = benchmark.schema["item_id"].dataType
     index = materialize(build_index(docs, shard_words), "ranked_index")
     n_docs, n_words = index.select(F.sum(F.size("doc_ids")), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()
