@@ -1,3 +1,4 @@
+import hashlib
 from datetime import timezone
 
 import numpy as np
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidegauge import api
 from tidegauge.constants import GENESIS, METRICS, PRIORS, precision, strategy_of
+from tidegauge.functions import exact
 from tidegauge.functions.normalize import clean_readings, iso, normalize, parse_timestamp
 from tidegauge.operators import dedup, detect, ledger, replay, resolve, spatial, strategies, timeline
 from tidegauge.sources.telemetry import from_events, list_fixtures, read_json, synthetic
@@ -223,6 +225,18 @@ def test_traces(spark):
     assert "outweighed" in got[1].resolution_notes[0] and "older" in got[2].resolution_notes[0]
 
 
+def test_canonical_fingerprints_have_fixed_bytes(spark):
+    events = [
+        ({"sensor_id": " WQ-1 ", "timestamp": "2024-06-15T10:00:00+02:00", "readings": {"turbidity": 12345678.0, "pH": 0.0001, "x": None}, "source": " LAB"}, '{"readings":{"pH":0.0001,"turbidity":12345678.0},"sensor_id":"WQ-1","source":"lab","timestamp":"2024-06-15T08:00:00Z"}'),
+        ({"sensor_id": "Ü\"1", "timestamp": "2024-06-15T10:00:00.5Z", "readings": {"a": 2.0000005, "b": 1e22, "c": 0.1 + 0.2, "d": -0.0000001, "e": 1e-05, "f": 1234567.1234565}, "source": "x"}, '{"readings":{"a":2.000001,"b":1e+22,"c":0.3,"d":-0.0,"e":1e-05,"f":1234567.123457},"sensor_id":"\\u00dc\\"1","source":"x","timestamp":"2024-06-15T10:00:00.500000Z"}'),
+        ({"sensor_id": "A", "timestamp": "2024-06-15T10:00:00Z", "readings": {}}, '{"readings":{},"sensor_id":"A","source":"field","timestamp":"2024-06-15T10:00:00Z"}'),
+        ({"sensor_id": "A", "timestamp": "2024-06-15T10:00:00Z", "readings": {"pH": float("nan"), "q": float("inf")}}, '{"readings":{"pH":NaN,"q":Infinity},"sensor_id":"A","source":"field","timestamp":"2024-06-15T10:00:00Z"}'),
+    ]
+    got = [r.f for r in frame(spark, [e for e, _ in events]).orderBy("seq").select(exact.canonical_fingerprint().alias("f")).collect()]
+    assert got == [hashlib.sha256(text.encode()).hexdigest() for _, text in events]
+    assert got[2] == "%s" % hashlib.sha256(b'{"readings":{},"sensor_id":"A","source":"field","timestamp":"2024-06-15T10:00:00Z"}').hexdigest()
+
+
 def test_strategy_names():
     assert [strategy_of(x) for x in (" Weighted", "latest", "nonsense", None)] == ["confidence_weighted", "latest", "source_priority", "source_priority"]
 

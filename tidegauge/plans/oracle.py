@@ -117,6 +117,7 @@ best as (select perm, sensor_id, metric, value from pm qualify row_number() over
 ORACLE = {
     "telemetry_normalized": f"with {BASE} select sensor_id, event_id, copy, event_ts, arrival_ts, source, {PICK} from base",
     "event_fingerprint": f"with {UNIQUE} select sensor_id, event_id, copy, fingerprint from fp",
+    "fingerprint_canonical": f"""with {BASE} select sensor_id, event_id, copy, sha256('{{"readings":{{' || concat_ws(',', {", ".join(f"""'"{m}":' || round({c}, 6)::varchar""" for m, c in sorted(COLUMNS.items()))}) || '}},"sensor_id":"' || sensor_id || '","source":"' || source || '","timestamp":"' || strftime(event_ts, '%Y-%m-%dT%H:%M:%S') || 'Z"}}') fingerprint from base""",
     "dedup_first_arrival": f"with {UNIQUE} select sensor_id, event_id, copy, event_ts, source from u",
     "dedup_incremental": f"with {UNIQUE} select sensor_id, event_id, copy from fp where (event_id % 2 = 1 or copy = 1) and fingerprint not in (select fingerprint from fp where event_id % 2 = 0 and copy = 0) qualify row_number() over (partition by fingerprint order by {SEQ}) = 1",
     "duplicate_status": f"with {UNIQUE}, l as (select sq, {LATE} is_late from u) select sensor_id, event_id, copy, case when l.sq is null then 'DUPLICATE_SKIPPED' when is_late then 'OUT_OF_ORDER_RECONSTRUCTED' else 'PROCESSED' end status from fp left join l using (sq)",

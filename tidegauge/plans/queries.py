@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..constants import GENESIS, METRICS, PRIORITY_WEIGHTS
-from ..functions import normalize, scores
+from ..functions import exact, normalize, scores
 from ..operators import dedup, detect, ledger, replay, resolve, spatial, strategies, timeline
 from ..sources.telemetry import from_event_table
 
@@ -57,6 +57,11 @@ def event_fingerprint(spark, d):
     return events(spark, d).select(*ids(), normalize.fingerprint().alias("fingerprint"))
 
 
+def fingerprint_canonical(spark, d):
+    """The fingerprint over canonical JSON bytes."""
+    return events(spark, d).select(*ids(), exact.canonical_fingerprint().alias("fingerprint"))
+
+
 def dedup_first_arrival(spark, d):
     return unique(spark, d).select(*ids(), ntz("event_ts").alias("event_ts"), "source")
 
@@ -402,7 +407,7 @@ def document_exact_dedup(spark, d):
 
 
 QUERIES = (
-    telemetry_normalized, event_fingerprint, dedup_first_arrival, dedup_incremental, duplicate_status, out_of_order_flags, timeline_positions,
+    telemetry_normalized, event_fingerprint, fingerprint_canonical, dedup_first_arrival, dedup_incremental, duplicate_status, out_of_order_flags, timeline_positions,
     state_source_priority, state_latest, state_confidence_weighted, state_as_of, state_headers, state_running, fleet_states, decision_trace, source_weights,
     out_of_bounds, mahalanobis_score, zscore_contributors, display_bands, rate_of_change_pairs, cusum_running, anomaly_classify,
     spatial_corroboration, cluster_status, fleet_overview, replay_summary, order_invariance, ledger_chain, ledger_continued, ledger_faults, ledger_heads, audit_page, csv_projection, csv_export,
