@@ -12,13 +12,13 @@ from . import dedup, detect, ledger, resolve, spatial, timeline
 from .strategies import Strategy
 
 
-def process(events: DataFrame, strategy: str | Strategy = "source_priority", topo: DataFrame | None = None) -> DataFrame:
+def process(events: DataFrame, strategy: str | Strategy = "source_priority", topo: DataFrame | None = None, late_counts: bool = True) -> DataFrame:
     """One row per unique event with fingerprint, lateness, merged state, report and, with a topology,
-    corroboration. Each step carries the columns of the one before, so all are planned once."""
+    corroboration (see spatial.annotate). Each step carries the columns of the one before, so all are planned once."""
     late = timeline.flag_late(dedup.first_arrivals(events))
     reports = detect.classify(late, strategy)
     if topo is not None:
-        reports = spatial.annotate(reports, topo)
+        reports = spatial.annotate(reports, topo, late_counts)
     return reports.withColumn("action", action(F.col("is_late"))).withColumn("status", status(F.lit(False), F.col("is_late")))
 
 

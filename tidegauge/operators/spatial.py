@@ -36,9 +36,11 @@ def neighbours(topo: DataFrame) -> DataFrame:
 
 
 class Watch:
-    """What is known of the sensors of one cluster at some point of the arrivals."""
+    """What is known of the sensors of one cluster at some point of the arrivals. late_counts: whether an anomaly
+    that arrives more than the limit behind its sensor's latest one is noted."""
 
-    def __init__(self):
+    def __init__(self, late_counts: bool = True):
+        self.late_counts = late_counts
         self.times: dict = {}  # by sensor: event times of its anomalies, sorted, older than the limit evicted
         self.flag: dict = {}  # by sensor: whether its last arrived event was an anomaly
         self.pos: dict = {}
@@ -49,7 +51,8 @@ class Watch:
         if odd:
             own = self.times.setdefault(sensor, [])
             insort(own, micros)
-            del own[: bisect_left(own, micros - EVICT_HOURS * 3_600_000_000)]
+            newest = micros if self.late_counts else own[-1]  # the latest of all is never evicted
+            del own[: bisect_left(own, newest - EVICT_HOURS * 3_600_000_000)]
 
     def near(self, sensor, micros: int) -> list:
         """Other sensors with an anomaly close in event time, or whose last event was one, in order."""
@@ -72,13 +75,14 @@ def listed(topo: DataFrame) -> DataFrame:
     return places.select("sensor_id", "cluster", "pos", (F.col("cluster") == F.col("_own")).alias("own"), "members")
 
 
-def annotate(classified: DataFrame, topo: DataFrame) -> DataFrame:
+def annotate(classified: DataFrame, topo: DataFrame, late_counts: bool = True) -> DataFrame:
     """classified with is_corroborated, corroborated_by (in cluster order) and diagnosis, null for what is no
     anomaly.
 
     A neighbour corroborates if one of its anomalies that arrived earlier lies within half an hour in
     event time and was not evicted (an own anomaly more than three hours later evicts), or if its last
-    arrived event was an anomaly, however old.
+    arrived event was an anomaly, however old. An anomaly that itself arrives more than three hours behind an own
+    one counts until the next own one evicts it; without late_counts it does not count.
 
     One pass over each cluster's events in arrival order: sorted inside partitions and streamed, with what
     the cluster's sensors showed lately as state; a row leaves by its sensor's own cluster. Sensors without
@@ -90,12 +94,12 @@ def annotate(classified: DataFrame, topo: DataFrame) -> DataFrame:
     kind = dealt.schema["sensor_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cluster, watch = None, Watch()
+        cluster, watch = None, Watch(late_counts)
         for b in batches:
             out = []
             for name, sensor, pos, own, odd, micros in zip(*(b.column(k).to_pylist() for k in range(1, 7))):
                 if name != cluster:
-                    cluster, watch = name, Watch()
+                    cluster, watch = name, Watch(late_counts)
                 if own:
                     out.append(None if not odd else watch.near(sensor, micros) if name is not None else [])
                 if name is not None:
@@ -108,9 +112,9 @@ def annotate(classified: DataFrame, topo: DataFrame) -> DataFrame:
     return found.select("row.*", "is_corroborated", "corroborated_by", "diagnosis")
 
 
-def corroborate(classified: DataFrame, topo: DataFrame) -> DataFrame:
+def corroborate(classified: DataFrame, topo: DataFrame, late_counts: bool = True) -> DataFrame:
     """sensor_id, seq, is_corroborated, corroborated_by, diagnosis for each anomaly (see annotate)."""
-    return annotate(classified.select("sensor_id", "seq", "event_ts", "is_anomaly"), topo).where("is_anomaly").drop("event_ts", "is_anomaly")
+    return annotate(classified.select("sensor_id", "seq", "event_ts", "is_anomaly"), topo, late_counts).where("is_anomaly").drop("event_ts", "is_anomaly")
 
 
 def diagnosed(found: DataFrame) -> DataFrame:
