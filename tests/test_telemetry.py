@@ -271,3 +271,18 @@ def test_files_api_and_synthetic(spark, tmp_path):
     assert read_json(spark, str(tmp_path / "a.json")).count() == 0
     made = synthetic(spark, 200)
     assert normalize(made)[1].count() == 0 and made.collect() == synthetic(spark, 200).collect()
+
+
+def test_one_chain_over_several_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ledger, "RANGE", 7, raising=False)
+    rows = spark.range(30).select(F.concat(F.lit("S"), (F.col("id") % 3).cast("string")).alias("sensor_id"), ((F.col("id") * 11) % 30).alias("seq"), F.col("id").cast("string").alias("body"))
+    built = ledger.build(rows, "global")
+    head, want = GENESIS, []
+    for n, body in enumerate(r.body for r in rows.orderBy("seq").collect()):
+        head, prev = hashlib.sha256(f"{head}|{body}".encode()).hexdigest(), head
+        want.append((n + 1, body, prev, head))
+    assert sorted((r.audit_id, r.body, r.prev_hash, r.current_hash) for r in built.collect()) == want
+    assert built.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] < 15  # no task had them all
+    more = ledger.build(rows.withColumn("seq", F.col("seq") + 30), "global", ledger.heads(built))
+    assert ledger.heads(more).first().blocks == 60 and ledger.verify(built.unionByName(more)) == (True, None)
+    assert ledger.build(rows.limit(0), "global").count() == 0

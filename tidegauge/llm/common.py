@@ -8,6 +8,8 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shared_dir
+
 #: Folders written since the innermost `distilled` began.
 _WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
@@ -33,17 +35,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Without one, a local master (tests) uses a folder below the
-    warehouse; a cluster has to name a folder that all its machines see."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: later steps start from files
     that every executor sees, so a lost executor costs only its own tasks."""

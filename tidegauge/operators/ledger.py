@@ -2,25 +2,30 @@
 
 A block's hash covers the hash before it and the block's body, canonical JSON. `scope="sensor"`, the
 usual form, is a chain per sensor, built in parallel, with the sorted heads hashed into one root.
-Chaining is serial by nature: `scope="global"` is one chain in one task, for ledgers of the size of a
-file. Verification is parallel by chain. Stored ledgers are in `ledger_store`.
+Chaining is serial by nature: `scope="global"` is one chain, whose blocks are sorted in ranges by many tasks and
+chained range after range, each in a task that holds no other. Verification is parallel by chain. Stored ledgers are
+in `ledger_store`.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..constants import GENESIS
 from ..functions.normalize import iso
+from ..session import shared_dir
 from .strategies import Strategy, of
 
 BLOCK = "chain string, audit_id bigint, prev_hash string, current_hash string"
+RANGE = 250_000  # blocks of one chain that a task sorts and chains
 
 
 def body(decisions: DataFrame, received: str = "1970-01-01T00:00:00Z") -> Column:
@@ -41,10 +46,34 @@ def build(blocks: DataFrame, scope: str = "sensor", after: DataFrame | None = No
     """blocks (sensor_id, seq, body, ...) -> the same with chain, audit_id, prev_hash, current_hash.
 
     after: heads (chain, blocks, head) of a ledger that these blocks continue: each chain's numbers and links
-    go on from its head. A head is sorted before its chain's blocks, so that both come to one task in one
+    go on from its head. A global chain is built at once, its tables are written below the shared folder."""
+    return _one_chain(blocks, after) if scope == "global" else _chained(blocks, F.col("sensor_id").cast("string"), after)
+
+
+def _one_chain(blocks: DataFrame, after: DataFrame | None) -> DataFrame:
+    """One chain over all blocks: ranges of seq are stored, then chained one after the other. Only the number and
+    hash of the last block go from a range to the next."""
+    spark = blocks.sparkSession
+    at = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    held = blocks.persist(StorageLevel.DISK_ONLY)  # counted and sampled before it is dealt
+    ranges = max(1, -(-held.count() // RANGE))
+    dealt = held.repartitionByRange(ranges, "seq").withColumn("_range", F.spark_partition_id())
+    dealt.write.partitionBy("_range").parquet(f"{at}/ranges")
+    held.unpersist()
+    stored = spark.read.schema(dealt.schema).parquet(f"{at}/ranges")
+    for k in range(ranges):
+        rows, last = _chained(stored.where(F.col("_range") == k).drop("_range"), F.lit(""), after, 1), Observation()
+        rows.observe(last, F.max("audit_id").alias("blocks"), F.max_by("current_hash", "audit_id").alias("head")).write.parquet(f"{at}/chained/{k}")
+        if (found := last.get)["blocks"] is not None:
+            after = spark.createDataFrame([("", found["blocks"], found["head"])], "chain string, blocks bigint, head string")
+    return spark.read.schema(rows.schema).parquet(*[f"{at}/chained/{k}" for k in range(ranges)])
+
+
+def _chained(blocks: DataFrame, chain: Column, after: DataFrame | None, tasks: int | None = None) -> DataFrame:
+    """Each chain in a task. A head is sorted before its chain's blocks, so that both come to one task in one
     shuffle and nothing is held but the last hash."""
     row = F.struct(*blocks.columns)
-    keyed = blocks.select((F.lit("") if scope == "global" else F.col("sensor_id").cast("string")).alias("chain"), F.lit(0).cast("long").alias("had"), "seq", row.alias("row"), "body")
+    keyed = blocks.select(chain.alias("chain"), F.lit(0).cast("long").alias("had"), "seq", row.alias("row"), "body")
     if after is not None:
         nothing = {c: F.lit(None).cast(keyed.schema[c].dataType).alias(c) for c in ("seq", "row")}
         keyed = keyed.unionByName(after.select("chain", F.col("blocks").alias("had"), nothing["seq"], nothing["row"], F.col("head").alias("body")))
@@ -66,15 +95,14 @@ def build(blocks: DataFrame, scope: str = "sensor", after: DataFrame | None = No
             rows = b.filter(pc.equal(b.column(1), 0)).column(3)
             yield pa.RecordBatch.from_arrays([rows, *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.string())))], names=["row", "chain", "audit_id", "prev_hash", "current_hash"])
 
-    dealt = keyed.repartition(1) if scope == "global" else keyed.repartition("chain")
+    dealt = keyed.repartition(tasks) if tasks else keyed.repartition("chain")
     done = dealt.sortWithinPartitions("chain", F.desc("had"), "seq").mapInArrow(run, f"row {keyed.schema['row'].dataType.simpleString()}, {BLOCK}")
     return done.select("row.*", "chain", "audit_id", "prev_hash", "current_hash")
 
 
 def checked(ledger: DataFrame) -> DataFrame:
     """The ledger with reason, null where a block holds: a broken link is named first. A block meets the one
-    before it in its chain, so one shuffle by chain serves all; one chain over everything is one task here as
-    it is in building."""
+    before it in its chain, so one shuffle by chain serves all; one chain over everything is one task here."""
     before = F.lag("current_hash").over(Window.partitionBy("chain").orderBy("audit_id"))
     link = F.col("prev_hash") != F.coalesce(before, F.when(F.col("audit_id") == 1, F.lit(GENESIS)).otherwise("missing"))
     body = F.col("current_hash") != F.sha2(F.concat("prev_hash", F.lit("|"), "body"), 256)
