@@ -286,3 +286,18 @@ def test_one_chain_over_several_ranges(spark, monkeypatch):
     more = ledger.build(rows.withColumn("seq", F.col("seq") + 30), "global", ledger.heads(built))
     assert ledger.heads(more).first().blocks == 60 and ledger.verify(built.unionByName(more)) == (True, None)
     assert ledger.build(rows.limit(0), "global").count() == 0
+
+
+@pytest.mark.parametrize("strategy", ["latest", "source_priority"])
+def test_orders_share_a_reading(spark, strategy):
+    events = frame(spark, random_events(120, 8))
+    found = replay.invariance(events, strategy, 3)
+    want = set()
+    base = {(r.sensor_id, r.metric): r.value for r in resolve.current_cells(dedup.first_arrivals(events), strategy).collect()}
+    for p in (1, 2, 3):
+        moved = dedup.first_arrivals(events).withColumn("seq", F.struct(F.xxhash64("seq", F.lit(p + 1000)).alias("h"), F.col("seq").alias("was")))
+        other = {(r.sensor_id, r.metric): r.value for r in resolve.current_cells(moved, strategy).collect()}
+        want |= {(p, *k, base[k], v) for k, v in other.items() if abs(v - base[k]) > 1e-5}
+    assert {(r.perm, r.sensor_id, r.metric, r.base, r.other) for r in found.collect()} == want
+    # No row is made per reading and order: the orders are maxima of one aggregate.
+    assert "sequence(" not in found._jdf.queryExecution().optimizedPlan().toString() and "Generate explode([0,1,2,3])" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import action, status
 from . import dedup, detect, ledger, resolve, spatial, timeline
-from .strategies import Strategy
+from .strategies import Strategy, of
 
 
 def process(events: DataFrame, strategy: str | Strategy = "source_priority", topo: DataFrame | None = None, late_counts: bool = True) -> DataFrame:
@@ -78,15 +78,22 @@ def compare_runs(cells: DataFrame, runs: DataFrame, tolerance: float = 1e-5) ->
 
 def invariance(events: DataFrame, strategy: str | Strategy = "source_priority", permutations: int = 5, order=None, tolerance: float = 1e-5) -> DataFrame:
     """perm, sensor_id, metric, base, other, reason of every final reading that is not that of the original
-    order (perm 0), see compare_runs. All orders are one job: the permutation is a column, and the states of a
-    (perm, sensor) are one aggregate. order(seq, perm) gives the new arrival order."""
+    order (perm 0), see compare_runs. All orders are one job. Where the greatest reading is the state, a cell has a
+    maximum per order, and a reading is one row for all; other strategies fold the states of each (perm, sensor).
+    order(seq, perm) gives the new arrival order."""
     order = order or (lambda seq, perm: F.xxhash64(seq, perm + 1000))
-    unique = dedup.first_arrivals(events)
+    unique, strategy = dedup.first_arrivals(events), of(strategy)
+    runs = events.sparkSession.range(1, permutations + 1).select(F.col("id").cast("int").alias("perm"))
+    if not strategy.own and strategy.name != "confidence_weighted":
+        moves = {p: F.struct(F.when(F.lit(p > 0), order(F.col("seq"), F.lit(p))).alias("h"), F.col("seq").alias("was")) for p in range(permutations + 1)}
+        best = resolve.metric_rows(unique).groupBy("sensor_id", "metric").agg(*[F.max(resolve.ranked(strategy, F.col("value"), moves[p]))["value"].alias(f"v{p}") for p in moves])
+        each = F.explode(F.array(*[F.struct(F.lit(p).alias("perm"), F.col(f"v{p}").alias("value")) for p in moves])).alias("x")
+        return compare_runs(best.select("sensor_id", "metric", each).select("x.perm", "sensor_id", "metric", "x.value"), runs, tolerance)
     perms = unique.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
     seq = F.struct(F.when(F.col("perm") > 0, order(F.col("seq"), F.col("perm"))).alias("h"), F.col("seq").alias("was"))
     moved = perms.withColumn("seq", seq).withColumn("sensor_id", F.struct("perm", "sensor_id"))
     cells = resolve.current_cells(moved, strategy).select("sensor_id.perm", "sensor_id.sensor_id", "metric", "value")
-    return compare_runs(cells, events.sparkSession.range(1, permutations + 1).select(F.col("id").cast("int").alias("perm")), tolerance)
+    return compare_runs(cells, runs, tolerance)
 
 
 def mismatches(base: DataFrame, other: DataFrame, tolerance: float = 1e-5, keys: tuple[str, ...] = ("sensor_id", "metric"), all_rows: bool = False) -> DataFrame:

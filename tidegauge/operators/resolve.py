@@ -27,10 +27,11 @@ def metric_rows(unique: DataFrame) -> DataFrame:
     return unique.select("sensor_id", "event_ts", "seq", "source", F.explode("readings").alias("metric", "value"))
 
 
-def _ranked(strategy: Strategy, value: Column) -> Column:
+def ranked(strategy: Strategy, value: Column, seq: Column | str = "seq") -> Column:
+    """A reading whose greatest is the state; seq: its place in the order of arrival."""
     if strategy.name == "latest":
-        return F.struct("event_ts", F.lit(1.0).alias("weight"), "seq", value.alias("value"), "source")
-    return F.struct("event_ts", source_weight(F.col("source"), strategy.weights).alias("weight"), "seq", value.alias("value"), "source")
+        return F.struct("event_ts", F.lit(1.0).alias("weight"), seq, value.alias("value"), "source")
+    return F.struct("event_ts", source_weight(F.col("source"), strategy.weights).alias("weight"), seq, value.alias("value"), "source")
 
 
 def _fuse(rows: Column) -> Column:
@@ -109,7 +110,7 @@ def current_cells(unique: DataFrame, strategy: str | Strategy = "source_priority
     if strategy.own:
         return _folded_cells(rows, strategy)
     if strategy.name != "confidence_weighted":
-        best = rows.groupBy("sensor_id", "metric").agg(F.max(_ranked(strategy, F.col("value"))).alias("b"))
+        best = rows.groupBy("sensor_id", "metric").agg(F.max(ranked(strategy, F.col("value"))).alias("b"))
         return best.select("sensor_id", "metric", "b.value", "b.event_ts", "b.source", F.col("b.weight").alias("confidence"))
     # The latest time comes from an aggregate with partial sums; only ties at it are gathered.
     last = rows.groupBy("sensor_id", "metric").agg(F.max("event_ts").alias("event_ts"))
@@ -151,7 +152,7 @@ def timeline_states(unique: DataFrame, strategy: str | Strategy = "source_priori
         rows = unique.join(wide, ["sensor_id", "event_ts"], "left")
         return rows.select(*unique.columns, known, *[F.max(merged_at(m)).over(upto)["cell"].alias(merged(m)) for m in metrics])
     value = lambda m: F.col("readings")[m]
-    best = lambda m: F.max(F.when(value(m).isNotNull(), _ranked(strategy, value(m)))).over(upto)
+    best = lambda m: F.max(F.when(value(m).isNotNull(), ranked(strategy, value(m)))).over(upto)
     return unique.select(*unique.columns, known, *[best(m).alias(merged(m)) for m in metrics])
 
 
@@ -184,7 +185,7 @@ def running_states(unique: DataFrame, strategy: str | Strategy = "source_priorit
     out = unique
     for m in metrics:
         value = F.col("readings")[m]
-        out = out.withColumn(f"_{m}", F.max(F.when(value.isNotNull(), _ranked(strategy, value))).over(sofar))
+        out = out.withColumn(f"_{m}", F.max(F.when(value.isNotNull(), ranked(strategy, value))).over(sofar))
     cell = lambda m: F.when(F.col(f"_{m}").isNotNull(), F.struct(F.col(f"_{m}.value").alias("value"), F.col(f"_{m}.event_ts").alias("event_ts"), F.col(f"_{m}.source").alias("source"), F.col(f"_{m}.weight").alias("confidence")))
     return out.select(*unique.columns, *[cell(m).alias(merged(m)) for m in metrics])
 
