@@ -737,3 +737,10 @@ def test_vocabulary_grows_and_rare_tokens_share_no_frequent_number(spark):
     want = sum(np.log(part.sizes[number[w]]) for w in words[:300])
     assert abs(without[0] - with_sizes[0] - want) < 1e-6 * want and abs(without[9] - with_sizes[9]) < 1e-6
     assert pseudo_likelihood.pseudo_likelihood(docs).count() == 10
+
+
+def test_near_dedup_a_crowded_bucket_keeps_all_its_texts(spark):
+    """Ten texts that agree in a band's key and in no deeper one still meet."""
+    sigs = spark.createDataFrame([(i, bytes([i]) * 16, 20, [5, 100 + i]) for i in range(10)], "doc_id long, rid binary, n int, keys array<long>")
+    assert {(r.key, r["size"]) for r in near_dedup.bucketed(sigs, 8).collect()} == {(5, 10)}
+    assert near_dedup.bucketed(sigs, 8).count() == 10

@@ -3,7 +3,7 @@
 A text is its sequence of words, in lower case and without the punctuation around them, and its k-word
 shingles are each labelled with how often they occurred before. Every band takes the `picks` smallest
 labelled shingles under its own hash and keeps them in text order; texts that agree in a band meet in a
-bucket, and a bucket of more than `small` texts is split by one shingle more. Candidate pairs are verified by banded alignment of their words: the longest common subsequence
+bucket; the texts of a bucket of more than `small` also meet in smaller ones, by one shingle more. Candidate pairs are verified by banded alignment of their words: the longest common subsequence
 inside the band of shifts that the threshold allows. The similarity is the share of the longer text's words
 that is aligned, and a link needs `threshold`.
 
@@ -146,8 +146,8 @@ def sized(members: DataFrame, name: str) -> DataFrame:
 
 
 def bucketed(sigs: DataFrame, small: int) -> DataFrame:
-    """key, size, node, n of every text in a bucket with company; the texts of a bucket of more than `small`
-    are dealt by their deeper keys. A node is the text's digest behind a number that is least for the texts that
+    """key, size, whole, node, n of every text in a bucket with company; the texts of a bucket of more than `small`
+    are in it and, with whole false, in those of their deeper keys too. A node is the text's digest behind a number that is least for the texts that
     share most buckets: hubs come first in any order."""
     texts = sigs.where("n > 0").groupBy("rid").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
     bands = F.size("keys") / 2
@@ -155,10 +155,10 @@ def bucketed(sigs: DataFrame, small: int) -> DataFrame:
     members = texts.select("rid", "n", F.explode(both).alias("k")).select("rid", "n", F.col("k.key").alias("key"), F.col("k.deeper").alias("deeper"))
     met = materialize(members.join(sized(members, "sizes"), "key"), "met")
     crowd = met.where(F.col("size") > small).select("rid", "n", F.col("deeper").alias("key"))
-    split = crowd.join(sized(crowd, "deep_sizes"), "key").select("key", "size", "rid", "n")
-    famous = met.where(F.col("size") <= small).select("key", "size", "rid", "n").union(split).withColumn("fame", F.sum("size").over(Window.partitionBy("rid")))
+    split = crowd.join(sized(crowd, "deep_sizes"), "key").select("key", "size", F.lit(False).alias("whole"), "rid", "n")
+    famous = met.select("key", "size", F.lit(True).alias("whole"), "rid", "n").union(split).withColumn("fame", F.sum("size").over(Window.partitionBy("rid")))
     rank = F.to_binary(F.lpad(F.hex(F.lit(1 << 62) - F.col("fame")), 16, "0"), F.lit("hex"))
-    return materialize(famous.select("key", "size", F.concat(rank, "rid").alias("node"), "n"), "buckets")
+    return materialize(famous.select("key", "size", "whole", F.concat(rank, "rid").alias("node"), "n"), "buckets")
 
 
 def digest_of(node: str) -> Column:
@@ -239,6 +239,12 @@ def prefixes(rest: DataFrame, k: int, shared: float) -> DataFrame:
     return rest.select("node", "n", "class", "outside", "words").mapInArrow(run, "token long, texts long, node binary, n int, class binary, outside boolean, place int")
 
 
+def mixed(filed: DataFrame) -> DataFrame:
+    """The rows of prefixes whose token is in several classes and in a text outside: no other pair is looked at."""
+    tokens = filed.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max("outside").alias("any")).where("low <> high and any").select("token")
+    return materialize(filed.join(materialize(tokens, "tokens"), "token"), "filed")
+
+
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b, ...) of nodes whose texts align."""
     rest = [c for c in pairs.columns if c not in ("a", "b")]
@@ -286,7 +292,7 @@ def classes_of(docs: DataFrame, sigs: DataFrame, k: int = K, threshold: float =
     other = few.select("key", F.col("node").alias("b"), F.col("n").alias("n2"))
     close = few.withColumnRenamed("node", "a").join(other, "key").select("a", "b", "n", "n2")
     first = materialize(starred.union(close).where((F.col("a") < F.col("b")) & near_length(threshold, k - 1)).select("a", "b").distinct(), "pairs")
-    large = buckets.where(F.col("size") > small).select("key", "node", "n")
+    large = buckets.where(F.col("whole") & (F.col("size") > small)).select("key", "node", "n")
     wanted = first.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
     texts = materialize(worded(docs, wanted), "words")
     found = components(verify(first, texts, threshold).select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -297,7 +303,7 @@ def classes_of(docs: DataFrame, sigs: DataFrame, k: int = K, threshold: float =
     split = materialize(counts.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("c", "class"))["class"].alias("main")).where("classes > 1").select("key", "main"), "split")
     rest = classed.join(split, "key").groupBy("node").agg(F.first("n").alias("n"), F.first("class").alias("class"), F.max(F.col("class") != F.col("main")).alias("outside"))
     rest = materialize(rest.join(texts, "node"), "rest")
-    more = across_classes(materialize(prefixes(rest, k, shared), "prefixes"), texts, threshold, shared)
+    more = across_classes(mixed(materialize(prefixes(rest, k, shared), "prefixes")), texts, threshold, shared)
     if more is not None:
         merged = components(more)
         found = found.join(merged.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
