@@ -58,7 +58,7 @@ def _fused(rows: DataFrame, strategy: Strategy) -> DataFrame:
     return rows.groupBy("sensor_id", "metric", "event_ts").agg(_fuse(F.collect_list(F.struct("seq", "value", "source", weight))).alias("f"))
 
 
-def _folded_cells(rows: DataFrame, strategy: Strategy, held: int = 100_000) -> DataFrame:
+def _folded_cells(rows: DataFrame, strategy: Strategy, held: int = 25_000) -> DataFrame:
     """The cells of a fold of one's own: partial cells where the rows are read, merged by sensor and metric. A
     key has a partial cell per task, or more where a task meets more than `held` keys."""
     kind = rows.schema["sensor_id"].dataType.simpleString()
