@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import plain_llm as plain
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidegauge.llm import decontaminate, host_rules, langid, license_scan, near_dedup, packing, pseudo_likelihood, secrets, substring_dedup
@@ -744,3 +745,11 @@ def test_near_dedup_a_crowded_bucket_keeps_all_its_texts(spark):
     sigs = spark.createDataFrame([(i, bytes([i]) * 16, 20, [5, 100 + i]) for i in range(10)], "doc_id long, rid binary, n int, keys array<long>")
     assert {(r.key, r["size"]) for r in near_dedup.bucketed(sigs, 8).collect()} == {(5, 10)}
     assert near_dedup.bucketed(sigs, 8).count() == 10
+
+
+def test_near_dedup_moves_only_the_texts_that_are_wanted(spark):
+    rows = spark.range(20_000).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("rid"), F.concat(F.lit("text"), "id").alias("text"), "id")
+    wanted = rows.where("id % 100 = 0").select("rid")
+    got = {r.id for r in near_dedup.marked(rows, wanted).select("id").collect()}
+    assert got >= set(range(0, 20_000, 100)) and len(got) <= 205
+    assert near_dedup.marked(rows, wanted.limit(0)).count() == 0

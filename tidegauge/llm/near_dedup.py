@@ -46,6 +46,7 @@ K, THRESHOLD, BANDS, PICKS = 5, 0.8, 16, 2
 SHARED = 0.8  # of the shingles, from which the search across classes is exact
 SMALL_BUCKET = 8
 SLOTS = 1 << 20  # of the table of shingle counts
+MARKS = 1 << 26  # bits of the table of wanted texts
 STEP = 16  # a round across classes meets so many times the members of the round before
 
 
@@ -153,12 +154,13 @@ def bucketed(sigs: DataFrame, small: int) -> DataFrame:
     bands = F.size("keys") / 2
     both = F.arrays_zip(F.slice("keys", 1, bands.cast("int")).alias("key"), F.slice("keys", bands.cast("int") + 1, bands.cast("int")).alias("deeper"))
     members = texts.select("rid", "n", F.explode(both).alias("k")).select("rid", "n", F.col("k.key").alias("key"), F.col("k.deeper").alias("deeper"))
-    met = materialize(members.join(sized(members, "sizes"), "key"), "met")
+    # A merge at any size: members and sizes both grow with the corpus.
+    met = materialize(members.join(sized(members, "sizes").hint("merge"), "key"), "met")
     crowd = met.where(F.col("size") > small).select("rid", "n", F.col("deeper").alias("key"))
     split = crowd.join(sized(crowd, "deep_sizes"), "key").select("key", "size", F.lit(False).alias("whole"), "rid", "n")
     famous = met.select("key", "size", F.lit(True).alias("whole"), "rid", "n").union(split).withColumn("fame", F.sum("size").over(Window.partitionBy("rid")))
     rank = F.to_binary(F.lpad(F.hex(F.lit(1 << 62) - F.col("fame")), 16, "0"), F.lit("hex"))
-    return materialize(famous.select("key", "size", "whole", F.concat(rank, "rid").alias("node"), "n"), "buckets")
+    return famous.select("key", "size", "whole", F.concat(rank, "rid").alias("node"), "n")
 
 
 def digest_of(node: str) -> Column:
@@ -170,12 +172,23 @@ def near_length(threshold: float, more: int = 0) -> Column:
     return F.least("n", "n2") + more >= threshold * (F.greatest("n", "n2") + more) - 1e-9
 
 
+def marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows (rid, ...) whose rid may be in wanted (rid), by a table of MARKS bits: all that are, and few others."""
+    slot = F.pmod(F.xxhash64("rid"), F.lit(MARKS))
+    bits = wanted.groupBy(F.bitmap_bucket_number(slot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    place = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = rows.withColumn("part", F.bitmap_bucket_number(slot)).join(F.broadcast(bits), "part")
+    return met.where(F.getbit(byte, (place % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def worded(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """node, words (hashes) of the wanted nodes. Both sides grow with the corpus, so the join
-    is a merge at any size."""
+    is a merge at any size; most texts that nobody wants are left out before it."""
     texts = docs.select(digest(docs["text"]).alias("rid"), docs["text"].cast("string").alias("text"))
+    wanted = materialize(wanted.select("node", digest_of("node").alias("rid")), "wanted")
     # One row per text is left before the texts are read a second time.
-    texts = texts.hint("merge").join(wanted.select("node", digest_of("node").alias("rid")), "rid").dropDuplicates(["rid"])
+    texts = marked(texts, wanted).hint("merge").join(wanted, "rid").dropDuplicates(["rid"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = hasher()
@@ -285,7 +298,7 @@ def across_classes(filed: DataFrame, texts: DataFrame, threshold: float, shared:
 
 def classes_of(docs: DataFrame, sigs: DataFrame, k: int = K, threshold: float = THRESHOLD, small: int = SMALL_BUCKET, shared: float = SHARED) -> DataFrame:
     """rid, component: the classes of texts that have links."""
-    buckets = bucketed(sigs, small)
+    buckets = distilled(docs.sparkSession, lambda: bucketed(sigs, small), "buckets")
     hubs = materialize(buckets.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub")), "hubs")
     starred = buckets.join(hubs, "key").select(F.col("hub.node").alias("a"), F.col("node").alias("b"), "n", F.col("hub.n").alias("n2"))
     few = buckets.where((F.col("size") > 2) & (F.col("size") <= small)).select("key", "node", "n")
