@@ -9,7 +9,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor  # noqa:
 
 from tidegauge.constants import METRICS
 from tidegauge.functions.normalize import normalize
-from tidegauge.operators import dedup, replay, resolve, strategies
+from tidegauge.operators import dedup, detect, ledger, replay, resolve, strategies
 from tidegauge.sources.telemetry import from_events
 from tidegauge.streaming.processor import Held, write_past
 
@@ -87,6 +87,32 @@ def test_battery_of_files_equals_single_replays(spark):
         assert {s: json.loads(x)["readings"] for s, x in r["states"].items()} == {x.sensor_id: x.readings for x in states.collect()}
 
 
+@pytest.mark.parametrize("strategy", ["source_priority", "latest", "confidence_weighted"])
+def test_battery_reads_its_events_once_and_keeps_other_metrics(spark, strategy):
+    """Beyond the received ones, events are read once for sums and states; states are those of current_states to the letter."""
+    raw = [e | {"readings": e["readings"] | {"chlorine": str(i % 7)}} if i % 3 else e for i, e in enumerate(random_events(60, 1))]
+    rows = frame(spark, raw).withColumn("file", F.lit("a"))
+    found = replay.battery(rows, strategy)
+    states = resolve.current_states(dedup.first_arrivals(rows), strategy)
+    text = F.to_json(F.struct("version", "last_event_time", "last_source", "readings"))
+    assert found.first().states == {r.sensor_id: r.text for r in states.select("sensor_id", text.alias("text")).collect()}
+    if strategy != "confidence_weighted":
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("Filter (_rank#") == 1
+
+
+def test_checking_a_ledger_moves_no_bodies(spark):
+    blocks = spark.range(6).selectExpr("id % 2 sensor_id", "id seq", "concat('body', id) body")
+    held = ledger.checked(ledger.build(blocks)).groupBy("chain").agg(F.count("reason").alias("faults"))
+    above = held._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0].split("Window [")
+    assert len(above) == 2 and " body#" not in above[0] and "sha2(" in above[1] and "sha2(" not in above[0]
+    assert {r.faults for r in held.collect()} == {0}
+
+
+def test_states_and_first_readings_take_a_window_each(spark):
+    rows = detect._first_seen(resolve.running_states(dedup.first_arrivals(frame(spark, random_events(20, 1)))))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 3  # the first is that of the fingerprints
+
+
 def test_runs_that_lack_a_sensor_or_a_metric(spark):
     cells = [(0, "A", "pH", 7.0), (0, "A", "turbidity", 1.0), (0, "B", "pH", 7.0), (1, "A", "pH", 7.0), (1, "A", "turbidity", 1.0), (1, "B", "pH", 7.5), (2, "A", "pH", 7.0), (2, "C", "pH", 1.0)]
     rows = spark.createDataFrame(cells, "perm int, sensor_id string, metric string, value double")

@@ -62,10 +62,9 @@ def _first_seen(states: DataFrame) -> DataFrame:
     """Adds _seen_<metric>: when, in event time, the sensor first had the metric, of what has arrived.
     It orders the metrics of a state."""
     sofar = Window.partitionBy("sensor_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    for m in METRICS:
-        place = F.array_position(F.map_keys("readings"), m)
-        states = states.withColumn(f"_seen_{m}", F.min(F.when(F.col("readings")[m].isNotNull(), F.struct("event_ts", "seq", place.alias("place")))).over(sofar))
-    return states
+    place = lambda m: F.array_position(F.map_keys("readings"), m).alias("place")
+    # At once: windows that are added one by one are as many passes.
+    return states.withColumns({f"_seen_{m}": F.min(F.when(F.col("readings")[m].isNotNull(), F.struct("event_ts", "seq", place(m)))).over(sofar) for m in METRICS})
 
 
 def classify(unique: DataFrame, strategy: str | Strategy = "source_priority") -> DataFrame:
@@ -84,7 +83,10 @@ def classify(unique: DataFrame, strategy: str | Strategy = "source_priority") ->
         sensor, memory = object(), Recursion()
         for b in batches:
             out = []
-            for key, micros, bounded, *values in zip(*(b.column(k).to_pylist() for k in (1, 3, 4, 5, 6, 7, 8))):
+            ids = b.column(1)
+            # A tuple for an id of several fields: a dict a row takes long to make.
+            keys = zip(*(f.to_pylist() for f in ids.flatten())) if pa.types.is_struct(ids.type) else ids.to_pylist()
+            for key, micros, bounded, *values in zip(keys, *(b.column(k).to_pylist() for k in (3, 4, 5, 6, 7, 8))):
                 if key != sensor:
                     sensor, memory = key, Recursion()
                 out.append(memory.step(micros, values, bounded))

@@ -72,7 +72,7 @@ def _one_chain(blocks: DataFrame, after: DataFrame | None) -> DataFrame:
 def _chained(blocks: DataFrame, chain: Column, after: DataFrame | None, tasks: int | None = None) -> DataFrame:
     """Each chain in a task. A head is sorted before its chain's blocks, so that both come to one task in one
     shuffle and nothing is held but the last hash."""
-    row = F.struct(*blocks.columns)
+    row = F.struct(*[c for c in blocks.columns if c != "body"])  # bodies are long and move once
     keyed = blocks.select(chain.alias("chain"), F.lit(0).cast("long").alias("had"), "seq", row.alias("row"), "body")
     if after is not None:
         nothing = {c: F.lit(None).cast(keyed.schema[c].dataType).alias(c) for c in ("seq", "row")}
@@ -92,12 +92,12 @@ def _chained(blocks: DataFrame, chain: Column, after: DataFrame | None, tasks: i
                 head = hashlib.sha256(f"{prev}|{body}".encode()).hexdigest()
                 out.append((name, number, prev, head))
             cols = list(zip(*out)) if out else [()] * 4
-            rows = b.filter(pc.equal(b.column(1), 0)).column(3)
-            yield pa.RecordBatch.from_arrays([rows, *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.string())))], names=["row", "chain", "audit_id", "prev_hash", "current_hash"])
+            rows = b.filter(pc.equal(b.column(1), 0))
+            yield pa.RecordBatch.from_arrays([rows.column(3), rows.column(4), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.string())))], names=["row", "body", "chain", "audit_id", "prev_hash", "current_hash"])
 
     dealt = keyed.repartition(tasks) if tasks else keyed.repartition("chain")
-    done = dealt.sortWithinPartitions("chain", F.desc("had"), "seq").mapInArrow(run, f"row {keyed.schema['row'].dataType.simpleString()}, {BLOCK}")
-    return done.select("row.*", "chain", "audit_id", "prev_hash", "current_hash")
+    done = dealt.sortWithinPartitions("chain", F.desc("had"), "seq").mapInArrow(run, f"row {keyed.schema['row'].dataType.simpleString()}, body string, {BLOCK}")
+    return done.select(*[F.col("body" if c == "body" else f"row.`{c}`") for c in blocks.columns], "chain", "audit_id", "prev_hash", "current_hash")
 
 
 def checked(ledger: DataFrame) -> DataFrame:
@@ -105,8 +105,9 @@ def checked(ledger: DataFrame) -> DataFrame:
     before it in its chain, so one shuffle by chain serves all; one chain over everything is one task here."""
     before = F.lag("current_hash").over(Window.partitionBy("chain").orderBy("audit_id"))
     link = F.col("prev_hash") != F.coalesce(before, F.when(F.col("audit_id") == 1, F.lit(GENESIS)).otherwise("missing"))
-    body = F.col("current_hash") != F.sha2(F.concat("prev_hash", F.lit("|"), "body"), 256)
-    return ledger.withColumn("_link", link).withColumn("reason", F.when(F.col("_link"), "Broken link").when(body, "Hash mismatch")).drop("_link")
+    # Bodies are hashed where they are, so that only who wants them later has them in the shuffle.
+    hashed = ledger.withColumn("_body", F.col("current_hash") != F.sha2(F.concat("prev_hash", F.lit("|"), "body"), 256))
+    return hashed.withColumn("_link", link).withColumn("reason", F.when(F.col("_link"), "Broken link").when(F.col("_body"), "Hash mismatch")).drop("_link", "_body")
 
 
 def faults(ledger: DataFrame) -> DataFrame:

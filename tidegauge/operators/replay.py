@@ -7,6 +7,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..constants import METRICS
 from ..functions.normalize import action, status
 from . import dedup, detect, ledger, resolve, spatial, timeline
 from .strategies import Strategy, of
@@ -122,16 +123,37 @@ def battery(events: DataFrame, strategy: str | Strategy = "source_priority", rec
     began = time.time()
     scoped = events.withColumn("sensor_id", F.struct("file", "sensor_id"))
     decided = process(scoped, strategy)
-    blocks = decided.select("sensor_id", "seq", ledger.body(decided, received).alias("body"), "is_late", "is_anomaly")
+    blocks = decided.select("sensor_id", "seq", "event_ts", "source", "readings", ledger.body(decided, received).alias("body"), "is_late", "is_anomaly")
     held = ledger.checked(ledger.build(blocks))
     of_file = F.col("sensor_id.file").alias("file")
-    counts = held.groupBy(of_file).agg(F.count(F.lit(1)).alias("unique_events"), F.count_if("is_late").alias("out_of_order"), F.count_if("is_anomaly").alias("anomalies"), F.count_if(F.col("reason").isNotNull()).alias("faults"))
-    states = resolve.current_states(dedup.first_arrivals(scoped), strategy)
+    sums = {"unique_events": F.count(F.lit(1)), "out_of_order": F.count_if("is_late"), "anomalies": F.count_if("is_anomaly"), "faults": F.count_if(F.col("reason").isNotNull())}
+    kind, own = of(strategy), [c.alias(n) for n, c in sums.items()]
+    if kind.own or kind.name == "confidence_weighted":
+        counts = held.groupBy(of_file).agg(*own)
+        states = resolve.current_states(dedup.first_arrivals(scoped), strategy)
+    else:
+        # Sums and states in one pass: a row per event, with the known metrics beside each other, and one per other reading.
+        other = F.map_entries(F.map_filter("readings", lambda k, _: ~k.isin(*METRICS)))
+        nothing = F.struct(F.lit(None).cast("string").alias("metric"), F.lit(None).cast("double").alias("value"))
+        entry = F.explode(F.concat(F.array(nothing), F.transform(other, lambda e: F.struct(e["key"].alias("metric"), e["value"].alias("value")))))
+        rows = held.select("sensor_id", "seq", "event_ts", "source", "readings", "is_late", "is_anomaly", "reason", entry.alias("e")).select("*", "e.metric", "e.value")
+        event, best = F.col("metric").isNull(), lambda which, v: F.max(F.when(which, resolve.ranked(kind, v)))
+        known = [best(event & F.map_contains_key("readings", m), F.col("readings")[m]).alias(f"b{i}") for i, m in enumerate(METRICS)]
+        cells = rows.groupBy("sensor_id", "metric").agg(*own, F.max(F.when(event, F.struct("event_ts", "seq", "source"))).alias("last"), *known, best(~event, F.col("value")).alias("b"))
+        reading = lambda m, b: F.when(F.col(b).isNotNull(), F.struct(m.alias("metric"), F.col(f"{b}.value").alias("value")))
+        both = F.concat(F.array(*[reading(F.lit(m), f"b{i}") for i, m in enumerate(METRICS)]), F.array(reading(F.col("metric"), "b")))
+        found = cells.select("*", both.alias("cells")).groupBy("sensor_id").agg(
+            *[F.sum(F.when(event, F.col(n))).alias(n) for n in sums], F.max("last").alias("last"), F.array_sort(F.array_compact(F.flatten(F.collect_list("cells")))).alias("cells")
+        )
+        counts = None
+        states = found.select("sensor_id", *sums, F.col("last.event_ts").alias("last_event_time"), F.col("last.source").alias("last_source"), F.col("unique_events").alias("version"), F.map_from_entries("cells").alias("readings"))
     text = F.to_json(F.struct("version", "last_event_time", "last_source", "readings"))
-    by_file = states.groupBy(of_file).agg(F.count(F.lit(1)).alias("sensors"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("sensor_id.sensor_id").alias("sensor_id"), text.alias("state"))))).alias("states"))
+    totals = [F.sum(n).alias(n) for n in sums] if counts is None else []
+    by_file = states.groupBy(of_file).agg(*totals, F.count(F.lit(1)).alias("sensors"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("sensor_id.sensor_id").alias("sensor_id"), text.alias("state"))))).alias("states"))
+    by_file = by_file if counts is None else counts.join(by_file, "file", "left")
     arrived = events.groupBy("file").agg(F.count(F.lit(1)).alias("received"))
     since = F.udf(lambda _: (time.time() - began) * 1000, "double").asNondeterministic()
-    joined = arrived.join(counts, "file", "left").join(by_file, "file", "left")
+    joined = arrived.join(by_file, "file", "left")
     none = lambda c: F.coalesce(c, F.lit(0).cast("long"))
     return joined.select(
         "file", "received", none("unique_events").alias("unique_events"), (F.col("received") - none("unique_events")).alias("duplicates"), none("out_of_order").alias("out_of_order"),

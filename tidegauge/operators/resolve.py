@@ -182,10 +182,9 @@ def running_states(unique: DataFrame, strategy: str | Strategy = "source_priorit
     if strategy.own or strategy.name == "confidence_weighted":
         return _running_folded(unique, strategy, metrics)
     sofar = Window.partitionBy("sensor_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = unique
-    for m in metrics:
-        value = F.col("readings")[m]
-        out = out.withColumn(f"_{m}", F.max(F.when(value.isNotNull(), ranked(strategy, value))).over(sofar))
+    value = lambda m: F.col("readings")[m]
+    # At once: windows that are added one by one are as many passes.
+    out = unique.withColumns({f"_{m}": F.max(F.when(value(m).isNotNull(), ranked(strategy, value(m)))).over(sofar) for m in metrics})
     cell = lambda m: F.when(F.col(f"_{m}").isNotNull(), F.struct(F.col(f"_{m}.value").alias("value"), F.col(f"_{m}.event_ts").alias("event_ts"), F.col(f"_{m}.source").alias("source"), F.col(f"_{m}.weight").alias("confidence")))
     return out.select(*unique.columns, *[cell(m).alias(merged(m)) for m in metrics])
 
