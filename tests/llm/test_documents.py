@@ -740,6 +740,63 @@ def test_vocabulary_grows_and_rare_tokens_share_no_frequent_number(spark):
     assert pseudo_likelihood.pseudo_likelihood(docs).count() == 10
 
 
+def test_texts_are_read_once_and_tokens_are_those_of_the_pattern(spark):
+    pattern = re.compile(r"\w+|[^\w\s]")
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    assert pseudo_likelihood.split(every)[0].tolist() == [m.start() for m in pattern.finditer(every)]
+    texts = ["", None, " ", "a_1\u0301b  x-y\x1c\x85\u3000q.", "x" * 300_000 + " y." * 100_000 + "z", "the the"]
+    n, hashes = pseudo_likelihood.hashed(texts)
+    found = [pattern.findall(t or "") for t in texts]
+    assert n.tolist() == [len(x) for x in found]
+    assert hashes.tolist() == [h for x in found for h in map({w: pseudo_likelihood.token_hash(w) for w in {*sum(found, [])}}.get, x)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    docs = spark.createDataFrame([(d, f"word{d} and other words. " * 5) for d in range(40)], "doc_id long, text string").mapInArrow(counted, "doc_id long, text string")
+    assert pseudo_likelihood.pseudo_likelihood(docs).count() == 40
+    assert read.value == 40
+
+
+def test_a_step_of_learning_is_the_plain_one():
+    """Many groups of any size, with and without empty places in their chunks, against Adagrad token by token."""
+    p = pseudo_likelihood
+    rng = np.random.default_rng(4)
+    ids = np.concatenate([[p.PAD] * 2, rng.zipf(1.3, 1500) % p.PAD, rng.permutation(np.repeat([7, 8, 250, 990], [512, 64, 4, 8])), [p.PAD] * 2]).astype(np.int32)
+    at = rng.permutation(np.arange(2, len(ids) - 2))
+    start = p.start_model()
+    net = p.Network({k: v.copy() for k, v in start.items()})
+    before = net.log_probs(ids, at)
+    net.learn(ids, at)
+    m = {k: v.astype(np.float64) for k, v in start.items()}
+    grads = {k: np.zeros_like(v) for k, v in m.items()}
+    for i, was in zip(at, before):
+        near = ids[[i - 2, i - 1, i + 1, i + 2]]
+        context = (m["embed"][near] * m["place"]).sum(axis=0)
+        h = np.tanh(context @ m["hidden"] + m["hidden_bias"])
+        t, C, dh, total = int(ids[i]), p.CLASSES, 0, 0
+        for k, (g, x) in enumerate(((0, t // C**2), (t // C**2, t // C % C), (t // C, t % C))):
+            e = np.exp(h @ m[f"level{k}"][g] + m[f"level{k}_bias"][g])
+            total += np.log(e[x] / e.sum())
+            d = e / e.sum() - np.eye(C)[x]
+            grads[f"level{k}"][g] += np.outer(h, d)
+            grads[f"level{k}_bias"][g] += d
+            dh = dh + m[f"level{k}"][g] @ d
+        assert abs(total - was) < 1e-4
+        du = dh * (1 - h * h)
+        grads["hidden"] += np.outer(context, du)
+        grads["hidden_bias"] += du
+        back = m["hidden"] @ du
+        grads["place"] += m["embed"][near] * back
+        np.add.at(grads["embed"], near, m["place"] * back)
+    for k, g in grads.items():
+        g /= len(at)
+        assert np.abs(m[k] - net.rate * g / np.sqrt(p.FIRST_SUM + g * g) - net.m[k]).max() < 1e-5, k
+
+
 def test_near_dedup_a_crowded_bucket_keeps_all_its_texts(spark):
     """Ten texts that agree in a band's key and in no deeper one still meet."""
     sigs = spark.createDataFrame([(i, bytes([i]) * 16, 20, [5, 100 + i]) for i in range(10)], "doc_id long, rid binary, n int, keys array<long>")

@@ -35,13 +35,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, *by: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: later steps start from files
-    that every executor sees, so a lost executor costs only its own tasks."""
+    that every executor sees, so a lost executor costs only its own tasks. by: columns at the end
+    whose values have folders of their own, so that the others' files are not opened."""
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     if (written := _WRITTEN.get()) is not None:
         written.append(path)
     return spark.read.schema(df.schema).parquet(path)
