@@ -11,7 +11,7 @@ with the corpus: the most frequent ones, up to twice the root of the number of t
 over further numbers, and the probability of such a number is divided by its different tokens, so that no
 rare token gets the probability of a frequent one. The start has the logs of the counts as biases.
 
-All documents are used for training: encoded once, they are dealt by hash to shards of about
+All documents are used for training: split into tokens once, they are dealt by hash to shards of about
 `shard_tokens` tokens (64 for each number of the vocabulary at least), and the shards to about as many
 rounds as there are shards in a round. In a round each shard is trained on by itself with numpy (Adagrad, one
 pass), from the model of the round before. The shards' changes are then added up and divided, parameter by
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import distilled, materialize, read_table
+from .common import distilled, materialize, read_table, slim_batches
 from .words import MIX, mix
 
 SPACE = re.compile(r"\s")
@@ -619,6 +619,7 @@ def score(encoded: DataFrame, parameters: np.ndarray, vocabulary: Vocabulary | N
 
 
 def pseudo_likelihood(docs: DataFrame, shard_tokens: int = 2_000_000) -> DataFrame:
+    slim_batches(docs.sparkSession)
     found = []
 
     def numbers() -> DataFrame:
